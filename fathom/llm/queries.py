@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import bpe, mixing, quality_rules, simhash
+from fathom.llm import bpe, kneser_ney, mixing, quality_rules, simhash, syncmers
 from fathom.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -20,6 +20,10 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.judge(docs).select("doc_id", "rules.*")
@@ -38,6 +42,15 @@ def op6_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
+    docs = docs.withColumn("held_out", held_out)
+    model = kneser_ney.train(docs.filter(~F.col("held_out")))
+    scored = kneser_ney.score(docs, model).select("doc_id", "held_out", "lm.*")
+    return scored.withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))
+
+
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(table(spark, sf_dir, "documents"))
     return found.select(
@@ -50,8 +63,10 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op2_source_mix": op2_source_mix,
+        "op3_closed_syncmers": op3_closed_syncmers,
         "op4_compression_bands": op4_compression_bands,
         "op6_bpe_replay": op6_bpe_replay,
+        "op7_kneser_ney": op7_kneser_ney,
         "op9_simhash_groups": op9_simhash_groups,
     }
 
