@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import bpe, mixing, quality_rules, simhash
+from fathom.llm import bpe, importance, mixing, quality_rules, simhash
 from fathom.llm.common import table
 from fathom.llm.queries import VOCABULARY
 
@@ -20,6 +20,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs)
 
 
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling towards the labelled good ones takes."""
+    return importance.keep(docs, table(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the least id, of each group of near-duplicates."""
     return simhash.keep_one(docs)
@@ -38,6 +43,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_rules", quality),
+    ("quality_classifier", classifier),
     ("near_duplicates", near_duplicates),
     ("mix", mix),
     ("tokens", tokens),

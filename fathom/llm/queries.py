@@ -9,12 +9,46 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import bpe, kneser_ney, mixing, quality_rules, simhash, syncmers
+from fathom.llm import (
+    bpe,
+    edit_counts,
+    importance,
+    kneser_ney,
+    licenses,
+    mixing,
+    quality_rules,
+    simhash,
+    syncmers,
+    toxicity,
+)
 from fathom.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after three edits: words put in
+    front, sixteen characters replaced in the middle, forty cut near the end."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.coalesce(F.length("text"), F.lit(0))
+
+    def change(start, removed: int, inserted: str):
+        return F.struct(
+            start.cast("int").alias("start"), F.lit(removed).alias("removed"), F.lit(inserted).alias("inserted")
+        )
+
+    edits = F.array(
+        change(F.lit(0), 0, "Revised draft. "),
+        change(F.floor(n / 2), 16, " as edited, "),
+        change(F.floor(n * 9 / 10), 40, ""),
+    )
+    path = public_tokenizers.path(VOCABULARY)
+    counted = edit_counts.count_edits(docs.withColumn("edits", edits), path, public_tokenizers.PATTERN)
+    kept = ["n_chars", "n_tokens", "edited_chars", "edited_tokens", "n_units", "encoded_units"]
+    digest = F.sha2(F.col("counts.edited_text").cast("binary"), 256).alias("edited_sha256")
+    return counted.select("doc_id", *(f"counts.{c}" for c in kept), digest)
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -29,6 +63,12 @@ def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs).select("doc_id", "rules.*")
 
 
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows, _, least = importance.classify(docs, labels)
+    return rows.select("doc_id", "log_weight", "gumbel_key", (F.col("gumbel_key") >= F.lit(least)).alias("kept"))
+
+
 def op6_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -51,6 +91,12 @@ def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))
 
 
+def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    scored = toxicity.predict(docs, toxicity.train(docs, labels)).select("doc_id", "toxicity.*")
+    return scored.withColumnRenamed("flagged", "toxic")
+
+
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(table(spark, sf_dir, "documents"))
     return found.select(
@@ -60,14 +106,24 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan(docs).select("doc_id", F.explode("licenses").alias("found"))
+    return found.select("doc_id", "found.*")
+
+
 def queries() -> dict:
     return {
+        "op1_edit_counts": op1_edit_counts,
         "op2_source_mix": op2_source_mix,
         "op3_closed_syncmers": op3_closed_syncmers,
         "op4_compression_bands": op4_compression_bands,
+        "op5_importance_resampling": op5_importance_resampling,
         "op6_bpe_replay": op6_bpe_replay,
         "op7_kneser_ney": op7_kneser_ney,
+        "op8_toxicity_chain": op8_toxicity_chain,
         "op9_simhash_groups": op9_simhash_groups,
+        "op10_license_scan": op10_license_scan,
     }
 
 
