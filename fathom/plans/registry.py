@@ -1,11 +1,403 @@
-"""Queries over the reference tables, by name, and their SQL."""
+"""Queries over the driver's tables, by name, and SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from fathom.functions import scalars as S
+from fathom.operators import catalog, profile, search, sections
+
+Q: dict = {}
+SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def put(f):
+        Q[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
 
 def queries() -> dict:
-    return {}
+    return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def _first_vector(embeddings: DataFrame) -> list[float]:
+    return [float(x) for x in embeddings.filter("vec_id = 0").select("embedding").head()[0]]
+
+
+COSINE = "round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.v), 6)"
+FIRST = "(SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0) q"
+
+
+@query(f"SELECT vec_id, label, {COSINE} AS score FROM embeddings e, {FIRST} ORDER BY score, vec_id LIMIT 5 OFFSET 5")
+def vector_topk_page(spark, sf_dir):
+    """The second page of the vectors nearest to the first one."""
+    vectors = table(spark, sf_dir, "embeddings")
+    hits = search.scored(vectors, _first_vector(vectors), digits=6).select("vec_id", "label", "score")
+    return search.top(hits, ["score", "vec_id"], 5, 5)
+
+
+@query(
+    f"""WITH h AS (SELECT vec_id, 'm' || (label % 3) AS modality, {COSINE} AS score FROM embeddings e, {FIRST}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY modality ORDER BY score, vec_id) AS n FROM h)
+    SELECT vec_id, modality, score FROM r WHERE n <= 10 ORDER BY score, modality, vec_id LIMIT 10"""
+)
+def search_all_merge(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    hits = search.scored(vectors, _first_vector(vectors), digits=6)
+    branches = {f"m{i}": hits.filter(F.col("label") % 3 == i).select("vec_id", "score") for i in range(3)}
+    return search.merged_top(branches, ["vec_id"], 10).select("vec_id", "modality", "score")
+
+
+@query(
+    f"""WITH h AS (SELECT vec_id AS doc_id, label, {COSINE} AS score FROM embeddings e, {FIRST} ORDER BY score, vec_id LIMIT 20)
+    SELECT doc_id, label, score, source, lang, n_chars FROM h JOIN documents USING (doc_id)"""
+)
+def hydrate_hits(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    hits = search.scored(vectors, _first_vector(vectors), digits=6).select(F.col("vec_id").alias("doc_id"), "label", "score")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    files = docs.select("source").distinct()
+    return search.hydrate(search.top(hits, ["score", "doc_id"], 20), docs, files, "doc_id", "source")
+
+
+@query(
+    """WITH a AS (SELECT page_id AS id, 0 AS p, 'web' AS modality, url AS summary FROM pages
+      UNION ALL SELECT doc_id, 1, 'text', source FROM documents)
+    SELECT id, modality, summary FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p) AS n FROM a) WHERE n = 1"""
+)
+def file_summary_priority(spark, sf_dir):
+    web = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit("web").alias("modality"), F.col("url").alias("summary"))
+    text = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("text").alias("modality"), F.col("source").alias("summary"))
+    return search.first_by_priority([web, text], "id").select("id", "modality", "summary")
+
+
+@query("SELECT source, count(*) AS n_tables FROM documents GROUP BY source")
+def table_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_tables"))
+
+
+@query(
+    """SELECT doc_id, source, quality FROM documents JOIN labels USING (doc_id)
+    WHERE text ILIKE '%license%' ORDER BY source, doc_id LIMIT 5"""
+)
+def ilike_search(spark, sf_dir):
+    joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return search.lexical(joined, "text", "license", ["source", "doc_id"]).select("doc_id", "source", "quality")
+
+
+@query(
+    r"""WITH t AS (SELECT item_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}_\s\-.]', ' ', 'g'), '\s+'),
+      lambda w: length(w) > 2) AS w FROM benchmark),
+    d AS (SELECT item_id, list_filter(w, lambda x, i: list_position(w, x) = i AND x NOT IN ("""
+    + ", ".join(f"'{w}'" for w in S.STOP_WORDS)
+    + r""")) AS tokens FROM t)
+    SELECT item_id, len(tokens)::INT AS n_tokens, array_to_string(tokens, ' ') AS tokens FROM d"""
+)
+def keyword_tokens(spark, sf_dir):
+    made = table(spark, sf_dir, "benchmark").select("item_id", S.query_tokens("text").alias("t"))
+    return made.select("item_id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
+
+
+PART = ("p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+CELLS = " UNION ALL ".join(
+    f"SELECT p_partkey AS row, {i} AS ordinal, '{c}' AS name, trim({c}::VARCHAR) AS value FROM part" for i, c in enumerate(PART)
+)
+
+
+@query(
+    f"""WITH c AS ({CELLS}),
+    v AS (SELECT ordinal, name, value, count(*) AS n, min(row) AS first FROM c GROUP BY ALL),
+    s AS (SELECT ordinal, name, sum(n) AS n, count(*) AS d,
+      bool_and(lower(value) IN ('true', 'false', 'yes', 'no', '0', '1')) AS b,
+      bool_and(regexp_full_match(value, '[+-]?\\d+(_\\d+)*')) AS i,
+      bool_and(regexp_full_match(value, '[+-]?((\\d+\\.?\\d*)|(\\.\\d+))([eE][+-]?\\d+)?')) AS f FROM v GROUP BY ALL),
+    p AS (SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY first, value) AS place FROM v),
+    l AS (SELECT ordinal, string_agg(value, '|' ORDER BY place) FILTER (place <= 10) AS samples,
+      string_agg(value, '|' ORDER BY place) AS all_values FROM p GROUP BY ordinal)
+    SELECT ordinal, name, CASE WHEN b THEN 'boolean' WHEN i THEN 'integer' WHEN f THEN 'float' ELSE 'string' END AS inferred_type,
+      round(d / n, 9) AS distinct_ratio, samples, CASE WHEN d <= 20 THEN all_values ELSE '' END AS categories
+    FROM s JOIN l USING (ordinal)""".replace("\\\\", "\\")
+)
+def column_profile(spark, sf_dir):
+    part = profile.as_text(table(spark, sf_dir, "part")).withColumn("p_partkey", F.col("p_partkey").cast("long"))
+    found = profile.profile(profile.cells(part, "p_partkey", list(PART)))
+    return found.select(
+        "ordinal",
+        "name",
+        "inferred_type",
+        F.round("distinct_ratio", 9).alias("distinct_ratio"),
+        F.array_join("sample_values", "|").alias("samples"),
+        F.array_join("categorical_values", "|").alias("categories"),
+    )
+
+
+EVENTS = ("event_id", "ts", "event_type", "value", "props")
+
+
+@query(
+    """WITH c AS ("""
+    + " UNION ALL ".join(f"SELECT {i} AS ordinal, '{c}' AS name, trim({c}::VARCHAR) AS v FROM events" for i, c in enumerate(EVENTS))
+    + r"""), f AS (SELECT ordinal, name, coalesce(v, '') AS v FROM c)
+    SELECT ordinal, name, CASE
+      WHEN count(*) FILTER (v <> '') = 0 THEN 'unknown'
+      WHEN bool_and(lower(v) IN ('true', 'false', 'yes', 'no', '0', '1')) FILTER (v <> '') THEN 'boolean'
+      WHEN bool_and(regexp_full_match(v, '[+-]?\d+(_\d+)*')) FILTER (v <> '') THEN 'integer'
+      WHEN bool_and(regexp_full_match(v, '[+-]?((\d+\.?\d*)|(\.\d+))([eE][+-]?\d+)?')) FILTER (v <> '') THEN 'float'
+      WHEN bool_and(regexp_full_match(v, '\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?')) FILTER (v <> '') THEN 'datetime'
+      ELSE 'string' END AS inferred_type
+    FROM f GROUP BY ALL"""
+)
+def infer_types(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return profile.infer_types(profile.cells(profile.as_text(events), "event_id", list(EVENTS)))
+
+
+NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{a}' AS left_column, '{b}' AS right_column, round(corr({a}, {b}), 6) AS r FROM lineitem"
+        for i, a in enumerate(NUMBERS)
+        for b in NUMBERS[i + 1 :]
+    )
+)
+def corr_matrix(spark, sf_dir):
+    found = profile.correlations(table(spark, sf_dir, "lineitem"), list(NUMBERS))
+    return found.withColumn("r", F.round("r", 6))
+
+
+def _snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Two states of a catalog of documents: of every ten one is gone in the new
+    one, one is new there, one has another size."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", F.concat("lang", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    base = docs.select(
+        path.alias("relative_path"),
+        F.col("n_chars").alias("size_bytes"),
+        F.lit("indexed").alias("status"),
+        F.timestamp_seconds(F.col("doc_id") % 1000).alias("last_modified"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("sum-"), "lang")).alias("file_summary"),
+        (F.col("doc_id") * 0 + 1).alias("first_indexed_at"),
+        F.lit(True).alias("is_present"),
+        (F.col("doc_id") % 10).alias("k"),
+    )
+    old = base.filter("k <> 1").drop("k")
+    new = (
+        base.filter("k <> 0")
+        .withColumn("size_bytes", F.when(F.col("k") == 2, F.col("size_bytes") + 1).otherwise(F.col("size_bytes")))
+        .withColumn("file_summary", F.when(F.col("k") == 2, "again"))
+        .withColumn("first_indexed_at", F.lit(2).cast("long"))
+        .drop("k")
+    )
+    return old, new
+
+
+OLD_NEW = """WITH b AS (SELECT concat_ws('/', source, lang || '-' || doc_id::VARCHAR || '.txt') AS relative_path, n_chars AS size_bytes,
+  CASE WHEN doc_id % 3 = 0 THEN 'sum-' || lang END AS file_summary, doc_id % 10 AS k, doc_id % 1000 AS t, source FROM documents),
+o AS (SELECT * FROM b WHERE k <> 1),
+n AS (SELECT relative_path, CASE WHEN k = 2 THEN size_bytes + 1 ELSE size_bytes END AS size_bytes,
+  CASE WHEN k = 2 THEN 'again' END AS file_summary, k, t, source FROM b WHERE k <> 0) """
+
+
+@query(
+    OLD_NEW
+    + """SELECT n.relative_path, CASE WHEN o.relative_path IS NULL THEN 'new'
+      WHEN o.size_bytes = n.size_bytes AND o.t = n.t THEN 'unchanged' ELSE 'changed' END AS outcome
+    FROM n LEFT JOIN o USING (relative_path)"""
+)
+def unchanged_split(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    return catalog.with_outcome(new, old, "relative_path").select("relative_path", "outcome")
+
+
+@query(
+    OLD_NEW
+    + """SELECT count(*) AS discovered, count(*) FILTER (o.relative_path IS NULL) AS "new",
+      count(*) FILTER (o.relative_path IS NOT NULL AND NOT (o.size_bytes = n.size_bytes AND o.t = n.t)) AS changed,
+      count(*) FILTER (o.size_bytes = n.size_bytes AND o.t = n.t) AS unchanged FROM n LEFT JOIN o USING (relative_path)"""
+)
+def run_counters(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    return catalog.counters(catalog.with_outcome(new, old, "relative_path"))
+
+
+@query(
+    OLD_NEW
+    + """SELECT coalesce(n.relative_path, o.relative_path) AS relative_path,
+      CASE WHEN n.relative_path IS NOT NULL THEN n.size_bytes ELSE o.size_bytes END AS size_bytes,
+      coalesce(n.file_summary, o.file_summary) AS file_summary,
+      CASE WHEN o.relative_path IS NOT NULL THEN 1 ELSE 2 END::BIGINT AS first_indexed_at
+    FROM o FULL JOIN n ON o.relative_path = n.relative_path"""
+)
+def upsert_coalesce(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    merged = catalog.upsert(old, new, "relative_path", keep=["file_summary"], first=["first_indexed_at"])
+    return merged.select("relative_path", "size_bytes", "file_summary", "first_indexed_at")
+
+
+@query(
+    """SELECT conv_id, turn, role, text FROM conversations WHERE conv_id % 5 <> 0
+    UNION ALL SELECT conv_id, turn + 100, role, upper(role) FROM conversations WHERE conv_id % 10 = 0"""
+)
+def replace_children(spark, sf_dir):
+    """Every fifth conversation is parsed anew; half of those have new turns."""
+    old = table(spark, sf_dir, "conversations")
+    new = old.filter("conv_id % 10 = 0").select("conv_id", (F.col("turn") + 100).alias("turn"), "role", F.upper("role").alias("text"))
+    return catalog.replace_children(old, new, old.filter("conv_id % 5 = 0"), "conv_id")
+
+
+@query(
+    OLD_NEW
+    + """SELECT o.relative_path, CASE WHEN n.relative_path IS NULL AND (o.relative_path = 'src1' OR starts_with(o.relative_path, 'src1/'))
+      THEN 'missing' ELSE 'indexed' END AS status,
+      NOT (n.relative_path IS NULL AND (o.relative_path = 'src1' OR starts_with(o.relative_path, 'src1/'))) AS is_present
+    FROM o LEFT JOIN n USING (relative_path)"""
+)
+def mark_missing(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    return catalog.mark_missing(old, new, "relative_path", "src1").select("relative_path", "status", "is_present")
+
+
+@query(
+    """SELECT doc_id, 'src_' || substr(sha1(source || '/' || doc_id::VARCHAR), 1, 16) AS source_id,
+      'sec_' || substr(sha256(doc_id::VARCHAR || ':' || lang), 1, 16) AS section_id,
+      sha256('["' || source || '",""]') AS object_id FROM documents"""
+)
+def stable_ids(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    return docs.select(
+        "doc_id",
+        S.stable_id("src", path).alias("source_id"),
+        S.stable_id("sec", "doc_id", "lang", bits=256).alias("section_id"),
+        S.object_id("source", F.lit(None).cast("string")).alias("object_id"),
+    )
+
+
+@query(
+    """SELECT doc_id, lang, digest FROM (SELECT doc_id, lang, sha1(text) AS digest,
+      row_number() OVER (PARTITION BY lang, sha1(text) ORDER BY doc_id) AS n FROM documents) WHERE n = 1"""
+)
+def dedup_digest(spark, sf_dir):
+    """First of each text in a language, found with the least id per digest: the
+    texts themselves are not shuffled."""
+    docs = table(spark, sf_dir, "documents")
+    digests = docs.groupBy("lang", F.sha1(F.col("text").cast("binary")).alias("digest"))
+    return digests.agg(F.min("doc_id").alias("doc_id")).select("doc_id", "lang", "digest")
+
+
+@query(
+    """WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p, count(*) OVER (PARTITION BY conv_id) AS n
+      FROM conversations)
+    SELECT conv_id, turn FROM r WHERE n <= 4 OR p IN (0, (n - 1) // 3, 2 * (n - 1) // 3, n - 1)"""
+)
+def even_sample(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    return sections.even_sample(turns, ["conv_id"], ["turn"], 4)
+
+
+@query(
+    """WITH s AS (SELECT conv_id, turn, role, CASE WHEN role IS DISTINCT FROM lag(role) OVER w AND row_number() OVER w > 1 THEN 1 ELSE 0 END AS step
+      FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+    SELECT conv_id, turn, role, (sum(step) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS island FROM s"""
+)
+def role_islands(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return sections.islands(turns, ["conv_id"], ["turn"], ["role"])
+
+
+@query(
+    """WITH d AS (SELECT doc_id, n_chars::DOUBLE AS d FROM documents WHERE n_chars > 0),
+    w AS (SELECT doc_id, d, unnest(range(0, greatest(0, ceil((d - 600) / 592))::BIGINT + 1)) AS i FROM d)
+    SELECT doc_id, i * 592.0::DOUBLE AS start_seconds, least(i * 592.0::DOUBLE + 600, d) AS end_seconds FROM w"""
+)
+def audio_windows(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("d"))
+    spans = docs.select("doc_id", F.explode(sections.audio_windows(F.col("d"))).alias("w"))
+    return spans.select("doc_id", F.col("w.start").alias("start_seconds"), F.col("w.end").alias("end_seconds"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, n_chars / 100.0::DOUBLE AS d FROM documents),
+    n AS (SELECT *, least(8, greatest(1, floor(d)::BIGINT)) AS n FROM d WHERE d > 0)
+    SELECT doc_id, i AS frame_index, round(greatest(0, least((i + 0.5) * d / n, d - 0.001)), 9) AS timestamp_seconds
+    FROM (SELECT *, unnest(range(0, n))::INT AS i FROM n)"""
+)
+def frame_times(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    times = docs.select("doc_id", F.posexplode(S.frame_times(F.col("n_chars") / 100.0, 8)).alias("frame_index", "t"))
+    return times.select("doc_id", "frame_index", F.round("t", 9).alias("timestamp_seconds"))
+
+
+@query(
+    r"""SELECT doc_id, length(t) AS n_chars, sha256(t) AS digest FROM (SELECT doc_id,
+      regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t
+      FROM documents)"""
+)
+def normalize_text(spark, sf_dir):
+    clean = table(spark, sf_dir, "documents").select("doc_id", S.normalize_text("text").alias("t"))
+    return clean.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.sha2(F.col("t").cast("binary"), 256).alias("digest"))
+
+
+@query(
+    """SELECT item_id, coalesce(CASE WHEN quality = 1 THEN 'good' WHEN quality = 0 THEN 'poor' END, '') AS answer
+    FROM benchmark LEFT JOIN labels ON item_id = doc_id"""
+)
+def resume_answers(spark, sf_dir):
+    known = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("item_id"), F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor").alias("answer")
+    )
+    return catalog.resume_answers(table(spark, sf_dir, "benchmark").select("item_id"), known, "item_id")
+
+
+@query("SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderdate >= DATE '1995-01-01' AND o_orderdate < DATE '1996-01-01'")
+def range_sum(spark, sf_dir):
+    wanted = table(spark, sf_dir, "orders").filter("o_orderdate >= timestamp_ntz '1995-01-01' and o_orderdate < timestamp_ntz '1996-01-01'")
+    return wanted.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query(
+    """SELECT c_mktsegment, c_custkey, c_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment
+      ORDER BY c_acctbal DESC, c_custkey) AS n FROM customer) WHERE n = 1"""
+)
+def group_argmax(spark, sf_dir):
+    """The richest customer of each segment, by one aggregation without a sort."""
+    best = F.max(F.struct("c_acctbal", (-F.col("c_custkey")).alias("k"))).alias("best")
+    found = table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(best)
+    return found.select("c_mktsegment", (-F.col("best.k")).alias("c_custkey"), F.col("best.c_acctbal").alias("c_acctbal"))
+
+
+@query(
+    """SELECT l_returnflag, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM lineitem GROUP BY l_returnflag"""
+)
+def pct_of_total(spark, sf_dir):
+    counts = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    whole = F.sum("n").over(Window.partitionBy())  # over the few groups
+    return counts.select("l_returnflag", "n", F.round(F.lit(100.0) * F.col("n") / whole, 6).alias("pct"))
+
+
+@query(
+    """SELECT n_name, round(c.avg_c - s.avg_s, 6) AS difference FROM nation
+    JOIN (SELECT c_nationkey AS k, avg(c_acctbal) AS avg_c FROM customer GROUP BY 1) c ON n_nationkey = c.k
+    JOIN (SELECT s_nationkey AS k, avg(s_acctbal) AS avg_s FROM supplier GROUP BY 1) s ON n_nationkey = s.k"""
+)
+def two_source_diff(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.avg("c_acctbal").alias("avg_c"))
+    s = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.avg("s_acctbal").alias("avg_s"))
+    joined = table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "k").join(c, "k").join(s, "k")
+    return joined.select("n_name", F.round(F.col("avg_c") - F.col("avg_s"), 6).alias("difference"))
