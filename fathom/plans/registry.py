@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import scalars as S
-from fathom.operators import catalog, profile, search, sections
+from fathom.operators import catalog, chunking, profile, qa, search, sections
+from fathom.sources import files
+from fathom.streaming import ingest
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -401,3 +403,59 @@ def two_source_diff(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.avg("s_acctbal").alias("avg_s"))
     joined = table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "k").join(c, "k").join(s, "k")
     return joined.select("n_name", F.round(F.col("avg_c") - F.col("avg_s"), 6).alias("difference"))
+
+
+@query()
+def text_chunks(spark, sf_dir):
+    """All documents as plain-text sections; tested against the cutter itself."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunking.cut(docs, "text", "text").select("doc_id", "chunk_index", "char_count", "content")
+
+
+@query()
+def web_sections(spark, sf_dir):
+    """All pages as sections under their headings."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    return chunking.cut(pages, "html", "html").select("page_id", "chunk_index", "heading", "content", "search_text")
+
+
+@query()
+def sql_statements(spark, sf_dir):
+    """One INSERT script per conversation, cut into sections again."""
+    line = F.concat(F.lit("INSERT INTO turns VALUES ("), F.col("turn").cast("string"), F.lit(", '"), F.replace(F.col("text"), F.lit("'"), F.lit("''")), F.lit("');"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", line.alias("line")).alias("t"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda x: x["line"]), "\n")
+    scripts = turns.groupBy("conv_id").agg(whole.alias("script"))
+    return chunking.cut(scripts, "script", "sql").select("conv_id", "chunk_index", "char_count", "content")
+
+
+@query(
+    r"""WITH p AS (SELECT page_id, regexp_extract(lower(regexp_extract(url, '[^/]+$')), '^.+(\.[^.]+)$', 1) AS suffix FROM pages)
+    SELECT page_id, suffix, CASE WHEN suffix IN ('.html', '.htm') THEN 'web' WHEN suffix IN ('.txt', '.md') THEN 'text'
+      WHEN suffix = '.pdf' THEN 'document' ELSE 'unknown' END AS modality FROM p"""
+)
+def ext_lookup(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", S.extension("url").alias("suffix"))
+    return pages.select("page_id", "suffix", F.coalesce(F.element_at(files._suffix_map(2), F.col("suffix")), F.lit("unknown")).alias("modality"))
+
+
+@query(
+    """SELECT item_id, CASE WHEN modality = '' THEN 'text,tabular,document' ELSE modality END AS modalities FROM (
+      SELECT item_id, array_to_string(list_filter([ """
+    + ", ".join(
+        "CASE WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + f" THEN '{name}' END"
+        for name, words in qa.ROUTES.items()
+    )
+    + """], lambda x: x IS NOT NULL), ',') AS modality FROM benchmark)"""
+)
+def route_questions(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(qa.route("text"), ",").alias("modalities"))
+
+
+@query(
+    """SELECT time_bucket(INTERVAL 10 MINUTES, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total
+    FROM events GROUP BY ALL"""
+)
+def event_windows(spark, sf_dir):
+    counts = ingest.event_counts(table(spark, sf_dir, "events"))
+    return counts.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
