@@ -26,7 +26,8 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each group of near-duplicates."""
+    """One document, that with the least id, of each group of near-duplicates:
+    texts whose shingles of five words have a similarity of 0.8 or more."""
     return simhash.keep_one(docs)
 
 

@@ -8,6 +8,13 @@ pair within reach always meets in a posting list.  Within a list, pairs are
 tallied over all eight bytes, those with fewer than the guaranteed matches drop,
 and the rest are verified by their differing bits.
 
+Wider fingerprints (several 64-bit words, each from a hash of its own) reach down
+to a given similarity: bits differ in proportion to the angle between the
+shingle counts, so a Jaccard similarity sets a number of bits.  That many
+differing bits can spoil every byte, so there is no guaranteed number of matches;
+fingerprints are posted under pairs of byte positions, of which similar texts
+share some almost surely (see ``PAIRS_APART``).
+
 Equal fingerprints count once.  A posting list that is long is cut into chunks,
 each pair of chunks being a task's unit of work, so a list is never held whole;
 and of the pairs that link, only a spanning forest of each unit is emitted, so a
@@ -17,6 +24,7 @@ group of copies costs a row per member, not per pair.
 from __future__ import annotations
 
 import gc
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -35,20 +43,31 @@ SEED = 42
 CHUNK = 1024
 BYTES = 8
 
+#: For wide fingerprints: words of 64 bits, and the distances between the byte
+#: positions that are posted together.  With 32 bytes that makes 64 lists; texts
+#: with a Jaccard similarity of 0.8 agree in 8.6 bytes on average, and miss each
+#: other in all lists with a probability of about 0.03.
+WIDTH = 4
+PAIRS_APART = (1, 2)
+WIDE_WORDS = 5
+SIMILARITY = 0.8
+
 
-def fingerprint_of(text: bytes, words: int = SHINGLE_WORDS) -> int:
-    """64 bits; a bit is set if it is set in over half of the shingle hashes."""
+def fingerprint_of(text: bytes, words: int = SHINGLE_WORDS, width: int = 1) -> tuple[int, ...] | int:
+    """64 bits; a bit is set if it is set in over half of the shingle hashes.  With
+    a ``width``: a tuple of as many such numbers, seeds counting up."""
     tokens = text.lower().split()  # lower() on bytes changes A-Z only
     if not tokens:
-        return 0
+        return 0 if width == 1 else (0,) * width
     line = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
     last = max(1, len(tokens) - words + 1)
-    of, seed = xxhash.xxh64_intdigest, SEED
     cuts = zip(starts[:last].tolist(), ends[min(words, len(tokens)) - 1 :].tolist(), strict=True)
-    hashes = np.array([of(line[a:b], seed) for a, b in cuts], np.uint64)
-    return majority(hashes)
+    shingles = [line[a:b] for a, b in cuts]
+    of = xxhash.xxh64_intdigest
+    prints = tuple(majority(np.array([of(x, SEED + k) for x in shingles], np.uint64)) for k in range(width))
+    return prints[0] if width == 1 else prints
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -77,6 +96,31 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, into: str = "finge
     return docs.withColumn(into, F.arrow_udf(run, "long").asNondeterministic()(F.col("text").cast("string")))
 
 
+def wide_fingerprints(docs: DataFrame, words: int = WIDE_WORDS, width: int = WIDTH) -> DataFrame:
+    """``docs`` with long columns ``__f0``, ``__f1``, ...; see :func:`fingerprints`."""
+    prepare(docs.sparkSession)
+    names = [f"f{k}" for k in range(width)]
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        gc.disable()
+        for column in batches:
+            found = np.array([fingerprint_of(x, words, width) for x in text_bytes(column)], np.uint64)
+            found = found.reshape(-1, width).view(np.int64)
+            yield pa.StructArray.from_arrays([pa.array(found[:, k]) for k in range(width)], names)
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    made = F.arrow_udf(run, ", ".join(f"{n} long" for n in names)).asNondeterministic()
+    printed = docs.withColumn("__f", made(F.col("text").cast("string")))
+    return printed.withColumns({f"__{n}": F.col(f"__f.{n}") for n in names}).drop("__f")
+
+
+def bits_for(similarity: float, bits: int) -> int:
+    """Differing bits that texts of this Jaccard similarity stay under, but for a
+    fortieth of them: their number's mean and two standard deviations."""
+    part = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * part + 2 * math.sqrt(bits * part * (1 - part)))
+
+
 def position_sets(max_bits: int) -> list[tuple[int, ...]]:
     """Sets of byte positions of which any ``8 - max_bits`` positions contain one.
 
@@ -97,86 +141,108 @@ def position_sets(max_bits: int) -> list[tuple[int, ...]]:
     return found
 
 
-def _spanning(a: np.ndarray, b: np.ndarray | None, max_bits: int) -> list[tuple[int, int]]:
-    """Links of a forest that joins what is joined within ``a``, or between
-    ``a`` and ``b``, by pairs of at most ``max_bits`` differing bits."""
+def _spanning(a: np.ndarray, b: np.ndarray | None, max_bits: int, shared_bytes: int) -> list[tuple[int, int]]:
+    """Links (places in a, then b) of a forest that joins what is joined within
+    ``a``, or between ``a`` and ``b``, by pairs of at most ``max_bits`` differing
+    bits that share at least ``shared_bytes`` bytes.  A row is a fingerprint."""
     both = a if b is None else np.concatenate((a, b))
     label = np.arange(len(both))
     links = []
-    bytes_of = both.view(np.uint8).reshape(-1, BYTES)
+    bytes_of = np.ascontiguousarray(both).view(np.uint8).reshape(len(both), -1)
     for i in range(len(a)):
         low = i + 1 if b is None else len(a)
         if low >= len(both):
             break
         # Tally the bytes shared in place; only pairs with enough are verified.
         shared = (bytes_of[low:] == bytes_of[i]).sum(1)
-        near = np.flatnonzero(shared >= BYTES - max_bits) + low
-        near = near[np.bitwise_count(both[near] ^ both[i]) <= max_bits]
+        near = np.flatnonzero(shared >= shared_bytes) + low
+        near = near[np.bitwise_count(both[near] ^ both[i]).sum(1) <= max_bits]
         near = near[label[near] != label[i]]
         if len(near):
             met, first = np.unique(label[near], return_index=True)
             links += [(i, j) for j in near[first].tolist()]
             met = np.append(met, label[i])
             label[np.isin(label, met)] = met.min()
-    return [(int(both[i]), int(both[j])) for i, j in links]
+    return links
 
 
-def _link_lists(max_bits: int):
-    """Links within units of work: rows sorted by (list, unit), each with its
-    fingerprint and the side it is on."""
+def _link_lists(max_bits: int, shared_bytes: int, names: list[str]):
+    """Links within units of work: rows sorted by (list, unit), each with its node,
+    its fingerprint (columns ``names``) and the side it is on."""
 
     def unit(prints: np.ndarray, sides: np.ndarray) -> list[tuple[int, int]]:
-        if len(prints) < 2:
-            return []
         if not sides.any():
-            return _spanning(prints, None, max_bits)
-        return _spanning(prints[sides == 0], prints[sides == 1], max_bits)
+            return _spanning(prints, None, max_bits, shared_bytes)
+        one, other = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
+        found = _spanning(prints[one], prints[other], max_bits, shared_bytes)
+        place = np.concatenate((one, other)).tolist()
+        return [(place[i], place[j]) for i, j in found]
+
+    def emit(nodes: np.ndarray, prints: np.ndarray, sides: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        begins = np.r_[0, ends[:-1]] if len(ends) else ends
+        more = ends - begins > 1
+        found: list[tuple[int, int]] = []
+        for a, b in zip(begins[more].tolist(), ends[more].tolist(), strict=True):
+            found += [(a + i, a + j) for i, j in unit(prints[a:b], sides[a:b])]
+        pairs = nodes[np.array(found, np.int64).reshape(-1, 2)]
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
         held: list[tuple[np.ndarray, ...]] = []
-        names = ("list", "unit", "fingerprint", "side")
         # A unit can go over into the next batch, so its rows so far are held.
         for batch in batches:
-            now = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
-            if not len(now[0]):
+            if not batch.num_rows:
                 continue
-            lists, units, prints, sides = (np.concatenate(x) for x in zip(*held, now, strict=True))
+            plain = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("list", "unit", "side", "node")]
+            words = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1).view(np.uint64)
+            lists, units, sides, nodes, prints = (np.concatenate(x) for x in zip(*held, (*plain, words), strict=True))
             cuts = np.flatnonzero((lists[1:] != lists[:-1]) | (units[1:] != units[:-1])) + 1
             done = cuts[-1] if len(cuts) else 0
-            yield emit(prints[:done], sides[:done], cuts)
-            held = [(lists[done:], units[done:], prints[done:], sides[done:])]
-        for lists, _, prints, sides in held:
-            yield emit(prints, sides, np.array([len(lists)]))
-
-    def emit(prints: np.ndarray, sides: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
-        begins = np.r_[0, ends[:-1]] if len(ends) else ends
-        more = ends - begins > 1
-        found: list[tuple[int, int]] = []
-        for a, b in zip(begins[more].tolist(), ends[more].tolist(), strict=True):
-            found += unit(prints[a:b].view(np.uint64), sides[a:b])
-        pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            yield emit(nodes[:done], prints[:done], sides[:done], cuts)
+            held = [(lists[done:], units[done:], sides[done:], nodes[done:], prints[done:])]
+        for _, _, sides, nodes, prints in held:
+            yield emit(nodes, prints, sides, np.array([len(nodes)]))
 
     return run
 
 
-def links(distinct: DataFrame, max_bits: int = MAX_BITS, chunk: int = CHUNK) -> DataFrame:
+def links(
+    distinct: DataFrame,
+    max_bits: int = MAX_BITS,
+    chunk: int = CHUNK,
+    names: list[str] | None = None,
+    sets: list[tuple[int, ...]] | None = None,
+) -> DataFrame:
     """Links (a, b) between distinct fingerprints within ``max_bits`` bits, enough
-    of them to join what all links would join.  ``distinct``: fingerprint."""
+    of them to join what all links would join.
+
+    ``distinct``: fingerprint, one long that names itself; or a long ``node`` and
+    the fingerprint's words in the columns ``names``, posted under ``sets``.
+    """
     spark = prepare(distinct.sparkSession)
-    byte = [F.shiftrightunsigned("fingerprint", 8 * i).bitwiseAND(F.lit(255)) for i in range(BYTES)]
+    shared_bytes = BYTES - max_bits
+    if names is None:
+        names, sets = ["print"], position_sets(max_bits)
+        distinct = distinct.select(F.col("fingerprint").alias("node"), F.col("fingerprint").alias("print"))
+    else:
+        shared_bytes = min(map(len, sets))
+
+    def byte(p: int):
+        word = F.shiftrightunsigned(names[p // BYTES], 8 * (p % BYTES))
+        return word.bitwiseAND(F.lit(255))
+
     keys = [
         # The set's number, then its bytes.
-        sum((byte[p] * F.lit(1 << (8 * i)) for i, p in enumerate(s)), F.lit(n << 56).cast("long"))
-        for n, s in enumerate(position_sets(max_bits))
+        sum((byte(p) * F.lit(1 << (8 * i)) for i, p in enumerate(s)), F.lit(n << 56).cast("long"))
+        for n, s in enumerate(sets)
     ]
-    posted = distinct.select("fingerprint", F.explode(F.array(*keys)).alias("list"))
+    posted = distinct.select("node", *names, F.explode(F.array(*keys)).alias("list"))
     # Only lists that exceed a chunk are cut; a list's chunks are dealt by hash.
     longer = posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk)
     longer = longer.select("list", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
     sized = posted.join(longer, "list", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    mine = F.pmod(F.xxhash64("fingerprint"), F.col("chunks")).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     # Units of work: chunk i with itself, and chunks i < j with each other.
     cell = F.explode(
         F.transform(
@@ -187,11 +253,11 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, chunk: int = CHUNK) ->
             ),
         )
     )
-    work = sized.withColumn("mine", mine).select("list", "fingerprint", cell.alias("cell"))
-    work = work.select("list", "cell.unit", "fingerprint", "cell.side")
+    work = sized.withColumn("mine", mine).select("list", "node", *names, cell.alias("cell"))
+    work = work.select("list", "cell.unit", "node", *names, "cell.side")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = work.repartition(parts, "list", "unit").sortWithinPartitions("list", "unit")
-    return dealt.mapInArrow(_link_lists(max_bits), "a long, b long").distinct()
+    return dealt.mapInArrow(_link_lists(max_bits, shared_bytes, names), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -223,16 +289,11 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"components have not settled after {max_rounds} rounds")
 
 
-def _prints_and_groups(docs: DataFrame, words: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
-    """Fingerprints of all rows, and (fingerprint, root, component_id) for each
-    distinct one."""
-    prints = stored(fingerprints(docs.select("doc_id", "text"), words).select("doc_id", "fingerprint"))
-    distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    found = components(links(distinct.select("fingerprint"), max_bits))
-    placed = distinct.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
-    placed = placed.withColumn("root", F.coalesce("root", "fingerprint"))
+def _named(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root, component_id) of nodes with their ``first`` doc_id."""
+    placed = distinct.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints, placed.join(named, "root").select("fingerprint", "root", "component_id")
+    return placed.join(named, "root").select("node", "root", "component_id")
 
 
 def groups(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
@@ -245,18 +306,29 @@ def groups(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS
     doc_id belong to components but don't name them; a component of such rows
     alone has a null component_id.  Repeated rows stay; an empty table gives none.
     """
-    prints, of = _prints_and_groups(docs, words, max_bits)
+    prints = stored(fingerprints(docs.select("doc_id", "text"), words).select("doc_id", "fingerprint"))
+    distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
+    edges = links(distinct.select("fingerprint"), max_bits)
+    of = _named(distinct.withColumnRenamed("fingerprint", "node"), edges).withColumnRenamed("node", "fingerprint")
     return prints.join(of, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: the row with the least
-    doc_id; of rows that share that doc_id, one.  Of a group in which no row has
-    a doc_id, one row stays."""
-    prints, of = _prints_and_groups(docs, words, max_bits)
-    ids = prints.join(of, "fingerprint").filter("doc_id = component_id").select("doc_id").distinct()
+def keep_one(docs: DataFrame, words: int = WIDE_WORDS, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs`` that stand for their group of texts at least this
+    similar: the row with the least doc_id; of rows that share that doc_id, one.
+    Of a group in which no row has a doc_id, one row stays.  Null and empty texts
+    form one group."""
+    names = [f"__f{k}" for k in range(width)]
+    node = F.xxhash64(*names).alias("node")
+    prints = stored(wide_fingerprints(docs.select("doc_id", "text"), words, width).select("doc_id", node, *names))
+    distinct = prints.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.first(n).alias(n) for n in names))
+    n = width * BYTES
+    sets = [tuple(sorted((i, (i + d) % n))) for d in PAIRS_APART for i in range(n)]
+    edges = links(distinct.drop("first"), bits_for(similarity, 8 * n), CHUNK, names, sets)
+    of = stored(_named(distinct.select("node", "first"), edges))
+    ids = prints.join(of, "node").filter("doc_id = component_id").select("doc_id").distinct()
     led = docs.filter("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    unnamed = of.filter("component_id is null").select(F.col("fingerprint").alias("__print"), F.col("root").alias("__root"))
-    rest = fingerprints(docs.filter("doc_id is null"), words, "__print")
-    rest = rest.join(unnamed, "__print").dropDuplicates(["__root"])
+    unnamed = of.filter("component_id is null").select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+    rest = wide_fingerprints(docs.filter("doc_id is null"), words, width).withColumn("__node", F.xxhash64(*names))
+    rest = rest.join(unnamed, "__node").dropDuplicates(["__root"])
     return led.select(*docs.columns).unionByName(rest.select(*docs.columns))

@@ -1,15 +1,27 @@
 """The pipeline's stages against what their operators say of the same rows."""
 
-import corpus_pipeline as P
+from itertools import combinations
+
 import public_tokenizers
 import tiktoken
 
+import corpus_pipeline as P
+
 from fathom.llm import importance, mixing, quality_rules, queries, simhash
 from fathom.llm.pretokens import load_ranks
 
 SF = "/root/testdata/sf0.001"
 
 
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
 def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
@@ -32,8 +44,13 @@ def test_stages(spark, tmp_path):
             scored, _, least = importance.classify(before, labels)
             assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in scored.collect() if r.gumbel_key >= least}
         elif name == "near_duplicates":
-            groups = simhash.groups(before).collect()
-            assert sorted(r.doc_id for r in docs.collect()) == sorted({r.component_id for r in groups})
+            assert rows(docs) == rows(simhash.keep_one(before))
+            sets = {r.doc_id: shingles(r.text) for r in before.collect()}
+            left = {r.doc_id for r in docs.collect()}
+            alike = [(a, b, jaccard(sets[a], sets[b])) for a, b in combinations(sorted(sets), 2)]
+            assert not [x for x in alike if x[2] >= 0.8 and {x[0], x[1]} <= left]
+            for i in sets.keys() - left:
+                assert any(i in (a, b) and j >= 0.5 for a, b, j in alike)
         elif name == "mix":
             copies = {r.doc_id: r.copies for r in mixing.mix(before).collect()}
             got = [r.doc_id for r in docs.collect()]
