@@ -17,8 +17,8 @@ share some almost surely (see ``PAIRS_APART``).
 
 Equal fingerprints count once.  A posting list that is long is cut into chunks,
 each pair of chunks being a task's unit of work, so a list is never held whole;
-and of the pairs that link, only a spanning forest of each unit is emitted, so a
-group of copies costs a row per member, not per pair.
+and of what is joined in a unit only the links of each member to the least one are
+emitted, so a group of copies costs a row per member, not per pair.
 """
 
 from __future__ import annotations
@@ -141,13 +141,12 @@ def position_sets(max_bits: int) -> list[tuple[int, ...]]:
     return found
 
 
-def _spanning(a: np.ndarray, b: np.ndarray | None, max_bits: int, shared_bytes: int) -> list[tuple[int, int]]:
-    """Links (places in a, then b) of a forest that joins what is joined within
-    ``a``, or between ``a`` and ``b``, by pairs of at most ``max_bits`` differing
-    bits that share at least ``shared_bytes`` bytes.  A row is a fingerprint."""
+def _joined(a: np.ndarray, b: np.ndarray | None, max_bits: int, shared_bytes: int) -> np.ndarray:
+    """A label for each row of ``a`` and then of ``b``, equal for rows that are joined
+    within ``a``, or between ``a`` and ``b``, by pairs of at most ``max_bits``
+    differing bits that share at least ``shared_bytes`` bytes.  A row is a fingerprint."""
     both = a if b is None else np.concatenate((a, b))
     label = np.arange(len(both))
-    links = []
     bytes_of = np.ascontiguousarray(both).view(np.uint8).reshape(len(both), -1)
     for i in range(len(a)):
         low = i + 1 if b is None else len(a)
@@ -159,32 +158,36 @@ def _spanning(a: np.ndarray, b: np.ndarray | None, max_bits: int, shared_bytes:
         near = near[np.bitwise_count(both[near] ^ both[i]).sum(1) <= max_bits]
         near = near[label[near] != label[i]]
         if len(near):
-            met, first = np.unique(label[near], return_index=True)
-            links += [(i, j) for j in near[first].tolist()]
-            met = np.append(met, label[i])
-            label[np.isin(label, met)] = met.min()
-    return links
+            met = np.unique(np.append(label[near], label[i]))
+            label[np.isin(label, met)] = met[0]
+    return label
 
 
 def _link_lists(max_bits: int, shared_bytes: int, names: list[str]):
     """Links within units of work: rows sorted by (list, unit), each with its node,
     its fingerprint (columns ``names``) and the side it is on."""
 
-    def unit(prints: np.ndarray, sides: np.ndarray) -> list[tuple[int, int]]:
-        if not sides.any():
-            return _spanning(prints, None, max_bits, shared_bytes)
-        one, other = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
-        found = _spanning(prints[one], prints[other], max_bits, shared_bytes)
-        place = np.concatenate((one, other)).tolist()
-        return [(place[i], place[j]) for i, j in found]
+    def unit(nodes: np.ndarray, prints: np.ndarray, sides: np.ndarray) -> np.ndarray:
+        """(least node, node) for every other node of what is joined in the unit.
+        Lists that join the same nodes say so in the same rows."""
+        if sides.any():
+            one, other = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
+            nodes = nodes[np.concatenate((one, other))]
+            label = _joined(prints[one], prints[other], max_bits, shared_bytes)
+        else:
+            label = _joined(prints, None, max_bits, shared_bytes)
+        order = np.lexsort((nodes, label))
+        nodes, label = nodes[order], label[order]
+        first = np.r_[True, label[1:] != label[:-1]]
+        least = nodes[np.maximum.accumulate(np.where(first, np.arange(len(nodes)), 0))]
+        return np.stack((least[~first], nodes[~first]), axis=1)
 
     def emit(nodes: np.ndarray, prints: np.ndarray, sides: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
         begins = np.r_[0, ends[:-1]] if len(ends) else ends
         more = ends - begins > 1
-        found: list[tuple[int, int]] = []
-        for a, b in zip(begins[more].tolist(), ends[more].tolist(), strict=True):
-            found += [(a + i, a + j) for i, j in unit(prints[a:b], sides[a:b])]
-        pairs = nodes[np.array(found, np.int64).reshape(-1, 2)]
+        spans = zip(begins[more].tolist(), ends[more].tolist(), strict=True)
+        found = [unit(nodes[a:b], prints[a:b], sides[a:b]) for a, b in spans]
+        pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
