@@ -9,7 +9,7 @@ n log n, whatever its length.  Then each document is the concatenation of its
 units' ids.
 
 Nothing is shuffled or gathered: words are independent of one another, so a
-corpus may be cut anywhere.  A block is bounded by the Arrow batch, the units
+corpus may be cut anywhere.  A block is bounded by ``BLOCK_CHARS``, the units
 kept from earlier blocks by ``MEMO_UNITS`` and ``MEMO_CHARS``; forgetting them
 costs time only.
 """
@@ -32,6 +32,8 @@ from fathom.llm.common import prepare, texts
 from fathom.llm.pretokens import UNITS, load_ranks, splitter
 
 MEMO_UNITS = 250_000
+#: Characters of a block, but for a single longer document.
+BLOCK_CHARS = 4 << 20
 #: Longer units are encoded anew each time.
 MEMO_CHARS = 64
 
@@ -185,6 +187,18 @@ class Encoder:
         return [b"".join(map(look.__getitem__, units)) for units in cut]
 
 
+def blocks(documents: list[str]) -> Iterator[list[str]]:
+    """Runs of documents of at most BLOCK_CHARS characters, or of one document."""
+    first = held = 0
+    for i, text in enumerate(documents):
+        if held and held + len(text) > BLOCK_CHARS:
+            yield documents[first:i]
+            first, held = i, 0
+        held += len(text)
+    if first < len(documents):
+        yield documents[first:]
+
+
 def vocabulary(docs: DataFrame, path: str) -> Broadcast:
     """The ranks of a vocabulary file, broadcast.  A vocabulary is fixed and
     small (about 50,000 tokens); it never grows with the documents."""
@@ -206,7 +220,7 @@ def encode(docs: DataFrame, path: str, pattern: str, into: str = "ids", text: st
         gc.disable()  # millions of small tuples and no cycles
         encoder = Encoder(shared.value, pattern)
         for column in batches:
-            ids = encoder.block(texts(column))
+            ids = [x for block in blocks(texts(column)) for x in encoder.block(block)]
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int64) // 4
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
@@ -226,9 +240,10 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", into: str = "bytes")
         gc.disable()
         of = {i: t for t, i in shared.value.items()}
         for column in batches:
-            flat = list(map(of.__getitem__, column.flatten().to_pylist()))
-            ends = np.cumsum([0, *(n or 0 for n in pc.list_value_length(column).to_pylist())])
-            yield pa.array([b"".join(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum([0, *(n or 0 for n in pc.list_value_length(column).to_pylist())]).tolist()
+            cuts = zip(ends, ends[1:], strict=False)
+            yield pa.array([b"".join(map(of.__getitem__, flat[a:b].tolist())) for a, b in cuts], pa.binary())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return tokens.withColumn(into, F.arrow_udf(run, "binary").asNondeterministic()(F.col(ids)))
