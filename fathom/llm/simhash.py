@@ -13,7 +13,9 @@ to a given similarity: bits differ in proportion to the angle between the
 shingle counts, so a Jaccard similarity sets a number of bits.  That many
 differing bits can spoil every byte, so there is no guaranteed number of matches;
 fingerprints are posted under pairs of byte positions, of which similar texts
-share some almost surely (see ``PAIRS_APART``).
+share some almost surely (see ``PAIRS_APART``).  Bits only propose groups of
+candidates; inside these, texts are linked by the exact similarity of their sets of
+shingles (see :func:`alike`).
 
 Equal fingerprints count once.  A posting list that is long is cut into chunks,
 each pair of chunks being a task's unit of work, so a list is never held whole;
@@ -51,23 +53,39 @@ WIDTH = 4
 PAIRS_APART = (1, 2)
 WIDE_WORDS = 5
 SIMILARITY = 0.8
+#: Shingles of a group of candidates that one unit of work compares with another
+#: such chunk; bits of the filter for the rows whose shingles are needed.
+SET_CHUNK = 1 << 19
+FILTER_BITS = 1 << 24
 
 
 def fingerprint_of(text: bytes, words: int = SHINGLE_WORDS, width: int = 1) -> tuple[int, ...] | int:
     """64 bits; a bit is set if it is set in over half of the shingle hashes.  With
     a ``width``: a tuple of as many such numbers, seeds counting up."""
+    shingles = shingles_of(text, words)
+    if not shingles:
+        return 0 if width == 1 else (0,) * width
+    of = xxhash.xxh64_intdigest
+    prints = tuple(majority(np.array([of(x, SEED + k) for x in shingles], np.uint64)) for k in range(width))
+    return prints[0] if width == 1 else prints
+
+
+def shingles_of(text: bytes, words: int) -> list[bytes]:
+    """Runs of so many words, with repeats; of a shorter text all its words."""
     tokens = text.lower().split()  # lower() on bytes changes A-Z only
     if not tokens:
-        return 0 if width == 1 else (0,) * width
+        return []
     line = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
     last = max(1, len(tokens) - words + 1)
     cuts = zip(starts[:last].tolist(), ends[min(words, len(tokens)) - 1 :].tolist(), strict=True)
-    shingles = [line[a:b] for a, b in cuts]
-    of = xxhash.xxh64_intdigest
-    prints = tuple(majority(np.array([of(x, SEED + k) for x in shingles], np.uint64)) for k in range(width))
-    return prints[0] if width == 1 else prints
+    return [line[a:b] for a, b in cuts]
+
+
+def set_of(text: bytes, words: int) -> np.ndarray:
+    """The hashes of a text's distinct shingles, ascending."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in set(shingles_of(text, words))], np.uint64))
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -97,16 +115,20 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, into: str = "finge
 
 
 def wide_fingerprints(docs: DataFrame, words: int = WIDE_WORDS, width: int = WIDTH) -> DataFrame:
-    """``docs`` with long columns ``__f0``, ``__f1``, ...; see :func:`fingerprints`."""
+    """``docs`` with long columns ``__f0``, ``__f1``, ... (see :func:`fingerprints`),
+    ``__node``, a hash of the set of shingles, and ``__size``, how many it has."""
     prepare(docs.sparkSession)
-    names = [f"f{k}" for k in range(width)]
+    names = [*(f"f{k}" for k in range(width)), "node", "size"]
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         gc.disable()
         for column in batches:
-            found = np.array([fingerprint_of(x, words, width) for x in text_bytes(column)], np.uint64)
-            found = found.reshape(-1, width).view(np.int64)
-            yield pa.StructArray.from_arrays([pa.array(found[:, k]) for k in range(width)], names)
+            rows = []
+            for x in text_bytes(column):
+                held = set_of(x, words)
+                rows.append((*fingerprint_of(x, words, width), xxhash.xxh64_intdigest(held.tobytes()), len(held)))
+            found = np.array(rows, np.uint64).reshape(-1, len(names)).view(np.int64)
+            yield pa.StructArray.from_arrays([pa.array(found[:, k]) for k in range(len(names))], names)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     made = F.arrow_udf(run, ", ".join(f"{n} long" for n in names)).asNondeterministic()
@@ -115,10 +137,10 @@ def wide_fingerprints(docs: DataFrame, words: int = WIDE_WORDS, width: int = WID
 
 
 def bits_for(similarity: float, bits: int) -> int:
-    """Differing bits that texts of this Jaccard similarity stay under, but for a
-    fortieth of them: their number's mean and two standard deviations."""
+    """Differing bits that texts of this Jaccard similarity stay under, but for one
+    in 700 of them: their number's mean and three standard deviations."""
     part = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * part + 2 * math.sqrt(bits * part * (1 - part)))
+    return math.floor(bits * part + 3 * math.sqrt(bits * part * (1 - part)))
 
 
 def position_sets(max_bits: int) -> list[tuple[int, ...]]:
@@ -316,22 +338,144 @@ def groups(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS
     return prints.join(of, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = WIDE_WORDS) -> DataFrame:
+    """(``row``, ``shingles``) of those ``docs`` (needs ``row``, ``text``) whose row is
+    in ``wanted``, and of a few others: the hashes of their distinct shingles.
+
+    Rows are sifted by a bitmap of fixed size, which saves an exchange of all
+    texts; the more rows are wanted, the more others come through.
+    """
+    spark = prepare(docs.sparkSession)
+    places = wanted.select(F.pmod("row", F.lit(FILTER_BITS)).cast("int").alias("place"))
+    ors = places.groupBy(F.shiftright("place", 3).alias("at")).agg(F.expr("bit_or(shiftleft(1, place & 7))").alias("bits"))
+    told = ors.toArrow()  # at most FILTER_BITS / 8 rows
+    bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
+    bitmap[told.column("at").to_numpy()] = told.column("bits").to_numpy().astype(np.uint8)
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        for batch in batches:
+            places = batch.column("row").to_numpy() % FILTER_BITS
+            batch = batch.filter(pa.array((shared.value[places >> 3] >> (places & 7) & 1).astype(bool)))
+            sets = [set_of(x, words) for x in text_bytes(batch.column("text"))]
+            ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            lists = pa.ListArray.from_arrays(ends, pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), lists], ["row", "shingles"])
+
+    return docs.select("row", "text").mapInArrow(run, "row long, shingles array<long>")
+
+
+def _joined_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """A label for each set, equal for those joined by pairs of at least this
+    Jaccard similarity."""
+    n = len(sets)
+    label = np.arange(n)
+    sizes = np.array([len(x) for x in sets])
+    _, index = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(index, kind="stable")
+    holders = np.repeat(np.arange(n), sizes)[order]
+    many = np.bincount(index)
+    begins = np.cumsum(many) - many
+    ends = np.cumsum(sizes)
+    for i in range(n - 1):
+        others = (label != label[i]) & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]))
+        others[: i + 1] = False
+        if not others.any():
+            continue
+        mine = index[ends[i] - sizes[i] : ends[i]]
+        mine = mine[many[mine] > 1]
+        # The places of all holders of these shingles.
+        counts = many[mine]
+        places = np.arange(counts.sum()) + np.repeat(begins[mine] - (np.cumsum(counts) - counts), counts)
+        common = np.bincount(holders[places], minlength=n)
+        near = others & (common >= similarity * (sizes + sizes[i] - common))
+        if near.any():
+            met = np.unique(np.append(label[near], label[i]))
+            label[np.isin(label, met)] = met[0]
+    return label
+
+
+def alike(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between nodes of one group whose sets of shingles have at least
+    this Jaccard similarity, enough of them to join what all such links would.
+
+    ``members``: ``node``, ``root`` (its group), ``row`` and ``size``, the number of its
+    shingles; ``sets``: ``row``, ``shingles``.  All pairs of a group are compared, in
+    chunks if it is large: each pair of chunks is a task's unit of work.
+    """
+    spark = prepare(members.sparkSession)
+    cut = F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("size") / SET_CHUNK)).cast("int")
+    longer = members.groupBy("root").agg(cut.alias("chunks")).filter("chunks > 1")
+    sized = members.join(longer, "root", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    sized = sized.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    # Chunks i < j with each other, which compares each of them with itself too.
+    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: (x != F.col("mine")) | (F.col("chunks") == 1))
+    unit = F.transform(others, lambda x: F.least(F.col("mine"), x) * F.col("chunks") + F.greatest(F.col("mine"), x))
+    work = sets.join(sized.select("row", "node", "root", unit.alias("units")), "row")
+    work = work.select("root", F.explode("units").alias("unit"), "node", "shingles")
+
+    def links_of(nodes: list[int], sets: list[np.ndarray]) -> np.ndarray:
+        label = _joined_sets(sets, similarity)
+        found = np.array(nodes, np.int64)
+        order = np.lexsort((found, label))
+        found, label = found[order], label[order]
+        first = np.r_[True, label[1:] != label[:-1]]
+        least = found[np.maximum.accumulate(np.where(first, np.arange(len(found)), 0))]
+        return np.stack((least[~first], found[~first]), axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        now, nodes, sets = None, [], []
+
+        def emit() -> pa.RecordBatch:
+            pairs = links_of(nodes, sets) if len(nodes) > 1 else np.zeros((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        # A unit can go over into the next batch, so its rows so far are held.
+        for batch in batches:
+            shingles = batch.column("shingles")
+            ends, flat = shingles.offsets.to_numpy(), shingles.values.to_numpy()
+            keys = zip(*(batch.column(n).to_pylist() for n in ("root", "unit", "node")), strict=True)
+            for k, (root, unit, node) in enumerate(keys):
+                if (root, unit) != now:
+                    if len(nodes) > 1:
+                        yield emit()
+                    now, nodes, sets = (root, unit), [], []
+                nodes.append(node)
+                sets.append(flat[ends[k] : ends[k + 1]].copy())
+        yield emit()
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = work.repartition(parts, "root", "unit").sortWithinPartitions("root", "unit")
+    return dealt.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+
+
 def keep_one(docs: DataFrame, words: int = WIDE_WORDS, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
-    """The rows of ``docs`` that stand for their group of texts at least this
-    similar: the row with the least doc_id; of rows that share that doc_id, one.
-    Of a group in which no row has a doc_id, one row stays.  Null and empty texts
+    """The rows of ``docs`` that stand for their group of texts: the row with the
+    least doc_id; of rows that share that doc_id, one.  Of a group in which no row
+    has a doc_id, one row stays.  Groups are closed over links between texts whose
+    sets of shingles have at least this Jaccard similarity.  Null and empty texts
     form one group."""
     names = [f"__f{k}" for k in range(width)]
-    node = F.xxhash64(*names).alias("node")
-    prints = stored(wide_fingerprints(docs.select("doc_id", "text"), words, width).select("doc_id", node, *names))
-    distinct = prints.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.first(n).alias(n) for n in names))
+    told = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    told = told.withColumn("row", F.xxhash64("doc_id", "text"))
+    prints = wide_fingerprints(told, words, width)
+    prints = stored(prints.select("doc_id", "row", F.col("__node").alias("node"), F.col("__size").alias("size"), *names))
+    distinct = prints.groupBy("node").agg(
+        F.min("doc_id").alias("first"), F.min("row").alias("row"), *(F.first(n).alias(n) for n in ("size", *names))
+    )
+    distinct = stored(distinct)
     n = width * BYTES
     sets = [tuple(sorted((i, (i + d) % n))) for d in PAIRS_APART for i in range(n)]
-    edges = links(distinct.drop("first"), bits_for(similarity, 8 * n), CHUNK, names, sets)
+    near = links(distinct.select("node", *names), bits_for(similarity, 8 * n), CHUNK, names, sets)
+    members = stored(distinct.select("node", "row", "size").join(components(near), "node"))
+    edges = alike(members, shingle_sets(told, members.select("row"), words), similarity)
     of = stored(_named(distinct.select("node", "first"), edges))
     ids = prints.join(of, "node").filter("doc_id = component_id").select("doc_id").distinct()
     led = docs.filter("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     unnamed = of.filter("component_id is null").select(F.col("node").alias("__node"), F.col("root").alias("__root"))
-    rest = wide_fingerprints(docs.filter("doc_id is null"), words, width).withColumn("__node", F.xxhash64(*names))
+    rest = wide_fingerprints(docs.filter("doc_id is null"), words, width)
     rest = rest.join(unnamed, "__node").dropDuplicates(["__root"])
     return led.select(*docs.columns).unionByName(rest.select(*docs.columns))
