@@ -9,8 +9,8 @@ tallied over all eight bytes, those with fewer than the guaranteed matches drop,
 and the rest are verified by their differing bits.
 
 Wider fingerprints (several 64-bit words, each from a hash of its own) reach down
-to a given similarity: bits differ in proportion to the angle between the
-shingle counts, so a Jaccard similarity sets a number of bits.  That many
+to a given similarity: each distinct shingle counts once, so bits differ in
+proportion to the angle between sets of shingles, and a Jaccard similarity sets a number of bits.  That many
 differing bits can spoil every byte, so there is no guaranteed number of matches;
 fingerprints are posted under pairs of byte positions, of which similar texts
 share some almost surely (see ``PAIRS_APART``).  Bits only propose groups of
@@ -59,15 +59,18 @@ SET_CHUNK = 1 << 19
 FILTER_BITS = 1 << 24
 
 
-def fingerprint_of(text: bytes, words: int = SHINGLE_WORDS, width: int = 1) -> tuple[int, ...] | int:
-    """64 bits; a bit is set if it is set in over half of the shingle hashes.  With
-    a ``width``: a tuple of as many such numbers, seeds counting up."""
-    shingles = shingles_of(text, words)
-    if not shingles:
-        return 0 if width == 1 else (0,) * width
-    of = xxhash.xxh64_intdigest
-    prints = tuple(majority(np.array([of(x, SEED + k) for x in shingles], np.uint64)) for k in range(width))
-    return prints[0] if width == 1 else prints
+def fingerprint_of(text: bytes, words: int = SHINGLE_WORDS) -> int:
+    """64 bits; a bit is set if it is set in over half of the shingle hashes,
+    repeats counted."""
+    return majority(np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles_of(text, words)], np.uint64))
+
+
+def wide_fingerprint_of(text: bytes, words: int = WIDE_WORDS, width: int = WIDTH) -> tuple[tuple[int, ...], np.ndarray]:
+    """As many such numbers, seeds counting up, but each distinct shingle counts
+    once; and the distinct hashes of the first seed, as :func:`set_of` gives them."""
+    distinct = set(shingles_of(text, words))
+    hashes = [np.array([xxhash.xxh64_intdigest(x, SEED + k) for x in distinct], np.uint64) for k in range(width)]
+    return tuple(map(majority, hashes)), np.unique(hashes[0])
 
 
 def shingles_of(text: bytes, words: int) -> list[bytes]:
@@ -125,8 +128,8 @@ def wide_fingerprints(docs: DataFrame, words: int = WIDE_WORDS, width: int = WID
         for column in batches:
             rows = []
             for x in text_bytes(column):
-                held = set_of(x, words)
-                rows.append((*fingerprint_of(x, words, width), xxhash.xxh64_intdigest(held.tobytes()), len(held)))
+                printed, held = wide_fingerprint_of(x, words, width)
+                rows.append((*printed, xxhash.xxh64_intdigest(held.tobytes()), len(held)))
             found = np.array(rows, np.uint64).reshape(-1, len(names)).view(np.int64)
             yield pa.StructArray.from_arrays([pa.array(found[:, k]) for k in range(len(names))], names)
 

@@ -62,3 +62,20 @@ def test_groups_in_chunks(spark, monkeypatch):
     found = {r.node: r.root for r in simhash.components(simhash.alike(members, sets)).collect()}
     assert 1 < len(set(root)) < 80
     assert [found.get(i, i) for i in range(80)] == root
+
+
+def test_repeats_of_a_line_do_not_count(spark):
+    rng, rows = random.Random(3), []
+    line = words(rng, 12)
+    for i in range(20):
+        w = words(rng, 200)
+        once, often = " ".join(w + line), " ".join(w + line * 6)
+        assert jaccard(once, often) > 0.9
+        rows += [(2 * i, once), (2 * i + 1, often)]
+    assert kept(spark, rows) == set(range(0, 40, 2))
+
+
+def test_wide_fingerprints_count_a_shingle_once():
+    a = b"one two three four five six seven eight nine ten"
+    (once, held), (often, same) = (simhash.wide_fingerprint_of(x) for x in (b" ".join([a] * 2), b" ".join([a] * 9)))
+    assert once == often and held.tolist() == same.tolist()
