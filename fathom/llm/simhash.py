@@ -456,9 +456,9 @@ def alike(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -
 
 
 def keep_one(docs: DataFrame, words: int = WIDE_WORDS, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
-    """The rows of ``docs`` that stand for their group of texts: the row with the
-    least doc_id; of rows that share that doc_id, one.  Of a group in which no row
-    has a doc_id, one row stays.  Groups are closed over links between texts whose
+    """One row of ``docs`` for each group of texts: that with the least doc_id, or,
+    where several rows of the group share it, any one of these.  Of a group in
+    which no row has a doc_id, one row stays.  Groups are closed over links between texts whose
     sets of shingles have at least this Jaccard similarity.  Null and empty texts
     form one group."""
     names = [f"__f{k}" for k in range(width)]
@@ -466,19 +466,18 @@ def keep_one(docs: DataFrame, words: int = WIDE_WORDS, similarity: float = SIMIL
     told = told.withColumn("row", F.xxhash64("doc_id", "text"))
     prints = wide_fingerprints(told, words, width)
     prints = stored(prints.select("doc_id", "row", F.col("__node").alias("node"), F.col("__size").alias("size"), *names))
-    distinct = prints.groupBy("node").agg(
-        F.min("doc_id").alias("first"), F.min("row").alias("row"), *(F.first(n).alias(n) for n in ("size", *names))
-    )
+    # Rows without a doc_id come last; equal rows have the same ``row``.
+    lead = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    distinct = prints.groupBy("node").agg(F.min(lead).alias("lead"), *(F.first(n).alias(n) for n in ("size", *names)))
+    distinct = distinct.withColumn("row", F.col("lead.row"))
     distinct = stored(distinct)
     n = width * BYTES
     sets = [tuple(sorted((i, (i + d) % n))) for d in PAIRS_APART for i in range(n)]
     near = links(distinct.select("node", *names), bits_for(similarity, 8 * n), CHUNK, names, sets)
     members = stored(distinct.select("node", "row", "size").join(components(near), "node"))
     edges = alike(members, shingle_sets(told, members.select("row"), words), similarity)
-    of = stored(_named(distinct.select("node", "first"), edges))
-    ids = prints.join(of, "node").filter("doc_id = component_id").select("doc_id").distinct()
-    led = docs.filter("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    unnamed = of.filter("component_id is null").select(F.col("node").alias("__node"), F.col("root").alias("__root"))
-    rest = wide_fingerprints(docs.filter("doc_id is null"), words, width)
-    rest = rest.join(unnamed, "__node").dropDuplicates(["__root"])
-    return led.select(*docs.columns).unionByName(rest.select(*docs.columns))
+    placed = distinct.select("node", "lead").join(components(edges), "node", "left")
+    leads = placed.groupBy(F.coalesce("root", "node")).agg(F.min("lead").alias("lead"))
+    kept = docs.withColumn("__row", F.xxhash64("doc_id", F.col("text").cast("string")))
+    kept = kept.join(leads.select(F.col("lead.row").alias("__row")), "__row", "left_semi").dropDuplicates(["__row"])
+    return kept.select(*docs.columns)

@@ -79,3 +79,11 @@ def test_wide_fingerprints_count_a_shingle_once():
     a = b"one two three four five six seven eight nine ten"
     (once, held), (often, same) = (simhash.wide_fingerprint_of(x) for x in (b" ".join([a] * 2), b" ".join([a] * 9)))
     assert once == often and held.tolist() == same.tolist()
+
+
+def test_texts_that_share_an_id_lead_their_own_groups(spark):
+    rng = random.Random(4)
+    one, other = (" ".join(words(rng, 50)) for _ in range(2))
+    rows = [(1, one), (1, other), (1, other), (2, one), (3, other), (None, one)]
+    got = simhash.keep_one(spark.createDataFrame(rows, KIND)).collect()
+    assert sorted(map(tuple, got)) == sorted([(1, one), (1, other)])
