@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -39,7 +40,8 @@ def head_summary(texts: list[str]) -> list[dict]:
     out = []
     for text in texts:
         words = re.findall(r"\w{4,}", text.lower())
-        often = sorted(set(words), key=lambda w: (-words.count(w), w))[:KEYWORDS] if len(words) < 5000 else []
+        count = Counter(words)
+        often = sorted(count, key=lambda w: (-count[w], w))[:KEYWORDS]
         out.append({"summary": " ".join(text.split())[:SUMMARY_CHARS], "keywords": often})
     return out
 
