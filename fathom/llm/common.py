@@ -18,6 +18,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 ARROW_BATCH_BYTES = 8 << 20
 ARROW_BATCH_ROWS = 4000
 
+#: Keys that joins meet apart from the others, and the least rows of such a key.
+HOT_KEYS = 64
+HOT_ROWS = 256
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound Arrow batches by bytes and rows, and make sure that a checkpoint
@@ -54,6 +58,26 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def hot_keys(rows: DataFrame, key: str) -> list:
+    """The most frequent keys: at most HOT_KEYS, each with HOT_ROWS rows or more.
+    No other key can have more than one row in HOT_KEYS of all."""
+    often = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT_ROWS)
+    return [r[0] for r in often.orderBy(F.desc("n"), key).limit(HOT_KEYS).collect()]
+
+
+def hot_join(many: DataFrame, few: DataFrame, key: str, often: list | None = None, how: str = "inner") -> DataFrame:
+    """``many`` with the columns of ``few``, which has one row per key, where a key
+    may have a large share of the rows of ``many`` (which is read twice): rows of
+    the most frequent keys stay where they are and meet a broadcast of at most
+    HOT_KEYS rows, the others meet by an exchange.  Keys are not null."""
+    often = hot_keys(many, key) if often is None else often
+    if not often:
+        return many.join(few, key, how)
+    hot = F.col(key).isin(often)
+    met = many.filter(hot).join(F.broadcast(few.filter(hot)), key, how)
+    return many.filter(~hot).join(few.filter(~hot), key, how).unionByName(met)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -10,17 +10,20 @@ and the rest are verified by their differing bits.
 
 Wider fingerprints (several 64-bit words, each from a hash of its own) reach down
 to a given similarity: each distinct shingle counts once, so bits differ in
-proportion to the angle between sets of shingles, and a Jaccard similarity sets a number of bits.  That many
-differing bits can spoil every byte, so there is no guaranteed number of matches;
-fingerprints are posted under pairs of byte positions, of which similar texts
-share some almost surely (see ``PAIRS_APART``).  Bits only propose groups of
-candidates; inside these, texts are linked by the exact similarity of their sets of
-shingles (see :func:`alike`).
-
-Equal fingerprints count once.  A posting list that is long is cut into chunks,
-each pair of chunks being a task's unit of work, so a list is never held whole;
-and of what is joined in a unit only the links of each member to the least one are
-emitted, so a group of copies costs a row per member, not per pair.
+proportion to the angle between sets of shingles, and a Jaccard similarity sets a
+number of bits.  That many differing bits can spoil every byte, so the number of
+matches is one that similar texts reach almost surely (``WIDE_SHARED``).  These
+fingerprints are posted under a byte position together with two MinHashes of the
+shingles, which keeps lists short however many texts there are: what meets in a
+list has two shingles in common.  Bits only propose groups of candidates; inside
+these, texts are linked by the exact similarity of their sets of shingles (see
+:func:`alike`).
+
+Equal fingerprints count once, and lists with one member drop before any fingerprint
+is sent.  A posting list that is long is cut into chunks, each pair of chunks being
+a task's unit of work, so a list is never held whole; and of what is joined in a
+unit only the links of each member to the least one are emitted, so a group of
+copies costs a row per member, not per pair (see also :func:`contracted`).
 """
 
 from __future__ import annotations
@@ -33,10 +36,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import prepare, stored, text_bytes
+from fathom.llm.common import hot_join, hot_keys, prepare, stored, text_bytes
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -45,12 +48,16 @@ SEED = 42
 CHUNK = 1024
 BYTES = 8
 
-#: For wide fingerprints: words of 64 bits, and the distances between the byte
-#: positions that are posted together.  With 32 bytes that makes 64 lists; texts
-#: with a Jaccard similarity of 0.8 agree in 8.6 bytes on average, and miss each
-#: other in all lists with a probability of about 0.03.
+#: For wide fingerprints: words of 64 bits, MinHashes, and how far apart the two
+#: MinHashes stand that a byte position is posted with.  With 32 bytes that makes
+#: 128 lists; texts with a Jaccard similarity of 0.8 meet in 22 of them on average,
+#: and in none with a probability below 0.002.
 WIDTH = 4
-PAIRS_APART = (1, 2)
+MINIMA = 8
+MINIMA_APART = (1, 2, 3, 4)
+#: Bytes that a pair must share to be verified.  At a similarity of 0.8 it shares 8.6
+#: of 32 on average, and fewer than three with a probability of 0.004.
+WIDE_SHARED = 3
 WIDE_WORDS = 5
 SIMILARITY = 0.8
 #: Shingles of a group of candidates that one unit of work compares with another
@@ -65,12 +72,25 @@ def fingerprint_of(text: bytes, words: int = SHINGLE_WORDS) -> int:
     return majority(np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles_of(text, words)], np.uint64))
 
 
-def wide_fingerprint_of(text: bytes, words: int = WIDE_WORDS, width: int = WIDTH) -> tuple[tuple[int, ...], np.ndarray]:
-    """As many such numbers, seeds counting up, but each distinct shingle counts
-    once; and the distinct hashes of the first seed, as :func:`set_of` gives them."""
-    distinct = set(shingles_of(text, words))
-    hashes = [np.array([xxhash.xxh64_intdigest(x, SEED + k) for x in distinct], np.uint64) for k in range(width)]
-    return tuple(map(majority, hashes)), np.unique(hashes[0])
+def wide_fingerprint_of(text: bytes, words: int = WIDE_WORDS, width: int = WIDTH) -> tuple[tuple[int, ...], tuple[int, ...], np.ndarray]:
+    """As many such numbers, each from a hash of its own, but each distinct shingle
+    counts once; MinHashes (0 without shingles); and the distinct hashes, as
+    :func:`set_of` gives them."""
+    held = set_of(text, words)
+    prints = tuple(majority(mixed(held, k)) for k in range(width))
+    least = (mixed(held, width + k) for k in range(MINIMA))
+    return prints, tuple(int(h.min()) if len(h) else 0 for h in least), held
+
+
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th hash of what has these ones: a bijection of 64 bits for each k."""
+    if not k:
+        return hashes
+    with np.errstate(over="ignore"):
+        x = hashes + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def shingles_of(text: bytes, words: int) -> list[bytes]:
@@ -119,17 +139,18 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, into: str = "finge
 
 def wide_fingerprints(docs: DataFrame, words: int = WIDE_WORDS, width: int = WIDTH) -> DataFrame:
     """``docs`` with long columns ``__f0``, ``__f1``, ... (see :func:`fingerprints`),
-    ``__node``, a hash of the set of shingles, and ``__size``, how many it has."""
+    ``__m0``, ``__m1``, ..., the MinHashes, ``__node``, a hash of the set of
+    shingles, and ``__size``, how many it has.  Columns of these names are replaced."""
     prepare(docs.sparkSession)
-    names = [*(f"f{k}" for k in range(width)), "node", "size"]
+    names = [*(f"f{k}" for k in range(width)), *(f"m{k}" for k in range(MINIMA)), "node", "size"]
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         gc.disable()
         for column in batches:
             rows = []
             for x in text_bytes(column):
-                printed, held = wide_fingerprint_of(x, words, width)
-                rows.append((*printed, xxhash.xxh64_intdigest(held.tobytes()), len(held)))
+                printed, least, held = wide_fingerprint_of(x, words, width)
+                rows.append((*printed, *least, xxhash.xxh64_intdigest(held.tobytes()), len(held)))
             found = np.array(rows, np.uint64).reshape(-1, len(names)).view(np.int64)
             yield pa.StructArray.from_arrays([pa.array(found[:, k]) for k in range(len(names))], names)
 
@@ -235,41 +256,56 @@ def _link_lists(max_bits: int, shared_bytes: int, names: list[str]):
     return run
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Links (a, b), a < b, that join the same nodes, but about one per node: a
+    node stays linked to the least of its ``a``, and the others of these to that
+    one.  A group that meets in many lists names a few least members over and over."""
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told = edges.repartition(parts, "b").distinct()  # by ``b``, so the window needs no other exchange
+    ranked = told.withColumn("least", F.min("a").over(Window.partitionBy("b")))
+    other = F.when(F.col("a") == F.col("least"), F.col("b")).otherwise(F.col("a"))
+    return ranked.select(F.col("least").alias("a"), other.alias("b")).distinct()
+
+
 def links(
     distinct: DataFrame,
     max_bits: int = MAX_BITS,
     chunk: int = CHUNK,
     names: list[str] | None = None,
-    sets: list[tuple[int, ...]] | None = None,
+    minima: list[str] | None = None,
+    shared_bytes: int | None = None,
 ) -> DataFrame:
     """Links (a, b) between distinct fingerprints within ``max_bits`` bits, enough
     of them to join what all links would join.
 
-    ``distinct``: fingerprint, one long that names itself; or a long ``node`` and
-    the fingerprint's words in the columns ``names``, posted under ``sets``.
+    ``distinct``: fingerprint, one long that names itself; or a long ``node``, the
+    fingerprint's words in the columns ``names`` and MinHashes in the columns
+    ``minima``.  It is read twice.
     """
     spark = prepare(distinct.sparkSession)
-    shared_bytes = BYTES - max_bits
-    if names is None:
-        names, sets = ["print"], position_sets(max_bits)
+    wide = names is not None
+    if not wide:
+        names, shared_bytes = ["print"], BYTES - max_bits
         distinct = distinct.select(F.col("fingerprint").alias("node"), F.col("fingerprint").alias("print"))
-    else:
-        shared_bytes = min(map(len, sets))
 
     def byte(p: int):
         word = F.shiftrightunsigned(names[p // BYTES], 8 * (p % BYTES))
         return word.bitwiseAND(F.lit(255))
 
-    keys = [
-        # The set's number, then its bytes.
-        sum((byte(p) * F.lit(1 << (8 * i)) for i, p in enumerate(s)), F.lit(n << 56).cast("long"))
-        for n, s in enumerate(sets)
-    ]
-    posted = distinct.select("node", *names, F.explode(F.array(*keys)).alias("list"))
-    # Only lists that exceed a chunk are cut; a list's chunks are dealt by hash.
-    longer = posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk)
-    longer = longer.select("list", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
-    sized = posted.join(longer, "list", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    if wide:
+        places = [(p, p % MINIMA, (p + d) % MINIMA) for d in MINIMA_APART for p in range(BYTES * len(names))]
+        keys = [F.xxhash64(F.lit(n), byte(p), minima[i], minima[j]) for n, (p, i, j) in enumerate(places)]
+    else:
+        keys = [
+            # The set's number, then its bytes.
+            sum((byte(p) * F.lit(1 << (8 * i)) for i, p in enumerate(s)), F.lit(n << 56).cast("long"))
+            for n, s in enumerate(position_sets(max_bits))
+        ]
+    posted = distinct.select("node", F.explode(F.array(*keys)).alias("list"))
+    # Lists of one member say nothing.  Only lists that exceed a chunk are cut;
+    # a list's chunks are dealt by hash.
+    sized = posted.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("list"))).filter("n > 1")
+    sized = sized.withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
     mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     # Units of work: chunk i with itself, and chunks i < j with each other.
     cell = F.explode(
@@ -281,11 +317,13 @@ def links(
             ),
         )
     )
-    work = sized.withColumn("mine", mine).select("list", "node", *names, cell.alias("cell"))
-    work = work.select("list", "cell.unit", "node", *names, "cell.side")
+    work = sized.withColumn("mine", mine).select("list", "node", cell.alias("cell"))
+    work = work.select("list", "cell.unit", "node", "cell.side")
+    work = work.join(distinct.select("node", *names), "node") if wide else work.withColumn("print", F.col("node"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = work.repartition(parts, "list", "unit").sortWithinPartitions("list", "unit")
-    return dealt.mapInArrow(_link_lists(max_bits, shared_bytes, names), "a long, b long").distinct()
+    dealt = work.select("list", "unit", "node", *names, "side").repartition(parts, "list", "unit")
+    dealt = dealt.sortWithinPartitions("list", "unit")
+    return contracted(dealt.mapInArrow(_link_lists(max_bits, shared_bytes, names), "a long, b long"))
 
 
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -294,22 +332,23 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
 
     Each round hooks a node, and the root it had, below the least root among
     its neighbours, then shortens paths; roots settle after about log2(size) rounds.
-    Every round's rows are written to the shared checkpoint folder.
+    Every round's rows are written to the shared checkpoint folder.  The hub
+    of a large group and its root are met by many rows (see :func:`hot_join`).
     """
     both = stored(
         edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     )
+    hubs = hot_keys(both, "b")
     roots = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b"))
     roots = stored(roots.select("node", F.least("node", "b").alias("root")))
     for _ in range(max_rounds):
         far = roots.select(F.col("node").alias("b"), F.col("root").alias("far"))
-        near = both.join(far, "b").groupBy(F.col("a").alias("node")).agg(F.min("far").alias("far"))
+        near = hot_join(both, far, "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("far").alias("far"))
         seen = roots.join(near, "node").select("node", "root", F.least("root", "far").alias("best"))
         hooks = seen.select("node", "best").unionByName(seen.select(F.col("root").alias("node"), "best"))
-        hooked = hooks.groupBy("node").agg(F.min("best").alias("root"))
+        hooked = stored(hooks.groupBy("node").agg(F.min("best").alias("root")))
         up = hooked.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        after = hooked.join(up, "root").select("node", F.col("top").alias("root"))
-        after = stored(after)
+        after = stored(hot_join(hooked, up, "root").select("node", F.col("top").alias("root")))
         moved = after.join(roots.withColumnRenamed("root", "was"), "node").filter("root <> was").limit(1).count()
         roots = after
         if not moved:
@@ -318,10 +357,11 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
 
 
 def _named(distinct: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, root, component_id) of nodes with their ``first`` doc_id."""
+    """(node, component_id) of nodes with their ``first`` doc_id."""
     placed = distinct.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = stored(placed.select("node", "root", "first"))
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return placed.join(named, "root").select("node", "root", "component_id")
+    return hot_join(placed.select("node", "root"), named, "root").select("node", "component_id")
 
 
 def groups(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
@@ -338,7 +378,7 @@ def groups(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS
     distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
     edges = links(distinct.select("fingerprint"), max_bits)
     of = _named(distinct.withColumnRenamed("fingerprint", "node"), edges).withColumnRenamed("node", "fingerprint")
-    return prints.join(of, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return hot_join(prints, of, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = WIDE_WORDS) -> DataFrame:
@@ -359,8 +399,12 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = WIDE_WORDS) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
         for batch in batches:
-            places = batch.column("row").to_numpy() % FILTER_BITS
-            batch = batch.filter(pa.array((shared.value[places >> 3] >> (places & 7) & 1).astype(bool)))
+            rows = batch.column("row").to_numpy()
+            places = rows % FILTER_BITS
+            wanted = (shared.value[places >> 3] >> (places & 7) & 1).astype(bool)
+            once = np.zeros(len(rows), bool)
+            once[np.unique(rows, return_index=True)[1]] = True
+            batch = batch.filter(pa.array(wanted & once))
             sets = [set_of(x, words) for x in text_bytes(batch.column("text"))]
             ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
             flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
@@ -411,7 +455,7 @@ def alike(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -
     spark = prepare(members.sparkSession)
     cut = F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("size") / SET_CHUNK)).cast("int")
     longer = members.groupBy("root").agg(cut.alias("chunks")).filter("chunks > 1")
-    sized = members.join(longer, "root", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    sized = hot_join(members, longer, "root", how="left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     sized = sized.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     # Chunks i < j with each other, which compares each of them with itself too.
     others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: (x != F.col("mine")) | (F.col("chunks") == 1))
@@ -446,38 +490,46 @@ def alike(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -
                     if len(nodes) > 1:
                         yield emit()
                     now, nodes, sets = (root, unit), [], []
+                elif node == nodes[-1]:
+                    continue  # a row that the table has more than once
                 nodes.append(node)
                 sets.append(flat[ends[k] : ends[k + 1]].copy())
         yield emit()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = work.repartition(parts, "root", "unit").sortWithinPartitions("root", "unit")
-    return dealt.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+    dealt = work.repartition(parts, "root", "unit").sortWithinPartitions("root", "unit", "node")
+    return contracted(dealt.mapInArrow(run, "a long, b long"))
 
 
 def keep_one(docs: DataFrame, words: int = WIDE_WORDS, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
     """One row of ``docs`` for each group of texts: that with the least doc_id, or,
     where several rows of the group share it, any one of these.  Of a group in
-    which no row has a doc_id, one row stays.  Groups are closed over links between texts whose
-    sets of shingles have at least this Jaccard similarity.  Null and empty texts
-    form one group."""
-    names = [f"__f{k}" for k in range(width)]
+    which no row has a doc_id, one row stays.  Groups are closed over links between
+    texts whose sets of shingles have at least this Jaccard similarity.  Null and
+    empty texts form one group.  Other columns pass untouched, but for one named
+    ``__row``, which is not allowed; an empty table gives no rows."""
+    prints, minima = [f"f{k}" for k in range(width)], [f"m{k}" for k in range(MINIMA)]
     told = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     told = told.withColumn("row", F.xxhash64("doc_id", "text"))
-    prints = wide_fingerprints(told, words, width)
-    prints = stored(prints.select("doc_id", "row", F.col("__node").alias("node"), F.col("__size").alias("size"), *names))
+    printed = wide_fingerprints(told, words, width)
+    rows = stored(printed.select("doc_id", "row", *(F.col(f"__{n}").alias(n) for n in ("node", "size", *prints, *minima))))
     # Rows without a doc_id come last; equal rows have the same ``row``.
     lead = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
-    distinct = prints.groupBy("node").agg(F.min(lead).alias("lead"), *(F.first(n).alias(n) for n in ("size", *names)))
-    distinct = distinct.withColumn("row", F.col("lead.row"))
-    distinct = stored(distinct)
-    n = width * BYTES
-    sets = [tuple(sorted((i, (i + d) % n))) for d in PAIRS_APART for i in range(n)]
-    near = links(distinct.select("node", *names), bits_for(similarity, 8 * n), CHUNK, names, sets)
+    firsts = (F.first(n).alias(n) for n in ("size", *prints, *minima))
+    distinct = stored(rows.groupBy("node").agg(F.min(lead).alias("lead"), *firsts).withColumn("row", F.col("lead.row")))
+    found = distinct.select("node", *prints, *minima)
+    near = links(found, bits_for(similarity, 64 * width), CHUNK, prints, minima, WIDE_SHARED)
     members = stored(distinct.select("node", "row", "size").join(components(near), "node"))
     edges = alike(members, shingle_sets(told, members.select("row"), words), similarity)
     placed = distinct.select("node", "lead").join(components(edges), "node", "left")
     leads = placed.groupBy(F.coalesce("root", "node")).agg(F.min("lead").alias("lead"))
-    kept = docs.withColumn("__row", F.xxhash64("doc_id", F.col("text").cast("string")))
-    kept = kept.join(leads.select(F.col("lead.row").alias("__row")), "__row", "left_semi").dropDuplicates(["__row"])
+    leads = stored(leads.select(F.col("lead.row").alias("__row")))
+    marked = docs.withColumn("__row", F.xxhash64("doc_id", F.col("text").cast("string")))
+    # Rows that the table has over and over are met apart from the others.
+    often = hot_keys(rows.select(F.col("row").alias("__row")), "__row")
+    cold = marked.filter(~F.col("__row").isin(often)) if often else marked
+    kept = cold.join(leads, "__row", "left_semi").dropDuplicates(["__row"])
+    if often:
+        hot = marked.filter(F.col("__row").isin(often)).join(F.broadcast(leads.filter(F.col("__row").isin(often))), "__row", "left_semi")
+        kept = kept.unionByName(hot.dropDuplicates(["__row"]))
     return kept.select(*docs.columns)

@@ -3,7 +3,7 @@
 import random
 from itertools import combinations
 
-from fathom.llm import simhash
+from fathom.llm import common, simhash
 
 KIND = "doc_id long, text string"
 
@@ -77,10 +77,42 @@ def test_repeats_of_a_line_do_not_count(spark):
 
 def test_wide_fingerprints_count_a_shingle_once():
     a = b"one two three four five six seven eight nine ten"
-    (once, held), (often, same) = (simhash.wide_fingerprint_of(x) for x in (b" ".join([a] * 2), b" ".join([a] * 9)))
+    (*once, held), (*often, same) = (simhash.wide_fingerprint_of(x) for x in (b" ".join([a] * 2), b" ".join([a] * 9)))
     assert once == often and held.tolist() == same.tolist()
 
 
+def test_contracted_links_join_the_same_nodes(spark):
+    rng = random.Random(6)
+    pairs = {tuple(sorted(rng.sample(range(300), 2))) for _ in range(250)} | {(b, a) for a in range(400, 500) for b in range(300, 306)}
+    edges = spark.createDataFrame([(min(p), max(p)) for p in pairs], "a long, b long")
+    few = simhash.contracted(edges)
+    assert few.filter("a between 300 and 499").count() <= 105
+    one, other = ({r.node: r.root for r in simhash.components(x).collect()} for x in (edges, few))
+    assert one == other
+
+
+def test_hot_keys_meet_apart(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    many = spark.range(200).selectExpr("id", "case when id < 120 then 1 when id < 150 then 2 else id end as k")
+    few = spark.range(1, 190).selectExpr("id as k", "id * 10 as v").union(spark.createDataFrame([(500, 1)], "k long, v long"))
+    assert common.hot_keys(many, "k") == [1, 2]
+    for how in ("inner", "left", "left_semi"):
+        want = sorted(map(tuple, many.join(few, "k", how).collect()), key=repr)
+        assert sorted(map(tuple, common.hot_join(many, few, "k", how=how).collect()), key=repr) == want
+
+
+def test_large_groups_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    rng = random.Random(7)
+    w = words(rng, 200)
+    near = [(i, " ".join(changed(rng, w, 2))) for i in range(100, 160)]
+    rows = [*near, *[(7, "one text in many rows " + " ".join(w[:9]))] * 90, (8, " ".join(words(rng, 60)))]
+    got = simhash.keep_one(spark.createDataFrame(rows, KIND)).collect()
+    assert sorted(r.doc_id for r in got) == [7, 8, 100]
+    of = {r.doc_id: r.component_id for r in simhash.groups(spark.createDataFrame([*rows, (None, rows[70][1])], KIND)).collect()}
+    assert of[7] == 7 and of[None] == 7
+
+
 def test_texts_that_share_an_id_lead_their_own_groups(spark):
     rng = random.Random(4)
     one, other = (" ".join(words(rng, 50)) for _ in range(2))

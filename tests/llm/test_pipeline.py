@@ -50,7 +50,7 @@ def test_stages(spark, tmp_path):
             alike = [(a, b, jaccard(sets[a], sets[b])) for a, b in combinations(sorted(sets), 2)]
             assert not [x for x in alike if x[2] >= 0.8 and {x[0], x[1]} <= left]
             for i in sets.keys() - left:
-                assert any(i in (a, b) and j >= 0.5 for a, b, j in alike)
+                assert any(i in (a, b) and j >= 0.8 for a, b, j in alike)
         elif name == "mix":
             copies = {r.doc_id: r.copies for r in mixing.mix(before).collect()}
             got = [r.doc_id for r in docs.collect()]
