@@ -44,7 +44,7 @@ def op1_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     path = public_tokenizers.path(VOCABULARY)
     counted = edit_counts.count_edits(docs.withColumn("edits", edits), path, public_tokenizers.PATTERN)
-    kept = ["n_chars", "n_tokens", "edited_chars", "edited_tokens", "n_units", "encoded_units"]
+    kept = edit_counts.NUMBERS
     digest = F.sha2(F.col("counts.edited_text").cast("binary"), 256).alias("edited_sha256")
     return counted.select("doc_id", *(f"counts.{c}" for c in kept), digest)
 

@@ -52,8 +52,8 @@ def test_edit_counts(spark, texts):
         e = edited(edited(edited(t, 0, 0, "Revised draft. "), n // 2, 16, " as edited, "), n * 9 // 10, 40, "")
         assert (got[i].n_tokens, got[i].edited_tokens) == (len(ENCODING.encode_ordinary(t)), len(ENCODING.encode_ordinary(e)))
         assert got[i].edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
-    long = [r for r in got.values() if r.n_units > 1000]
-    assert long and all(r.encoded_units < 40 for r in long)
+    long = [r for r in got.values() if r.n_pretokens > 1000]
+    assert long and all(r.encoded_pretokens < 40 for r in long)
 
 
 SIGNS = st.text(st.sampled_from("ab C1\n\t'sllre!-é\xa0　½日\U0001f600"), max_size=60)
@@ -63,22 +63,65 @@ COUNT = edit_counts.Counter(RANKS, PATTERN)
 @settings(max_examples=300, deadline=None)
 @given(SIGNS, st.lists(st.tuples(st.integers(0, 70), st.integers(0, 20), SIGNS), max_size=5))
 def test_edits_anywhere(text, edits):
-    tree = edit_counts.Tree(text, COUNT)
+    tree = edit_counts.Tree.of(text, COUNT)
     for e in edits:
         tree.edit(*e)
         text = edited(text, *e)
-    assert tree.root.text() == text
-    assert (tree.root.chars, tree.root.tokens) == (len(text), len(ENCODING.encode_ordinary(text)))
+        check_tree(tree, text)
+
+
+def check_tree(tree, text):
+    cut = COUNT.cut.findall(text)
+    assert tree.text() == text
+    assert [n for x in tree.leaves for n in x.lengths] == list(map(len, cut))
+    assert all(sum(x.lengths) == len(x.text) and len(x.lengths) <= 2 * edit_counts.LEAF for x in tree.leaves)
+    assert (tree.chars[1], tree.tokens[1]) == (len(text), len(ENCODING.encode_ordinary(text)))
+    k = np.arange(1, tree.size)
+    for sums in (tree.chars, tree.tokens):
+        assert (sums[k] == sums[2 * k] + sums[2 * k + 1]).all()
 
 
 def test_trees_grow_and_divide():
     rng, text = random.Random(3), "seed text "
-    tree = edit_counts.Tree(text, COUNT)
-    for _ in range(200):
-        e = (rng.randrange(len(text) + 1), rng.randrange(6), " ".join("xyz"[: rng.randrange(4)] * rng.randrange(9)))
+    tree = edit_counts.Tree.of(text, COUNT)
+    for k in range(400):
+        e = (rng.randrange(len(text) + 1), rng.randrange(9 if k < 250 else 90), " ".join("xy'z \n"[: rng.randrange(6)] * rng.randrange(9)))
         tree.edit(*e)
         text = edited(text, *e)
-    assert tree.root.text() == text and tree.root.tokens == len(ENCODING.encode_ordinary(text))
+        check_tree(tree, text)
+
+
+def test_many_appended_edits_stay_balanced():
+    tree, text = edit_counts.Tree.of("", COUNT), ""
+    for i in range(1000):
+        more = f" part {i}" + " and forty words" * 13
+        tree.edit(len(text), 0, more)
+        text += more
+    check_tree(tree, text)
+    assert tree.size <= 4 * len(text.split()) / edit_counts.LEAF
+
+
+def test_text_without_blanks_is_encoded_near_the_edit():
+    text = ",".join(f"k{i}=v{i}" for i in range(5000))
+    tree = edit_counts.Tree.of(text, COUNT)
+    tree.edit(len(text) // 2, 3, "new")
+    assert tree.encoded < 12
+    check_tree(tree, edited(text, len(text) // 2, 3, "new"))
+
+
+def test_trees_are_kept_as_rows(spark, texts, tmp_path):
+    some = [(i, t) for i, t in sorted(texts.items())[:40]] + [(-1, None), (-2, ""), (-3, "x" * 5000)]
+    docs = spark.createDataFrame(some, "doc_id long, text string")
+    edit_counts.build(docs, PATH, PATTERN).write.parquet(str(tmp_path / "trees"))
+    kept = spark.read.parquet(str(tmp_path / "trees")).selectExpr("*", "array(named_struct('start', 9, 'removed', 4, 'inserted', ' new')) as edits")
+    once = edit_counts.apply(kept, PATH, PATTERN)
+    twice = edit_counts.apply(once.selectExpr("doc_id", "counts.edited_text as text", "tree", "edits"), PATH, PATTERN)
+    for r in twice.collect():
+        t = dict(some)[r.doc_id] or ""
+        e = edited(edited(t, 9, 4, " new"), 9, 4, " new")
+        assert r.counts.edited_text == e
+        assert r.tree.char_sums[0] == len(e) and r.tree.token_sums[0] == r.counts.edited_tokens == len(ENCODING.encode_ordinary(e))
+        assert r.counts.encoded_pretokens < 20
 
 
 # 2

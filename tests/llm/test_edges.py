@@ -104,7 +104,7 @@ def test_edits(spark):
     d = spark.createDataFrame(rows, f"doc_id long, text string, edits {edit_counts.EDITS}")
     got = {r.doc_id: r.counts for r in edit_counts.count_edits(d, PATH, PATTERN).collect()}
     assert [got[i].edited_text for i in (1, 2, 3)] == ["Bye  world\n again!", "new", "same"]
-    assert got[3].encoded_units == 0 and got[3].edited_tokens == got[3].n_tokens
+    assert got[3].encoded_pretokens == 0 and got[3].edited_tokens == got[3].n_tokens
 
 
 def test_unnamed_groups_keep_one(spark):
