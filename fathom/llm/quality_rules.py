@@ -2,8 +2,9 @@
 
 Repetitive text compresses far better than prose and noise far worse.  The
 ratio (compressed / plain bytes, zstandard) is taken over the whole document
-and over fixed chunks; each must stay inside a band that depends on the length,
-as short texts hardly compress and long ones find more to refer back to.
+and over fixed chunks, the last and shorter one included; each must stay inside a
+band that depends on its length, as short texts hardly compress and long ones find
+more to refer back to.
 """
 
 from __future__ import annotations
@@ -25,15 +26,24 @@ BANDS = (
     (float("inf"), 0.22, 0.72),
 )
 CHUNK_BYTES = 4_096
-#: Band of one chunk, and the share of chunks that may lie outside it.
-CHUNK_BAND = (0.28, 0.80)
-MAX_BAD_CHUNKS = 0.25
+#: The same for chunks; what is left over at a text's end may be short.
+CHUNK_BANDS = (
+    (64, 0.40, 16.0),
+    (128, 0.40, 1.40),
+    (256, 0.40, 1.05),
+    (512, 0.38, 0.95),
+    (1_024, 0.35, 0.88),
+    (2_048, 0.31, 0.83),
+    (float("inf"), 0.28, 0.80),
+)
+#: Share of the text that may lie in chunks outside their bands.
+MAX_BAD = 0.25
 LEVEL = 3
 
 SYMBOLS = b"#*$%&|<>"
 RESULT = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
-    " ratio double, worst_chunk_low double, worst_chunk_high double, bad_chunks double,"
+    " ratio double, worst_chunk_low double, worst_chunk_high double, bad_share double,"
     " base_failed boolean, kept boolean"
 )
 
@@ -71,26 +81,33 @@ def counts(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated_words(words)
 
 
-def band_of(n_bytes: int) -> tuple[float, float]:
-    return next((low, high) for most, low, high in BANDS if n_bytes <= most)
-
+def band_of(n_bytes: int, bands=BANDS) -> tuple[float, float]:
+    return next((low, high) for most, low, high in bands if n_bytes <= most)
 
-def in_bands(ratio: float, chunk_ratios: list[float], n_bytes: int) -> bool:
-    low, high = band_of(n_bytes)
-    bad = sum(not CHUNK_BAND[0] <= x <= CHUNK_BAND[1] for x in chunk_ratios)
-    return low <= ratio <= high and bad <= MAX_BAD_CHUNKS * len(chunk_ratios)
 
-
-def ratios(text: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, list[float]]:
-    """The whole text's ratio, and those of its full chunks (none if it is
-    shorter than two chunks: the whole ratio says it then)."""
+def ratios(text: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, list[tuple[int, float]]]:
+    """The whole text's ratio, and length and ratio of each of its chunks (none if
+    it is no longer than one: the whole ratio says it then)."""
     if not text:
         return 1.0, []
     whole = len(packer.compress(text)) / len(text)
-    if len(text) < 2 * CHUNK_BYTES:
-        return whole, []
-    cuts = range(0, len(text) - CHUNK_BYTES + 1, CHUNK_BYTES)
-    return whole, [len(packer.compress(text[i : i + CHUNK_BYTES])) / CHUNK_BYTES for i in cuts]
+    cuts = range(0, len(text), CHUNK_BYTES) if len(text) > CHUNK_BYTES else ()
+    parts = [text[i : i + CHUNK_BYTES] for i in cuts]
+    return whole, [(len(p), len(packer.compress(p)) / len(p)) for p in parts]
+
+
+def bad_share(chunks: list[tuple[int, float]]) -> float:
+    """The share of the text that lies in chunks outside their bands."""
+    bad = 0
+    for n, ratio in chunks:
+        low, high = band_of(n, CHUNK_BANDS)
+        bad += 0 if low <= ratio <= high else n
+    return bad / max(1, sum(n for n, _ in chunks))
+
+
+def in_bands(ratio: float, chunks: list[tuple[int, float]], n_bytes: int) -> bool:
+    low, high = band_of(n_bytes)
+    return low <= ratio <= high and bad_share(chunks) <= MAX_BAD
 
 
 def _judge(column: pa.Array) -> pa.Array:
@@ -100,10 +117,9 @@ def _judge(column: pa.Array) -> pa.Array:
         n, chars, symbols, dup, repeat = counts(text)
         whole, parts = ratios(text, packer)
         failed = n < 50 or 100 * repeat > 50 * n
-        low, high = (min(parts), max(parts)) if parts else (whole, whole)
-        bad = sum(not CHUNK_BAND[0] <= x <= CHUNK_BAND[1] for x in parts) / max(1, len(parts))
+        of_chunks = [x for _, x in parts] or [whole]
         kept = not failed and in_bands(whole, parts, len(text))
-        rows.append((n, chars, symbols, dup, repeat, whole, low, high, bad, failed, kept))
+        rows.append((n, chars, symbols, dup, repeat, whole, min(of_chunks), max(of_chunks), bad_share(parts), failed, kept))
     names = [x.split()[0] for x in RESULT.split(",")]
     kinds = [pa.int64()] * 5 + [pa.float64()] * 4 + [pa.bool_()] * 2
     columns = zip(*rows, strict=True) if rows else [[] for _ in names]
@@ -124,5 +140,7 @@ def judge(docs: DataFrame, into: str = "rules") -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text passes."""
+    """The rows of ``docs`` whose text passes (see :func:`judge`), with the columns
+    of ``docs``, whatever their names but ``__rules``.  Repeated rows all stay or all
+    go; null and empty texts go; an empty table gives no rows."""
     return judge(docs, "__rules").filter("__rules.kept").select(*docs.columns)
