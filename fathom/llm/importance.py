@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import prepare, stored, text_bytes
+from fathom.llm.common import new_folder, prepare, stored, text_bytes
 
 BUCKETS = 1 << 15
 #: Labelled documents that the target model is fitted on, at most.
@@ -127,10 +127,13 @@ def weigh(docs: DataFrame, ratio: Ratio, into: str = "weight") -> DataFrame:
             n = len(column)
             found, owner = features(text_bytes(column))
             weights = np.bincount(owner, r.whole[found], n) if n else np.zeros(0)
-            other = [1 - r.of_half[i] if i in r.of_half else -1 for i in ids.to_pylist()]
-            held = [float(r.halves[k][found[owner == j]].sum()) if k >= 0 else None for j, k in enumerate(other)]
+            half = np.array([r.of_half.get(i, -1) for i in ids.to_pylist()], np.int64)
+            held = np.zeros(n)
+            for k in (0, 1):
+                mine = (half == k)[owner]  # judged by the other half
+                held += np.bincount(owner[mine], r.halves[1 - k][found[mine]], n)
             yield pa.StructArray.from_arrays(
-                [pa.array(weights, pa.float64()), pa.array(held, pa.float64())], ["log_weight", "held_out_weight"]
+                [pa.array(weights, pa.float64()), pa.array(held, pa.float64(), mask=half < 0)], ["log_weight", "held_out_weight"]
             )
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
@@ -165,6 +168,21 @@ def kth_largest(numbers: DataFrame, column: str, k: int, most: int = 4096) -> fl
     return low
 
 
+def threshold(rows: DataFrame, ratio: Ratio, missed: float = MISSED) -> float:
+    """The ``gumbel_key`` from which on documents are sampled.  ``rows`` (read several
+    times) has log_weight, held_out_weight, gumbel_key and ``__id``."""
+    if not ratio.of_half:
+        return float("-inf")
+    # One weight for each id of the target sample, however many rows it has.
+    told = rows.filter("held_out_weight is not null").groupBy("__id").agg(F.min("held_out_weight").alias("w"))
+    sample = sorted(r.w for r in told.select("w").collect())
+    if not sample:
+        return float("-inf")
+    weakest = sample[int(missed * len(sample))]
+    k = rows.filter(F.col("log_weight") >= weakest).count()
+    return kth_largest(rows, "gumbel_key", k) if k else float("inf")
+
+
 def classify(docs: DataFrame, labels: DataFrame, missed: float = MISSED) -> tuple[DataFrame, Ratio, float]:
     """(doc_id, log_weight, gumbel_key) of every row, written once; the models;
     and the key from which on documents are sampled.
@@ -179,19 +197,21 @@ def classify(docs: DataFrame, labels: DataFrame, missed: float = MISSED) -> tupl
     weighed = weigh(docs.select("doc_id", "text"), ratio)
     key = F.col("weight.log_weight") + gumbel()
     rows = stored(weighed.select("doc_id", "weight.*", key.alias("gumbel_key")))
-    if not ratio.of_half:
-        return rows, ratio, float("-inf")
-    # The target sample is bounded, so its weights are too.
-    sample = sorted(r[0] for r in rows.select("held_out_weight").filter("held_out_weight is not null").collect())
-    if not sample:
-        return rows, ratio, float("-inf")
-    weakest = sample[int(missed * len(sample))]
-    k = rows.filter(F.col("log_weight") >= weakest).count()
-    return rows, ratio, kth_largest(rows, "gumbel_key", k) if k else float("inf")
+    return rows, ratio, threshold(rows.withColumn("__id", F.col("doc_id")), ratio, missed)
 
 
 def keep(docs: DataFrame, labels: DataFrame, missed: float = MISSED) -> DataFrame:
-    """The rows of ``docs`` that are sampled."""
-    _, ratio, least = classify(docs, labels, missed)
-    keyed = weigh(docs, ratio, "__weight").withColumn("__key", F.col("__weight.log_weight") + gumbel())
-    return keyed.filter(F.col("__key") >= F.lit(least)).select(*docs.columns)
+    """The rows of ``docs`` that are sampled, with the columns of ``docs``; see
+    :func:`classify`.  The weighed rows are written to the shared folder once and read
+    again for the cut.  Names that begin with ``__importance`` are not allowed."""
+    ratio = fit(docs, labels)
+    names = ("log_weight", "held_out_weight", "gumbel_key")
+    weighed = weigh(docs, ratio, "__importance")
+    key = F.col("__importance.log_weight") + gumbel()
+    folder = new_folder(docs.sparkSession, "importance")
+    own = [F.col("__importance.log_weight"), F.col("__importance.held_out_weight"), key]
+    weighed.select(*docs.columns, *(c.alias(f"__importance_{n}") for c, n in zip(own, names, strict=True))).write.parquet(folder)
+    rows = docs.sparkSession.read.parquet(folder)
+    keyed = rows.select(F.col("doc_id").alias("__id"), *(F.col(f"__importance_{n}").alias(n) for n in names))
+    least = threshold(keyed, ratio, missed)
+    return rows.filter(F.col("__importance_gumbel_key") >= F.lit(least)).select(*docs.columns)
