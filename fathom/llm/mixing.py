@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import WORD
+from fathom.llm.common import WORD, stored
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -86,27 +86,30 @@ def mix(
 
     Needs ``doc_id``, ``text``, ``source``; other columns pass, and columns of
     the names above are replaced.  Null text has size 0; null sources form one
-    source, last in order; null ids are allowed and order by text.  Repeated rows
-    are separate rows (which of two equal rows is emitted cannot be told apart).
+    source, last in order; null ids are allowed.  Rows stand in order of a digest of
+    id and text, so rows that share an id, or have none, are dealt out like others.
+    Repeated rows are separate rows (which of two equal rows is emitted cannot be
+    told apart).
     A source without words has target 0 and no copies.  An empty table gives no
     rows.  Equal input gives equal output, whatever the partitioning.
     """
     made = {"size", "source_size", "target", "copies", "taken"}
     kept = [c for c in docs.columns if c not in made]
     cell = ["__source", "__class", "__slot"]
-    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)))
+    text_key = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed), text_key))
     rows = docs.withColumn("__size", word_count() if size is None else size).select(
         *kept,
         "__size",
         key.alias("__key"),
-        F.xxhash64("text").alias("__tie"),
         # Null is a source of its own; joins below need a plain, non-null key.
         F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")).alias("__source"),
         size_class(F.col("__size")).alias("__class"),
     )
     rows = rows.withColumn("__slot", F.conv(F.substring("__key", 1, 2), 16, 10).cast("int") % SLOTS)
 
-    cells = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"), F.sum("__size").alias("__words"))
+    # Cells are counted once: at most SLOTS for each source and size class.
+    cells = stored(rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"), F.sum("__size").alias("__words")))
     classes = cells.groupBy("__source", "__class").agg(F.sum("__n").alias("__n"), F.sum("__words").alias("__words"))
     sizes = classes.groupBy("__source").agg(F.sum("__words").alias("source_size"))
     named = sizes.withColumn("source", F.when(F.col("__source") != "n", F.substring("__source", 2, 1 << 30)))
@@ -125,7 +128,7 @@ def mix(
         .join(shares.drop("source"), "__source")
         .select(*cell, (F.col("__classes") + F.col("__cells")).alias("__before"), "source_size", "target")
     )
-    within = Window.partitionBy(*cell).orderBy("__size", "__key", "__tie")
+    within = Window.partitionBy(*cell).orderBy("__size", "__key")
     joined = rows.withColumn("__rank", F.row_number().over(within)).join(bounds, cell)
     rank = F.col("__before") + F.col("__rank")
     per_row = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -145,7 +148,8 @@ def mix(
 
 def emit(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as :func:`mix` takes it,
-    with the columns of ``docs``."""
+    with the columns of ``docs``.  Columns named like those that ``mix`` adds are not
+    allowed, nor is ``__copy``; an empty table gives no rows."""
     mixed = mix(docs, **how)
     times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
     return mixed.filter(F.col("copies") > 0).select(*docs.columns, times.alias("__copy")).select(*docs.columns)

@@ -261,9 +261,24 @@ def test_rules(spark, texts):
         b, z = t.encode(), zstandard.ZstdCompressor(level=3, write_content_size=False)
         low, high = next((x, y) for most, x, y in quality_rules.BANDS if len(b) <= most)
         ratio = len(z.compress(b)) / len(b)
-        cuts = [b[k : k + 4096] for k in range(0, len(b) - 4095, 4096)] if len(b) >= 8192 else []
-        bad = sum(not 0.28 <= len(z.compress(c)) / 4096 <= 0.80 for c in cuts)
-        assert r.kept == (not failed and low <= ratio <= high and bad <= 0.25 * len(cuts))
+        cuts = [b[k : k + 4096] for k in range(0, len(b), 4096)] if len(b) > 4096 else []
+        bad = 0
+        for c in cuts:
+            least, most = next((x, y) for n, x, y in quality_rules.CHUNK_BANDS if len(c) <= n)
+            bad += 0 if least <= len(z.compress(c)) / len(c) <= most else len(c)
+        assert r.bad_share == pytest.approx(bad / max(1, len(b)) if cuts else 0)
+        assert r.kept == (not failed and low <= ratio <= high and 4 * bad <= len(b))
+
+
+def test_the_last_chunk_is_judged():
+    z = zstandard.ZstdCompressor(level=3, write_content_size=False)
+    rng = random.Random(4)
+    prose = " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 9))) for _ in range(2000)).encode()
+    whole, chunks = quality_rules.ratios(prose[:4096] + b"again " * 500, z)
+    assert [n for n, _ in chunks] == [4096, 3000]
+    assert quality_rules.bad_share(chunks) == pytest.approx(3000 / 7096)
+    assert quality_rules.bad_share(quality_rules.ratios(prose[:7096], z)[1]) == 0
+    assert quality_rules.bad_share(quality_rules.ratios(prose[:4100], z)[1]) == 0
 
 
 def test_rules_reject_repetition_and_noise():
