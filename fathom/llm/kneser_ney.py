@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark.
+"""Interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark.
 
 Counting works on sorted arrays instead of a row per n-gram: a task counts the
 n-grams of a stretch of documents, sorts them, cuts them by bucket and sends each
@@ -8,13 +8,17 @@ and look up the distinct n-grams of a batch in them.
 
 * words: 64-bit hashes, sorted, with counts and numbers of distinct words before
   them; a word's id is its place in that order;
-* bigrams: ``id before << 32 | id``, sorted, with counts; bucketed by the first
-  word, but by both words where the first is so frequent that its bigrams would
-  make an uneven bucket;
-* contexts: total and numbers of followers seen once, twice, more often.
-
-Everything kept for the whole corpus is in those files; the driver holds sizes
-of buckets, sums, and the few frequent first words.
+* trigrams: the three ids in one number, the middle one first, which makes those
+  of a context neighbours, with counts; bucketed by the middle word, so that
+  the trigrams of a context and those that end alike share a bucket;
+* bigrams: ``id before << 32 | id``, sorted, with counts (of order 3: numbers of
+  distinct words before them); bucketed by the first word;
+* contexts of bigrams: total and numbers of followers seen once, twice, more often.
+
+Where a word is so frequent that its n-grams would make an uneven bucket, both words
+of a bigram, and the first two of a trigram, deal it.  Everything kept for the
+whole corpus is in those files; the driver holds sizes of buckets, sums, and the
+few frequent words.
 """
 
 from __future__ import annotations
@@ -35,13 +39,17 @@ from pyspark.sql import functions as F
 from fathom.llm import shared_files
 from fathom.llm.common import new_folder, prepare, stored, text_bytes
 
+#: Words of the longest n-grams.
+ORDER = 3
 #: The end token; no word holds a line end.
 END = b"\n"
 #: Words that a counting task holds before it sends them on, and bigrams.
 HELD_WORDS = 400_000
 HELD_TOKENS = 2_000_000
 MEMO_WORDS = 300_000
-#: A first word is frequent if it makes up more than 1/(this * buckets) of all tokens.
+#: Contexts with more followers than this are remembered by a scoring task.
+LONG_CONTEXT = 256
+#: A word is frequent if it makes up more than 1/(this * buckets) of all tokens.
 FREQUENT = 4
 
 Batches = Iterator[pa.RecordBatch]
@@ -72,18 +80,30 @@ def unpack(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+#: Keys that don't fit into 64 bits: what a context is told by, and the last word.
+WIDE = np.dtype([("context", "<u8"), ("word", "<u8")])
+
+
+def sorted_by(bucket: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    if keys.dtype == WIDE:
+        return np.lexsort((keys["word"], keys["context"], bucket))
+    return np.lexsort((keys, bucket))
+
+
 def pieces(bucket: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     """One row per bucket: its keys in order, as steps, and their counts."""
-    order = np.lexsort((keys, bucket))
+    order = sorted_by(bucket, keys)
     bucket, keys, counts = bucket[order], keys[order], counts[order]
     cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(keys)]
     spans = [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
-    high = (keys >> np.uint64(32)).astype(np.uint32)
-    low = keys.astype(np.uint32)
+    if keys.dtype == WIDE:
+        high, low = keys["context"], keys["word"]
+    else:
+        high, low = (keys >> np.uint64(32)).astype(np.uint32), keys.astype(np.uint32)
     return pa.RecordBatch.from_arrays(
         [
             pa.array([int(bucket[a]) for a, _ in spans], pa.int32()),
-            pa.array([pack(np.diff(high[a:b], prepend=np.uint32(0))) for a, b in spans], pa.binary()),
+            pa.array([pack(np.diff(high[a:b], prepend=high.dtype.type(0))) for a, b in spans], pa.binary()),
             pa.array([pack(low[a:b]) for a, b in spans], pa.binary()),
             pa.array([pack(counts[a:b].astype(np.uint32)) for a, b in spans], pa.binary()),
         ],
@@ -94,32 +114,59 @@ def pieces(bucket: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.Recor
 PIECES = "bucket int, high binary, low binary, counts binary"
 
 
-def merged(batches: Batches) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(bucket, keys, counts) of rows that come sorted by bucket."""
+def piece_keys(row: dict, wide: bool) -> np.ndarray:
+    kind = np.uint64 if wide else np.uint32
+    high = np.cumsum(unpack(row["high"], kind), dtype=kind)
+    low = unpack(row["low"], kind)
+    if not wide:
+        return high.astype(np.uint64) << np.uint64(32) | low
+    keys = np.empty(len(low), WIDE)
+    keys["context"], keys["word"] = high, low
+    return keys
+
+
+def merged(rows: Iterator[dict], wide: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(bucket, keys, counts) of pieces that come sorted by bucket."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     now = None
 
     def joined():
         keys = np.concatenate([k for k, _ in held])
         counts = np.concatenate([c for _, c in held]).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
+        order = np.lexsort((keys["word"], keys["context"])) if wide else np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order]
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         return now, keys[first], np.add.reduceat(counts, first)
 
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["bucket"] != now:
-                if held:
-                    yield joined()
-                now, held = row["bucket"], []
-            high = np.cumsum(unpack(row["high"], np.uint32), dtype=np.uint32).astype(np.uint64)
-            keys = high << np.uint64(32) | unpack(row["low"], np.uint32)
-            held.append((keys, unpack(row["counts"], np.uint32)))
+    for row in rows:
+        if row["bucket"] != now:
+            if held:
+                yield joined()
+            now, held = row["bucket"], []
+        held.append((piece_keys(row, wide), unpack(row["counts"], np.uint32)))
     if held:
         yield joined()
 
 
+def rows_of(batches: Batches) -> Iterator[dict]:
+    for batch in batches:
+        yield from batch.to_pylist()
+
+
+def short_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts in a byte each; and the places and values of those that don't fit."""
+    over = np.flatnonzero(counts >= 255)
+    return np.minimum(counts, 255).astype(np.uint8), over.astype(np.uint32), counts[over].astype(np.int64)
+
+
+def counts_at(at: np.ndarray, short: np.ndarray, over: np.ndarray, values: np.ndarray) -> np.ndarray:
+    found = short[at].astype(np.int64)
+    large = np.flatnonzero(found == 255)
+    if len(large):
+        found[large] = values[np.searchsorted(over, at[large])]
+    return found
+
+
 def by_bucket(rows: DataFrame) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
@@ -128,44 +175,101 @@ def by_bucket(rows: DataFrame) -> DataFrame:
 class Sharded:
     """Sorted keys in buckets and arrays beside them, memory-mapped when used."""
 
-    def __init__(self, folder: str, sizes: dict[int, int], names: tuple[str, ...]) -> None:
-        self.folder, self.sizes, self.names = folder, sizes, names
-        self.open: dict[int, list[np.ndarray]] = {}
+    def __init__(self, shelf: shared_files.Shelf, name: str, sizes: dict[int, int]) -> None:
+        self.shelf, self.name, self.sizes = shelf, name, sizes
 
     def arrays(self, bucket: int) -> list[np.ndarray]:
-        if bucket not in self.open:
-            self.open[bucket] = [shared_files.mapped(self.folder, f"{n}-{bucket}") for n in self.names]
-        return self.open[bucket]
+        return self.shelf(f"{self.name}-{bucket}")
 
-    def find(self, buckets: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, list]]:
-        """For each bucket asked for: (bucket, which of ``keys`` were found, their
-        places in the bucket, the bucket's other arrays)."""
-        order = np.lexsort((keys, buckets))
+    def by_bucket(self, buckets: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each bucket that there is and the places in ``keys`` of what is asked of it."""
+        order = sorted_by(buckets, keys)
         ranked = buckets[order]
         cuts = [0, *(np.flatnonzero(ranked[1:] != ranked[:-1]) + 1).tolist(), len(ranked)]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            if b == a or int(ranked[a]) not in self.sizes:
-                continue
-            own, *rest = self.arrays(int(ranked[a]))
-            asked = order[a:b]
+            if b > a and int(ranked[a]) in self.sizes:
+                yield int(ranked[a]), order[a:b]
+
+    def find(self, buckets: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, list]]:
+        """For each bucket asked for: (bucket, which of ``keys`` were found, their
+        places in the bucket, the bucket's other arrays)."""
+        for bucket, asked in self.by_bucket(buckets, keys):
+            own, *rest = self.arrays(bucket)
             at = np.minimum(np.searchsorted(own, keys[asked]), len(own) - 1)
             hit = own[at] == keys[asked]
-            yield int(ranked[a]), asked[hit], at[hit], rest
+            yield bucket, asked[hit], at[hit], rest
+
+
+class Triples:
+    """Keys and buckets of trigrams of ids.
+
+    A key has the middle word's number in its bucket (frequent words, whose trigrams
+    are dealt to all buckets, have numbers beyond those), the first id, the last id:
+    in 64 bits if they fit, which they do up to some 30 million words, else in 128.
+    """
+
+    def __init__(self, bits: int, sizes: dict[int, int], starts: dict[int, int], n_words: int, frequent: np.ndarray) -> None:
+        self.bits, self.frequent = bits, frequent
+        self.firsts, self.homes = np.array([*starts.values()] or [0], np.int64), np.array([*starts] or [0], np.int64)
+        self.start_of = np.zeros(1 << bits, np.int64)
+        self.start_of[self.homes] = self.firsts
+        self.largest = max([1, *sizes.values()])
+        self.width = max(1, n_words.bit_length())
+        middle = (self.largest + len(frequent)).bit_length()
+        if middle + self.width > 64:
+            raise ValueError("too many words for a trigram's context to fit 64 bits: use more partitions")
+        self.wide = middle + 2 * self.width > 64
+
+    def contexts(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets, and what the first two words are told by in them."""
+        home = np.searchsorted(self.firsts, two, side="right") - 1
+        rank = np.minimum(np.searchsorted(self.frequent, two), len(self.frequent) - 1)
+        often = self.frequent[rank] == two
+        code = np.where(often, self.largest + rank, two - self.firsts[home]).astype(np.uint64)
+        both = one.astype(np.uint64) << np.uint64(32) | two.astype(np.uint64)
+        bucket = np.where(often, spread(both, self.bits), self.homes[home])
+        return bucket, code << np.uint64(self.width) | one.astype(np.uint64)
+
+    def keys(self, context: np.ndarray, three: np.ndarray) -> np.ndarray:
+        if not self.wide:
+            return context << np.uint64(self.width) | three.astype(np.uint64)
+        keys = np.empty(len(context), WIDE)
+        keys["context"], keys["word"] = context, three
+        return keys
+
+    def parts(self, bucket: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Contexts, middle words and last words of a bucket's keys."""
+        mask = np.uint64((1 << self.width) - 1)
+        context, three = (keys["context"], keys["word"]) if self.wide else (keys >> np.uint64(self.width), keys & mask)
+        code = (context >> np.uint64(self.width)).astype(np.int64)
+        often = code >= self.largest
+        two = np.where(often, self.frequent[np.where(often, code - self.largest, 0)], code + self.start_of[bucket])
+        return context, two, three.astype(np.int64)
+
+    def spans(self, own: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a bucket's trigrams with these contexts begin and end."""
+        none = np.zeros(len(context), np.int64)
+        return (np.searchsorted(own, self.keys(context + np.uint64(k), none)) for k in (0, 1))
 
 
 @dataclass
 class Model:
     """What scoring needs besides the files; sizes are bounded by the buckets."""
 
+    order: int
     folder: str
     bits: int
     word_sizes: dict[int, int]
     starts: dict[int, int]
+    triple_sizes: dict[int, int]
     pair_sizes: dict[int, int]
     context_sizes: dict[int, int]
     frequent: dict[int, tuple[int, int, int, int]]
+    #: The words, and the place before a text, whose n-grams are dealt to all buckets.
+    dealt: np.ndarray
     n_tokens: int
     n_words: int
+    triple_discounts: tuple[float, float, float]
     pair_discounts: tuple[float, float, float]
     word_discounts: tuple[float, float, float]
     word_total: int
@@ -176,12 +280,11 @@ class Model:
         """The id of the place before a text's first word."""
         return self.n_words
 
-
 class Words:
     """Ids of words, by way of the memory-mapped vocabulary."""
 
-    def __init__(self, folder: str, bits: int, sizes: dict[int, int], starts: dict[int, int]) -> None:
-        self.shards = Sharded(folder, sizes, ("word", "count"))
+    def __init__(self, shelf: shared_files.Shelf, bits: int, sizes: dict[int, int], starts: dict[int, int]) -> None:
+        self.shards = Sharded(shelf, "word", sizes)
         self.bits, self.starts = bits, starts
         self.memo: dict[bytes, int] = {}
 
@@ -192,21 +295,22 @@ class Words:
             ids[asked] = at + self.starts[bucket]
         return ids
 
-    def sequence(self, documents: list[list[bytes]], begin: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of [begin, words, end] of all documents in a line, -1 for words not
+    def sequence(self, documents: list[list[bytes]], begin: int, begins: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of [begin, ..., words, end] of all documents in a line, -1 for words not
         in the vocabulary; and where each document starts."""
         if len(self.memo) > MEMO_WORDS:
             self.memo = {}
         new = list({w for d in documents for w in d if w not in self.memo} | ({END} - self.memo.keys()))
         self.memo.update(zip(new, self.look_up(new).tolist(), strict=True))
-        lengths = np.fromiter(map(len, documents), np.int64, len(documents)) + 2
+        lengths = np.fromiter(map(len, documents), np.int64, len(documents)) + begins + 1
         starts = np.r_[0, np.cumsum(lengths)[:-1]]
         line = np.full(int(lengths.sum()), begin, np.int64)
         inner = np.ones(len(line), bool)
-        inner[starts] = False
+        for k in range(begins):
+            inner[starts + k] = False
         inner[starts + lengths - 1] = False
         flat = map(self.memo.__getitem__, chain.from_iterable(documents))
-        line[inner] = np.fromiter(flat, np.int64, int(lengths.sum()) - 2 * len(documents))
+        line[inner] = np.fromiter(flat, np.int64, int(lengths.sum()) - (begins + 1) * len(documents))
         line[starts + lengths - 1] = self.memo[END]
         return line, starts
 
@@ -236,9 +340,8 @@ def _count_words(bits: int):
 
 def _write_words(folder: str):
     def run(batches: Batches) -> Batches:
-        for bucket, keys, counts in merged(batches):
-            shared_files.write(folder, f"word-{bucket}", keys)
-            shared_files.write(folder, f"count-{bucket}", counts)
+        for bucket, keys, counts in merged(rows_of(batches)):
+            shared_files.write(folder, f"word-{bucket}", keys, counts)
             yield pa.RecordBatch.from_pydict({"bucket": [bucket], "size": [len(keys)], "tokens": [int(counts.sum())]})
 
     return run
@@ -246,9 +349,10 @@ def _write_words(folder: str):
 
 def _frequent_words(folder: str, starts: dict[int, int], over: float):
     def run(batches: Batches) -> Batches:
+        shelf = shared_files.Shelf(folder)
         for batch in batches:
             for bucket in batch.column("bucket").to_pylist():
-                counts = shared_files.mapped(folder, f"count-{bucket}")
+                counts = shelf(f"word-{bucket}")[1]
                 yield pa.RecordBatch.from_pydict({"id": np.flatnonzero(counts > over) + starts[bucket]})
 
     return run
@@ -258,25 +362,34 @@ def pair_bucket(pairs: np.ndarray, before: np.ndarray, frequent: np.ndarray, bit
     return np.where(np.isin(before, frequent), spread(pairs, bits), spread(before, bits))
 
 
-def _count_pairs(folder: str, bits: int, sizes: dict, starts: dict, begin: int, frequent: np.ndarray):
+def _count_grams(order: int, folder: str, bits: int, sizes: dict, starts: dict, begin: int, frequent: np.ndarray):
+    triples = Triples(bits, sizes, starts, begin, frequent)
+
     def run(batches: Batches) -> Batches:
         gc.disable()
-        words = Words(folder, bits, sizes, starts)
-        held: list[np.ndarray] = []
+        words = Words(shared_files.Shelf(folder), bits, sizes, starts)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def sent() -> pa.RecordBatch:
-            pairs, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pieces(pair_bucket(pairs, pairs >> np.uint64(32), frequent, bits), pairs, counts)
+            bucket, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+            order_ = sorted_by(bucket, keys)
+            bucket, keys = bucket[order_], keys[order_]
+            first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (bucket[1:] != bucket[:-1])])
+            return pieces(bucket[first], keys[first], np.diff(np.r_[first, len(keys)]))
 
         for batch in batches:
             documents = [tokens_of(x) for x in text_bytes(batch.column("text"))]
             if not documents:
                 continue
-            line, _ = words.sequence(documents, begin)
-            line = line.astype(np.uint64)
-            pairs = (line[:-1] << np.uint64(32) | line[1:])[line[1:] != begin]
-            held.append(pairs)
-            if sum(map(len, held)) > HELD_TOKENS:
+            line, _ = words.sequence(documents, begin, order - 1)
+            now = np.flatnonzero(line != begin)
+            if order == 2:
+                pairs = line[now - 1].astype(np.uint64) << np.uint64(32) | line[now].astype(np.uint64)
+                held.append((pair_bucket(pairs, line[now - 1], frequent, bits), pairs))
+            else:
+                bucket, context = triples.contexts(line[now - 2], line[now - 1])
+                held.append((bucket, triples.keys(context, line[now])))
+            if sum(len(k) for _, k in held) > HELD_TOKENS:
                 yield sent()
                 held = []
         if held:
@@ -291,20 +404,51 @@ def tallied(counts: np.ndarray) -> list[int]:
 
 
 STATS = "kind string, bucket int, size long, n1 long, n2 long, n3 long, n4 long, more long, high binary, low binary, counts binary"
+ARROW_STATS = pa.schema(
+    [("kind", pa.string()), ("bucket", pa.int32())]
+    + [(n, pa.int64()) for n in ("size", "n1", "n2", "n3", "n4", "more")]
+    + [(n, pa.binary()) for n in ("high", "low", "counts")]
+)
 
 
 def _stats_row(kind: str, bucket: int, size: int, sums=(0, 0, 0, 0, 0), piece=(None, None, None)) -> dict:
-    return dict(zip([x.split()[0] for x in STATS.split(", ")], (kind, bucket, size, *sums, *piece), strict=True))
+    return dict(zip(ARROW_STATS.names, (kind, bucket, size, *sums, *piece), strict=True))
 
 
-def _write_pairs(folder: str, frequent: np.ndarray, word_starts: list[int], word_buckets: list[int]):
-    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    schema = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in STATS.split(", "))])
+def _piece_rows(kind: str, sent: pa.RecordBatch) -> list[dict]:
+    return [_stats_row(kind, r["bucket"], 0, piece=(r["high"], r["low"], r["counts"])) for r in sent.to_pylist()]
+
+
+def _write_triples(folder: str, triples: Triples):
+    """Write the trigrams, and send each bigram that ends one with how many distinct
+    words stand before it there."""
 
     def run(batches: Batches) -> Batches:
-        for bucket, pairs, counts in merged(batches):
-            shared_files.write(folder, f"pair-{bucket}", pairs)
-            shared_files.write(folder, f"pairs-{bucket}", counts.astype(np.uint32))
+        gc.disable()
+        for bucket, keys, counts in merged(rows_of(batches), triples.wide):
+            shared_files.write(folder, f"triple-{bucket}", keys, *short_counts(counts))
+            _, two, three = triples.parts(bucket, keys)
+            ends, times = np.unique(two.astype(np.uint64) << np.uint64(32) | three.astype(np.uint64), return_counts=True)
+            home = pair_bucket(ends, (ends >> np.uint64(32)).astype(np.int64), triples.frequent, triples.bits)
+            rows = [_stats_row("triples", bucket, len(keys), tallied(counts)), *_piece_rows("piece", pieces(home, ends, times))]
+            yield pa.RecordBatch.from_pylist(rows, ARROW_STATS)
+
+    return run
+
+
+def _write_pairs(folder: str, frequent: np.ndarray, word_starts: list[int], word_buckets: list[int]):
+    def run(batches: Batches) -> Batches:
+        gc.disable()
+        passed: list[dict] = []
+
+        def sifted() -> Iterator[dict]:
+            for row in rows_of(batches):
+                if row["kind"] == "piece":
+                    yield row
+                else:
+                    passed.append(row)
+
+        for bucket, pairs, counts in merged(sifted()):
             rows = [_stats_row("pairs", bucket, len(pairs), tallied(counts))]
             before = (pairs >> np.uint64(32)).astype(np.int64)
             first = np.flatnonzero(np.r_[True, before[1:] != before[:-1]])
@@ -315,23 +459,23 @@ def _write_pairs(folder: str, frequent: np.ndarray, word_starts: list[int], word
             often = np.isin(context, frequent)
             for c, x in zip(context[often].tolist(), of[often].tolist(), strict=True):
                 rows.append(_stats_row("frequent", 0, c, (*x, 0)))
+            shared_files.write(folder, f"pair-{bucket}", pairs, *short_counts(counts))
             if not often.all():
-                shared_files.write(folder, f"context-{bucket}", context[~often].astype(np.uint64))
-                shared_files.write(folder, f"followers-{bucket}", of[~often].astype(np.uint32))
+                shared_files.write(folder, f"context-{bucket}", context[~often].astype(np.uint64), of[~often].astype(np.uint32).ravel())
                 rows.append(_stats_row("contexts", bucket, int((~often).sum())))
             # Each bigram is one distinct word before its second word.
             after, times = np.unique(pairs & np.uint64(0xFFFFFFFF), return_counts=True)
             home = np.searchsorted(word_starts, after.astype(np.int64), side="right") - 1
-            sent = pieces(np.array(word_buckets)[home], after, times).to_pylist()
-            rows += [_stats_row("before", r["bucket"], 0, piece=(r["high"], r["low"], r["counts"])) for r in sent]
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            rows += _piece_rows("before", pieces(np.array(word_buckets)[home], after, times))
+            yield pa.RecordBatch.from_pylist(rows, ARROW_STATS)
+        yield pa.RecordBatch.from_pylist(passed, ARROW_STATS)
 
     return run
 
 
 def _write_before(folder: str, sizes: dict[int, int], starts: dict[int, int]):
     def run(batches: Batches) -> Batches:
-        for bucket, ids, counts in merged(batches):
+        for bucket, ids, counts in merged(rows_of(batches)):
             dense = np.zeros(sizes[bucket], np.uint32)
             dense[ids.astype(np.int64) - starts[bucket]] = counts
             shared_files.write(folder, f"before-{bucket}", dense)
@@ -350,9 +494,12 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.0), float(k)) for k, d in enumerate(found, 1))
 
 
-def train(docs: DataFrame) -> Model:
+def train(docs: DataFrame, order: int = ORDER) -> Model:
     """Count ``docs`` (needs ``text``; null is empty) into a model in the shared
-    folder.  An empty table gives a model that knows no words."""
+    folder.  Other columns play no part, repeated rows count each time.  An empty
+    table gives a model that knows no words."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     spark = prepare(docs.sparkSession)
     folder = new_folder(spark, "kneser-ney")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -373,27 +520,38 @@ def train(docs: DataFrame) -> Model:
     frequent = _collect_frequent(spark, folder, sizes, starts, over)
     frequent = np.array(sorted([*frequent, n_words]), np.int64)  # and the place before a text
 
-    pairs = by_bucket(text.mapInArrow(_count_pairs(folder, bits, sizes, starts, n_words, frequent), PIECES))
-    stats = stored(pairs.mapInArrow(_write_pairs(folder, frequent, list(starts.values()), list(starts)), STATS))
-    sums = stats.filter("kind = 'pairs'").agg(*(F.sum(n) for n in ("n1", "n2", "n3", "n4"))).head()
-    by_size = stats.filter("kind in ('pairs', 'contexts')").select("kind", "bucket", "size").collect()
-    often = stats.filter("kind = 'frequent'").groupBy("size").agg(*(F.sum(n).alias(n) for n in ("n1", "n2", "n3", "n4")))
+    counted = by_bucket(text.mapInArrow(_count_grams(order, folder, bits, sizes, starts, n_words, frequent), PIECES))
+    if order == 3:
+        triples = Triples(bits, sizes, starts, n_words, frequent)
+        sent = by_bucket(counted.mapInArrow(_write_triples(folder, triples), STATS))
+    else:
+        sent = counted.withColumn("kind", F.lit("piece"))
+    stats = stored(sent.mapInArrow(_write_pairs(folder, frequent, list(starts.values()), list(starts)), STATS))
+    names = ("n1", "n2", "n3", "n4")
+    sums = {r.kind: tuple(r)[1:] for r in stats.groupBy("kind").agg(*(F.sum(n).alias(n) for n in names)).collect()}
+    by_size = stats.filter("kind in ('triples', 'pairs', 'contexts')").select("kind", "bucket", "size").collect()
+    often = stats.filter("kind = 'frequent'").groupBy("size").agg(*(F.sum(n).alias(n) for n in names))
     before = by_bucket(stats.filter("kind = 'before'").select("bucket", "high", "low", "counts"))
     ends = before.mapInArrow(_write_before(folder, sizes, starts), "n1 long, n2 long, n3 long, n4 long, more long, total long")
     c = ends.agg(*(F.coalesce(F.sum(n), F.lit(0)) for n in ends.columns)).head()
     word_discounts = discounts(*c[:4])
     rest = (word_discounts[0] * c[0] + word_discounts[1] * c[1] + word_discounts[2] * c[4]) / c[5] if c[5] else 1.0
+    none = (0, 0, 0, 0)
     return Model(
+        order=order,
         folder=folder,
         bits=bits,
         word_sizes=sizes,
         starts=starts,
+        triple_sizes={r.bucket: r.size for r in by_size if r.kind == "triples"},
         pair_sizes={r.bucket: r.size for r in by_size if r.kind == "pairs"},
         context_sizes={r.bucket: r.size for r in by_size if r.kind == "contexts"},
         frequent={r["size"]: tuple(r)[1:] for r in often.collect()},
+        dealt=frequent,
         n_tokens=n_tokens,
         n_words=n_words,
-        pair_discounts=discounts(*(x or 0 for x in sums)),
+        triple_discounts=discounts(*sums.get("triples", none)),
+        pair_discounts=discounts(*sums.get("pairs", none)),
         word_discounts=word_discounts,
         word_total=c[5],
         word_rest=rest,
@@ -417,13 +575,16 @@ def _score(model: Model):
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         gc.disable()
-        words = Words(model.folder, model.bits, model.word_sizes, model.starts)
-        beside = Sharded(model.folder, model.word_sizes, ("word", "count", "before"))
-        pair_shards = Sharded(model.folder, model.pair_sizes, ("pair", "pairs"))
-        context_shards = Sharded(model.folder, model.context_sizes, ("context", "followers"))
-        frequent = np.array(sorted({*model.frequent, model.begin}), np.int64)
+        shelf = shared_files.Shelf(model.folder)
+        words = Words(shelf, model.bits, model.word_sizes, model.starts)
+        triple_shards = Sharded(shelf, "triple", model.triple_sizes)
+        pair_shards = Sharded(shelf, "pair", model.pair_sizes)
+        context_shards = Sharded(shelf, "context", model.context_sizes)
+        frequent = model.dealt
+        triples = Triples(model.bits, model.word_sizes, model.starts, model.n_words, model.dealt)
         firsts = np.array(list(model.starts.values()), np.int64)
         homes = list(model.starts)
+        long_contexts: dict[tuple[int, int], tuple] = {}
 
         def of_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """Counts, and probabilities without context, of sorted ids; 0 for -1."""
@@ -431,7 +592,7 @@ def _score(model: Model):
             home = np.searchsorted(firsts, ids, side="right") - 1
             for h in np.unique(home[ids >= 0]).tolist():
                 own = (home == h) & (ids >= 0)
-                _, count, before = beside.arrays(homes[h])
+                count, (before,) = shelf(f"word-{homes[h]}")[1], shelf(f"before-{homes[h]}")
                 counts[own], befores[own] = count[ids[own] - firsts[h]], before[ids[own] - firsts[h]]
             known = taken_off(befores, model.word_discounts) / max(1, model.word_total)
             return counts, known + model.word_rest / (model.n_words + 1)
@@ -442,39 +603,81 @@ def _score(model: Model):
             for i in np.flatnonzero(np.isin(ids, frequent)).tolist():
                 found[i] = model.frequent.get(int(ids[i]), (0, 0, 0, 0))
             for _, asked, at, (followers,) in context_shards.find(spread(ids, model.bits), ids.astype(np.uint64)):
-                found[asked] = followers[at]
+                found[asked] = followers.reshape(-1, 4)[at]
             return found
 
+        def of_spans(bucket: int, contexts: np.ndarray) -> np.ndarray:
+            """The same for distinct contexts of two words, from their trigrams."""
+            own, *held = triple_shards.arrays(bucket)
+            low, high = triples.spans(own, contexts)
+            found = np.zeros((len(contexts), 4), np.int64)
+            length = high - low
+            short = np.flatnonzero((length > 0) & (length <= LONG_CONTEXT))
+            if len(short):
+                n = length[short]
+                firsts_of = np.cumsum(n) - n
+                c = counts_at(np.arange(n.sum()) + np.repeat(low[short] - firsts_of, n), *held)
+                found[short] = np.stack([np.add.reduceat(x.astype(np.int64), firsts_of) for x in (c, c == 1, c == 2, c >= 3)], axis=1)
+            for k in np.flatnonzero(length > LONG_CONTEXT).tolist():
+                name = (bucket, int(contexts[k]))
+                if name not in long_contexts:
+                    c = counts_at(np.arange(low[k], high[k]), *held)
+                    long_contexts[name] = (c.sum(), (c == 1).sum(), (c == 2).sum(), (c >= 3).sum())
+                found[k] = long_contexts[name]
+            return found
+
+        def with_context(below: np.ndarray, seen: np.ndarray, contexts: np.ndarray, by: tuple) -> np.ndarray:
+            """Probabilities from those of the order below, counts, and their contexts'
+            totals and followers."""
+            total = contexts[:, 0]
+            back = np.where(total > 0, (contexts[:, 1:] * np.array(by)).sum(1) / np.maximum(total, 1), 1.0)
+            return taken_off(seen, by) / np.maximum(total, 1) + back * below
+
+        def third(below: np.ndarray, one: np.ndarray, two: np.ndarray, three: np.ndarray) -> np.ndarray:
+            there = np.flatnonzero((one >= 0) & (two >= 0))
+            bucket, context = triples.contexts(one[there], two[there])
+            stats, seen = np.zeros((len(below), 4), np.int64), np.zeros(len(below), np.int64)
+            for b, asked in triple_shards.by_bucket(bucket, context):
+                distinct, which = np.unique(context[asked], return_inverse=True)
+                stats[there[asked]] = of_spans(b, distinct)[which]
+                known = asked[three[there[asked]] >= 0]
+                keys, which = np.unique(triples.keys(context[known], three[there[known]]), return_inverse=True)
+                own, *held = triple_shards.arrays(b)
+                at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+                seen[there[known]] = np.where(own[at] == keys, counts_at(at, *held), 0)[which]
+            return with_context(below, seen, stats, model.triple_discounts)
+
         for column in batches:
             documents = [tokens_of(x) for x in text_bytes(column)]
             if not documents:
                 yield pa.StructArray.from_arrays([pa.array([], pa.int64())] * 2 + [pa.array([], pa.float64())] * 2, names)
                 continue
-            line, starts = words.sequence(documents, model.begin)
+            begins = model.order - 1
+            line, starts = words.sequence(documents, model.begin, begins)
             inside = np.ones(len(line), bool)
-            inside[starts] = False
-            before, now = line[:-1][inside[1:]], line[1:][inside[1:]]
-            starts = starts - np.arange(len(starts))  # in ``now``
+            for k in range(begins):
+                inside[starts + k] = False
+            places = np.flatnonzero(inside)
+            before, now = line[places - 1], line[places]
+            starts = starts - begins * np.arange(len(starts))  # in ``now``
 
             ids, which = np.unique(now, return_inverse=True)
             counts, alone = of_words(ids)
             contexts, which_context = np.unique(before, return_inverse=True)
-            followers = of_contexts(contexts)
+            followers = of_contexts(contexts)[which_context]
             known = (before >= 0) & (now >= 0)
             keys = before[known].astype(np.uint64) << np.uint64(32) | now[known].astype(np.uint64)
             pairs, which_pair = np.unique(keys, return_inverse=True)
             seen = np.zeros(len(pairs), np.int64)
             firsts_of = (pairs >> np.uint64(32)).astype(np.int64)
-            for _, asked, at, (times,) in pair_shards.find(pair_bucket(pairs, firsts_of, frequent, model.bits), pairs):
-                seen[asked] = times[at]
+            for _, asked, at, held in pair_shards.find(pair_bucket(pairs, firsts_of, model.dealt, model.bits), pairs):
+                seen[asked] = counts_at(at, *held)
 
             c = np.zeros(len(now), np.int64)
             c[known] = seen[which_pair]
-            total = followers[:, 0]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                back = np.where(total > 0, (followers[:, 1:] * np.array(model.pair_discounts)).sum(1) / total, 1.0)
-            of = np.maximum(total, 1)[which_context]
-            p = taken_off(c, model.pair_discounts) / of + back[which_context] * alone[which]
+            p = with_context(alone[which], c, followers, model.pair_discounts)
+            if model.order == 3:
+                p = third(p, line[places - 2], before, now)
             base = np.log10((counts + 0.1) / (model.n_tokens + 0.1 * (model.n_words + 1)))[which]
             yield pa.StructArray.from_arrays(
                 [

@@ -340,14 +340,51 @@ def test_bpe(spark, texts):
         assert got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
 
 
-ENCODER = bpe.Encoder(RANKS, PATTERN)
+MERGES = bpe.Merges(RANKS)
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from("ab C1\n\t'sllre!-éaaa\xa0　\x1c\x85½日\U0001f600"), max_size=80))
 def test_bpe_anywhere(text):
-    assert np.frombuffer(ENCODER.block([text])[0], np.int32).tolist() == ENCODING.encode_ordinary(text)
-    assert "".join(UNITS.findall(text)) == text
+    units = UNITS.findall(text)
+    assert "".join(units) == text
+    words = [w.encode() for p in bpe.Cutter(PATTERN)(units) for w in p]
+    ids = [i for x in bpe.replay(words, MERGES) for i in np.frombuffer(x, np.int32).tolist()]
+    assert ids == ENCODING.encode_ordinary(text)
+
+
+def test_bpe_over_many_batches(spark, monkeypatch):
+    rng = random.Random(12)
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 3_000)  # the driver's copy; workers take their own
+    texts = [" ".join("".join(rng.choice("abcdeé日") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(200))) for _ in range(300)]
+    texts += ["x" * 20_000, "日本" * 5_000, None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    for r in bpe.encode(d, PATH, PATTERN).collect():
+        assert r.ids == ENCODING.encode_ordinary(r.text or "")
+
+
+def test_words_with_one_hash_are_told_apart(tmp_path, monkeypatch):
+    def alike(words):
+        return np.array([(7, sum(w)) for w in words], np.uint64).reshape(-1, 2)
+
+    monkeypatch.setattr(bpe, "digests", alike)
+    words = ["a", "b", "c", "d"]
+    keys = alike([w.encode() for w in words])
+    bpe.shared_files.write(str(tmp_path), "words-0", keys[:, 0], keys[:, 1], np.arange(5), np.arange(4, dtype=np.int32))
+    encoder = bpe.Encoder(bpe.Words(str(tmp_path), 4), PATTERN)
+    assert [np.frombuffer(x, np.int32).tolist() for x in encoder.ids_of(["c", "a", "d"])] == [[2], [0], [3]]
+    with pytest.raises(KeyError):
+        encoder.ids_of(["e"])
+
+
+def test_shelves_keep_few_files_open(tmp_path):
+    for k in range(20):
+        bpe.shared_files.write(str(tmp_path), f"f{k}", np.arange(k, dtype=np.uint64), np.full(3, k, np.uint8), np.zeros(0))
+    shelf = bpe.shared_files.Shelf(f"file:{tmp_path}", most=4)
+    for k in (*range(20), 3, 19):
+        one, three, none = shelf(f"f{k}")
+        assert one.tolist() == list(range(k)) and three.tolist() == [k] * 3 and not len(none)
+        assert len(shelf.open) <= 4
 
 
 def test_pairs_of_lower_rank_come_first():
@@ -361,43 +398,102 @@ def test_pairs_of_lower_rank_come_first():
 # 7
 
 
+def discounts(values):
+    m = Counter(values)
+    y = m[1] / (m[1] + 2 * m[2]) if m[1] + m[2] else 0
+    return [min(max(k - (k + 1) * y * m[k + 1] / m[k] if m[k] else k / 2, 0), k) for k in (1, 2, 3)]
+
+
+class PlainModel:
+    """Interpolated modified Kneser-Ney over dictionaries, of any order."""
+
+    def __init__(self, lines, order):
+        grams = Counter()
+        for line in lines:
+            padded = [None] * (order - 1) + line
+            grams.update(tuple(padded[i : i + order]) for i in range(len(line)))
+        self.words = {w for line in lines for w in line}
+        self.tables = []  # highest order first
+        for _ in range(order):
+            d, total, back = discounts(grams.values()), Counter(), Counter()
+            for g, x in grams.items():
+                total[g[:-1]] += x
+                back[g[:-1]] += d[min(x, 3) - 1]
+            self.tables.append((grams, d, total, back))
+            grams = Counter(g[1:] for g in grams)
+
+    def p(self, gram, level=0):
+        if level == len(self.tables):
+            return 1 / (len(self.words) + 1)
+        grams, d, total, back = self.tables[level]
+        context, x = gram[:-1], grams[gram]
+        below = self.p(gram[1:], level + 1)
+        if not total[context]:
+            return below
+        return (max(x - d[min(x, 3) - 1], 0) if x else 0) / total[context] + back[context] / total[context] * below
+
+
+def lines_of(texts):
+    return {i: [*(t or "").encode().lower().split(), b"\n"] for i, t in texts.items()}
+
+
+def log_p(model, line, order):
+    padded = [None] * (order - 1) + line
+    return sum(math.log10(model.p(tuple(padded[i : i + order]))) for i in range(len(line)))
+
+
 def test_kneser_ney(spark, texts):
     got = by_id(queries.op7_kneser_ney(spark, SF))
-    line = {i: [*t.encode().lower().split(), b"\n"] for i, t in texts.items()}
+    line = lines_of(texts)
     train = [i for i in texts if zlib.crc32(str(i).encode()) % 10]
     c = Counter(w for i in train for w in line[i])
     n, v = sum(c.values()), len(c)
-    pairs = Counter((a, b) for i in train for a, b in zip([None, *line[i]], line[i]))
-
-    def discounts(values):
-        m = Counter(values)
-        y = m[1] / (m[1] + 2 * m[2])
-        return [k - (k + 1) * y * m[k + 1] / m[k] for k in (1, 2, 3)]
-
-    before = Counter(b for _, b in pairs)
-    d1, d2 = discounts(before.values()), discounts(pairs.values())
-    rest = sum(d1[min(x, 3) - 1] for x in before.values()) / len(pairs) / (v + 1)
-    total, back = Counter(), Counter()
-    for (a, _), x in pairs.items():
-        total[a] += x
-        back[a] += d2[min(x, 3) - 1]
-
-    def one(w):
-        return rest + (max(before[w] - d1[min(before[w], 3) - 1], 0) / len(pairs) if before[w] else 0)
-
-    def two(a, w):
-        if not total[a]:
-            return one(w)
-        x = pairs[a, w]
-        return (max(x - d2[min(x, 3) - 1], 0) if x else 0) / total[a] + back[a] / total[a] * one(w)
-
+    plain = PlainModel([line[i] for i in train], kneser_ney.ORDER)
     for i, words in line.items():
         r = got[i]
         assert (r.held_out, r.train_tokens) == (i not in train, n)
         assert (r.n_tokens, r.n_known) == (len(words), sum(w in c for w in words))
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words))
-        assert r.score == pytest.approx(sum(math.log10(two(a, w)) for a, w in zip([None, *words], words)))
-    assert sum(two(b"the", w) for w in c) + two(b"the", b"never seen") == pytest.approx(1)
+        assert r.score == pytest.approx(log_p(plain, words, kneser_ney.ORDER))
+    context = (b"of", b"the")[2 - kneser_ney.ORDER + 1 :]
+    assert sum(plain.p((*context, w)) for w in c) + plain.p((*context, b"never seen")) == pytest.approx(1)
+
+
+@pytest.mark.parametrize(("order", "wide"), [(2, False), (3, False), (3, True)])
+def test_orders_and_wide_keys(spark, texts, order, wide, monkeypatch):
+    some = {i: t for i, t in sorted(texts.items())[:60]} | {-1: None, -2: "", -3: "of the of the of the " * 200}
+    if wide:
+        own = kneser_ney.Triples.__init__
+
+        def widened(self, *how):
+            own(self, *how)
+            self.wide = True
+
+        monkeypatch.setattr(kneser_ney.Triples, "__init__", widened)
+        probe = kneser_ney.Triples(4, {0: 9}, {0: 0}, 9, np.array([9]))
+        bucket, context = probe.contexts(np.array([1, 9, 9]), np.array([2, 9, 3]))
+        keys = probe.keys(context, np.array([5, 6, 7]))
+        assert keys.dtype == kneser_ney.WIDE
+        for k in range(3):
+            _, two, three = probe.parts(int(bucket[k]), keys[k : k + 1])
+            assert (two[0], three[0]) == ([2, 9, 3][k], [5, 6, 7][k])
+        rows = kneser_ney.pieces(np.zeros(3, np.int64), keys, np.array([1, 2, 300])).to_pylist()
+        ((_, merged, counts),) = kneser_ney.merged(iter(rows), True)
+        assert set(map(tuple, merged.tolist())) == set(map(tuple, keys.tolist())) and sorted(counts) == [1, 2, 300]
+        return
+    d = spark.createDataFrame(list(some.items()), "doc_id long, text string").repartition(5)
+    model = kneser_ney.train(d.filter("doc_id % 3 <> 0"), order)
+    line = lines_of(some)
+    plain = PlainModel([x for i, x in line.items() if i % 3], order)
+    for r in kneser_ney.score(d, model).collect():
+        assert r.lm.score == pytest.approx(log_p(plain, line[r.doc_id], order))
+
+
+def test_counts_beyond_a_byte():
+    counts = np.array([1, 254, 255, 256, 70_000, 3])
+    held = kneser_ney.short_counts(counts)
+    assert held[0].dtype == np.uint8
+    assert kneser_ney.counts_at(np.array([4, 0, 2, 3, 1, 5]), *held).tolist() == [70_000, 1, 255, 256, 254, 3]
 
 
 def test_frequent_first_words_are_spread(spark):
@@ -405,8 +501,10 @@ def test_frequent_first_words_are_spread(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     model = kneser_ney.train(d)
     assert len(model.frequent) >= 2  # "the", and the place before a text
+    plain, line = PlainModel(list(lines_of(dict(rows)).values()), 3), lines_of(dict(rows))
     p = {r.doc_id: r.lm for r in kneser_ney.score(d, model).collect()}
     assert all(x.score > x.base_score for x in p.values())
+    assert all(x.score == pytest.approx(log_p(plain, line[i], 3)) for i, x in p.items())
 
 
 # 8
