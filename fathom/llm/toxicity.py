@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted one after the other by logistic models over the words
-and parts of words that a text has; each later model also sees the probabilities
+and beginnings of words that a text has; each later model also sees the probabilities
 of the categories before it.  For training these come from out-of-fold
 predictions, so that a later model learns from probabilities as good as those it
 will meet.  The last category, toxic at all, gives the verdict: it is told by the
@@ -21,6 +21,7 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +29,11 @@ from fathom.llm.common import prepare, text_bytes
 
 #: Labelled documents that the models are fitted on, at most.
 TRAIN_ROWS = 8_000
-#: Words and their runs of GRAM characters are hashed into so many features; those
-#: that fewer of the sampled documents have are left out.
+#: Words and their beginnings of these lengths, which endings leave as they are, are
+#: hashed into so many features; those that fewer of the sampled documents have
+#: are left out.
 FEATURES = 1 << 18
-GRAM = 4
+BEGINNINGS = (4, 5, 6)
 LEAST_DOCUMENTS = 5
 FOLDS = 4
 PENALTY = 1e-4
@@ -51,10 +53,9 @@ WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
 def features_of_word(word: bytes) -> list[int]:
-    """The word's own feature and those of its runs of GRAM bytes, ends marked."""
-    marked = b"^" + word + b"$"
-    runs = {marked[i : i + GRAM] for i in range(len(marked) - GRAM + 1)}
-    return [xxhash.xxh64_intdigest(x) % FEATURES for x in (marked, *sorted(runs))]
+    """The word's own feature, and those of its beginnings."""
+    begins = (b"^" + word[:k] for k in BEGINNINGS if len(word) >= k)
+    return [xxhash.xxh64_intdigest(x) % FEATURES for x in (b"^" + word + b"$", *begins)]
 
 
 class Featurizer:
@@ -80,8 +81,17 @@ class Rows:
 
     def __init__(self, sets: list[np.ndarray], width: int = FEATURES) -> None:
         self.n, self.width = len(sets), width
-        self.owner = np.repeat(np.arange(self.n, dtype=np.int32), [len(x) for x in sets])
-        self.index = np.concatenate([np.zeros(0, np.int64), *sets]).astype(np.int32)
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        self.index = np.concatenate([np.zeros(0, np.int32), *(x.astype(np.int32) for x in sets)])
+
+    def __getattr__(self, name: str) -> np.ndarray:
+        if name != "owner":
+            raise AttributeError(name)
+        self.owner = np.repeat(np.arange(self.n, dtype=np.int32), self.sizes)  # not sent with a broadcast
+        return self.owner
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "owner"}
 
     def times(self, w: np.ndarray, dense: np.ndarray) -> np.ndarray:
         sparse = np.bincount(self.owner, w[self.index], self.n) if self.n else np.zeros(0)
@@ -198,21 +208,25 @@ def sample_of(docs: DataFrame, labels: DataFrame, categories: dict[str, str], ro
     told = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     read = told.mapInArrow(run, "doc_id long, digest long, features binary")
     once = read.groupBy("doc_id").agg(F.min(F.struct("digest", "features")).alias("d"))  # a row per id of the sample
-    return sorted((r.doc_id, wanted[r.doc_id], r.d.digest % FOLDS, np.frombuffer(r.d.features, np.int32).astype(np.int64)) for r in once.collect())
+    told = once.select("doc_id", "d.*").toArrow()
+    ids, digests, features = (told.column(n).to_pylist() for n in ("doc_id", "digest", "features"))
+    return sorted((i, wanted[i], d % FOLDS, np.frombuffer(f, np.int32)) for i, d, f in zip(ids, digests, features, strict=True))
 
 
-def fits(spark: SparkSession, rows: Rows, dense: np.ndarray, y: np.ndarray, folds: np.ndarray) -> list[np.ndarray]:
-    """Weights without each fold in turn, then those over all rows; a task each."""
-    shared = spark.sparkContext.broadcast((rows, dense, y, folds))  # the bounded sample
+def fits(spark: SparkSession, shared: Broadcast, dense: np.ndarray, y: np.ndarray, folds: np.ndarray) -> list[np.ndarray]:
+    """Weights without each fold in turn, then those over all rows; a task each.
+    ``shared``: the bounded sample's features."""
+    beside = spark.sparkContext.broadcast((dense, y, folds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in batch.column("id").to_pylist():
-                w = fit_logistic(*shared.value[:3], (shared.value[3] != k).astype(float))
+                d, labels, own = beside.value
+                w = fit_logistic(shared.value, d, labels, (own != k).astype(float))
                 yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([w.tobytes()], pa.binary())], ["fold", "weights"])
 
     made = spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(run, "fold long, weights binary").collect()
-    shared.unpersist()
+    beside.destroy()
     return [np.frombuffer(r.weights) for r in sorted(made)]
 
 
@@ -227,23 +241,26 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEG
     spark = prepare(docs.sparkSession)
     sample = sample_of(docs, labels, categories, rows)
     n = len(sample)
-    often = np.bincount(np.concatenate([np.zeros(0, np.int64), *(x[3] for x in sample)]), minlength=FEATURES) >= LEAST_DOCUMENTS
-    features = Rows([x[3][often[x[3]]] for x in sample])
+    used = np.flatnonzero(np.bincount(np.concatenate([np.zeros(0, np.int32), *(x[3] for x in sample)]), minlength=FEATURES) >= LEAST_DOCUMENTS)
+    place = np.full(FEATURES, -1, np.int32)
+    place[used] = np.arange(len(used))
+    features = Rows([p[p >= 0] for p in (place[x[3]] for x in sample)], len(used))
+    shared = spark.sparkContext.broadcast(features)
     y = np.array([x[1] for x in sample], float).reshape(n, len(categories))
     folds = np.array([x[2] for x in sample], np.int64)
     dense = np.ones((n, 1))
     weights, thresholds = [], []
     for k in range(len(categories)):
-        outside = np.full(n, 0.5)
+        outside, whole = np.full(n, 0.5), np.zeros(FEATURES + dense.shape[1])
         if n:
-            *without, whole = fits(spark, features, dense, y[:, k], folds)
+            *without, best = fits(spark, shared, dense, y[:, k], folds)
             for f, w in enumerate(without):
                 outside[folds == f] = sigmoid(features.times(w, dense))[folds == f]
-        else:
-            whole = np.zeros(FEATURES + dense.shape[1])
+            whole[used], whole[FEATURES:] = best[: len(used)], best[len(used) :]
         weights.append(whole)
         thresholds.append(best_threshold(outside, y[:, k]))
         dense = np.column_stack((dense, outside))
+    shared.destroy()
     return Chain(list(categories), weights, thresholds, [x[0] for x in sample], folds, dense[:, 1:])
 
 
