@@ -530,8 +530,7 @@ def plain_probabilities(chain, text):
     words = {w for w in re.findall(r"[0-9a-z]+", text.lower())}
     found = set()
     for w in words:
-        m = f"^{w}$"
-        found |= {xxhash.xxh64_intdigest(x.encode()) % (1 << 18) for x in [m, *(m[i : i + 4] for i in range(len(m) - 3))]}
+        found |= {xxhash.xxh64_intdigest(x.encode()) % (1 << 18) for x in [f"^{w}$", *(f"^{w[:k]}" for k in (4, 5, 6) if len(w) >= k)]}
     out = []
     for w in chain.weights:
         z = sum(w[k] for k in found) + w[1 << 18] + sum(a * b for a, b in zip(out, w[(1 << 18) + 1 :]))
@@ -575,8 +574,8 @@ def test_toxicity_out_of_fold(spark):
     assert all(chain.folds[at[i]] == chain.folds[at[500 + i]] for i in range(20))
     made, text_of = toxicity.Featurizer(), dict(rows)
     sets = [made(text_of[i].encode()) for i in chain.ids]
-    often = np.bincount(np.concatenate(sets), minlength=1 << 18) >= 5
-    features = toxicity.Rows([s[often[s]] for s in sets])
+    used = np.flatnonzero(np.bincount(np.concatenate(sets), minlength=1 << 18) >= 5)
+    features = toxicity.Rows([np.searchsorted(used, s[np.isin(s, used)]) for s in sets], len(used))
     label = {i: (t == 1 and q == 1, t == 1 and q == 0, t == 1) for i, q, t in marks}
     y = np.array([label[i] for i in chain.ids], float)
     dense = np.ones((len(sets), 1))
@@ -663,10 +662,53 @@ def test_licenses(spark, texts):
     marked = dict(texts)
     template = licenses.TEMPLATES["MIT-text"]
     marked[10_001] = "Some words before it. " * 40 + template.upper() + " and after it." * 50
-    marked[10_002] = " ".join(template.split()[:30])
+    marked[10_002] = " ".join(template.split()[:70])
+    marked[10_003] = "intro " + licenses.TEMPLATES["GPL-3-text"]
     d = spark.createDataFrame(list(marked.items()), "doc_id long, text string")
-    got = {(r.doc_id, x.license) for r in licenses.scan(d).collect() for x in r.licenses}
+    rows = [(r.doc_id, x.license, x.contained) for r in licenses.scan(d).collect() for x in r.licenses]
     wanted = {n: set(licenses.shingles(licenses.tokens(t.encode()))) for n, t in licenses.TEMPLATES.items()}
     held = {i: set(licenses.shingles(licenses.tokens(t.encode()))) for i, t in marked.items()}
-    assert got == {(i, n) for i, h in held.items() for n, w in wanted.items() if len(h & w) >= 0.8 * len(w)}
-    assert (10_001, "MIT-text") in got and (10_002, "MIT-text") not in got
+    # What a text holds stands together here, but for one notice, of which the words are scattered.
+    anywhere = {(i, n) for i, h in held.items() for n, w in wanted.items() if len(h & w) >= 0.8 * len(w)}
+    assert {(i, n) for i, n, _ in rows} == anywhere - {(10_003, "GPL-2.0-only-header")}
+    assert all(0.8 <= share <= len(held[i] & wanted[n]) / len(wanted[n]) + 1e-9 for i, n, share in rows)
+    found = {(i, n) for i, n, _ in rows}
+    assert {(10_001, "MIT-text"), (10_003, "GPL-3-text")} <= found and (10_002, "MIT-text") not in found
+
+
+SCANNER = licenses.Scanner(licenses.TEMPLATES)
+
+
+def test_each_occurrence_is_a_row():
+    mit, bsd = licenses.TEMPLATES["MIT-text"], licenses.TEMPLATES["BSD-opening"]
+    text = " ".join(["word"] * 20 + [mit] + ["more"] * 300 + [mit] + [bsd] + [mit] + ["end"] * 9)
+    n, m = len(licenses.tokens(mit.encode())), len(licenses.tokens(bsd.encode()))
+    rows = [r for r in SCANNER.scan(text.encode()) if r["license"] == "MIT-text"]
+    starts = [20, 320 + n, 320 + 2 * n + m]
+    assert [(r["first_word"], r["last_word"], r["contained"]) for r in rows] == [(s, s + n - 1, 1.0) for s in starts]
+
+
+def test_edited_licenses_are_found():
+    """Of all templates with words replaced, dropped and put in, those of which four
+    fifths of the shingles are left."""
+    rng = random.Random(11)
+    due = met = 0
+    for name, text in licenses.TEMPLATES.items():
+        own = set(licenses.shingles(licenses.tokens(text.encode())))
+        for _ in range(8):
+            words = text.split()
+            for _ in range(max(1, len(words) * rng.randrange(1, 5) // 100)):
+                at = rng.randrange(len(words))
+                words[at : at + rng.choice([0, 1, 1])] = rng.choice([[], [f"new{rng.randrange(99)}"]])
+            edited_text = " ".join(["before"] * rng.randrange(50) + words + ["after"] * rng.randrange(50))
+            left = set(licenses.shingles(licenses.tokens(edited_text.encode())))
+            if len(left & own) >= 0.8 * len(own):
+                due += 1
+                met += any(r["license"] == name for r in SCANNER.scan(edited_text.encode()))
+    assert due > 150 and met == due
+
+
+def test_license_query(spark, texts):
+    got = {(r.doc_id, r.license, r.first_word, r.last_word) for r in queries.op10_license_scan(spark, SF).collect()}
+    want = {(i, r["license"], r["first_word"], r["last_word"]) for i, t in texts.items() for r in SCANNER.scan(t.encode())}
+    assert got == want and got
