@@ -75,17 +75,27 @@ def normalize_text(x) -> Column:
     return strip(lines)
 
 
-# Words that carry no meaning in a question.
+# Words that carry no meaning in a question, English and Vietnamese.
 STOP_WORDS = (
-    "the a an and or of in on to for is are was were what which who how many much with from by at that this file"
-).split()
+    "how", "many", "what", "where", "which", "the", "and", "are", "for", "from", "with", "contain", "in", "of", "to", "is",
+    "a", "by", "that", "this", "be", "been", "has", "have", "had", "do", "does", "did", "were", "was", "or", "but", "about",
+    "at", "on", "determine", "calculate", "find", "show", "me", "cho", "tôi", "xem", "là", "bao", "nhiêu", "của", "trong",
+    "các", "được", "có", "nào", "đối", "với", "môn", "học", "nhóm", "đi", "hihihi", "cơ", "bản", "sự", "cách", "dự", "án",
+    "tạo", "ra", "tác", "động", "bền", "vững", "gì", "hãy", "lựa", "chọn", "đáp", "đúng", "dưới", "đây", "theo", "tổng",
+    "số", "thành", "viên", "hiện", "tại", "nhất", "không", "tính", "mới", "yêu", "cầu", "chỉ", "trả", "về", "tự", "định",
+    "nghĩa", "tài", "liệu", "cụ", "thể",
+)
+
+
+def plain_question(question) -> Column:
+    """In lower case, of letters, digits, ``_``, ``-``, dots and white space only."""
+    return F.regexp_replace(F.lower(_col(question)), r"(?U)[^\w\s\-.]", "")
 
 
 def query_tokens(question) -> Column:
     """Words of more than two characters, in lower case, without stop words, each
     once, in order."""
-    plain = F.regexp_replace(F.lower(_col(question)), r"(?U)[^\w\s\-.]", " ")
-    words = F.filter(F.split(plain, r"(?U)\s+"), lambda w: F.length(w) > 2)
+    words = F.filter(F.split(plain_question(question), r"(?U)\s+"), lambda w: F.length(w) > 2)
     return F.array_except(words, F.array(*map(F.lit, STOP_WORDS)))
 
 
@@ -160,11 +170,35 @@ TYPES = (
 )
 
 
+def safe_float(x) -> Column:
+    """A number from text or another type; null if it is none."""
+    return _col(x).cast("string").try_cast("double")
+
+
+def safe_int(x) -> Column:
+    """A whole number from text or another type, fractions cut off; null if it is none."""
+    text = F.trim(_col(x).cast("string"))
+    return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint")).when(
+        ~is_float(text) | text.rlike("(?i)nan|inf"), None
+    ).otherwise(text.try_cast("double").try_cast("bigint"))
+
+
+#: Vectors of more dimensions are folded instead of unrolled, as a generated method
+#: has a largest size.
+UNROLLED = 96
+
+
 def cosine_distance(vector: str, query: list[float]) -> Column:
-    """1 - cosine to a fixed vector, unrolled so that it is compiled; null if
-    either vector has length 0."""
+    """1 - cosine to a fixed vector; null if either vector has length 0.  Short vectors
+    are unrolled, so that they are compiled."""
+    other = sum(q * q for q in query) ** 0.5
+    if len(query) > UNROLLED:
+        v = F.transform(F.slice(F.col(vector), 1, len(query)), lambda x: x.cast("double"))
+        products = F.zip_with(v, F.array(*map(F.lit, query)), lambda x, q: x * q)
+        dot = F.aggregate(products, F.lit(0.0), lambda a, x: a + x)
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+        return 1 - F.try_divide(dot, norm * F.lit(other))
     at = [F.get(F.col(vector), F.lit(i)).cast("double") for i in range(len(query))]
     dot = reduce(lambda a, b: a + b, (x * F.lit(q) for x, q in zip(at, query, strict=True)))
     norm = F.sqrt(reduce(lambda a, b: a + b, (x * x for x in at)))
-    other = sum(q * q for q in query) ** 0.5
     return 1 - F.try_divide(dot, norm * F.lit(other))

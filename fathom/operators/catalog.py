@@ -102,15 +102,45 @@ def mark_missing(catalog: DataFrame, scan: DataFrame, key: str, prefix: str = ""
 
 
 def save_errors(catalog: DataFrame, errors: DataFrame, key: str) -> DataFrame:
-    """Files that failed get status error and the message; all else stays."""
-    told = errors.select(key, F.col("error_message").alias("__message"))
-    marked = catalog.join(told, key, "left")
-    failed = F.col("__message").isNotNull()
-    changed = {
-        "status": F.when(failed, "error").otherwise(F.col("status")),
-        "error_message": F.coalesce("__message", "error_message"),
-    }
-    return marked.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in catalog.columns))
+    """Files that failed get status error and the message; those that have no row yet
+    get one, with what ``errors`` (key, error_message, any other columns of the catalog)
+    tells of them.  What enrichment put into older rows stays."""
+    failed = errors.withColumn("__failed", F.lit(True))
+    both = catalog.alias("o").join(failed.alias("e"), F.col(f"o.{key}") == F.col(f"e.{key}"), "full_outer")
+    broke = F.col("__failed").isNotNull()
+
+    def pick(c: str) -> Column:
+        old = F.col(f"o.{c}")
+        new = F.col(f"e.{c}") if c in errors.columns else F.lit(None)
+        if c == "status":
+            return F.when(broke, "error").otherwise(old)
+        if c == "is_present":
+            return F.when(broke, True).otherwise(old)
+        return F.when(broke, F.coalesce(new, old)).otherwise(old)
+
+    return both.select(*(pick(c).alias(c) for c in catalog.columns))
+
+
+def without_children_of(children: DataFrame, errors: DataFrame, key: str) -> DataFrame:
+    """Children of files that failed go: what was parsed before is no longer true."""
+    return children.join(errors.select(key).distinct(), key, "left_anti")
+
+
+def to_parse(outcomes: DataFrame, force: bool = False) -> DataFrame:
+    """The files that are parsed in this run: new and changed ones, all if forced."""
+    return outcomes if force else outcomes.filter("outcome <> 'unchanged'")
+
+
+def run_counts(outcomes: DataFrame, results: DataFrame, n_vectors: Column | None = None) -> DataFrame:
+    """One row: discovered and unchanged files of ``outcomes``; indexed and error of
+    ``results`` (status); and the sum of vectors written, if the results tell it."""
+    found = outcomes.agg(F.count(F.lit(1)).alias("discovered"), F.count_if(F.col("outcome") == "unchanged").alias("unchanged"))
+    done = results.agg(
+        F.count_if(F.col("status") == "indexed").alias("indexed"),
+        F.count_if(F.col("status") == "error").alias("error"),
+        F.coalesce(F.sum(F.lit(0) if n_vectors is None else n_vectors), F.lit(0)).alias("vectors"),
+    )
+    return found.join(F.broadcast(done))  # one row each
 
 
 def resume_answers(questions: DataFrame, answers: DataFrame, key: str = "id") -> DataFrame:

@@ -42,40 +42,46 @@ def inferred_type(value: str = "value") -> Column:
     return F.when(F.count_if(filled) == 0, "unknown").otherwise(found)
 
 
-def infer_types(cells_of: DataFrame) -> DataFrame:
-    return cells_of.groupBy("ordinal", "name").agg(inferred_type().alias("inferred_type"))
+def infer_types(cells_of: DataFrame, by: list[str] = ()) -> DataFrame:
+    """The type of each column; ``by`` names what tells tables apart."""
+    return cells_of.groupBy(*by, "ordinal", "name").agg(inferred_type().alias("inferred_type"))
 
 
-def profile(cells_of: DataFrame) -> DataFrame:
+def profile(cells_of: DataFrame, by: list[str] = ()) -> DataFrame:
     """Per column: type, nullable, distinct ratio, first distinct values and, if
-    there are few, all of them, in order of their first row.
+    there are few, all of them, in order of their first row; n_filled, n_empty and
+    ``row_ratio``, the distinct values by all rows.  ``by`` names the columns that tell
+    tables apart; without it all cells are of one table.
 
     Values are counted before they meet by column, so a column's values are never
     gathered: only its first ``SAMPLES`` and at most ``CATEGORIES + 1`` are.
     """
-    values = cells_of.groupBy("ordinal", "name", "value").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
+    column = [*by, "ordinal", "name"]
+    values = cells_of.groupBy(*column, "value").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
     filled = F.col("value") != ""
-    sums = values.groupBy("ordinal", "name").agg(
+    sums = values.groupBy(*column).agg(
         inferred_type().alias("inferred_type"),
         F.sum(F.when(filled, F.col("n")).otherwise(0)).alias("n_filled"),
         F.sum(F.when(filled, 0).otherwise(F.col("n"))).alias("n_empty"),
         F.count_if(filled).alias("n_distinct"),
     )
-    place = F.row_number().over(Window.partitionBy("ordinal").orderBy("first", "value"))
+    place = F.row_number().over(Window.partitionBy(*column).orderBy("first", "value"))
     # Spark keeps the first rows of each group in the partial step of this limit.
     heads = values.filter(filled).withColumn("place", place).filter(F.col("place") <= CATEGORIES)
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"])
-    firsts = heads.groupBy("ordinal").agg(in_order.alias("values"))
-    joined = sums.join(firsts, "ordinal", "left")
+    firsts = heads.groupBy(*column).agg(in_order.alias("values"))
+    joined = sums.join(firsts, column, "left")
     some = F.coalesce("values", F.array().cast("array<string>"))
     return joined.select(
-        "ordinal",
-        "name",
+        *column,
         "inferred_type",
         (F.col("n_empty") > 0).alias("nullable"),
         F.try_divide(F.col("n_distinct"), F.col("n_filled")).alias("distinct_ratio"),
         F.slice(some, 1, SAMPLES).alias("sample_values"),
         F.when(F.col("n_distinct") <= CATEGORIES, some).otherwise(F.array().cast("array<string>")).alias("categorical_values"),
+        "n_filled",
+        "n_empty",
+        F.try_divide(F.col("n_distinct"), F.col("n_filled") + F.col("n_empty")).alias("row_ratio"),
     )
 
 
@@ -116,3 +122,21 @@ def padded(rows: DataFrame, cell_array: str) -> DataFrame:
     return rows.withColumn(cell_array, F.concat(clean, F.array_repeat(F.lit(""), F.lit(width) - F.size(cell_array))))
 
 
+
+
+def register(found: DataFrame, types: DataFrame, names: dict[str, str], cell_array: str = "body") -> None:
+    """Typed temporary views of some tables, to be asked by ``spark.sql``.
+
+    ``found``: table_id, header and ``cell_array`` (rows of cells); ``types``: table_id,
+    ordinal, inferred_type; ``names``: table_id to the view's name, a few tables that
+    a user picked, of which only headers and types come to the driver.
+    """
+    wanted = found.filter(F.col("table_id").isin(*names))
+    headers = {r.table_id: r.header for r in wanted.select("table_id", "header").collect()}
+    kinds = {(r.table_id, r.ordinal): r.inferred_type for r in types.filter(F.col("table_id").isin(*names)).collect()}
+    for table_id, view in names.items():
+        if table_id not in headers:
+            raise ValueError(f"no table {table_id}")
+        rows = wanted.filter(F.col("table_id") == table_id).select(F.explode(cell_array).alias("cells"))
+        columns = [(n, kinds.get((table_id, i), "string")) for i, n in enumerate(headers[table_id])]
+        typed(rows, "cells", columns).createOrReplaceTempView(view)

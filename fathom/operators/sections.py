@@ -69,3 +69,170 @@ def first_by_digest(rows: DataFrame, group: list[str], content: str, order: list
     digest = cut.withColumn("digest", F.sha1(F.col(content).cast("binary")))
     alike = Window.partitionBy(*group, "digest").orderBy(*order)
     return digest.withColumn("__n", F.row_number().over(alike)).filter("__n = 1").drop("__n")
+
+
+# Characters of a slide's sections.
+SLIDE_LEAST, SLIDE_ENOUGH, SLIDE_MOST = 140, 500, 1200
+# Sections of a script that are shown to a model.
+SQL_HEAD = 12
+
+
+def document_sections(chunks: DataFrame, source: str = "source_id") -> DataFrame:
+    """(source, chunk_index, heading, content, page_start, page_end, char_count) of
+    ``chunks``: source, index, headings (array), text, and pages (array of int, may be
+    null).  Chunks without text drop, and leave gaps in the index."""
+    text = F.trim("text")
+    kept = chunks.withColumn("content", text).filter(F.length("content") > 0)
+    pages = page_range("pages") if "pages" in chunks.columns else F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
+    path = heading_path("headings")
+    return kept.select(
+        source,
+        F.col("index").alias("chunk_index"),
+        F.when(F.length(path) > 0, path).alias("heading"),
+        "content",
+        pages["start"].alias("page_start"),
+        pages["end"].alias("page_end"),
+        F.length("content").alias("char_count"),
+    )
+
+
+def slide_sections(
+    chunks: DataFrame, source: str = "source_id", least: int = SLIDE_LEAST, enough: int = SLIDE_ENOUGH, most: int = SLIDE_MOST
+) -> DataFrame:
+    """Sections of slides: (source, chunk_index, heading, content, slide_start,
+    slide_end, char_count).
+
+    ``chunks``: source, index, heading, content, slide_start, slide_end.  Chunks of the
+    same slides in a row are merged in order while they fit ``most``: one shorter
+    than ``least`` takes what follows, one of ``enough`` takes nothing more, and between
+    these the headings must agree (one begins with the other, or is missing).
+    """
+    runs = islands(chunks, [source], ["index"], ["slide_start", "slide_end"])
+    one = F.struct("index", "heading", "content", "slide_start", "slide_end")
+    grouped = runs.groupBy(source, "island").agg(F.array_sort(F.collect_list(one)).alias("parts"))  # a slide's chunks
+
+    def agree(a: Column, b: Column) -> Column:
+        none = (F.coalesce(F.length(a), F.lit(0)) == 0) | (F.coalesce(F.length(b), F.lit(0)) == 0)
+        return none | F.startswith(a, b) | F.startswith(b, a)
+
+    def joined(a: Column, b: Column) -> Column:
+        c = [F.when(F.length(F.trim(x)) > 0, F.trim(x)) for x in (a, b)]
+        return F.concat_ws("\n", *c)
+
+    def step(state: Column, part: Column) -> Column:
+        now = F.element_at(state, -1)
+        n, m = F.length(now["content"]), F.length(part["content"])
+        fits = n + m <= most
+        merge = F.when(n < least, fits).when(n >= enough, False).otherwise(fits & agree(now["heading"], part["heading"]))
+        both = F.struct(
+            now["index"].alias("index"),
+            F.when(F.length(now["heading"]) > 0, now["heading"]).otherwise(part["heading"]).alias("heading"),
+            joined(now["content"], part["content"]).alias("content"),
+            now["slide_start"].alias("slide_start"),
+            now["slide_end"].alias("slide_end"),
+        )
+        before = F.slice(state, F.lit(1), F.size(state) - 1)
+        return F.when(merge, F.array_append(before, both)).otherwise(F.array_append(state, part))
+
+    first = F.slice("parts", 1, 1)
+    folded = F.aggregate(F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0))), first, step)
+    made = grouped.select(source, F.explode(folded).alias("s")).select(source, "s.*")
+    number = F.row_number().over(Window.partitionBy(source).orderBy("index"))
+    return made.select(
+        source,
+        number.alias("chunk_index"),
+        "heading",
+        "content",
+        "slide_start",
+        "slide_end",
+        F.length("content").alias("char_count"),
+    )
+
+
+def book_sections(books: DataFrame) -> DataFrame:
+    """Sections of books read by :func:`fathom.sources.archives.read_books`: source_id,
+    section_id, chunk_index over the book, chapter_index, chapter_title, chapter_href,
+    heading, content, char_count, search_text."""
+    from fathom.operators import chunking
+
+    stem = F.regexp_replace("filename", r"\.[^.]+$", "")
+    chapters = books.filter("book.error is null").select(
+        "relative_path",
+        F.concat(F.lit("source_"), F.substring(F.sha1(F.col("relative_path").cast("binary")), 1, 16)).alias("source_id"),
+        F.coalesce("book.title", stem).alias("book_title"),
+        F.explode("book.chapters").alias("c"),
+    )
+    heading = F.coalesce("c.title", F.concat(F.lit("Chapter "), F.col("c.index").cast("string")))
+    told = chapters.select(
+        "relative_path",
+        "source_id",
+        "book_title",
+        F.col("c.index").alias("chapter_index"),
+        F.col("c.title").alias("chapter_title"),
+        F.col("c.href").alias("chapter_href"),
+        heading.alias("chapter_heading"),
+        F.concat(F.lit("# "), heading, F.lit("\n\n"), F.col("c.text")).alias("text"),
+    )
+    cut = chunking.cut(told, "text", "text").withColumnRenamed("chunk_index", "local_index").drop("heading", "search_text", "line_start", "line_end")
+    order = Window.partitionBy("source_id").orderBy("chapter_index", "local_index")
+    search = F.concat_ws(
+        "\n",
+        "chapter_heading",
+        F.concat(F.lit("EPUB: "), F.col("book_title")),
+        F.concat(F.lit("Path: "), F.col("relative_path")),
+        F.concat(F.lit("Chapter "), F.col("chapter_index").cast("string"), F.lit(": "), F.col("chapter_heading")),
+        "content",
+    )
+    key = F.concat_ws(":", "source_id", F.lit("chapter"), F.col("chapter_index").cast("string"), F.lit("chunk"), F.col("local_index").cast("string"))
+    return cut.select(
+        "source_id",
+        F.concat(F.lit("section_"), F.substring(F.sha1(key.cast("binary")), 1, 16)).alias("section_id"),
+        F.row_number().over(order).alias("chunk_index"),
+        "chapter_index",
+        "chapter_title",
+        "chapter_href",
+        F.col("chapter_heading").alias("heading"),
+        "content",
+        "char_count",
+        search.alias("search_text"),
+    )
+
+
+def with_pictures(sections: DataFrame, told: DataFrame, source: str = "source_id") -> DataFrame:
+    """Sections and, after them in their chunk_index, what models read in or said of
+    pictures.  ``told``: source, image_index, section_type (image_ocr, image_summary),
+    content; rows without content drop."""
+    last = sections.groupBy(source).agg(F.max("chunk_index").alias("last"))
+    filled = told.filter(F.length(F.trim("content")) > 0).join(last, source, "left")
+    place = F.row_number().over(Window.partitionBy(source).orderBy("image_index", "section_type"))
+    more = filled.withColumn("chunk_index", F.coalesce("last", F.lit(0)) + place).drop("last")
+    return sections.unionByName(more, allowMissingColumns=True)
+
+
+def file_sections(files: DataFrame) -> DataFrame:
+    """Sections of listed text, markdown, web and SQL files (with content): the columns
+    of ``files`` but the content, source_id, section_id, and what
+    :func:`fathom.operators.chunking.cut` gives.  Other files give none."""
+    from functools import reduce
+
+    from fathom.operators import chunking
+    from fathom.sources.files import text_of
+
+    forms = {".txt": "text", ".md": "markdown", ".html": "html", ".htm": "html", ".sql": "sql"}
+    read = text_of(files).drop("content")
+    parts = []
+    for form in ("text", "markdown", "html", "sql"):
+        own = [s for s, f in forms.items() if f == form]
+        parts.append(chunking.cut(read.filter(F.col("extension").isin(*own)), "text", form))
+    made = reduce(DataFrame.unionByName, parts)
+    source = F.concat(F.lit("source_"), F.substring(F.sha1(F.col("relative_path").cast("binary")), 1, 16))
+    prefix = F.when(F.col("extension").isin(".html", ".htm"), "websec_").otherwise("section_")
+    key = F.concat(F.col("source_id"), F.lit(":"), F.col("chunk_index").cast("string"), F.lit(":"), F.coalesce("heading", F.lit("")))
+    return made.withColumn("source_id", source).withColumn(
+        "section_id", F.concat(prefix, F.substring(F.sha1(key.cast("binary")), 1, 16))
+    )
+
+
+def script_head(sections: DataFrame, most: int = SQL_HEAD) -> DataFrame:
+    """The first sections of scripts: what a model is shown of them."""
+    return sections.filter(F.col("chunk_index") <= most)

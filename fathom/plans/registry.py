@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import scalars as S
-from fathom.operators import catalog, chunking, profile, qa, search, sections
+from fathom.functions import search_texts
+from fathom.operators import aggregates, catalog, chunking, profile, qa, retrieval, search, sections, transcripts
 from fathom.sources import files
 from fathom.streaming import ingest
 
@@ -89,7 +90,7 @@ def file_summary_priority(spark, sf_dir):
 
 @query("SELECT source, count(*) AS n_tables FROM documents GROUP BY source")
 def table_count(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_tables"))
+    return aggregates.count_per_key(table(spark, sf_dir, "documents"), "source", "n_tables")
 
 
 @query(
@@ -101,16 +102,27 @@ def ilike_search(spark, sf_dir):
     return search.lexical(joined, "text", "license", ["source", "doc_id"]).select("doc_id", "source", "quality")
 
 
+# Written out here, so that a wrong list in the library shows.
+STOP_SQL = """'how','many','what','where','which','the','and','are','for','from','with','contain','in','of','to','is','a','by',
+'that','this','be','been','has','have','had','do','does','did','were','was','or','but','about','at','on','determine',
+'calculate','find','show','me','cho','tôi','xem','là','bao','nhiêu','của','trong','các','được','có','nào','đối','với','môn',
+'học','nhóm','đi','hihihi','cơ','bản','sự','cách','dự','án','tạo','ra','tác','động','bền','vững','gì','hãy','lựa','chọn',
+'đáp','đúng','dưới','đây','theo','tổng','số','thành','viên','hiện','tại','nhất','không','tính','mới','yêu','cầu','chỉ',
+'trả','về','tự','định','nghĩa','tài','liệu','cụ','thể'"""
+
+
 @query(
-    r"""WITH t AS (SELECT item_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}_\s\-.]', ' ', 'g'), '\s+'),
-      lambda w: length(w) > 2) AS w FROM benchmark),
+    r"""WITH q AS (SELECT item_id, text || ' How MANY (of) "the" nhiêu học-sinh a.b xy?' AS text FROM benchmark),
+    t AS (SELECT item_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}_\s\-.]', '', 'g'), '\s+'),
+      lambda w: length(w) > 2) AS w FROM q),
     d AS (SELECT item_id, list_filter(w, lambda x, i: list_position(w, x) = i AND x NOT IN ("""
-    + ", ".join(f"'{w}'" for w in S.STOP_WORDS)
+    + STOP_SQL
     + r""")) AS tokens FROM t)
     SELECT item_id, len(tokens)::INT AS n_tokens, array_to_string(tokens, ' ') AS tokens FROM d"""
 )
 def keyword_tokens(spark, sf_dir):
-    made = table(spark, sf_dir, "benchmark").select("item_id", S.query_tokens("text").alias("t"))
+    asked = F.concat("text", F.lit(' How MANY (of) "the" nhiêu học-sinh a.b xy?'))
+    made = table(spark, sf_dir, "benchmark").select("item_id", S.query_tokens(asked).alias("t"))
     return made.select("item_id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
@@ -296,11 +308,7 @@ def stable_ids(spark, sf_dir):
       row_number() OVER (PARTITION BY lang, sha1(text) ORDER BY doc_id) AS n FROM documents) WHERE n = 1"""
 )
 def dedup_digest(spark, sf_dir):
-    """First of each text in a language, found with the least id per digest: the
-    texts themselves are not shuffled."""
-    docs = table(spark, sf_dir, "documents")
-    digests = docs.groupBy("lang", F.sha1(F.col("text").cast("binary")).alias("digest"))
-    return digests.agg(F.min("doc_id").alias("doc_id")).select("doc_id", "lang", "digest")
+    return aggregates.first_per_digest(table(spark, sf_dir, "documents"), ["lang"], "text", "doc_id")
 
 
 @query(
@@ -369,8 +377,8 @@ def resume_answers(spark, sf_dir):
 
 @query("SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderdate >= DATE '1995-01-01' AND o_orderdate < DATE '1996-01-01'")
 def range_sum(spark, sf_dir):
-    wanted = table(spark, sf_dir, "orders").filter("o_orderdate >= timestamp_ntz '1995-01-01' and o_orderdate < timestamp_ntz '1996-01-01'")
-    return wanted.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    year = "o_orderdate >= timestamp_ntz '1995-01-01' and o_orderdate < timestamp_ntz '1996-01-01'"
+    return aggregates.filtered_sum(table(spark, sf_dir, "orders"), year, "o_totalprice")
 
 
 @query(
@@ -378,19 +386,14 @@ def range_sum(spark, sf_dir):
       ORDER BY c_acctbal DESC, c_custkey) AS n FROM customer) WHERE n = 1"""
 )
 def group_argmax(spark, sf_dir):
-    """The richest customer of each segment, by one aggregation without a sort."""
-    best = F.max(F.struct("c_acctbal", (-F.col("c_custkey")).alias("k"))).alias("best")
-    found = table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(best)
-    return found.select("c_mktsegment", (-F.col("best.k")).alias("c_custkey"), F.col("best.c_acctbal").alias("c_acctbal"))
+    return aggregates.largest_per_group(table(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal", "c_custkey")
 
 
 @query(
     """SELECT l_returnflag, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM lineitem GROUP BY l_returnflag"""
 )
 def pct_of_total(spark, sf_dir):
-    counts = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
-    whole = F.sum("n").over(Window.partitionBy())  # over the few groups
-    return counts.select("l_returnflag", "n", F.round(F.lit(100.0) * F.col("n") / whole, 6).alias("pct"))
+    return aggregates.share_of_total(table(spark, sf_dir, "lineitem"), "l_returnflag")
 
 
 @query(
@@ -399,10 +402,10 @@ def pct_of_total(spark, sf_dir):
     JOIN (SELECT s_nationkey AS k, avg(s_acctbal) AS avg_s FROM supplier GROUP BY 1) s ON n_nationkey = s.k"""
 )
 def two_source_diff(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.avg("c_acctbal").alias("avg_c"))
-    s = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.avg("s_acctbal").alias("avg_s"))
-    joined = table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "k").join(c, "k").join(s, "k")
-    return joined.select("n_name", F.round(F.col("avg_c") - F.col("avg_s"), 6).alias("difference"))
+    c = table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "n_nationkey")
+    s = table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "n_nationkey")
+    means = aggregates.difference_of_means(c, s, "n_nationkey", "c_acctbal", "s_acctbal")
+    return table(spark, sf_dir, "nation").join(means, "n_nationkey").select("n_name", "difference")
 
 
 @query()
@@ -439,17 +442,36 @@ def ext_lookup(spark, sf_dir):
     return pages.select("page_id", "suffix", F.coalesce(F.element_at(files._suffix_map(2), F.col("suffix")), F.lit("unknown")).alias("modality"))
 
 
+# Written out here, so that a wrong list in the library shows.
+ROUTES_SQL = (
+    ("image", "image|picture|photo|figure|\\.png|\\.jpg|\\.jpeg"),
+    ("tabular", "csv|xlsx|excel|spreadsheet|column|correlation|average"),
+    ("database", "database|sqlite|\\.db"),
+    ("audio", "audio|speech|recording|\\.mp3|\\.wav"),
+    ("video", "video|clip|\\.mp4"),
+    ("epub", "epub|book|chapter"),
+    ("slideshow", "slide|presentation|\\.ppt"),
+    ("document", "pdf|docx|report|paper"),
+    ("web", "html|web page|website"),
+    ("sql_script", "\\.sql|sql script"),
+)
+ASKED = (
+    "Which COLUMN of data.csv", "the slide on page 3 of the report", "", "sqlite or a .db file", "a clip.mp4 with speech",
+    "sql script", "Chapter two of the book", "the website's picture", "nothing special", "AVERAGE",
+)
+
+
 @query(
-    """SELECT item_id, CASE WHEN modality = '' THEN 'text,tabular,document' ELSE modality END AS modalities FROM (
-      SELECT item_id, array_to_string(list_filter([ """
-    + ", ".join(
-        "CASE WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + f" THEN '{name}' END"
-        for name, words in qa.ROUTES.items()
-    )
-    + """], lambda x: x IS NOT NULL), ',') AS modality FROM benchmark)"""
+    "WITH q AS (SELECT item_id, text || ' ' || (["
+    + ", ".join("'" + a.replace("'", "''") + "'" for a in ASKED)
+    + "])[item_id % 10 + 1] AS text FROM benchmark), r AS (SELECT item_id, array_to_string(list_filter(["
+    + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{words}') THEN '{name}' END" for name, words in ROUTES_SQL)
+    + "], lambda x: x IS NOT NULL), ',') AS m FROM q) SELECT item_id, CASE WHEN m = '' THEN 'text,tabular,document' ELSE m END AS modalities FROM r"
 )
 def route_questions(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(qa.route("text"), ",").alias("modalities"))
+    more = F.element_at(F.array(*map(F.lit, ASKED)), (F.col("item_id") % 10 + 1).cast("int"))
+    asked = F.concat("text", F.lit(" "), more)
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(qa.route(asked), ",").alias("modalities"))
 
 
 @query(
@@ -459,3 +481,324 @@ def route_questions(spark, sf_dir):
 def event_windows(spark, sf_dir):
     counts = ingest.event_counts(table(spark, sf_dir, "events"))
     return counts.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+PROFILED = (("part", "p_partkey", PART), ("events", "event_id", EVENTS))
+
+
+@query(
+    "WITH c AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{t}' AS table_id, {i} AS ordinal, '{c}' AS name, coalesce(trim({c}::VARCHAR), '') AS value FROM {t}"
+        for t, _, columns in PROFILED
+        for i, c in enumerate(columns)
+    )
+    + """) SELECT table_id, ordinal, name, count(*) FILTER (value <> '') AS n_filled, count(*) FILTER (value = '') AS n_empty,
+      round(count(DISTINCT value) FILTER (value <> '') / count(*), 9) AS row_ratio FROM c GROUP BY ALL"""
+)
+def profile_tables(spark, sf_dir):
+    """Columns of two tables profiled in one job, told apart by table_id."""
+    made = []
+    for name, key, columns in PROFILED:
+        rows = table(spark, sf_dir, name)
+        if name == "events":
+            rows = rows.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+        cells = profile.cells(profile.as_text(rows), key, list(columns)).withColumn("row", F.col("row").cast("long"))
+        made.append(cells.withColumn("table_id", F.lit(name)))
+    found = profile.profile(made[0].unionByName(made[1]), ["table_id"])
+    return found.select("table_id", "ordinal", "name", "n_filled", "n_empty", F.round("row_ratio", 9).alias("row_ratio"))
+
+
+@query(
+    OLD_NEW
+    + """, e AS (SELECT relative_path, 'broken ' || k::VARCHAR AS message, k FROM b WHERE k IN (1, 3))
+    SELECT coalesce(o.relative_path, e.relative_path) AS relative_path, CASE WHEN e.k IS NOT NULL THEN 'error' ELSE 'indexed' END AS status,
+      coalesce(e.message, '') AS error_message, coalesce(CASE WHEN e.k = 1 THEN NULL ELSE o.file_summary END, '') AS file_summary,
+      coalesce(o.size_bytes, -1) AS size_bytes
+    FROM o FULL JOIN e USING (relative_path)"""
+)
+def save_errors(spark, sf_dir):
+    """Files that fail: some have a row, which keeps its summary; some are new."""
+    old, _ = _snapshots(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", F.concat("lang", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    k = F.col("doc_id") % 10
+    errors = docs.filter(k.isin(1, 3)).select(path.alias("relative_path"), F.concat(F.lit("broken "), k.cast("string")).alias("error_message"))
+    saved = catalog.save_errors(old.withColumn("error_message", F.lit(None).cast("string")), errors, "relative_path")
+    told = (F.coalesce(c, F.lit("")).alias(c) for c in ("error_message", "file_summary"))
+    return saved.select("relative_path", "status", *told, F.coalesce("size_bytes", F.lit(-1)).alias("size_bytes"))
+
+
+@query(
+    OLD_NEW
+    + """SELECT n.relative_path, f.force FROM n LEFT JOIN o USING (relative_path), (VALUES (true), (false)) f(force)
+    WHERE f.force OR o.relative_path IS NULL OR NOT (o.size_bytes = n.size_bytes AND o.t = n.t)"""
+)
+def forced_parse(spark, sf_dir):
+    """What a run parses, with and without being forced to."""
+    old, new = _snapshots(spark, sf_dir)
+    outcomes = catalog.with_outcome(new, old, "relative_path")
+    both = [catalog.to_parse(outcomes, f).select("relative_path", F.lit(f).alias("force")) for f in (True, False)]
+    return both[0].unionByName(both[1])
+
+
+@query(
+    OLD_NEW
+    + """SELECT count(*) AS discovered, count(*) FILTER (u) AS unchanged, count(*) FILTER (NOT u AND k <> 3) AS indexed,
+      count(*) FILTER (NOT u AND k = 3) AS error, coalesce(sum(n.size_bytes) FILTER (NOT u), 0)::BIGINT AS vectors
+    FROM (SELECT n.*, coalesce(o.size_bytes = n.size_bytes AND o.t = n.t, false) AS u FROM n LEFT JOIN o USING (relative_path)) n"""
+)
+def indexing_counts(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    outcomes = catalog.with_outcome(new, old, "relative_path")
+    failed = F.regexp_extract("relative_path", r"-(\d+)\.txt$", 1).cast("long") % 10 == 3
+    results = catalog.to_parse(outcomes).withColumn("status", F.when(failed, "error").otherwise("indexed"))
+    return catalog.run_counts(outcomes, results, F.col("size_bytes"))
+
+
+@query(
+    """WITH o AS (SELECT doc_id, n_chars AS size, CASE WHEN doc_id % 4 > 0 THEN source END AS etag, doc_id % 5 AS t,
+      CASE WHEN doc_id % 7 = 0 THEN 'error' ELSE 'identified' END AS status FROM documents),
+    n AS (SELECT doc_id, n_chars + CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END AS size,
+      CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN 'other' ELSE source END AS etag,
+      CASE WHEN doc_id % 3 = 0 THEN doc_id % 5 END AS t FROM documents)
+    SELECT doc_id, CASE WHEN o.status = 'identified' AND o.size = n.size AND coalesce(
+      CASE WHEN o.etag IS NOT NULL AND n.etag IS NOT NULL THEN o.etag = n.etag ELSE o.t = n.t END, false) THEN 'unchanged' ELSE 'changed' END AS outcome
+    FROM n JOIN o USING (doc_id)"""
+)
+def unchanged_objects(spark, sf_dir):
+    """Objects whose inventory row still holds, by etag or by time of change."""
+    docs = table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    version = F.lit(None).cast("string").alias("version_id")
+    old = docs.select(
+        "doc_id", F.col("n_chars").alias("size_bytes"), version, F.when(i % 4 > 0, F.col("source")).alias("etag"),
+        F.timestamp_seconds(i % 5).alias("last_modified"), F.when(i % 7 == 0, "error").otherwise("identified").alias("status"),
+    )
+    new = docs.select(
+        "doc_id", (F.col("n_chars") + F.when(i % 11 == 0, 1).otherwise(0)).alias("size_bytes"), version,
+        F.when(i % 6 == 0, None).when(i % 13 == 0, "other").otherwise(F.col("source")).alias("etag"),
+        F.when(i % 3 == 0, F.timestamp_seconds(i % 5)).alias("last_modified"),
+    )
+    return catalog.with_outcome(new, old, "doc_id", catalog.same_object()).select("doc_id", "outcome")
+
+
+def _conversation_index(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Conversations as text files, and their turns as sections."""
+    turns = table(spark, sf_dir, "conversations")
+    source = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
+    children = turns.select(
+        F.concat_ws(":", source, F.col("turn").cast("string")).alias("child_id"),
+        source.alias("source_id"),
+        F.col("role").alias("heading"),
+        F.col("text").alias("content"),
+        S.search_text("role", "text").alias("search_text"),
+        F.col("turn").alias("line_start"),
+        (F.col("turn") + 1).alias("line_end"),
+    )
+    first = turns.filter("turn < 3").groupBy("conv_id").agg(F.collect_list(F.struct("turn", F.col("role").alias("heading"))).alias("s"))
+    name = F.concat(F.lit("talk-"), F.col("conv_id").cast("string"), F.lit(".txt"))
+    files = first.select(
+        source.alias("source_id"),
+        name.alias("filename"),
+        F.concat(F.lit("talks/"), name).alias("relative_path"),
+        F.concat(F.lit("A talk of "), F.size("s").cast("string")).alias("file_summary"),
+        F.array_sort("s").alias("sections"),
+    )
+    return files.withColumn("file_search_text", search_texts.file_search_text(files, "text")), children
+
+
+TALKS = """WITH f AS (SELECT 'c' || conv_id AS source_id, 'talk-' || conv_id || '.txt' AS filename, 'talks/talk-' || conv_id || '.txt' AS relative_path,
+    'A talk of ' || count(*) AS file_summary, string_agg(role, chr(10) ORDER BY turn) AS heads FROM conversations WHERE turn < 3 GROUP BY conv_id),
+  c AS (SELECT 'c' || conv_id || ':' || turn AS child_id, 'c' || conv_id AS source_id, role || chr(10) || text AS search_text, turn FROM conversations) """
+
+
+@query(
+    TALKS
+    + """SELECT source_id || ':file' AS doc_id, 'file' AS record_type, source_id, '' AS child_id,
+      sha1(filename || chr(10) || relative_path || chr(10) || file_summary || chr(10) || heads) AS digest FROM f
+    UNION ALL SELECT child_id, 'section', source_id, child_id, sha1(search_text) FROM c"""
+)
+def search_docs(spark, sf_dir):
+    files, children = _conversation_index(spark, sf_dir)
+    made = retrieval.search_docs(files, children, "text")
+    return made.select("doc_id", "record_type", "source_id", F.coalesce("child_id", F.lit("")).alias("child_id"), F.sha1(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(
+    TALKS
+    + f""", h AS (SELECT 'c' || (vec_id % 120) AS source_id, vec_id, label % 2 AS k, {COSINE} AS score FROM embeddings e, {FIRST} ORDER BY score, vec_id LIMIT 40)
+    SELECT 'file' AS record_type, relative_path AS file_path, score, sha1(file_summary) AS content, -1::BIGINT AS "start",
+      './' || relative_path AS execution_file_path, '/lake/' || relative_path AS absolute_file_path
+    FROM h JOIN f USING (source_id) WHERE k = 0
+    UNION ALL SELECT 'section', relative_path, score, sha1(search_text), turn, './' || relative_path, '/lake/' || relative_path
+    FROM h JOIN c ON c.child_id = h.source_id || ':' || (vec_id % 4) JOIN f ON f.source_id = c.source_id WHERE k = 1"""
+)
+def hit_dispatch(spark, sf_dir):
+    """Hits on files and on sections with the rows behind them; some are gone."""
+    files, children = _conversation_index(spark, sf_dir)
+    vectors = table(spark, sf_dir, "embeddings")
+    near = search.top(search.scored(vectors, _first_vector(vectors), digits=6), ["score", "vec_id"], 40)
+    source = F.concat(F.lit("c"), (F.col("vec_id") % 120).cast("string"))
+    hits = near.select(
+        F.when(F.col("label") % 2 == 0, "file").otherwise("section").alias("record_type"),
+        source.alias("source_id"),
+        F.concat_ws(":", source, (F.col("vec_id") % 4).cast("string")).alias("child_id"),
+        "score",
+    )
+    found = retrieval.hydrated(hits, files, children, "text", "/lake")
+    return found.select(
+        "record_type",
+        "file_path",
+        "score",
+        F.sha1(F.col("content").cast("binary")).alias("content"),
+        F.coalesce(F.col("position.start").cast("long"), F.lit(-1)).alias("start"),
+        "execution_file_path",
+        "absolute_file_path",
+    )
+
+
+@query(
+    """WITH p AS (SELECT page_id, regexp_extract(url, '[^/]+$') || (['.md', '.pdf', '.csv', '.html'])[page_id % 4 + 1] AS filename FROM pages),
+    f AS (SELECT 'd' || lpad(page_id::VARCHAR, 6, '0') || '/' || filename AS relative_path, filename FROM p WHERE filename IS NOT NULL),
+    r AS (SELECT relative_path, 0 AS rank FROM f WHERE filename LIKE '%.pdf' AND (contains(lower(filename), '825') OR contains(lower(filename), '7.pdf')
+        OR contains('what do the 825 and 7.pdf show', lower(filename)))
+      UNION ALL SELECT relative_path, 1 FROM f WHERE filename LIKE '%.pdf')
+    SELECT relative_path, CASE rank WHEN 0 THEN 'named' ELSE 'modality' END AS reason FROM r WHERE rank = (SELECT min(rank) FROM r)
+    ORDER BY relative_path LIMIT 6"""
+)
+def filesystem_search(spark, sf_dir):
+    """Files for a question where no index has anything."""
+    pages = table(spark, sf_dir, "pages")
+    suffix = F.element_at(F.array(*map(F.lit, (".md", ".pdf", ".csv", ".html"))), (F.col("page_id") % 4 + 1).cast("int"))
+    name = F.concat(F.regexp_extract("url", "[^/]+$", 0), suffix)
+    folder = F.concat(F.lit("d"), F.lpad(F.col("page_id").cast("string"), 6, "0"), F.lit("/"))
+    files = pages.select(F.concat(folder, name).alias("relative_path"), name.alias("filename"), suffix.alias("extension"))
+    found = retrieval.filesystem_search(files, "What do the 825 and 7.pdf show?", "document")
+    return found.select("relative_path", "reason")
+
+
+@query(
+    """SELECT conv_id, substr(string_agg(text, chr(10) ORDER BY turn), 1, 1200) AS excerpt FROM conversations WHERE turn < 3 GROUP BY conv_id"""
+)
+def ocr_excerpts(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").filter("turn < 3")
+    texts = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return texts.select("conv_id", search_texts.ocr_excerpt(F.transform("t", lambda x: x["text"])).alias("excerpt"))
+
+
+@query("SELECT conv_id, turn + 1 AS chunk_index, text AS content FROM conversations WHERE turn < 12 AND turn % 2 = 0")
+def script_heads(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").filter("turn % 2 = 0")
+    parts = turns.select("conv_id", (F.col("turn") + 1).alias("chunk_index"), F.col("text").alias("content"))
+    return sections.script_head(parts)
+
+
+@query(
+    """SELECT event_type, coalesce(round(sum(CASE WHEN event_id % 3 = 0 AND event_type <> 'error' THEN value END), 6), -1) AS cost,
+      round(sum(CASE WHEN event_id % 2 = 0 THEN value END), 6) AS seconds, count(*) AS n_chunks FROM events GROUP BY event_type"""
+)
+def usage_sums(spark, sf_dir):
+    """Costs and seconds of model calls; where no call tells a cost there is none."""
+    e = table(spark, sf_dir, "events")
+    cost = F.when((F.col("event_id") % 3 == 0) & (F.col("event_type") != "error"), F.col("value"))
+    parts = e.select("event_type", cost.alias("cost_usd"), F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("seconds"))
+    found = transcripts.usage(parts, "event_type")
+    return found.select("event_type", F.coalesce(F.round("cost", 6), F.lit(-1.0)).alias("cost"), F.round("seconds", 6).alias("seconds"), "n_chunks")
+
+
+@query("SELECT doc_id, source, lang FROM documents WHERE doc_id IN (SELECT item_id * 3 FROM benchmark) OR doc_id IN (1, 2, 500)")
+def point_lookups(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    ids = table(spark, sf_dir, "benchmark").select((F.col("item_id") * 3).alias("doc_id"))
+    return retrieval.by_ids(docs, "doc_id", ids).unionByName(retrieval.by_ids(docs, "doc_id", [1, 2, 500])).distinct()
+
+
+@query(
+    """SELECT conv_id, turn AS chunk_index, CASE WHEN turn % 2 = 0 THEN role || ' > part' ELSE '' END AS heading, sha1(trim(text)) AS content,
+      turn AS page_start, turn + 2 AS page_end, length(trim(text))::INT AS char_count FROM conversations WHERE turn % 3 <> 1"""
+)
+def document_sections(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations")
+    even = F.col("turn") % 2 == 0
+    chunks = t.select(
+        "conv_id",
+        F.col("turn").alias("index"),
+        F.when(even, F.array(F.col("role"), F.lit(" "), F.lit("part"))).otherwise(F.array(F.lit(""))).alias("headings"),
+        F.when(F.col("turn") % 3 == 1, F.lit("  ")).otherwise(F.col("text")).alias("text"),
+        F.array(F.col("turn") + 1, F.col("turn") + 2, F.col("turn")).alias("pages"),
+    )
+    found = sections.document_sections(chunks, "conv_id")
+    return found.withColumn("content", F.sha1(F.col("content").cast("binary"))).withColumn("heading", F.coalesce("heading", F.lit("")))
+
+
+@query(
+    """WITH n AS (SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+    SELECT conv_id, turn, round(10 + turn * 60.0::DOUBLE / n, 6) AS start_seconds, round(10 + (turn + 1) * 60.0::DOUBLE / n, 6) AS end_seconds FROM n"""
+)
+def chunk_times(spark, sf_dir):
+    n = F.count(F.lit(1)).over(Window.partitionBy("conv_id"))
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", n.alias("n"))
+    share = sections.time_share(F.col("turn"), F.col("n"), F.lit(10.0), F.lit(70.0))
+    return t.select("conv_id", "turn", F.round(share["start_seconds"], 6).alias("start_seconds"), F.round(share["end_seconds"], 6).alias("end_seconds"))
+
+
+@query(
+    r"""SELECT doc_id, regexp_replace(lower(source || '_' || lang || ' X'), '[^\p{L}\p{N}]', '', 'g') AS identifier,
+      CASE WHEN n_chars < 3600 THEN printf('%02d:%02d', n_chars // 60, n_chars % 60)
+        ELSE printf('%02d:%02d:%02d', n_chars // 3600, n_chars // 60 % 60, n_chars % 60) END AS clock,
+      round(CASE doc_id % 3 WHEN 0 THEN n_chars / 7.0::DOUBLE WHEN 1 THEN n_chars::DOUBLE ELSE -1 END, 6) AS rate,
+      CASE doc_id % 3 WHEN 1 THEN n_chars ELSE -1 END AS whole,
+      replace(source || '/' || lang || '/f.txt', '//', '/') AS path,
+      source || ' ' || lang || ' report' AS plain, doc_id % 5 = 0 OR contains(source, 'src1') AS named
+    FROM documents"""
+)
+def scalar_texts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    n = F.col("n_chars").cast("string")
+    k = F.col("doc_id") % 3
+    number = F.when(k == 0, F.concat(n, F.lit("/7"))).when(k == 1, n).otherwise("n/a")
+    path = F.concat(F.lit("./"), F.col("source"), F.lit("\\"), F.col("lang"), F.lit("/f.txt"))
+    asked = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("Open "), F.upper("source"), F.lit(" now"))).otherwise("other words")
+    return d.select(
+        "doc_id",
+        S.normal_identifier(F.concat("source", F.lit("_"), "lang", F.lit(" X"))).alias("identifier"),
+        S.clock("n_chars").alias("clock"),
+        F.round(F.coalesce(S.rate(number), F.lit(-1.0)), 6).alias("rate"),
+        F.coalesce(S.safe_int(number), F.lit(-1)).alias("whole"),
+        S.relative_path(path).alias("path"),
+        S.plain_name(F.concat("source", F.lit("_"), "lang", F.lit("-report.pdf"))).alias("plain"),
+        S.name_matches(asked, F.array(F.lit("src1")), "source").alias("named"),
+    )
+
+
+@query(
+    """WITH o AS (SELECT label, 'f' || (vec_id % 7) AS path, min(vec_id) AS rank FROM embeddings GROUP BY ALL)
+    SELECT label AS question_id, string_agg(path, ',' ORDER BY rank, path) AS evidences FROM o GROUP BY label"""
+)
+def evidence_files(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    told = e.select(F.col("label").alias("question_id"), F.concat(F.lit("f"), (F.col("vec_id") % 7).cast("string")).alias("relative_path"), F.col("vec_id").alias("rank"))
+    return retrieval.evidence(told).select("question_id", F.array_join("evidences", ",").alias("evidences"))
+
+
+@query(
+    """WITH t AS (SELECT conv_id, turn, text, turn // 2 AS slide, row_number() OVER (PARTITION BY conv_id, turn // 2 ORDER BY turn) AS k,
+      lead(text) OVER (PARTITION BY conv_id, turn // 2 ORDER BY turn) AS next FROM (SELECT conv_id, turn, left(text, 40 + (turn * 37 + conv_id * 11) % 700) AS text FROM conversations)),
+    m AS (SELECT *, CASE WHEN length(trim(text)) < 140 THEN length(trim(text)) + length(trim(next)) <= 1200
+      WHEN length(trim(text)) >= 500 THEN false ELSE length(trim(text)) + length(trim(next)) <= 1200 END AS merged FROM t WHERE k = 1),
+    s AS (SELECT conv_id, slide, turn, CASE WHEN next IS NOT NULL AND merged THEN trim(text) || chr(10) || trim(next) ELSE trim(text) END AS content FROM m
+      UNION ALL SELECT t.conv_id, t.slide, t.turn, trim(t.text) FROM t JOIN m ON m.conv_id = t.conv_id AND m.slide = t.slide WHERE t.k = 2 AND NOT m.merged)
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS chunk_index, slide AS slide_start, sha1(content) AS content FROM s"""
+)
+def slide_sections(spark, sf_dir):
+    """Turns as texts of slides, two a slide, merged where they are short."""
+    t = table(spark, sf_dir, "conversations")
+    text = F.trim(F.substr("text", F.lit(1), (F.lit(40) + (F.col("turn") * 37 + F.col("conv_id") * 11) % 700).cast("int")))
+    slide = F.floor(F.col("turn") / 2)
+    chunks = t.select(
+        "conv_id", F.col("turn").alias("index"), F.lit(None).cast("string").alias("heading"), text.alias("content"),
+        slide.alias("slide_start"), slide.alias("slide_end"),
+    )
+    found = sections.slide_sections(chunks, "conv_id")
+    return found.select("conv_id", "chunk_index", "slide_start", F.sha1(F.col("content").cast("binary")).alias("content"))

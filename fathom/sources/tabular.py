@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions.scalars import is_boolean, is_date, is_datetime, is_float, is_integer, normal_identifier, stable_id, strip
@@ -26,6 +26,7 @@ SNIFFED = 8192
 HEADER_ROWS = 10
 CONTEXT_ROWS = 3
 MOST_SHEETS = 50
+PREVIEW_ROWS = 20
 # Units that stand alone in a row under a header.
 UNITS = ("%", "ppm", "ppb", "mg/kg", "ug/g", "μg/g", "cm", "mm", "m", "ky", "ka", "ma", "wt%")
 # Names of sheets and columns that describe other sheets.
@@ -57,8 +58,8 @@ def _place(reference: str) -> int:
 
 
 def workbook(data: bytes, suffix: str = ".xlsx") -> list[tuple[str, list[list[str]]]]:
-    """Sheets in order, by name.  Numbers stay as they are written, booleans become
-    true and false, gaps empty cells; blank rows drop."""
+    """Sheets in order, by name, those without a filled cell left out.  Numbers stay as
+    they are written, booleans become true and false, gaps empty cells; blank rows drop."""
     with zipfile.ZipFile(io.BytesIO(data)) as book:
 
         def tree(name: str):
@@ -75,8 +76,10 @@ def workbook(data: bytes, suffix: str = ".xlsx") -> list[tuple[str, list[list[st
         targets = {r.get("Id"): r.get("Target") for r in tree("xl/_rels/workbook.xml.rels")}
         out = []
         for sheet in [s for s in tree("xl/workbook.xml").iter() if s.tag.endswith("}sheet")][:MOST_SHEETS]:
-            link = next(v for k, v in sheet.attrib.items() if k.endswith("}id"))
-            target = targets[link].lstrip("/")
+            target = targets.get(next((v for k, v in sheet.attrib.items() if k.endswith("}id")), None))
+            if target is None:
+                continue  # a sheet that nothing stands behind
+            target = target.lstrip("/")
             rows = []
             for row in (r for r in tree(target if target.startswith("xl/") else f"xl/{target}").iter() if r.tag.endswith("}row")):
                 cells: list[str] = []
@@ -94,7 +97,8 @@ def workbook(data: bytes, suffix: str = ".xlsx") -> list[tuple[str, list[list[st
                     cells[at] = value
                 if any(c.strip() for c in cells):
                     rows.append(cells)
-            out.append((sheet.get("name", ""), rows))
+            if rows:
+                out.append((sheet.get("name", ""), rows))
         return out
 
 
@@ -126,48 +130,94 @@ def sql_tables(data: bytes, suffix: str = ".sql") -> list[tuple[str, list[list[s
 
 
 READERS = {".csv": delimited, ".tsv": delimited, ".xlsx": workbook, ".db": database, ".sqlite": database, ".sqlite3": database, ".sql": sql_tables}
-TABLES = "struct<tables:array<struct<name:string,rows:array<array<string>>>>,error:string>"
+TABLES = "struct<tables:array<struct<name:string,rows:array<array<string>>>>,status:string,error:string,warnings:array<string>>"
+#: What becomes of a file: parsed; or its format has no reader here; or it broke.
+PARSED, UNSUPPORTED, ERROR = "parsed", "unsupported", "error"
+EMPTY_WARNING = "The file has no filled cell; it is a table of 0 rows and 0 columns."
 ARROW_TABLES = pa.struct(
     [
         ("tables", pa.list_(pa.struct([("name", pa.string()), ("rows", pa.list_(pa.list_(pa.string())))]))),
+        ("status", pa.string()),
         ("error", pa.string()),
+        ("warnings", pa.list_(pa.string())),
     ]
 )
 
 
+def _parse(data: bytes | None, suffix: str) -> dict:
+    if suffix not in READERS:
+        return {"status": UNSUPPORTED, "error": f"no reader for {suffix or 'a name without a suffix'}", "warnings": []}
+    if data is None:
+        return {"status": ERROR, "error": "the file is too large to be read whole", "warnings": []}
+    try:
+        found = READERS[suffix](data, suffix)
+    except Exception as e:  # one broken file must not stop the others
+        return {"status": ERROR, "error": f"{type(e).__name__}: {e}", "warnings": []}
+    warnings = []
+    if not any(r for _, r in found):
+        found, warnings = found or [("", [])], [EMPTY_WARNING]
+    return {"tables": [{"name": n, "rows": r} for n, r in found], "status": PARSED, "warnings": warnings}
+
+
 def _read(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for contents, suffixes in batches:
-        out = []
-        for data, suffix in zip(contents.to_pylist(), suffixes.to_pylist(), strict=True):
-            try:
-                found = READERS[suffix](data or b"", suffix)
-                out.append({"tables": [{"name": n, "rows": r} for n, r in found], "error": None})
-            except Exception as e:  # one broken file must not stop the others
-                out.append({"tables": None, "error": f"{type(e).__name__}: {e}" or "unreadable"})
-        yield pa.array(out, ARROW_TABLES)
+        pairs = zip(contents.to_pylist(), suffixes.to_pylist(), strict=True)
+        yield pa.array([_parse(data, suffix) for data, suffix in pairs], ARROW_TABLES)
 
 
 _read.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
 
 
 def read(files: DataFrame) -> DataFrame:
-    """Listed files (with content) with ``parsed``: tables of text rows, or an error.
-    A suffix without a reader gives an error."""
+    """Listed files (with content) with ``parsed``: status (PARSED, UNSUPPORTED or
+    ERROR), tables of text rows, error, warnings.  Content that is null, as of files too
+    large to be held, is an error, not an empty table."""
     return files.withColumn("parsed", F.arrow_udf(_read, TABLES).asNondeterministic()(F.col("content"), F.col("extension"))).drop("content")
 
 
+def large(spark: SparkSession, root: str, relative_paths: list[str], separator: str = ",") -> DataFrame:
+    """(relative_path, row, cells) of delimited files of any size: they are split into
+    lines, which many tasks read.  ``row`` ascends with the lines of a file, with gaps.
+    A quoted cell must not hold a line end; blank lines drop, ragged rows stay."""
+    at = root.rstrip("/")
+    lines = spark.read.text([f"{at}/{p}" for p in relative_paths])
+    scheme = r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?"
+    base = re.sub(scheme, "", at) + "/"
+    relative = F.substr(F.regexp_replace(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), scheme, ""), F.lit(len(base) + 1))
+    told = lines.select(relative.alias("relative_path"), (F.col("_metadata.file_block_start") * 1).alias("start"), "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[str, int], int] = {}
+        for batch in batches:
+            paths, starts, rows, cells = [], batch.column("start").to_pylist(), [], []
+            for path, start, line in zip(batch.column("relative_path").to_pylist(), starts, batch.column("value").to_pylist(), strict=True):
+                n = seen[path, start] = seen.get((path, start), -1) + 1
+                line = line.removeprefix("\ufeff") if start == n == 0 else line
+                if line.replace(separator, "").strip():
+                    paths.append(path)
+                    rows.append(start + n)  # a line has a byte or more, so blocks don't overlap
+                    cells.append(next(csv.reader([line], delimiter=separator)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(paths, pa.string()), pa.array(rows, pa.int64()), pa.array(cells, pa.list_(pa.string()))],
+                ["relative_path", "row", "cells"],
+            )
+
+    return told.mapInArrow(run, "relative_path string, row long, cells array<string>")
+
+
 def _data_like(cell):
     return is_boolean(cell) | is_integer(cell) | is_float(cell) | is_date(cell) | is_datetime(cell)
 
 
 def tables(parsed: DataFrame) -> DataFrame:
     """One row per table: relative_path, table_name, header_index (from 0, null if
-    there is none), header (names, unique), context (rows before the header), body.
+    there is none), header (names, unique), context (rows before the header), body,
+    row_count and column_count of all of it, preview (its first rows).
 
     The header is the first of ten rows that has two cells or more and is no title
     and no row of units; if it and the row after it look like data there is none.
     """
-    one = parsed.filter("parsed.error is null").select(
+    one = parsed.filter(F.col("parsed.status") == PARSED).select(
         "relative_path", "filename", "extension", F.posexplode("parsed.tables").alias("sheet_index", "t")
     )
     clean = F.transform("t.rows", lambda r: F.transform(r, lambda c: strip(F.coalesce(c, F.lit("")))))
@@ -213,15 +263,17 @@ def tables(parsed: DataFrame) -> DataFrame:
     )
     named = F.transform(raw, lambda c, i: F.when(c != "", c).otherwise(F.concat(F.lit("column_"), (i + 1).cast("string"))))
 
-    def unique(c, i):
-        n = F.size(F.filter(F.slice(F.col("names"), 1, i + 1), lambda x: x == c))
-        return F.when(n > 1, F.concat(c, F.lit("_"), n.cast("string"))).otherwise(c)
+    def unique(seen, c):
+        """``seen`` and this name, or with the first number that makes it a new one."""
+        numbered = F.transform(F.sequence(F.lit(2), F.size(seen) + 2), lambda k: F.concat(c, F.lit("_"), k.cast("string")))
+        free = F.get(F.filter(numbered, lambda x: ~F.array_contains(seen, x)), F.lit(0))
+        return F.array_append(seen, F.when(F.array_contains(seen, c), free).otherwise(c))
 
     start = F.coalesce(F.col("header_index") + 1, F.lit(0))
     before = F.slice("rows", 1, F.coalesce("header_index", F.lit(0)))
     return (
         shaped.withColumn("names", named)
-        .withColumn("header", F.transform("names", unique))
+        .withColumn("header", F.aggregate("names", F.array().cast("array<string>"), unique))
         .select(
             "relative_path",
             "sheet_index",
@@ -236,6 +288,7 @@ def tables(parsed: DataFrame) -> DataFrame:
         )
         .withColumn("row_count", F.size("body"))
         .withColumn("column_count", F.size("header"))
+        .withColumn("preview", F.slice("body", 1, PREVIEW_ROWS))
     )
 
 

@@ -1,8 +1,10 @@
-"""Continuous ingestion: new files of a folder become rows of a catalog snapshot.
+"""Continuous ingestion: new files of a folder become rows of a catalog.
 
 The file source remembers what it has read, which takes the place of scanning the
-lake again.  Each micro-batch makes snapshot ``v=<batch>`` from the one before it,
-so a batch that is run again after a failure overwrites its own snapshot only.
+lake again.  Each micro-batch appends its own rows under its number, so a batch that
+is run again after a failure overwrites its own rows only, and costs what it brings;
+a snapshot is the last row of each file.  :func:`compact` folds batches into one now
+and then.
 """
 
 from __future__ import annotations
@@ -12,13 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fathom.functions.scalars import extension, filename
-from fathom.operators import catalog
 
 FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
 def files_stream(spark: SparkSession, root: str, per_batch: int = 10_000) -> DataFrame:
-    """New files below ``root`` as they come; their contents are not read."""
+    """New files below ``root`` as they come; their contents are not read, so they are
+    discovered, not yet indexed."""
     read = spark.readStream.format("binaryFile").schema(FILE)
     found = read.option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_batch).load(root)
     return found.select(
@@ -27,26 +29,39 @@ def files_stream(spark: SparkSession, root: str, per_batch: int = 10_000) -> Dat
         extension("path").alias("extension"),
         F.col("length").alias("size_bytes"),
         F.col("modificationTime").alias("last_modified"),
-        F.lit("indexed").alias("status"),
+        F.lit("discovered").alias("status"),
         F.lit(True).alias("is_present"),
     )
 
 
+def _batches(spark: SparkSession, folder: str, last: int) -> DataFrame:
+    return spark.read.parquet(f"{folder}/batches").filter(F.col("batch") <= last)
+
+
 def snapshot(spark: SparkSession, folder: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{folder}/v={version}")
+    """The catalog after a batch: of each file its last row, and ``first_batch``, in
+    which it was first met.  One partial aggregation; nothing is sorted."""
+    rows = _batches(spark, folder, version)
+    others = [c for c in rows.columns if c not in ("relative_path", "batch", "first_batch")]
+    last = F.max_by(F.struct(*others), "batch").alias("last")
+    found = rows.groupBy("relative_path").agg(last, F.min("first_batch").alias("first_batch"))
+    return found.select("relative_path", *(F.col(f"last.{c}").alias(c) for c in others), "first_batch")
+
+
+def compact(spark: SparkSession, folder: str, version: int, into: str) -> None:
+    """The snapshot after a batch as the only batch of another folder."""
+    whole = snapshot(spark, folder, version).withColumn("batch", F.lit(version))
+    whole.write.mode("overwrite").partitionBy("batch").parquet(f"{into}/batches")
 
 
 def run(files: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Fold each batch into the catalog; stops when all files so far are in."""
+    """Append each batch to the catalog; stops when all files so far are in."""
 
-    def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(["relative_path"])
-        if number > 0:
-            new = catalog.upsert(snapshot(spark, folder, number - 1), new, "relative_path")
-        new.write.mode("overwrite").parquet(f"{folder}/v={number}")
+    def append(batch: DataFrame, number: int) -> None:
+        new = batch.dropDuplicates(["relative_path"]).withColumn("first_batch", F.lit(number))
+        new.write.mode("overwrite").parquet(f"{folder}/batches/batch={number}")
 
-    writer = files.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
+    writer = files.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
 
 

@@ -2,12 +2,9 @@ from fathom.operators import chunking as C
 
 
 def test_markdown_sections():
-    text = "# Overview\nLake overview paragraph.\n\n## Measurements\nValues were measured.\n"
+    text = "# Harbour\nShips lie here.\n\n## Lights\nTwo of them blink.\n"
     found = C.markdown(C.normalized(text))
-    assert [(s["heading"], s["content"]) for s in found] == [
-        ("Overview", "Lake overview paragraph."),
-        ("Measurements", "Values were measured."),
-    ]
+    assert [(s["heading"], s["content"]) for s in found] == [("Harbour", "Ships lie here."), ("Lights", "Two of them blink.")]
     assert [s["line_start"] for s in found] == [2, 5]
 
 
@@ -36,24 +33,24 @@ def test_plain_text_pieces_stay_in_size():
 
 def test_web_page():
     html = (
-        "<html><head><title>T</title><script>no</script><meta name='description' content=' A  page '></head><body>"
-        "<h1>Page Title</h1><p>Some <strong>bold</strong> text &amp; more</p><h2>Data Table</h2>"
-        "<table><tr><th>Month</th><th>Value</th></tr><tr><td>Jan</td><td>100</td></tr></table></body></html>"
+        "<html><head><title>Ferry</title><script>x()</script><meta name='description' content=' Runs  daily '></head><body>"
+        "<h1>Crossings</h1><p>Go <em>early</em> &lt; noon</p><h2>Fares</h2>"
+        "<table><tr><th>Zone</th><th>Fare</th></tr><tr><td>B</td><td>40</td></tr></table></body></html>"
     )
     found = C.web(html)
-    assert [s["heading"] for s in found] == ["T", "Page Title", "Data Table"]
-    assert found[1]["content"] == "Some bold text & more"
-    assert "| Jan | 100 |" in found[2]["content"]
+    assert [s["heading"] for s in found] == ["Ferry", "Crossings", "Fares"]
+    assert found[0]["content"] == "Runs daily" and found[1]["content"] == "Go early < noon"
+    assert "| B | 40 |" in found[2]["content"]
 
 
 def test_sql_statements():
-    script = "CREATE TABLE users (a TEXT DEFAULT ';'); -- one; two\nINSERT INTO users VALUES ('Alice''s');\n/* ; */ SELECT 1"
+    script = "CREATE TABLE ropes (a TEXT DEFAULT ';'); -- one; two\nINSERT INTO ropes VALUES ('it''s');\n/* ; */ SELECT 1"
     assert C.statements(script) == [
-        "CREATE TABLE users (a TEXT DEFAULT ';');",
-        "-- one; two\nINSERT INTO users VALUES ('Alice''s');",
+        "CREATE TABLE ropes (a TEXT DEFAULT ';');",
+        "-- one; two\nINSERT INTO ropes VALUES ('it''s');",
         "/* ; */ SELECT 1",
     ]
-    packed = C.sql_script("CREATE TABLE users (id INT, name TEXT);\n-- add\nINSERT INTO users VALUES (1, 'Alice');\nINSERT INTO users VALUES (2, 'Bob');", 60)
+    packed = C.sql_script("CREATE TABLE knots (no INT, kind TEXT);\n-- add\nINSERT INTO knots VALUES (1, 'bowline');\nINSERT INTO knots VALUES (2, 'hitch');", 60)
     assert len(packed) == 3
 
 

@@ -21,6 +21,8 @@ def test_identification(spark, tmp_path):
         "empty.csv": b"",
         "latin.txt": "caf\xe9 ole".encode("latin-1"),
         "what": b"\x01\x02",
+        "look.css": b"p{}",
+        "page.htm": b"<p>",
     }
     for name, data in made.items():
         path = tmp_path / name
@@ -34,7 +36,11 @@ def test_identification(spark, tmp_path):
     assert got["a.zip"].modality == "archive"
     assert got["song.m4a"].modality == "audio" and got["clip.bin"].modality == "video"
     assert got["latin.txt"].encoding == "windows-1252"
-    assert (got["what"].modality, got["what"].identification_confidence) == ("unknown", 0.1)
+    assert (got["what"].modality, got["what"].identification_confidence, len(got["what"].warnings)) == ("unknown", 0.1, 1)
+    assert (got["look.css"].identification_confidence, got["look.css"].detected_format) == (0.35, "css")
+    assert got["page.htm"].canonical_extension == ".html"
+    by_head = files.identify(files.heads(files.listing(spark, str(tmp_path)), str(tmp_path), 64)).collect()
+    assert {r.relative_path: r.detected_format for r in by_head} == {n: r.detected_format for n, r in got.items()}
 
 
 def test_runs_do_not_lose_unchanged_files(spark):
@@ -49,3 +55,38 @@ def test_runs_do_not_lose_unchanged_files(spark):
     assert counts == [(2, 2, 0, 0), (2, 0, 0, 2), (2, 0, 0, 2)]
     gone = catalog.mark_missing(state, scan.filter("relative_path = 'a'"), "relative_path")
     assert {r.relative_path: r.status for r in gone.collect()} == {"a": "indexed", "b": "missing"}
+
+
+def test_paths_below_a_root_that_recurs(spark, tmp_path):
+    root = tmp_path / "lake"
+    for name in ("f.csv", f"old{root}/f.csv", "lake/lake/g h.csv"):
+        path = root / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("a,b")
+    got = sorted(r.relative_path for r in files.listing(spark, str(root)).collect())
+    assert got == sorted(["f.csv", f"old{root}/f.csv", "lake/lake/g h.csv"])
+    assert [r.relative_path for r in files.listing(spark, f"file://{root}", "lake/lake/g h.csv").collect()] == ["lake/lake/g h.csv"]
+
+
+def test_text_of_files(spark, tmp_path):
+    made = {"a.txt": b"\xef\xbb\xbfplain", "b.txt": b"bad \xff byte", "c.txt": "caf\xe9 \u20ac".encode("windows-1252"), "d.txt": "w\xeft".encode("utf-16")}
+    for name, data in made.items():
+        (tmp_path / name).write_bytes(data)
+    listed = files.listing(spark, str(tmp_path), content=True)
+    plain = {r.relative_path: r.text for r in files.text_of(listed).collect()}
+    assert plain["a.txt"] == "plain" and plain["b.txt"] == "bad \ufffd byte"
+    told = files.identify(listed).select("relative_path", "encoding")
+    known = {r.relative_path: r.text for r in files.text_of(listed.join(told, "relative_path")).collect()}
+    assert known["c.txt"] == "caf\xe9 \u20ac" and known["d.txt"] == "w\xeft" and known["a.txt"] == "plain"
+
+
+def test_errors_of_known_and_new_files(spark):
+    kind = "relative_path string, status string, error_message string, file_summary string, is_present boolean"
+    state = spark.createDataFrame([("a", "indexed", None, "s", True), ("b", "indexed", None, "t", True)], kind)
+    errors = spark.createDataFrame([("a", "cut off"), ("c", "no key")], "relative_path string, error_message string")
+    got = {r.relative_path: tuple(r)[1:] for r in catalog.save_errors(state, errors, "relative_path").collect()}
+    assert got == {
+        "a": ("error", "cut off", "s", True), "b": ("indexed", None, "t", True), "c": ("error", "no key", None, True)
+    }
+    children = spark.createDataFrame([("a", 1), ("b", 1)], "relative_path string, n int")
+    assert [r.relative_path for r in catalog.without_children_of(children, errors, "relative_path").collect()] == ["b"]

@@ -86,12 +86,35 @@ def test_exchange(spark, tmp_path):
         exchange.import_lines(spark, str(tmp_path / "y.jsonl")).collect()
 
 
-def test_stream_folds_files_into_snapshots(spark, tmp_path):
-    lake = tmp_path / "lake"
+def test_stream_appends_files_to_the_catalog(spark, tmp_path):
+    lake, folder = tmp_path / "lake", str(tmp_path / "catalog")
     lake.mkdir()
-    for n in range(2):
+    for n in range(3):
         (lake / f"f{n}.csv").write_text("a,b\n1,2\n")
-        files = ingest.files_stream(spark, str(lake))
-        ingest.run(files, str(tmp_path / "catalog"), str(tmp_path / "state")).awaitTermination()
-        got = ingest.snapshot(spark, str(tmp_path / "catalog"), n)
-        assert sorted(r.filename for r in got.collect()) == [f"f{i}.csv" for i in range(n + 1)]
+        ingest.run(ingest.files_stream(spark, str(lake)), folder, str(tmp_path / "state")).awaitTermination()
+        got = ingest.snapshot(spark, folder, n).collect()
+        assert {r.filename: (r.first_batch, r.status) for r in got} == {f"f{i}.csv": (i, "discovered") for i in range(n + 1)}
+    assert ingest.snapshot(spark, folder, 1).count() == 2
+    ingest.compact(spark, folder, 2, str(tmp_path / "folded"))
+    rows = lambda d: sorted(map(tuple, d.select("relative_path", "status", "first_batch").collect()))
+    assert rows(ingest.snapshot(spark, str(tmp_path / "folded"), 2)) == rows(ingest.snapshot(spark, folder, 2))
+
+
+def test_numbers_from_text(spark):
+    cells = {"7": (7.0, 7), " 8 ": (8.0, 8), "1.9": (1.9, 1), "-2.5": (-2.5, -2), "x": (None, None), "": (None, None), "nan": (float("nan"), None)}
+    rows = spark.createDataFrame([(c,) for c in cells], "v string").select("v", S.safe_float("v").alias("f"), S.safe_int("v").alias("i")).collect()
+    assert {r.v: (repr(r.f), r.i) for r in rows} == {c: (repr(f), i) for c, (f, i) in cells.items()}
+
+
+def test_long_vectors_are_folded(spark):
+    import random
+
+    rng = random.Random(1)
+    q = [rng.uniform(-1, 1) for _ in range(300)]
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(300)]) for i in range(5)] + [(9, [0.0] * 300)]
+    d = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {r.id: r.s for r in d.select("id", S.cosine_distance("v", q).alias("s")).collect()}
+    for i, v in rows[:5]:
+        dot, norm = sum(a * b for a, b in zip(v, q)), (sum(a * a for a in v) * sum(b * b for b in q)) ** 0.5
+        assert got[i] == pytest.approx(1 - dot / norm)
+    assert got[9] is None

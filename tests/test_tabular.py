@@ -57,71 +57,127 @@ def only(parsed):
 
 
 def test_csv(lake):
-    parsed = lake({"tables/sales.csv": "customer_id,amount,active,order_date\n101,12.5,true,2026-07-01\n102,15.0,false,2026-07-02\n103,12.5,true,2026-07-03\n"})
+    text = "berth,draught,open,checked\nN1,7.5,yes,2025-01-31\nN2,9.25,no,2025-02-28\nN3,7.5,yes,2025-03-31\nN4,7.5,no,2025-04-30\n"
+    parsed = lake({"ports/berths.csv": text})
     found = tabular.tables(parsed)
     row = only(parsed)
-    assert (row.table_name, row.row_count, row.column_count, row.header_index) == ("sales", 3, 4, 0)
-    got = {r.name: r for r in profile.profile(tabular.cells(found).drop("table_id")).collect()}
-    assert [got[c].inferred_type for c in row.header] == ["integer", "float", "boolean", "date"]
-    assert got["amount"].distinct_ratio == pytest.approx(2 / 3)
-    assert got["amount"].sample_values == ["12.5", "15.0"]
+    assert (row.relative_path, row.table_name, row.row_count, row.column_count, row.header_index) == ("ports/berths.csv", "berths", 4, 4, 0)
+    assert [r[0] for r in row.preview] == ["N1", "N2", "N3", "N4"]
+    got = {r.name: r for r in profile.profile(tabular.cells(found), ["table_id"]).collect()}
+    assert [got[c].inferred_type for c in row.header] == ["string", "float", "boolean", "date"]
+    assert got["draught"].distinct_ratio == pytest.approx(2 / 4)
+    assert got["draught"].sample_values == ["7.5", "9.25"]
     typed = profile.typed(found.selectExpr("explode(body) as cells"), "cells", [(c, got[c].inferred_type) for c in row.header])
-    assert typed.agg({"amount": "sum"}).head()[0] == 40.0
+    assert typed.agg({"draught": "sum"}).head()[0] == 31.75
+
+
+def test_tables_are_profiled_apart(lake):
+    found = tabular.tables(lake({"one.csv": "id,v\n1,x\n2,y\n", "two.csv": "id,v\nab,7\ncd,8\nef,8\n"}))
+    got = {(r.table_id, r.name): r for r in profile.profile(tabular.cells(found), ["table_id"]).collect()}
+    names = {r.table_name: r.table_id for r in found.collect()}
+    assert [got[names["one"], c].inferred_type for c in ("id", "v")] == ["integer", "string"]
+    assert [got[names["two"], c].inferred_type for c in ("id", "v")] == ["string", "integer"]
+    assert got[names["two"], "v"].row_ratio == pytest.approx(2 / 3) and got[names["one"], "v"].n_filled == 2
+
+
+def test_sql_over_registered_tables(spark, lake):
+    found = tabular.tables(lake({"ships.csv": "ship,berth,tons\nAda,1,50\nBo,2,70\nCy,1,20\n", "berths.csv": "berth,pier\n1,west\n2,east\n"}))
+    types = profile.infer_types(tabular.cells(found), ["table_id"])
+    ids = {r.table_id: r.table_name for r in found.collect()}
+    profile.register(found, types, ids)
+    rows = spark.sql("select pier, sum(tons) as tons from ships join berths using (berth) group by pier order by pier").collect()
+    assert [tuple(r) for r in rows] == [("east", 70), ("west", 70)]
+    with pytest.raises(ValueError, match="no table"):
+        profile.register(found, types, {"other": "x"})
 
 
 def test_no_header(lake):
-    row = only(lake({"users.tsv": "1\talice\t10\n2\tbob\t20\n3\tcarol\t30\n"}))
+    row = only(lake({"gauge.tsv": "7\tnorth\t1.5\n8\tsouth\t2.5\n9\teast\t3.5\n"}))
     assert row.header_index is None
     assert row.header == ["column_1", "column_2", "column_3"]
     assert row.row_count == 3
 
 
-def test_title_row_and_blank_names(lake):
-    text = "JAMES LOGAN,,,,,,,,\nPlace,Name,School,Score,,,A,A,B\n1,Ann,X,3,4,5,6,7,8\n2,Bob,Y,3,4,5,6,7,8\n"
-    row = only(lake({"tournament.csv": text}))
+def test_title_row_blank_and_repeated_names(lake):
+    text = "TIDES OF THE WEST COAST,,,,,,\nDay,Port,,High,High,High_2,\n1,Brest,x,4,5,6,7\n2,Lorient,y,4,5,6,7\n"
+    row = only(lake({"tides.csv": text}))
     assert row.header_index == 1
-    assert row.header == ["Place", "Name", "School", "Score", "column_5", "column_6", "A", "A_2", "B"]
-    assert [c[0] for c in row.context] == ["JAMES LOGAN"]
+    assert row.header == ["Day", "Port", "column_3", "High", "High_2", "High_2_2", "column_7"]
+    assert [c[0] for c in row.context] == ["TIDES OF THE WEST COAST"]
     assert row.row_count == 2
 
 
 def test_workbook(lake):
-    row = only(lake({"numbers.xlsx": book({"Numbers": [["Id", "Value"], ["a", 999999999999], ["b", 123456789012345]]})}))
-    assert (row.table_name, row.header_index) == ("Numbers", 0)
-    assert [r[1] for r in row.body] == ["999999999999", "123456789012345"]
+    row = only(lake({"codes.xlsx": book({"Codes": [["Key", "Code"], ["p", 100000000001], ["q", 700000000000003]], "Blank": []})}))
+    assert (row.table_name, row.header_index) == ("Codes", 0)
+    assert [r[1] for r in row.body] == ["100000000001", "700000000000003"]
+
+
+def test_a_sheet_without_a_part_is_skipped(lake):
+    whole = book({"Here": [["k", "v"], ["a", 1]], "Gone": [["k", "v"], ["b", 2]]})
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(whole)) as z, zipfile.ZipFile(out, "w") as y:
+        for n in z.namelist():
+            data = z.read(n)
+            y.writestr(n, data.replace(b'<Relationship Id="rId2" Target="worksheets/sheet2.xml"/>', b"") if n.endswith(".rels") else data)
+    assert only(lake({"part.xlsx": out.getvalue()})).table_name == "Here"
 
 
 def test_units_under_a_title(lake):
-    sheet = [["RESULTS"], ["", "", "(ppm)", "(ppm)", "(ppm)"], ["Site", "Hole", "Al", "Si", "Fe"], ["x", "y", 1, 2, 3]]
-    row = only(lake({"scientific.xlsx": book({"S": sheet})}))
+    sheet = [["WELLS"], ["", "", "(cm)", "(cm)", "(mm)"], ["Well", "Shaft", "Depth", "Width", "Rim"], ["w", "s", 11, 12, 13]]
+    row = only(lake({"wells.xlsx": book({"S": sheet})}))
     assert row.header_index == 2
     assert len(row.context) == 2
 
 
 def test_context_sheet(lake):
     sheets = {
-        "Index": [["Sheet", "Description"], ["A-MSI", "Mass spectra"], ["B-SE", "Proteomics"]],
-        "A-MSI": [["k", "v"], ["a", 1], ["b", 2]],
-        "B-SE": [["k", "v"], ["a", 1], ["b", 2]],
+        "Contents": [["Sheet", "Description"], ["T-1", "Water levels"], ["T-2", "Air"]],
+        "T-1": [["k", "v"], ["a", 1], ["b", 2]],
+        "T-2": [["k", "v"], ["a", 1], ["b", 2]],
     }
-    got = {r.table_name: r for r in tabular.context_sheets(tabular.tables(lake({"supplement.xlsx": book(sheets)}))).collect()}
-    assert {n: r.is_context_sheet for n, r in got.items()} == {"Index": True, "A-MSI": False, "B-SE": False}
-    assert got["A-MSI"].sheet_description == "Mass spectra"
-    assert got["Index"].sheet_description is None
+    got = {r.table_name: r for r in tabular.context_sheets(tabular.tables(lake({"levels.xlsx": book(sheets)}))).collect()}
+    assert {n: r.is_context_sheet for n, r in got.items()} == {"Contents": True, "T-1": False, "T-2": False}
+    assert got["T-1"].sheet_description == "Water levels"
+    assert got["Contents"].sheet_description is None
 
 
 def test_database_and_script(lake, tmp_path):
-    con = sqlite3.connect(tmp_path / "test.db")
-    con.executescript("CREATE TABLE users (id INT, name TEXT); INSERT INTO users VALUES (1, 'Alice'), (2, 'Bob'), (3, NULL);")
+    con = sqlite3.connect(tmp_path / "crew.db")
+    con.executescript("CREATE TABLE crew (no INT, rank TEXT); INSERT INTO crew VALUES (1, 'mate'), (2, 'cook'), (3, NULL);")
     con.close()
-    script = "CREATE TABLE g (s TEXT, n INT); INSERT INTO g VALUES ('x', 1), ('y', 2);"
-    got = {r.table_name: r for r in tabular.tables(lake({"grades.sql": script})).collect()}
-    assert got["users"].header == ["id", "name"]
-    assert got["users"].body[2] == ["3", ""]
-    assert got["g"].row_count == 2
-
-
-def test_a_broken_file_is_a_row(lake):
-    parsed = lake({"broken.xlsx": "not a real xlsx file", "ok.csv": "a,b\nx,y\n"})
-    assert [(r.relative_path, bool(r.parsed.error)) for r in parsed.orderBy("relative_path").collect()] == [("broken.xlsx", True), ("ok.csv", False)]
-    assert only(parsed).table_name == "ok"
+    script = "CREATE TABLE buoys (s TEXT, n INT); INSERT INTO buoys VALUES ('x', 1), ('y', 2);"
+    got = {r.table_name: r for r in tabular.tables(lake({"buoys.sql": script})).collect()}
+    assert got["crew"].header == ["no", "rank"]
+    assert got["crew"].body[2] == ["3", ""]
+    assert got["buoys"].row_count == 2
+
+
+def test_broken_unsupported_and_empty_files_are_rows(lake):
+    parsed = lake({"bad.xlsx": "no workbook at all", "ok.csv": "a,b\nx,y\n", "old.xls": "x", "none": "x", "blank.csv": " , \n"})
+    got = {r.relative_path: r.parsed for r in parsed.collect()}
+    assert {n: p.status for n, p in got.items()} == {
+        "bad.xlsx": "error", "ok.csv": "parsed", "old.xls": "unsupported", "none": "unsupported", "blank.csv": "parsed"
+    }
+    assert got["blank.csv"].warnings == [tabular.EMPTY_WARNING] and got["ok.csv"].warnings == []
+    shapes = {r.table_name: (r.row_count, r.column_count) for r in tabular.tables(parsed).collect()}
+    assert shapes == {"ok": (1, 2), "blank": (0, 0)}
+
+
+def test_files_too_large_are_errors_and_have_another_way(spark, tmp_path, monkeypatch):
+    lines = [f"k{i},\"a, {i}\",{i}" for i in range(3000)]
+    (tmp_path / "big lake").mkdir()
+    (tmp_path / "big lake" / "big one.csv").write_text("\ufeffkey,text,n\n" + "\n".join(lines) + "\n\nragged\n")
+    monkeypatch.setattr(files, "LARGEST", 1000)
+    listed = files.listing(spark, str(tmp_path / "big lake"), content=True)
+    (row,) = tabular.read(listed).collect()
+    assert row.parsed.status == "error" and "too large" in row.parsed.error and row.parsed.tables is None
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = tabular.large(spark, str(tmp_path / "big lake"), ["big one.csv"])
+        assert found.rdd.getNumPartitions() > 3
+        rows = [r.cells for r in found.orderBy("row").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows == [["key", "text", "n"], *([f"k{i}", f"a, {i}", str(i)] for i in range(3000)), ["ragged"]]
+    assert {r.relative_path for r in found.collect()} == {"big one.csv"}
