@@ -20,9 +20,9 @@ PLAIN_SIZE, PLAIN_OVERLAP = 1000, 150
 SQL_MOST = 2400
 
 # What HTML tags mean.
-BLOCKS = frozenset("p div section article main aside blockquote pre li td th".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-SKIPPED = frozenset("script style noscript svg".split())
+BLOCKS = frozenset(("p", "div", "section", "article", "main", "aside", "blockquote", "pre", "li", "td", "th"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+SKIPPED = frozenset(("script", "style", "noscript", "svg"))
 
 HEADING = re.compile(r"^#{1,6}[^\S\n]+(.*\S)[^\S\n]*$", re.M)
 SQL_PARTS = re.compile(r"""'[^']*'?|"[^"]*"?|--[^\n]*|/\*.*?(?:\*/|\Z)|;|[^'"\-/;]+|.""", re.S)
@@ -112,8 +112,8 @@ def plain_pieces(text: str, size: int, overlap: int, joints: tuple[str, ...] = (
     return out
 
 
-def plain(text: str, size: int = PLAIN_SIZE) -> list[dict]:
-    found = plain_pieces(text, size, min(PLAIN_OVERLAP, size // 5))
+def plain(text: str, size: int = PLAIN_SIZE, overlap: int = PLAIN_OVERLAP) -> list[dict]:
+    found = plain_pieces(text, size, min(overlap, size // 5))
     return [{"heading": None, "content": c, "line_start": None, "line_end": None} for c in found]
 
 

@@ -94,3 +94,48 @@ def enrich(rows: DataFrame, text: str, model: Callable[[list[str]], list[dict]]
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return rows.withColumn("enriched", F.arrow_udf(run, kind).asNondeterministic()(F.col(text)))
+
+
+def with_enrichment(rows: DataFrame, results: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``rows`` with what a model said of them: columns of ``results`` by key, null where
+    it said nothing.  Results for keys that aren't there are ignored; of several for
+    one key the least counts."""
+    told = results.groupBy(key).agg(F.min(F.struct(*columns)).alias("__told"))
+    kept = rows.drop(*(c for c in columns if c in rows.columns))
+    return kept.join(told, key, "left").select(*kept.columns, *(F.col(f"__told.{c}").alias(c) for c in columns))
+
+
+def transcribe(rows: DataFrame, content: str, models: dict[str, Callable[[bytes], dict]], into: str = "transcript") -> DataFrame:
+    """``rows`` with a struct ``into``: text, model, seconds, cost_usd, warnings, error.
+
+    ``models`` are tried in order on each stretch of sound until one gives a dict with a
+    text; what went wrong before is a warning, and if all fail that is the error.  They
+    come from outside and run in the workers."""
+    arrow = pa.struct(
+        [
+            ("text", pa.string()),
+            ("model", pa.string()),
+            ("seconds", pa.float64()),
+            ("cost_usd", pa.float64()),
+            ("warnings", pa.list_(pa.string())),
+            ("error", pa.string()),
+        ]
+    )
+
+    def one(data: bytes | None) -> dict:
+        wrong: list[str] = []
+        for name, model in models.items():
+            try:
+                told = model(data or b"")
+                return {"text": told["text"], "model": name, "seconds": told.get("seconds"), "cost_usd": told.get("cost_usd"), "warnings": wrong}
+            except Exception as e:
+                wrong = [*wrong, f"{name}: {type(e).__name__}: {e}"]
+        return {"warnings": wrong, "error": "; ".join(wrong) or "no model"}
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            yield pa.array([one(x) for x in column.to_pylist()], arrow)
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    kind = "struct<text:string,model:string,seconds:double,cost_usd:double,warnings:array<string>,error:string>"
+    return rows.withColumn(into, F.arrow_udf(run, kind).asNondeterministic()(F.col(content)))

@@ -31,8 +31,32 @@ def import_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """(id, question) of a CSV file with columns STT and Question; rows that lack
-    one of them drop."""
-    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    """(id, question) of a CSV file, or of the first sheet of a workbook, with columns STT
+    and Question; rows that lack one of them drop."""
+    if path.lower().endswith(".xlsx"):
+        from fathom.sources import tabular
+
+        file = spark.read.format("binaryFile").load(path)
+        named = file.select(F.element_at(F.split("path", "/"), -1).alias("relative_path"), F.lit("q.xlsx").alias("filename"), F.lit(".xlsx").alias("extension"), "content")
+        sheet = tabular.tables(tabular.read(named)).filter("sheet_index = 0")
+        at = {c: F.array_position("header", F.lit(c)).cast("int") for c in ("STT", "Question")}
+        cells = sheet.select(F.explode("body").alias("r"), *(p.alias(f"at_{c}") for c, p in at.items()))
+        rows = cells.select(*(F.try_element_at("r", F.nullif(f"at_{c}", F.lit(0))).alias(c) for c in at))
+    else:
+        rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
     cut = rows.select(F.trim("STT").alias("id"), F.trim("Question").alias("question"))
     return cut.filter("length(id) > 0 and length(question) > 0")
+
+
+ANSWERS = "id string, answer string, evidences string"
+
+
+def write_answers(answers: DataFrame, path: str) -> None:
+    """Answers (id, answer, evidences) as CSV with a header, in order of id."""
+    rows = answers.select("id", F.coalesce("answer", F.lit("")).alias("answer"), F.coalesce("evidences", F.lit("")).alias("evidences"))
+    rows.orderBy("id").write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
+
+
+def read_answers(spark: SparkSession, path: str) -> DataFrame:
+    """Answers written before, to resume from."""
+    return spark.read.schema(ANSWERS).csv(path, header=True, multiLine=True, escape='"')

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import scalars as S
 from fathom.functions import search_texts
-from fathom.operators import aggregates, catalog, chunking, profile, qa, retrieval, search, sections, transcripts
+from fathom.operators import aggregates, catalog, chunking, enrich, profile, qa, retrieval, search, sections, transcripts
 from fathom.sources import files
 from fathom.streaming import ingest
 
@@ -802,3 +802,43 @@ def slide_sections(spark, sf_dir):
     )
     found = sections.slide_sections(chunks, "conv_id")
     return found.select("conv_id", "chunk_index", "slide_start", F.sha1(F.col("content").cast("binary")).alias("content"))
+
+
+@query(
+    r"""SELECT doc_id, length(regexp_replace(text, '\s', '', 'g')) AS n_chars, true AS fits FROM documents
+    WHERE regexp_matches(text, '\S')"""
+)
+def text_chunk_coverage(spark, sf_dir):
+    """Sections without overlap hold all characters of a text but white space, and none
+    exceeds its size."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = chunking.cut(docs, "text", "text", overlap=0)
+    n = F.length(F.regexp_replace("content", r"\s", "")).cast("long")
+    return cut.groupBy("doc_id").agg(F.sum(n).alias("n_chars"), F.bool_and(F.col("char_count") <= chunking.PLAIN_SIZE).alias("fits"))
+
+
+@query(
+    r"""SELECT conv_id, count(*) AS n_statements, sum(length(regexp_replace(replace(text, chr(39), chr(39) || chr(39)), '\s', '', 'g')) + length(turn::VARCHAR) + 27)::BIGINT AS n_chars
+    FROM conversations GROUP BY conv_id"""
+)
+def sql_statement_coverage(spark, sf_dir):
+    """Statements that a script is cut into, and their characters but white space."""
+    found = Q["sql_statements"](spark, sf_dir)
+    n = F.regexp_count("content", F.lit(r"INSERT INTO turns"))
+    chars = F.length(F.regexp_replace("content", r"\s", "")).cast("long")
+    return found.groupBy("conv_id").agg(F.sum(n).cast("long").alias("n_statements"), F.sum(chars).alias("n_chars"))
+
+
+@query(
+    """SELECT doc_id, source, coalesce(q, '') AS summary FROM documents LEFT JOIN
+      (SELECT doc_id, min('q' || quality) AS q FROM (SELECT doc_id, quality FROM labels UNION ALL SELECT doc_id, 2 FROM labels) GROUP BY doc_id) USING (doc_id)"""
+)
+def enrichment_join(spark, sf_dir):
+    """Documents with what a model said of some, twice, and of others that aren't there."""
+    labels = table(spark, sf_dir, "labels")
+    said = labels.select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("summary"))
+    again = labels.select("doc_id", F.lit("q2").alias("summary"))
+    strangers = labels.select((-F.col("doc_id") - 1).alias("doc_id"), F.lit("q0").alias("summary"))
+    results = said.unionByName(again).unionByName(strangers)
+    rows = enrich.with_enrichment(table(spark, sf_dir, "documents").select("doc_id", "source"), results, "doc_id", ["summary"])
+    return rows.withColumn("summary", F.coalesce("summary", F.lit("")))

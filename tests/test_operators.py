@@ -118,3 +118,47 @@ def test_long_vectors_are_folded(spark):
         dot, norm = sum(a * b for a, b in zip(v, q)), (sum(a * a for a in v) * sum(b * b for b in q)) ** 0.5
         assert got[i] == pytest.approx(1 - dot / norm)
     assert got[9] is None
+
+
+def test_transcribing_falls_back(spark):
+    def first(data):
+        if data == b"hard":
+            raise RuntimeError("noise")
+        return {"text": data.decode(), "seconds": 1.5, "cost_usd": 0.01}
+
+    def second(data):
+        return {"text": "guess"}
+
+    rows = spark.createDataFrame([(1, b"easy"), (2, b"hard"), (3, None)], "id long, content binary")
+    got = {r.id: r.transcript for r in enrich.transcribe(rows, "content", {"a": first, "b": second}).collect()}
+    assert (got[1].text, got[1].model, got[1].cost_usd, got[1].warnings) == ("easy", "a", 0.01, [])
+    assert (got[2].text, got[2].model, got[2].warnings) == ("guess", "b", ["a: RuntimeError: noise"])
+    assert got[3].text == ""
+    failed = {r.id: r.transcript for r in enrich.transcribe(rows, "content", {"a": first}).collect()}
+    assert failed[2].text is None and failed[2].error == "a: RuntimeError: noise"
+
+
+def test_questions_and_answers(spark, tmp_path):
+    from tests.test_tabular import book
+
+    (tmp_path / "q.xlsx").write_bytes(book({"Q": [["STT", "Topic", "Question"], [1, "x", "How deep?"], [2, "y", ""], [3, "z", "How far?"]]}))
+    (tmp_path / "q.csv").write_text('STT,Question\n1,"How\ndeep?"\n,none\n3,How far?\n')
+    rows = lambda d: sorted((r.id, r.question) for r in d.collect())
+    assert rows(exchange.read_questions(spark, str(tmp_path / "q.xlsx"))) == [("1", "How deep?"), ("3", "How far?")]
+    assert rows(exchange.read_questions(spark, str(tmp_path / "q.csv"))) == [("1", "How\ndeep?"), ("3", "How far?")]
+    answers = spark.createDataFrame([("3", 'He said "9 m"\nor so', "a.txt"), ("1", None, None)], exchange.ANSWERS)
+    exchange.write_answers(answers, str(tmp_path / "out"))
+    back = {r.id: r.answer or "" for r in exchange.read_answers(spark, str(tmp_path / "out")).collect()}
+    assert back == {"1": "", "3": 'He said "9 m"\nor so'}
+
+
+def test_schemas(spark):
+    from fathom.operators.retrieval import MODALITIES
+    from fathom.sources import schemas
+
+    for m in MODALITIES:
+        made = schemas.shaped(spark.range(2).selectExpr("cast(id as string) as source_id", "'x' as other"), schemas.of_children(m))
+        assert made.columns == schemas.of_children(m).names and made.count() == 2
+        assert "relative_path" in schemas.of_files(m).names
+    found, skipped = schemas.there(spark, {"text": "no_such_table"})
+    assert found == {} and skipped == [{"modality": "text", "reason": "table missing"}]
