@@ -12,8 +12,10 @@ and look up the distinct n-grams of a batch in them.
   of a context neighbours, with counts; bucketed by the middle word, so that
   the trigrams of a context and those that end alike share a bucket;
 * bigrams: ``id before << 32 | id``, sorted, with counts (of order 3: numbers of
-  distinct words before them); bucketed by the first word;
-* contexts of bigrams: total and numbers of followers seen once, twice, more often.
+  distinct words before them); bucketed by the first word.
+
+A count takes the lowest four bits of its n-gram's number, if they are free, and what
+a context has been followed by is summed from its n-grams when it is asked for.
 
 Where a word is so frequent that its n-grams would make an uneven bucket, both words
 of a bigram, and the first two of a trigram, deal it.  Everything kept for the
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import gc
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -46,6 +48,8 @@ END = b"\n"
 #: Words that a counting task holds before it sends them on, and bigrams.
 HELD_WORDS = 400_000
 HELD_TOKENS = 2_000_000
+#: Tokens that are scored together, but for a single longer text.
+SCORED_TOKENS = 500_000
 MEMO_WORDS = 300_000
 #: Contexts with more followers than this are remembered by a scoring task.
 LONG_CONTEXT = 256
@@ -153,18 +157,66 @@ def rows_of(batches: Batches) -> Iterator[dict]:
         yield from batch.to_pylist()
 
 
-def short_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts in a byte each; and the places and values of those that don't fit."""
-    over = np.flatnonzero(counts >= 255)
-    return np.minimum(counts, 255).astype(np.uint8), over.astype(np.uint32), counts[over].astype(np.int64)
-
-
-def counts_at(at: np.ndarray, short: np.ndarray, over: np.ndarray, values: np.ndarray) -> np.ndarray:
-    found = short[at].astype(np.int64)
-    large = np.flatnonzero(found == 255)
-    if len(large):
-        found[large] = values[np.searchsorted(over, at[large])]
-    return found
+#: Bits of a count beside its key; larger counts stand in a list of their own.
+COUNT_BITS = 4
+
+
+def with_counts(keys: np.ndarray, counts: np.ndarray, room: bool) -> list[np.ndarray]:
+    """The arrays of a :class:`Table`; with ``room`` the keys' highest COUNT_BITS are 0."""
+    most = (1 << COUNT_BITS) - 1 if room else 255
+    over = np.flatnonzero(counts >= most)
+    small = np.minimum(counts, most)
+    beside = np.zeros(0, np.uint8) if room else small.astype(np.uint8)
+    own = keys << np.uint64(COUNT_BITS) | small.astype(np.uint64) if room else keys
+    return [own, beside, over.astype(np.uint32), counts[over].astype(np.int64)]
+
+
+class Table:
+    """Sorted keys with counts."""
+
+    def __init__(self, own: np.ndarray, beside: np.ndarray, over: np.ndarray, values: np.ndarray) -> None:
+        self.own, self.beside, self.over, self.values = own, beside, over, values
+        self.room = len(own) > len(beside)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Where the keys stand or would stand."""
+        return np.searchsorted(self.own, keys << np.uint64(COUNT_BITS) if self.room else keys)
+
+    def counts(self, at: np.ndarray) -> np.ndarray:
+        most = (1 << COUNT_BITS) - 1 if self.room else 255
+        found = (self.own[at] & np.uint64(most) if self.room else self.beside[at]).astype(np.int64)
+        large = np.flatnonzero(found == most)
+        if len(large):
+            found[large] = self.values[np.searchsorted(self.over, at[large])]
+        return found
+
+    def count_of(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of keys, 0 of those that aren't there."""
+        at = np.minimum(self.places(keys), len(self.own) - 1)
+        there = self.own[at] >> np.uint64(COUNT_BITS) if self.room else self.own[at]
+        return np.where(there == keys, self.counts(at), 0)
+
+    def followed(self, low: np.ndarray, high: np.ndarray, seen: dict, name: Callable[[int], Hashable]) -> np.ndarray:
+        """Of spans of keys: the sum of their counts, and how many are 1, 2, more.
+        Long spans are remembered in ``seen``, up to MEMO_WORDS, by the name of the k-th."""
+        found = np.zeros((len(low), 4), np.int64)
+        length = high - low
+        short = np.flatnonzero((length > 0) & (length <= LONG_CONTEXT))
+        if len(short):
+            n = length[short]
+            firsts = np.cumsum(n) - n
+            c = self.counts(np.arange(n.sum()) + np.repeat(low[short] - firsts, n))
+            found[short] = np.stack([np.add.reduceat(x.astype(np.int64), firsts) for x in (c, c == 1, c == 2, c >= 3)], axis=1)
+        for k in np.flatnonzero(length > LONG_CONTEXT).tolist():
+            told = seen.get(name(k))
+            if told is None:
+                c = self.counts(np.arange(low[k], high[k]))
+                told = (c.sum(), (c == 1).sum(), (c == 2).sum(), (c >= 3).sum())
+                if len(seen) >= MEMO_WORDS:
+                    seen.clear()
+                seen[name(k)] = told
+            found[k] = told
+        return found
 
 
 def by_bucket(rows: DataFrame) -> DataFrame:
@@ -190,6 +242,9 @@ class Sharded:
             if b > a and int(ranked[a]) in self.sizes:
                 yield int(ranked[a]), order[a:b]
 
+    def table(self, bucket: int) -> Table:
+        return Table(*self.arrays(bucket))
+
     def find(self, buckets: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, list]]:
         """For each bucket asked for: (bucket, which of ``keys`` were found, their
         places in the bucket, the bucket's other arrays)."""
@@ -219,6 +274,7 @@ class Triples:
         if middle + self.width > 64:
             raise ValueError("too many words for a trigram's context to fit 64 bits: use more partitions")
         self.wide = middle + 2 * self.width > 64
+        self.room = middle + 2 * self.width + COUNT_BITS <= 64
 
     def contexts(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Buckets, and what the first two words are told by in them."""
@@ -246,10 +302,10 @@ class Triples:
         two = np.where(often, self.frequent[np.where(often, code - self.largest, 0)], code + self.start_of[bucket])
         return context, two, three.astype(np.int64)
 
-    def spans(self, own: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def spans(self, table: Table, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where a bucket's trigrams with these contexts begin and end."""
         none = np.zeros(len(context), np.int64)
-        return (np.searchsorted(own, self.keys(context + np.uint64(k), none)) for k in (0, 1))
+        return tuple(table.places(self.keys(context + np.uint64(k), none)) for k in (0, 1))
 
 
 @dataclass
@@ -263,7 +319,6 @@ class Model:
     starts: dict[int, int]
     triple_sizes: dict[int, int]
     pair_sizes: dict[int, int]
-    context_sizes: dict[int, int]
     frequent: dict[int, tuple[int, int, int, int]]
     #: The words, and the place before a text, whose n-grams are dealt to all buckets.
     dealt: np.ndarray
@@ -341,7 +396,8 @@ def _count_words(bits: int):
 def _write_words(folder: str):
     def run(batches: Batches) -> Batches:
         for bucket, keys, counts in merged(rows_of(batches)):
-            shared_files.write(folder, f"word-{bucket}", keys, counts)
+            kind = np.uint32 if counts.max(initial=0) < 1 << 32 else np.int64
+            shared_files.write(folder, f"word-{bucket}", keys, counts.astype(kind))
             yield pa.RecordBatch.from_pydict({"bucket": [bucket], "size": [len(keys)], "tokens": [int(counts.sum())]})
 
     return run
@@ -385,10 +441,10 @@ def _count_grams(order: int, folder: str, bits: int, sizes: dict, starts: dict,
             now = np.flatnonzero(line != begin)
             if order == 2:
                 pairs = line[now - 1].astype(np.uint64) << np.uint64(32) | line[now].astype(np.uint64)
-                held.append((pair_bucket(pairs, line[now - 1], frequent, bits), pairs))
+                held.append((pair_bucket(pairs, line[now - 1], frequent, bits).astype(np.int32), pairs))
             else:
                 bucket, context = triples.contexts(line[now - 2], line[now - 1])
-                held.append((bucket, triples.keys(context, line[now])))
+                held.append((bucket.astype(np.int32), triples.keys(context, line[now])))
             if sum(len(k) for _, k in held) > HELD_TOKENS:
                 yield sent()
                 held = []
@@ -426,7 +482,7 @@ def _write_triples(folder: str, triples: Triples):
     def run(batches: Batches) -> Batches:
         gc.disable()
         for bucket, keys, counts in merged(rows_of(batches), triples.wide):
-            shared_files.write(folder, f"triple-{bucket}", keys, *short_counts(counts))
+            shared_files.write(folder, f"triple-{bucket}", *with_counts(keys, counts, triples.room))
             _, two, three = triples.parts(bucket, keys)
             ends, times = np.unique(two.astype(np.uint64) << np.uint64(32) | three.astype(np.uint64), return_counts=True)
             home = pair_bucket(ends, (ends >> np.uint64(32)).astype(np.int64), triples.frequent, triples.bits)
@@ -436,7 +492,9 @@ def _write_triples(folder: str, triples: Triples):
     return run
 
 
-def _write_pairs(folder: str, frequent: np.ndarray, word_starts: list[int], word_buckets: list[int]):
+def _write_pairs(folder: str, frequent: np.ndarray, word_starts: list[int], word_buckets: list[int], n_words: int):
+    room = n_words < 1 << (32 - COUNT_BITS)
+
     def run(batches: Batches) -> Batches:
         gc.disable()
         passed: list[dict] = []
@@ -459,10 +517,7 @@ def _write_pairs(folder: str, frequent: np.ndarray, word_starts: list[int], word
             often = np.isin(context, frequent)
             for c, x in zip(context[often].tolist(), of[often].tolist(), strict=True):
                 rows.append(_stats_row("frequent", 0, c, (*x, 0)))
-            shared_files.write(folder, f"pair-{bucket}", pairs, *short_counts(counts))
-            if not often.all():
-                shared_files.write(folder, f"context-{bucket}", context[~often].astype(np.uint64), of[~often].astype(np.uint32).ravel())
-                rows.append(_stats_row("contexts", bucket, int((~often).sum())))
+            shared_files.write(folder, f"pair-{bucket}", *with_counts(pairs, counts, room))
             # Each bigram is one distinct word before its second word.
             after, times = np.unique(pairs & np.uint64(0xFFFFFFFF), return_counts=True)
             home = np.searchsorted(word_starts, after.astype(np.int64), side="right") - 1
@@ -474,13 +529,24 @@ def _write_pairs(folder: str, frequent: np.ndarray, word_starts: list[int], word
 
 
 def _write_before(folder: str, sizes: dict[int, int], starts: dict[int, int]):
+    """Write how many distinct words stand before each word; other rows pass."""
+
     def run(batches: Batches) -> Batches:
-        for bucket, ids, counts in merged(rows_of(batches)):
+        passed: list[dict] = []
+
+        def sifted() -> Iterator[dict]:
+            for row in rows_of(batches):
+                if row["kind"] == "before":
+                    yield row
+                else:
+                    passed.append(row)
+
+        for bucket, ids, counts in merged(sifted()):
             dense = np.zeros(sizes[bucket], np.uint32)
             dense[ids.astype(np.int64) - starts[bucket]] = counts
             shared_files.write(folder, f"before-{bucket}", dense)
-            names = ("n1", "n2", "n3", "n4", "more", "total")
-            yield pa.RecordBatch.from_pydict({n: [x] for n, x in zip(names, [*tallied(counts), int(counts.sum())], strict=True)})
+            passed.append(_stats_row("words", bucket, int(counts.sum()), tallied(counts)))
+        yield pa.RecordBatch.from_pylist(passed, ARROW_STATS)
 
     return run
 
@@ -526,14 +592,15 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
         sent = by_bucket(counted.mapInArrow(_write_triples(folder, triples), STATS))
     else:
         sent = counted.withColumn("kind", F.lit("piece"))
-    stats = stored(sent.mapInArrow(_write_pairs(folder, frequent, list(starts.values()), list(starts)), STATS))
+    paired = by_bucket(sent.mapInArrow(_write_pairs(folder, frequent, list(starts.values()), list(starts), n_words), STATS))
+    # What is left are a row per bucket and kind, and per bucket and frequent word.
+    stats = stored(paired.mapInArrow(_write_before(folder, sizes, starts), STATS).drop("high", "low", "counts"))
     names = ("n1", "n2", "n3", "n4")
-    sums = {r.kind: tuple(r)[1:] for r in stats.groupBy("kind").agg(*(F.sum(n).alias(n) for n in names)).collect()}
-    by_size = stats.filter("kind in ('triples', 'pairs', 'contexts')").select("kind", "bucket", "size").collect()
+    totals = stats.groupBy("kind").agg(*(F.sum(n).alias(n) for n in (*names, "more", "size")))
+    sums = {r.kind: tuple(r)[1:] for r in totals.collect()}
+    by_size = stats.filter("kind in ('triples', 'pairs')").select("kind", "bucket", "size").collect()
     often = stats.filter("kind = 'frequent'").groupBy("size").agg(*(F.sum(n).alias(n) for n in names))
-    before = by_bucket(stats.filter("kind = 'before'").select("bucket", "high", "low", "counts"))
-    ends = before.mapInArrow(_write_before(folder, sizes, starts), "n1 long, n2 long, n3 long, n4 long, more long, total long")
-    c = ends.agg(*(F.coalesce(F.sum(n), F.lit(0)) for n in ends.columns)).head()
+    c = sums.get("words", (0,) * 6)
     word_discounts = discounts(*c[:4])
     rest = (word_discounts[0] * c[0] + word_discounts[1] * c[1] + word_discounts[2] * c[4]) / c[5] if c[5] else 1.0
     none = (0, 0, 0, 0)
@@ -545,13 +612,12 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
         starts=starts,
         triple_sizes={r.bucket: r.size for r in by_size if r.kind == "triples"},
         pair_sizes={r.bucket: r.size for r in by_size if r.kind == "pairs"},
-        context_sizes={r.bucket: r.size for r in by_size if r.kind == "contexts"},
         frequent={r["size"]: tuple(r)[1:] for r in often.collect()},
         dealt=frequent,
         n_tokens=n_tokens,
         n_words=n_words,
-        triple_discounts=discounts(*sums.get("triples", none)),
-        pair_discounts=discounts(*sums.get("pairs", none)),
+        triple_discounts=discounts(*sums.get("triples", none)[:4]),
+        pair_discounts=discounts(*sums.get("pairs", none)[:4]),
         word_discounts=word_discounts,
         word_total=c[5],
         word_rest=rest,
@@ -579,12 +645,11 @@ def _score(model: Model):
         words = Words(shelf, model.bits, model.word_sizes, model.starts)
         triple_shards = Sharded(shelf, "triple", model.triple_sizes)
         pair_shards = Sharded(shelf, "pair", model.pair_sizes)
-        context_shards = Sharded(shelf, "context", model.context_sizes)
         frequent = model.dealt
         triples = Triples(model.bits, model.word_sizes, model.starts, model.n_words, model.dealt)
         firsts = np.array(list(model.starts.values()), np.int64)
         homes = list(model.starts)
-        long_contexts: dict[tuple[int, int], tuple] = {}
+        long_contexts: dict[tuple, tuple] = {}
 
         def of_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """Counts, and probabilities without context, of sorted ids; 0 for -1."""
@@ -602,28 +667,12 @@ def _score(model: Model):
             found = np.zeros((len(ids), 4), np.int64)
             for i in np.flatnonzero(np.isin(ids, frequent)).tolist():
                 found[i] = model.frequent.get(int(ids[i]), (0, 0, 0, 0))
-            for _, asked, at, (followers,) in context_shards.find(spread(ids, model.bits), ids.astype(np.uint64)):
-                found[asked] = followers.reshape(-1, 4)[at]
-            return found
-
-        def of_spans(bucket: int, contexts: np.ndarray) -> np.ndarray:
-            """The same for distinct contexts of two words, from their trigrams."""
-            own, *held = triple_shards.arrays(bucket)
-            low, high = triples.spans(own, contexts)
-            found = np.zeros((len(contexts), 4), np.int64)
-            length = high - low
-            short = np.flatnonzero((length > 0) & (length <= LONG_CONTEXT))
-            if len(short):
-                n = length[short]
-                firsts_of = np.cumsum(n) - n
-                c = counts_at(np.arange(n.sum()) + np.repeat(low[short] - firsts_of, n), *held)
-                found[short] = np.stack([np.add.reduceat(x.astype(np.int64), firsts_of) for x in (c, c == 1, c == 2, c >= 3)], axis=1)
-            for k in np.flatnonzero(length > LONG_CONTEXT).tolist():
-                name = (bucket, int(contexts[k]))
-                if name not in long_contexts:
-                    c = counts_at(np.arange(low[k], high[k]), *held)
-                    long_contexts[name] = (c.sum(), (c == 1).sum(), (c == 2).sum(), (c >= 3).sum())
-                found[k] = long_contexts[name]
+            rest = np.flatnonzero((ids >= 0) & ~np.isin(ids, frequent))
+            keys = ids[rest].astype(np.uint64) << np.uint64(32)
+            for b, asked in pair_shards.by_bucket(spread(ids[rest], model.bits), keys):
+                table, own = pair_shards.table(b), ids[rest[asked]]
+                low, high = table.places(keys[asked]), table.places(keys[asked] + np.uint64(1 << 32))
+                found[rest[asked]] = table.followed(low, high, long_contexts, lambda k, own=own: int(own[k]))
             return found
 
         def with_context(below: np.ndarray, seen: np.ndarray, contexts: np.ndarray, by: tuple) -> np.ndarray:
@@ -638,20 +687,16 @@ def _score(model: Model):
             bucket, context = triples.contexts(one[there], two[there])
             stats, seen = np.zeros((len(below), 4), np.int64), np.zeros(len(below), np.int64)
             for b, asked in triple_shards.by_bucket(bucket, context):
+                table = triple_shards.table(b)
                 distinct, which = np.unique(context[asked], return_inverse=True)
-                stats[there[asked]] = of_spans(b, distinct)[which]
+                low, high = triples.spans(table, distinct)
+                stats[there[asked]] = table.followed(low, high, long_contexts, lambda k, b=b, own=distinct: (b, int(own[k])))[which]
                 known = asked[three[there[asked]] >= 0]
                 keys, which = np.unique(triples.keys(context[known], three[there[known]]), return_inverse=True)
-                own, *held = triple_shards.arrays(b)
-                at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
-                seen[there[known]] = np.where(own[at] == keys, counts_at(at, *held), 0)[which]
+                seen[there[known]] = table.count_of(keys)[which]
             return with_context(below, seen, stats, model.triple_discounts)
 
-        for column in batches:
-            documents = [tokens_of(x) for x in text_bytes(column)]
-            if not documents:
-                yield pa.StructArray.from_arrays([pa.array([], pa.int64())] * 2 + [pa.array([], pa.float64())] * 2, names)
-                continue
+        def scored(documents: list[list[bytes]]) -> tuple[np.ndarray, ...]:
             begins = model.order - 1
             line, starts = words.sequence(documents, model.begin, begins)
             inside = np.ones(len(line), bool)
@@ -670,8 +715,8 @@ def _score(model: Model):
             pairs, which_pair = np.unique(keys, return_inverse=True)
             seen = np.zeros(len(pairs), np.int64)
             firsts_of = (pairs >> np.uint64(32)).astype(np.int64)
-            for _, asked, at, held in pair_shards.find(pair_bucket(pairs, firsts_of, model.dealt, model.bits), pairs):
-                seen[asked] = counts_at(at, *held)
+            for b, asked in pair_shards.by_bucket(pair_bucket(pairs, firsts_of, model.dealt, model.bits), pairs):
+                seen[asked] = pair_shards.table(b).count_of(pairs[asked])
 
             c = np.zeros(len(now), np.int64)
             c[known] = seen[which_pair]
@@ -679,16 +724,26 @@ def _score(model: Model):
             if model.order == 3:
                 p = third(p, line[places - 2], before, now)
             base = np.log10((counts + 0.1) / (model.n_tokens + 0.1 * (model.n_words + 1)))[which]
-            yield pa.StructArray.from_arrays(
-                [
-                    pa.array(np.diff(np.r_[starts, len(now)]), pa.int64()),
-                    pa.array(np.add.reduceat((counts > 0)[which].astype(np.int64), starts), pa.int64()),
-                    pa.array(np.add.reduceat(base, starts), pa.float64()),
-                    pa.array(np.add.reduceat(np.log10(p), starts), pa.float64()),
-                ],
-                names,
+            return (
+                np.diff(np.r_[starts, len(now)]),
+                np.add.reduceat((counts > 0)[which].astype(np.int64), starts),
+                np.add.reduceat(base, starts),
+                np.add.reduceat(np.log10(p), starts),
             )
 
+        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+        for column in batches:
+            parts, held, n = [empty], [], 0
+            for text in text_bytes(column):
+                held.append(tokens_of(text))
+                n += len(held[-1]) + 1
+                if n >= SCORED_TOKENS:
+                    parts.append(scored(held))
+                    held, n = [], 0
+            if held:
+                parts.append(scored(held))
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names)
+
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return run
 

@@ -321,6 +321,25 @@ def test_importance(spark, texts):
     assert least == keys[k - 1]
 
 
+def test_importance_query_and_stage_agree(spark):
+    labels, docs = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "documents"))
+    rows, _, least = importance.classify(docs, labels)
+    want = {r.doc_id: r.gumbel_key >= least for r in rows.collect()}
+    assert {r.doc_id: r.kept for r in queries.op5_importance_resampling(spark, SF).collect()} == want
+    assert {r.doc_id for r in importance.keep(docs, labels).collect()} == {i for i, k in want.items() if k}
+    assert 0 < sum(want.values()) < len(want)
+
+
+def test_importance_ties_are_all_taken(spark):
+    rows = [(1, "good words here")] * 3 + [(2, "other things")] + [(None, "good words here")] * 2 + [(5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    got = [r.doc_id for r in importance.keep(docs, labels).collect()]
+    assert got.count(1) in (0, 3) and got.count(None) in (0, 2)
+    none = importance.keep(docs, labels.filter("quality = 0")).collect()
+    assert len(none) == len(rows)
+
+
 def test_kth_largest(spark):
     d = spark.range(50_000).selectExpr("cast(pmod(xxhash64(id), 1000) as double) as x")
     values = sorted((r.x for r in d.collect()), reverse=True)
@@ -489,11 +508,15 @@ def test_orders_and_wide_keys(spark, texts, order, wide, monkeypatch):
         assert r.lm.score == pytest.approx(log_p(plain, line[r.doc_id], order))
 
 
-def test_counts_beyond_a_byte():
-    counts = np.array([1, 254, 255, 256, 70_000, 3])
-    held = kneser_ney.short_counts(counts)
-    assert held[0].dtype == np.uint8
-    assert kneser_ney.counts_at(np.array([4, 0, 2, 3, 1, 5]), *held).tolist() == [70_000, 1, 255, 256, 254, 3]
+@pytest.mark.parametrize("room", [True, False])
+def test_counts_beside_keys(room):
+    counts = np.array([1, 14, 15, 16, 254, 255, 256, 70_000, 3])
+    keys = np.arange(9, dtype=np.uint64) * np.uint64(3) + np.uint64(5)
+    table = kneser_ney.Table(*kneser_ney.with_counts(keys, counts, room))
+    assert len(table.beside) == (0 if room else 9)
+    assert table.counts(np.array([7, 0, 2, 6, 1])).tolist() == [70_000, 1, 15, 256, 14]
+    assert table.count_of(np.array([5, 6, 29, 4, 100], np.uint64)).tolist() == [1, 0, 3, 0, 0]
+    assert table.followed(np.array([0, 3]), np.array([2, 3]), {}, int).tolist() == [[15, 1, 0, 1], [0, 0, 0, 0]]
 
 
 def test_frequent_first_words_are_spread(spark):

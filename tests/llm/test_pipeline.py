@@ -4,6 +4,7 @@ from itertools import combinations
 
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 
@@ -64,3 +65,38 @@ def test_stages(spark, tmp_path):
     clean = {r.doc_id for r in quality_rules.judge(spark.read.parquet(f"{SF}/documents.parquet")).filter("not rules.base_failed").collect()}
     assert good & clean <= {r.doc_id for r in kept["quality_rules"].collect()}
     assert rows(P.run(spark, SF)) == rows(kept["tokens"])
+
+
+HARD = [
+    (1, "a b c d e f g h i j k", "en", "s1", 21),
+    (1, "a b c d e f g h i j k", "en", "s1", 21),
+    (2, None, "en", None, None),
+    (3, "", None, "s1", 0),
+    (None, "no id here", "en", "s2", 10),
+    (None, None, None, None, None),
+    (7, "word and more " * 20_000, "en", "s2", 280_000),
+    (8, "日本語のテキスト \U0001f600 été", "ja", "s3", 14),
+    (9, "x" * 50_000, "en", "s3", 50_000),
+    (9, "another text under the same id", "en", "s3", 30),
+]
+KIND = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_stages_take_hard_rows_and_empty_tables(spark):
+    for name, stage in P.STAGES:
+        docs = spark.createDataFrame(HARD, KIND).withColumn("other", F.lit("x")).repartition(3)
+        out = stage(spark, docs, SF)
+        rows_out = out.collect()
+        assert stage(spark, docs.limit(0), SF).collect() == []
+        if name == "tokens":
+            assert len(rows_out) == len(HARD) and [r.ids for r in rows_out if r.doc_id in (2, 3)] == [[], []]
+            continue
+        assert out.columns == docs.columns
+        texts = sorted((r.doc_id or 0, r.text or "") for r in rows_out)
+        if name == "quality_rules":
+            assert texts == []
+        if name == "near_duplicates":
+            want = {(1, HARD[0][1]), (2, ""), (0, "no id here"), *((r[0], r[1]) for r in HARD[6:])}
+            assert texts == sorted(want)
+        if name == "mix":
+            assert all(texts.count(t) <= 3 * sum((r[0] or 0, r[1] or "") == t for r in HARD) for t in texts)
