@@ -36,10 +36,10 @@ FEATURES = 1 << 18
 BEGINNINGS = (4, 5, 6)
 LEAST_DOCUMENTS = 5
 FOLDS = 4
-PENALTY = 1e-4
+PENALTY = 2e-5
 #: A fit ends when the slope has fallen to this share of the first one.
-TOLERANCE = 1e-3
-MOST_ROUNDS = 300
+TOLERANCE = 1e-5
+MOST_ROUNDS = 1_000
 MEMO_WORDS = 200_000
 SEED = 8
 #: The labels have one flag for toxicity and one for quality, which make these
