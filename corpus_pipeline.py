@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fathom.llm import bpe, importance, mixing, quality_rules, simhash
-from fathom.llm.common import table
+from fathom.llm.common import new_folder, table
 from fathom.llm.queries import VOCABULARY
 
 
@@ -62,7 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each but the last keeps is written to the
+    shared folder and read again, so that no stage is computed twice."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    *stages, (_, last) = STAGES
+    for name, stage in stages:
+        folder = new_folder(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    return last(spark, docs, sf_dir)
