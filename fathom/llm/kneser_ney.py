@@ -49,10 +49,10 @@ END = b"\n"
 HELD_WORDS = 400_000
 HELD_TOKENS = 2_000_000
 #: Tokens that are scored together, but for a single longer text.
-SCORED_TOKENS = 500_000
+SCORED_TOKENS = 1_000_000
 MEMO_WORDS = 300_000
 #: Contexts with more followers than this are remembered by a scoring task.
-LONG_CONTEXT = 256
+LONG_CONTEXT = 64
 #: A word is frequent if it makes up more than 1/(this * buckets) of all tokens.
 FREQUENT = 4
 
@@ -211,7 +211,7 @@ class Table:
             told = seen.get(name(k))
             if told is None:
                 c = self.counts(np.arange(low[k], high[k]))
-                told = (c.sum(), (c == 1).sum(), (c == 2).sum(), (c >= 3).sum())
+                told = tuple(int(x.sum()) for x in (c, c == 1, c == 2, c >= 3))
                 if len(seen) >= MEMO_WORDS:
                     seen.clear()
                 seen[name(k)] = told
@@ -688,7 +688,9 @@ def _score(model: Model):
             stats, seen = np.zeros((len(below), 4), np.int64), np.zeros(len(below), np.int64)
             for b, asked in triple_shards.by_bucket(bucket, context):
                 table = triple_shards.table(b)
-                distinct, which = np.unique(context[asked], return_inverse=True)
+                own = context[asked]  # in order
+                first = np.r_[True, own[1:] != own[:-1]]
+                distinct, which = own[first], np.cumsum(first) - 1
                 low, high = triples.spans(table, distinct)
                 stats[there[asked]] = table.followed(low, high, long_contexts, lambda k, b=b, own=distinct: (b, int(own[k])))[which]
                 known = asked[three[there[asked]] >= 0]
