@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm import (
+    alignment,
     bpe,
     edit_counts,
     importance,
@@ -24,6 +25,8 @@ from fathom.llm import (
 from fathom.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Those that are aligned with each other.
+TOKENIZERS = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def op1_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +115,17 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "found.*")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    paths = (public_tokenizers.path(x) for x in TOKENIZERS)
+    groups = F.col("alignment.groups")
+    digest = F.when(groups == "", "").otherwise(F.sha2(groups.cast("binary"), 256)).alias("groups_sha256")
+    aligned = alignment.align(docs, *paths).select("doc_id", digest, "alignment")
+    found = alignment.count_links(aligned)
+    names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    return found.select("doc_id", *names)
+
+
 def queries() -> dict:
     return {
         "op1_edit_counts": op1_edit_counts,
@@ -124,6 +138,7 @@ def queries() -> dict:
         "op8_toxicity_chain": op8_toxicity_chain,
         "op9_simhash_groups": op9_simhash_groups,
         "op10_license_scan": op10_license_scan,
+        "op11_token_alignment": op11_token_alignment,
     }
 
 
