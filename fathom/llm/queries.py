@@ -21,6 +21,7 @@ from fathom.llm import (
     simhash,
     syncmers,
     toxicity,
+    whitening,
 )
 from fathom.llm.common import table
 
@@ -126,6 +127,23 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *names)
 
 
+def op13_svd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    rows = whitening.whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    explained = [float(e / model.trace) for e in model.eigenvalues] if model else []
+    told = [F.lit(e) for e in explained] or [F.lit(None).cast("double")]
+    return rows.select(
+        "vec_id",
+        (F.col("at") + 1).cast("int").alias("component"),
+        F.lit(model.n if model else None).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.element_at(F.array(*told), F.col("at") + 1).alias("explained"),
+        F.lit(model.error if model else None).cast("double").alias("identity_error"),
+    )
+
+
 def queries() -> dict:
     return {
         "op1_edit_counts": op1_edit_counts,
@@ -139,6 +157,7 @@ def queries() -> dict:
         "op9_simhash_groups": op9_simhash_groups,
         "op10_license_scan": op10_license_scan,
         "op11_token_alignment": op11_token_alignment,
+        "op13_svd_whitening": op13_svd_whitening,
     }
 
 
