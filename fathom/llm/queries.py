@@ -17,6 +17,7 @@ from fathom.llm import (
     kneser_ney,
     licenses,
     mixing,
+    partenum,
     quality_rules,
     simhash,
     syncmers,
@@ -127,6 +128,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *names)
 
 
+def op12_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op13_svd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     model = whitening.fit(vectors)
@@ -157,6 +162,7 @@ def queries() -> dict:
         "op9_simhash_groups": op9_simhash_groups,
         "op10_license_scan": op10_license_scan,
         "op11_token_alignment": op11_token_alignment,
+        "op12_partenum_join": op12_partenum_join,
         "op13_svd_whitening": op13_svd_whitening,
     }
 
