@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathom.functions.scalars import strip
+
 RESULT, ERROR = "document_result", "document_error"
 SECTION = "section_id string, chunk_index int, heading string, content string, page_start int, page_end int"
 RECORD = (
@@ -44,7 +46,7 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
         rows = cells.select(*(F.try_element_at("r", F.nullif(f"at_{c}", F.lit(0))).alias(c) for c in at))
     else:
         rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    cut = rows.select(F.trim("STT").alias("id"), F.trim("Question").alias("question"))
+    cut = rows.select(strip("STT").alias("id"), strip("Question").alias("question"))
     return cut.filter("length(id) > 0 and length(question) > 0")
 
 

@@ -115,15 +115,6 @@ def typed(rows: DataFrame, cell_array: str, columns: list[tuple[str, str]]) -> D
     return rows.select(*(column(i, n, k) for i, (n, k) in enumerate(columns)))
 
 
-def padded(rows: DataFrame, cell_array: str) -> DataFrame:
-    """Cells stripped and filled up with empty ones to the widest row."""
-    width = rows.agg(F.max(F.size(cell_array))).head()[0] or 0
-    clean = F.transform(F.col(cell_array), lambda x: strip(F.coalesce(x, F.lit(""))))
-    return rows.withColumn(cell_array, F.concat(clean, F.array_repeat(F.lit(""), F.lit(width) - F.size(cell_array))))
-
-
-
-
 def register(found: DataFrame, types: DataFrame, names: dict[str, str], cell_array: str = "body") -> None:
     """Typed temporary views of some tables, to be asked by ``spark.sql``.
 

@@ -14,7 +14,7 @@ from functools import partialmethod, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.functions.scalars import plain_question, query_tokens
+from fathom.functions.scalars import plain_question, query_tokens, strip
 from fathom.functions.search_texts import filled
 from fathom.operators import search
 
@@ -101,7 +101,7 @@ def search_docs(files: DataFrame, children: DataFrame | None, modality: str, chi
             F.col("child_id").alias("doc_id"), F.lit(child_kind).alias("record_type"), "source_id", "child_id", F.col("search_text").alias("text")
         )
         rows = rows.unionByName(own)
-    kept = rows.filter(F.length(F.trim("text")) > 0).withColumn("modality", F.lit(modality))
+    kept = rows.filter(F.length(strip("text")) > 0).withColumn("modality", F.lit(modality))
     others = [c for c in kept.columns if c != "doc_id"]
     return kept.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("d")).select("doc_id", "d.*")
 
@@ -156,11 +156,11 @@ def formatted(rows: DataFrame, modality: str, record_type: str, root: str | None
 def hydrated(hits: DataFrame, files: DataFrame, children: DataFrame, modality: str, root: str | None = None) -> DataFrame:
     """Hits (record_type, source_id, child_id, score) with the rows that they name:
     those of record_type file with their file, the others with their child and its file.
-    Two joins; hits of rows that are gone drop."""
-    of_files = hits.filter("record_type = 'file'").select("source_id", "score").join(files, "source_id")
+    Two joins; hits of rows or files that are gone drop."""
+    of_files = hits.filter("record_type = 'file'").select("source_id", "score").join(search.present(files), "source_id")
     own = [c for c in files.columns if c == "source_id" or c not in children.columns]
     kind = "table" if modality in ("tabular", "database") else "section"
-    of_children = hits.filter("record_type <> 'file'").select("child_id", "score").join(children, "child_id").join(files.select(*own), "source_id")
+    of_children = search.hydrate(hits.filter("record_type <> 'file'").select("child_id", "score"), children, search.present(files).select(*own), "child_id", "source_id")
     both = (formatted(of_files, modality, "file", root), formatted(of_children, modality, kind, root))
     return both[0].unionByName(both[1], allowMissingColumns=True)
 
@@ -183,44 +183,66 @@ class Retriever:
         self.indexes, self.embed, self.root = indexes, embed, root
 
     def query(self, modality: str, question: str, limit: int = 5, offset: int = 0, top_k: int | None = None) -> DataFrame:
-        """One page of a modality's hits."""
+        """One page of a modality's hits; :meth:`page` tells too whether more follow."""
+        limit, offset = search.bounds(limit, offset, top_k)
+        return self._near(modality, question, limit, offset).orderBy("score", "file_path", "content")
+
+    def _near(self, modality: str, question: str, limit: int, offset: int) -> DataFrame:
         if modality not in self.indexes:
             raise KeyError(f"no index for {modality}")
-        limit, offset = search.bounds(limit, offset, top_k)
         index = self.indexes[modality]
         near = search.top(search.scored(index.vectors, self.embed(question)), ["score", "doc_id"], limit, offset)
-        hits = hydrated(near, index.files, index.children, modality, self.root)
-        return hits.orderBy("score", "file_path", "content")
+        return hydrated(near, index.files, index.children, modality, self.root)
 
     def query_all(self, question: str, limit: int = 5, offset: int = 0) -> DataFrame:
         """One page of the best hits of all modalities; see :meth:`skipped`."""
-        limit, offset = search.bounds(limit, offset)
-        found = [self.query(m, question, limit + offset) for m in MODALITIES if m in self.indexes]
+        return self._merged(question, *search.bounds(limit, offset))
+
+    def _merged(self, question: str, limit: int, offset: int) -> DataFrame:
+        found = [self._near(m, question, limit + offset, 0) for m in MODALITIES if m in self.indexes]
         if not found:
             raise KeyError("no index at all")
         plain = ["modality", "record_type", "file_path", "score", "content", "execution_file_path"]
         return search.top(reduce(DataFrame.unionByName, (h.select(*plain) for h in found)), ["score", "modality", "file_path", "content"], limit, offset)
 
+    def page(self, modality: str | None, question: str, limit: int = 5, offset: int = 0, top_k: int | None = None) -> search.Page:
+        """A page as plain rows, of one modality or (None) of all, with the offset after
+        it and whether more follows.  One row more than shown is asked for."""
+        limit, offset = search.bounds(limit, offset, top_k if modality else None)
+        order = ["score", "file_path", "content"]
+        if modality:
+            rows = self._near(modality, question, limit + 1, offset).orderBy(*order).collect()
+        else:
+            rows = self._merged(question, limit + 1, offset).collect()
+        return search.Page(rows[:limit], offset + len(rows[:limit]), len(rows) > limit)
+
     def skipped(self) -> list[dict]:
         """Modalities that aren't asked, and why."""
         return [{"modality": m, "reason": "index missing"} for m in MODALITIES if m not in self.indexes]
 
     def file_summary(self, path: str) -> DataFrame:
-        """What is known of one file, from the first modality that has it: the path as
-        given, or below the root, or without leading slashes."""
+        """What is known of one file: the path as given, or below the root, before the
+        path without leading slashes, each in the first modality that has it."""
         plain = path.replace("\\", "/")
         if self.root and plain.startswith(self.root.rstrip("/") + "/"):
             plain = plain[len(self.root.rstrip("/")) + 1 :]
         wanted = list(dict.fromkeys([plain, plain.lstrip("/")]))
-        for modality in (m for m in MODALITIES if m in self.indexes):
-            index = self.indexes[modality]
-            files = index.files.filter(F.col("relative_path").isin(*wanted)).limit(1)
-            if modality == "database":
-                counts = index.children.groupBy("source_id").agg(F.count(F.lit(1)).alias("table_count"))
-                files = files.join(counts, "source_id", "left").withColumn("table_count", F.coalesce("table_count", F.lit(0)))
-            if not files.isEmpty():
-                return summaries(files, modality, self.root)
-        raise ValueError(f"no indexed file: {path}")
+        place = F.array_position(F.array(*map(F.lit, wanted)), F.col("relative_path"))
+        found = [
+            search.present(self.indexes[m].files).filter(F.col("relative_path").isin(*wanted)).select(F.lit(path).alias("asked"), "relative_path", F.lit(m).alias("modality"))
+            for m in MODALITIES
+            if m in self.indexes
+        ]
+        best = search.first_by_priority(found, "asked", [place]).collect() if found else []
+        if not best:
+            raise ValueError(f"no indexed file: {path}")
+        index, modality = self.indexes[best[0].modality], best[0].modality
+        files = index.files.filter(F.col("relative_path") == best[0].relative_path).limit(1)
+        if modality == "database":
+            own = index.children.join(F.broadcast(files.select("source_id")), "source_id")  # one file
+            counts = own.groupBy("source_id").agg(F.count(F.lit(1)).alias("table_count"))
+            files = files.join(counts, "source_id", "left").withColumn("table_count", F.coalesce("table_count", F.lit(0)))
+        return summaries(files, modality, self.root)
 
 
 for _m in MODALITIES:
@@ -271,8 +293,7 @@ def database_search(index: dict[str, Index], modality: str, question: str) -> Da
     def found(name: str, columns: list[str], content: Callable[[DataFrame], Column], of_files: bool = False) -> DataFrame:
         i = index[name]
         rows = i.files if of_files else i.children.join(i.files.select("source_id", "filename", "relative_path"), "source_id")
-        holds = reduce(lambda a, b: a | b, (F.coalesce(F.col(c).ilike(f"%{question}%"), F.lit(False)) for c in columns))
-        kept = rows.filter(holds)
+        kept = rows.filter(reduce(lambda a, b: a | b, (search.holds(c, question) for c in columns)))
         order = ["relative_path"] if of_files else ["relative_path", "child_id"]
         return search.top(kept, order, MOST_ROWS).select("filename", content(kept).alias("content"))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions.scalars import cosine_distance
@@ -61,26 +62,36 @@ def merged_top(branches: dict[str, DataFrame], ids: list[str], limit: int, offse
 def hydrate(hits: DataFrame, children: DataFrame, files: DataFrame, child_id: str, source_id: str) -> DataFrame:
     """Hits with the columns of their child row and its file.  Hits whose child is
     gone drop; files that are no longer present drop too."""
-    there = files.filter(F.col("is_present")) if "is_present" in files.columns else files
-    return hits.join(children, child_id).join(there, source_id)
+    return hits.join(children, child_id).join(present(files), source_id)
 
 
-def first_by_priority(candidates: list[DataFrame], key: str) -> DataFrame:
-    """One row per key: from the first frame that has it; frames have equal columns."""
-    numbered = [c.withColumn("__priority", F.lit(i)) for i, c in enumerate(candidates)]
+def present(files: DataFrame) -> DataFrame:
+    """Files that were there in the last run, as far as that is known."""
+    return files.filter(F.col("is_present")) if "is_present" in files.columns else files
+
+
+def first_by_priority(candidates: list[DataFrame], key: str, before: list[Column] = ()) -> DataFrame:
+    """One row per key: the least by ``before``, then from the first frame that has
+    it; frames have equal columns."""
+    numbered = [c.withColumn("__priority", F.struct(*before, F.lit(i))) for i, c in enumerate(candidates)]
     every = reduce(DataFrame.unionByName, numbered)
     others = [c for c in every.columns if c not in (key, "__priority")]
     best = every.groupBy(key).agg(F.min(F.struct("__priority", *others)).alias("best"))
     return best.select(key, *(F.col(f"best.{c}").alias(c) for c in others))
 
 
-def lexical(rows: DataFrame, column: str, text: str, order: list[str], limit: int = 5) -> DataFrame:
-    """Rows whose column holds ``text`` in any case; ``%`` and ``_`` in it are
-    wildcards, as they always were."""
-    return top(rows.filter(F.col(column).ilike(f"%{text}%")), order, limit)
+def pattern(text: str) -> str:
+    """A pattern for what holds ``text``: ``%`` and ``_`` in it are wildcards, and a
+    backslash makes the next character (at the end: the pattern's own ``%``) stand for itself."""
+    return re.sub(r"\\(.)", lambda m: m[0] if m[1] in "%_\\" else m[1], f"%{text}%", flags=re.S)
 
 
-def latest_per_key(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in the given order."""
-    n = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return rows.withColumn("__n", n).filter("__n = 1").drop("__n")
+def holds(column: str | Column, text: str) -> Column:
+    """Whether the column holds ``text`` in any case (see :func:`pattern`); false for null."""
+    held = F.col(column) if isinstance(column, str) else column
+    return F.coalesce(held.ilike(pattern(text)), F.lit(False))
+
+
+def lexical(rows: DataFrame, column: str, text: str, order: list[str], limit: int = 5) -> DataFrame:
+    """The first rows whose column holds ``text`` in any case."""
+    return top(rows.filter(holds(column, text)), order, limit)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.functions.scalars import strip
+
 
 def even_sample(rows: DataFrame, group: list[str], order: list[str], k: int) -> DataFrame:
     """``k`` rows of each group, evenly spread in order, the first and the last
@@ -58,17 +60,7 @@ def page_range(pages: str) -> Column:
 
 def heading_path(parts: str) -> Column:
     """Non-empty headings from the outside in, joined."""
-    return F.array_join(F.filter(F.col(parts), lambda h: F.length(F.trim(h)) > 0), " > ")
-
-
-def first_by_digest(rows: DataFrame, group: list[str], content: str, order: list[str], most: int | None = None) -> DataFrame:
-    """Of equal contents in a group the first stays; ``most`` cuts the group
-    before that."""
-    by = Window.partitionBy(*group).orderBy(*order)
-    cut = rows.withColumn("__n", F.row_number().over(by)).filter(F.col("__n") <= most).drop("__n") if most else rows
-    digest = cut.withColumn("digest", F.sha1(F.col(content).cast("binary")))
-    alike = Window.partitionBy(*group, "digest").orderBy(*order)
-    return digest.withColumn("__n", F.row_number().over(alike)).filter("__n = 1").drop("__n")
+    return F.array_join(F.filter(F.transform(F.col(parts), strip), lambda h: F.length(h) > 0), " > ")
 
 
 # Characters of a slide's sections.
@@ -81,7 +73,7 @@ def document_sections(chunks: DataFrame, source: str = "source_id") -> DataFrame
     """(source, chunk_index, heading, content, page_start, page_end, char_count) of
     ``chunks``: source, index, headings (array), text, and pages (array of int, may be
     null).  Chunks without text drop, and leave gaps in the index."""
-    text = F.trim("text")
+    text = strip("text")
     kept = chunks.withColumn("content", text).filter(F.length("content") > 0)
     pages = page_range("pages") if "pages" in chunks.columns else F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
     path = heading_path("headings")
@@ -105,9 +97,10 @@ def slide_sections(
     ``chunks``: source, index, heading, content, slide_start, slide_end.  Chunks of the
     same slides in a row are merged in order while they fit ``most``: one shorter
     than ``least`` takes what follows, one of ``enough`` takes nothing more, and between
-    these the headings must agree (one begins with the other, or is missing).
+    these the headings must agree (one begins with the other, or is missing).  Chunks of white space drop.
     """
-    runs = islands(chunks, [source], ["index"], ["slide_start", "slide_end"])
+    filled = chunks.withColumn("content", strip("content")).filter(F.length("content") > 0)
+    runs = islands(filled, [source], ["index"], ["slide_start", "slide_end"])
     one = F.struct("index", "heading", "content", "slide_start", "slide_end")
     grouped = runs.groupBy(source, "island").agg(F.array_sort(F.collect_list(one)).alias("parts"))  # a slide's chunks
 
@@ -116,7 +109,7 @@ def slide_sections(
         return none | F.startswith(a, b) | F.startswith(b, a)
 
     def joined(a: Column, b: Column) -> Column:
-        c = [F.when(F.length(F.trim(x)) > 0, F.trim(x)) for x in (a, b)]
+        c = [F.when(F.length(strip(x)) > 0, strip(x)) for x in (a, b)]
         return F.concat_ws("\n", *c)
 
     def step(state: Column, part: Column) -> Column:
@@ -203,7 +196,7 @@ def with_pictures(sections: DataFrame, told: DataFrame, source: str = "source_id
     pictures.  ``told``: source, image_index, section_type (image_ocr, image_summary),
     content; rows without content drop."""
     last = sections.groupBy(source).agg(F.max("chunk_index").alias("last"))
-    filled = told.filter(F.length(F.trim("content")) > 0).join(last, source, "left")
+    filled = told.filter(F.length(strip("content")) > 0).join(last, source, "left")
     place = F.row_number().over(Window.partitionBy(source).orderBy("image_index", "section_type"))
     more = filled.withColumn("chunk_index", F.coalesce("last", F.lit(0)) + place).drop("last")
     return sections.unionByName(more, allowMissingColumns=True)

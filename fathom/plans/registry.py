@@ -715,8 +715,8 @@ def point_lookups(spark, sf_dir):
 
 
 @query(
-    """SELECT conv_id, turn AS chunk_index, CASE WHEN turn % 2 = 0 THEN role || ' > part' ELSE '' END AS heading, sha1(trim(text)) AS content,
-      turn AS page_start, turn + 2 AS page_end, length(trim(text))::INT AS char_count FROM conversations WHERE turn % 3 <> 1"""
+    """SELECT conv_id, turn AS chunk_index, CASE WHEN turn % 2 = 0 THEN role || ' > part' ELSE '' END AS heading, sha1(trim(text, chr(9) || chr(10) || ' ')) AS content,
+      turn AS page_start, turn + 2 AS page_end, length(trim(text, chr(9) || chr(10) || ' '))::INT AS char_count FROM conversations WHERE turn % 3 <> 1"""
 )
 def document_sections(spark, sf_dir):
     t = table(spark, sf_dir, "conversations")
@@ -724,8 +724,8 @@ def document_sections(spark, sf_dir):
     chunks = t.select(
         "conv_id",
         F.col("turn").alias("index"),
-        F.when(even, F.array(F.col("role"), F.lit(" "), F.lit("part"))).otherwise(F.array(F.lit(""))).alias("headings"),
-        F.when(F.col("turn") % 3 == 1, F.lit("  ")).otherwise(F.col("text")).alias("text"),
+        F.when(even, F.array(F.col("role"), F.lit("\t"), F.lit(" part"))).otherwise(F.array(F.lit(""))).alias("headings"),
+        F.when(F.col("turn") % 3 == 1, F.lit(" \n\t ")).otherwise(F.concat(F.lit("\n "), "text", F.lit("\t"))).alias("text"),
         F.array(F.col("turn") + 1, F.col("turn") + 2, F.col("turn")).alias("pages"),
     )
     found = sections.document_sections(chunks, "conv_id")

@@ -119,11 +119,28 @@ def database(data: bytes, suffix: str = ".db") -> list[tuple[str, list[list[str]
         con.close()
 
 
+#: Tens of thousands of steps that a script may take, and bytes that it may fill.
+SCRIPT_STEPS, SCRIPT_BYTES = 20_000, 1 << 30
+DENIED = (sqlite3.SQLITE_ATTACH, sqlite3.SQLITE_DETACH, sqlite3.SQLITE_PRAGMA, sqlite3.SQLITE_CREATE_VTABLE)
+
+
+def _allowed(action: int, first: str | None, second: str | None, *_) -> int:
+    loads = action == sqlite3.SQLITE_FUNCTION and second == "load_extension"
+    return sqlite3.SQLITE_DENY if loads or action in DENIED else sqlite3.SQLITE_OK
+
+
 def sql_tables(data: bytes, suffix: str = ".sql") -> list[tuple[str, list[list[str]]]]:
-    """Tables that a script creates and fills, by running it on an empty database."""
+    """Tables that a script creates and fills, by running it on an empty database in
+    memory.  It may not attach files, set pragmas or load code, and is stopped after so
+    many steps; a script that tries is an error."""
     con = sqlite3.connect(":memory:")
     try:
+        con.execute(f"PRAGMA max_page_count = {SCRIPT_BYTES // 4096}")
+        con.set_authorizer(_allowed)
+        steps = iter(range(SCRIPT_STEPS))
+        con.set_progress_handler(lambda: next(steps, None) is None, 10_000)
         con.executescript(data.decode("utf-8-sig", "replace"))
+        con.set_authorizer(None)
         return database(con.serialize())
     finally:
         con.close()

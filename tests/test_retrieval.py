@@ -147,3 +147,41 @@ def test_texts_of_tables(spark):
     assert t.select(search_texts.table_search_text(t)).head()[0] == "S\nTITLE\na | b"
     shown = search_texts.table_text(F.col("header"), F.lit(9), F.col("preview"))
     assert t.select(shown).head()[0] == "Columns: a, b\nShape: (9, 2)\nData Preview:\n1 | 2\n3 | 4"
+
+
+def test_summary_is_of_the_first_path(spark, indexes):
+    """The path as given comes before others, whatever their modality."""
+    def files(path):
+        return spark.createDataFrame([("s" + path, path, "a.csv", path)], "source_id string, relative_path string, filename string, file_summary string")
+
+    none = indexes["text"].vectors.limit(0)
+    both = {"tabular": R.Index(none, files("a.csv"), none), "text": R.Index(none, files("/a.csv"), none)}
+    r = R.Retriever(both, lambda q: [1.0, 0.0])
+    assert [r.file_summary(p).head().modality for p in ("/a.csv", "a.csv", "//a.csv")] == ["text", "tabular", "tabular"]
+
+
+def test_pages_tell_what_follows(indexes):
+    r = R.Retriever(indexes, lambda q: [1.0, 0.0])
+    pages = [r.page(None, "?", limit=4, offset=k) for k in (0, 4)]
+    assert [(len(p.results), p.next_offset, p.has_more) for p in pages] == [(4, 4, True), (2, 6, False)]
+    one = r.page("text", "?", limit=2)
+    assert [h.content for h in one.results] == [h.content for h in r.query_text("?", limit=2).collect()]
+    assert (one.next_offset, one.has_more) == (2, True)
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [("temp\\x", ["tempx"]), ("100\\%", ["100% sure"]), ("a\\\\b", ["a\\b"]), ("e_p", ["tempx"]), ("sure\\", ["sure%"]), ("", None)],
+)
+def test_backslashes(spark, text, found):
+    """As in LIKE elsewhere, a backslash only takes away a sign's meaning."""
+    rows = ["tempx", "100% sure", "1000 sure", "a\\b", "sure%", None]
+    got = R.search.lexical(spark.createDataFrame([(r,) for r in rows], "t string"), "t", text, ["t"], 9)
+    assert [r.t for r in got.collect()] == (found if found is not None else sorted(r for r in rows if r))
+
+
+def test_files_that_are_gone_have_no_hits(indexes):
+    i = indexes["text"]
+    gone = i.files.withColumn("is_present", F.col("source_id") != "s1")
+    r = R.Retriever({"text": R.Index(i.vectors, gone, i.children)}, lambda q: [1.0, 0.0])
+    assert [h.content for h in r.query_text("?").collect()] == ["calm"]

@@ -181,3 +181,24 @@ def test_files_too_large_are_errors_and_have_another_way(spark, tmp_path, monkey
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert rows == [["key", "text", "n"], *([f"k{i}", f"a, {i}", str(i)] for i in range(3000)), ["ragged"]]
     assert {r.relative_path for r in found.collect()} == {"big one.csv"}
+
+
+@pytest.mark.parametrize(
+    "script",
+    [
+        "ATTACH DATABASE '{0}/out.db' AS o; CREATE TABLE o.t (a);",
+        "PRAGMA journal_mode = WAL; CREATE TABLE t (a);",
+        "CREATE TABLE t (a); WITH RECURSIVE c(x) AS (SELECT 1 UNION ALL SELECT x + 1 FROM c) INSERT INTO t SELECT count(*) FROM c;",
+        "VACUUM INTO '{0}/out.db';",
+    ],
+)
+def test_scripts_have_no_rights(tmp_path, monkeypatch, script):
+    monkeypatch.setattr(tabular, "SCRIPT_STEPS", 50)
+    with pytest.raises(Exception, match="authorized|interrupted|denied|not"):
+        tabular.sql_tables(script.format(tmp_path).encode())
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_scripts_may_fill_tables():
+    found = tabular.sql_tables(b"CREATE TABLE t (a, b); INSERT INTO t VALUES (1, upper('x')); CREATE TABLE u AS SELECT a FROM t;")
+    assert found == [("t", [["a", "b"], ["1", "X"]]), ("u", [["a"], ["1"]])]
