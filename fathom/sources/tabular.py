@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.scalars import is_boolean, is_date, is_datetime, is_float, is_integer, normal_identifier, stable_id, strip
@@ -37,15 +37,23 @@ SHEET_COLUMNS = ("sheet", "worksheet", "tab")
 DESCRIPTION_COLUMNS = ("description", "summary", "content", "meaning", "notes")
 
 
+# A cell may be as long as a file.
+csv.field_size_limit((1 << 31) - 1)
+
+
+def separator_of(text: str, path: str) -> str:
+    """What separates cells, told from a text's first characters, else by the name."""
+    usual = "\t" if path.lower().endswith(".tsv") else ","
+    try:
+        return csv.Sniffer().sniff(text[:SNIFFED], "".join(SEPARATORS)).delimiter if text.strip() else usual
+    except csv.Error:
+        return usual
+
+
 def delimited(data: bytes, suffix: str) -> list[tuple[str, list[list[str]]]]:
     """One table; blank rows drop, ragged ones stay."""
     text = data.decode("utf-8-sig", "replace")
-    usual = "\t" if suffix == ".tsv" else ","
-    try:
-        usual = csv.Sniffer().sniff(text[:SNIFFED], ",;\t|").delimiter if text.strip() else usual
-    except csv.Error:
-        pass
-    rows = csv.reader(io.StringIO(text, newline=""), delimiter=usual)
+    rows = csv.reader(io.StringIO(text, newline=""), delimiter=separator_of(text, suffix))
     return [("", [r for r in rows if any(c.strip() for c in r)])]
 
 
@@ -192,34 +200,219 @@ def read(files: DataFrame) -> DataFrame:
     return files.withColumn("parsed", F.arrow_udf(_read, TABLES).asNondeterministic()(F.col("content"), F.col("extension"))).drop("content")
 
 
-def large(spark: SparkSession, root: str, relative_paths: list[str], separator: str = ",") -> DataFrame:
-    """(relative_path, row, cells) of delimited files of any size: they are split into
-    lines, which many tasks read.  ``row`` ascends with the lines of a file, with gaps.
-    A quoted cell must not hold a line end; blank lines drop, ragged rows stay."""
+#: What may separate cells, and how many blocks' states are broadcast at most.
+SEPARATORS = (",", ";", "\t", "|")
+MOST_STATES = 1_000_000
+
+
+def quoted_after(text: str, separator: str, quoted: bool) -> bool:
+    """Whether a quoted cell is open after ``text``, which begins inside one or not."""
+    at, size = 0, len(text)
+    while at < size:
+        if quoted:
+            at = text.find('"', at)
+            if at < 0:
+                return True
+            at += 1
+            if text[at : at + 1] == '"':  # two quotes are one
+                at += 1
+                continue
+            quoted = False
+        elif text[at] == '"':
+            quoted, at = True, at + 1
+            continue
+        # A quote inside a cell that doesn't begin with one, or after its end, is plain.
+        found = _END_OF_CELL[separator].search(text, at)
+        if not found:
+            return False
+        at = found.end()
+    return quoted
+
+
+_END_OF_CELL = {s: re.compile(f"[{re.escape(s)}\r\n]") for s in SEPARATORS}
+
+
+def _lines(spark: SparkSession, root: str, relative_paths: list[str]) -> DataFrame:
+    """(relative_path, start, size, bytes, line): lines that end with a line feed, in the blocks into
+    which Spark cuts files; ``start`` is where a block begins."""
     at = root.rstrip("/")
-    lines = spark.read.text([f"{at}/{p}" for p in relative_paths])
     scheme = r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?"
     base = re.sub(scheme, "", at) + "/"
     relative = F.substr(F.regexp_replace(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), scheme, ""), F.lit(len(base) + 1))
-    told = lines.select(relative.alias("relative_path"), (F.col("_metadata.file_block_start") * 1).alias("start"), "value")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, int], int] = {}
-        for batch in batches:
-            paths, starts, rows, cells = [], batch.column("start").to_pylist(), [], []
-            for path, start, line in zip(batch.column("relative_path").to_pylist(), starts, batch.column("value").to_pylist(), strict=True):
-                n = seen[path, start] = seen.get((path, start), -1) + 1
-                line = line.removeprefix("\ufeff") if start == n == 0 else line
-                if line.replace(separator, "").strip():
-                    paths.append(path)
-                    rows.append(start + n)  # a line has a byte or more, so blocks don't overlap
-                    cells.append(next(csv.reader([line], delimiter=separator)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(paths, pa.string()), pa.array(rows, pa.int64()), pa.array(cells, pa.list_(pa.string()))],
-                ["relative_path", "row", "cells"],
-            )
-
-    return told.mapInArrow(run, "relative_path string, row long, cells array<string>")
+    read = spark.read.option("lineSep", "\n").text([f"{at}/{p}" for p in relative_paths])
+    return read.select(
+        relative.alias("relative_path"),
+        (F.col("_metadata.file_block_start") * 1).alias("start"),
+        (F.col("_metadata.file_size") * 1).alias("size"),
+        (F.octet_length("value") + 1).cast("long").alias("bytes"),
+        F.make_valid_utf8("value").alias("line"),
+    )
+
+
+def _block_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block and separator the states after it, by the state before; and
+    of a file's first blocks the text from which its separator is told."""
+    now, states, seen, size, total = None, {}, [], 0, 0
+
+    def told() -> pa.RecordBatch:
+        path, start = now
+        head = "".join(seen)[:SNIFFED]
+        columns = [[path], [start], [size], [total], [head], [[states[s, False] for s in SEPARATORS]], [[states[s, True] for s in SEPARATORS]]]
+        kinds = [pa.string(), *[pa.int64()] * 3, pa.string(), pa.list_(pa.bool_()), pa.list_(pa.bool_())]
+        names = ["relative_path", "start", "size", "bytes", "head", "plain", "quoted"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    for batch in batches:
+        for path, start, size_, bytes_, line in zip(*(batch.column(n).to_pylist() for n in ("relative_path", "start", "size", "bytes", "line")), strict=True):
+            if (path, start) != now:
+                if now:
+                    yield told()
+                now, states, seen, held = (path, start), {(s, q): q for s in SEPARATORS for q in (False, True)}, [], 0
+                size, total = size_, 0
+            total += bytes_
+            if start <= 4 * SNIFFED and held <= SNIFFED:
+                seen.append((line.removeprefix("\ufeff") if start == 0 and not seen else line) + "\n")
+                held += len(seen[-1])
+            if '"' in line:
+                states = {(s, q): quoted_after(line + "\n", s, was) for (s, q), was in states.items()}
+    if now:
+        yield told()
+
+
+def _sniffed(heads: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for texts, paths in heads:
+        yield pa.array([separator_of(t or "", p) for t, p in zip(texts.to_pylist(), paths.to_pylist(), strict=True)], pa.string())
+
+
+_sniffed.__annotations__ = {"heads": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+
+
+def block_entries(lines: DataFrame, separator: str | None = None) -> DataFrame:
+    """(relative_path, start, separator, cut, entry): for each block whether it begins inside
+    a quoted cell, and whether its file ends without a line feed.  Every block is scanned for both states; a fold over a file's blocks, one
+    row each, tells which one is true."""
+    blocks = lines.mapInArrow(_block_states, "relative_path string, start long, size long, bytes long, head string, plain array<boolean>, quoted array<boolean>")
+    one = F.struct("start", "bytes", "head", "plain", "quoted")
+    files = blocks.groupBy("relative_path").agg(F.array_sort(F.collect_list(one)).alias("blocks"), F.max("size").alias("size"))
+    total = F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + b["bytes"])
+    head = F.substring(F.array_join(F.transform("blocks", lambda b: b["head"]), ""), 1, SNIFFED)
+    whole = (F.length(head) < SNIFFED) & (total > F.col("size"))  # all of a file that ends without a line feed
+    chosen = F.lit(separator) if separator else F.arrow_udf(_sniffed, "string")(F.when(whole, F.regexp_replace(head, r"\n\z", "")).otherwise(head), F.col("relative_path"))
+    files = files.withColumn("separator", chosen)
+    place = F.array_position(F.array(*map(F.lit, SEPARATORS)), F.col("separator")).cast("int")
+
+    def step(entries: Column, block: Column) -> Column:
+        before = F.element_at(entries, -1)
+        return F.array_append(entries, F.when(before, F.element_at(block["quoted"], place)).otherwise(F.element_at(block["plain"], place)))
+
+    entries = F.aggregate("blocks", F.array(F.lit(False)), step)
+    zipped = F.zip_with("blocks", entries, lambda b, e: F.struct(b["start"].alias("start"), e.alias("entry")))
+    told = files.select("relative_path", "separator", (total > F.col("size")).alias("cut"), F.explode(zipped).alias("b"))
+    return told.filter("b.start is not null").select("relative_path", "b.start", "separator", "cut", "b.entry")
+
+
+def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that lie in one block; and pieces of rows that don't: a block's lines up to
+    the end of the quoted cell in which it begins (``opens`` is false), and those of the
+    row that is open at its end (true)."""
+    paths, rows, cells, pieces, opens = [], [], [], [], []
+
+    def batch_of() -> pa.RecordBatch:
+        kinds = [pa.string(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.bool_()]
+        columns = [pa.array(c, k) for c, k in zip((paths, rows, cells, pieces, opens), kinds, strict=True)]
+        for c in (paths, rows, cells, pieces, opens):
+            c.clear()
+        return pa.RecordBatch.from_arrays(columns, ["relative_path", "row", "cells", "piece", "opens"])
+
+    def put(path: str, row: int, found: list[str] | None, piece: str | None = None, open_: bool | None = None) -> None:
+        for c, v in zip((paths, rows, cells, pieces, opens), (path, row, found, piece, open_), strict=True):
+            c.append(v)
+
+    now, held, n, inside, quoted, first, mark = None, [], 0, False, False, 0, ","
+
+    def close() -> None:
+        """The row or piece that is open at a block's end."""
+        if held:
+            put(now[0], now[1] + first, None, "\n".join(held) + "\n", not inside)
+
+    for batch in batches:
+        for path, start, line, separator, entry in zip(*(batch.column(c).to_pylist() for c in ("relative_path", "start", "line", "separator", "entry")), strict=True):
+            if (path, start) != now:
+                close()
+                now, held, n, inside, quoted, first, mark = (path, start), [], 0, entry, entry, 0, separator
+                line = line.removeprefix("\ufeff") if start == 0 else line
+            if not held:
+                first = n
+            held.append(line)
+            n += 1
+            if '"' in line:
+                quoted = quoted_after(line + "\n", mark, quoted)
+            if quoted:
+                continue
+            text = "\n".join(held)
+            if inside:
+                put(path, start + first, None, text + "\n", False)
+                inside = False
+            else:
+                # A carriage return alone ends a row too; a row has a byte or more, so blocks don't overlap.
+                for k, found in enumerate(csv.reader(io.StringIO(text, newline=""), delimiter=mark)):
+                    if any(c.strip() for c in found):
+                        put(path, start + first + k, found)
+                    n = max(n, first + k + 1)
+            held = []
+            if len(paths) >= 4096:
+                yield batch_of()
+    close()
+    yield batch_of()
+
+
+def _joined_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out: tuple[list, list, list] = ([], [], [])
+        for path, row, text, mark, cut in zip(*(batch.column(c).to_pylist() for c in ("relative_path", "row", "text", "separator", "cut")), strict=True):
+            text = text.removesuffix("\n") if cut else text  # only a quoted cell that never ends would show it
+            for k, found in enumerate(csv.reader(io.StringIO(text, newline=""), delimiter=mark)):
+                if any(c.strip() for c in found):
+                    for c, v in zip(out, (path, row + k, found), strict=True):
+                        c.append(v)
+        kinds = [pa.string(), pa.int64(), pa.list_(pa.string())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["relative_path", "row", "cells"])
+
+
+def large(spark: SparkSession, root: str, relative_paths: list[str], separator: str | None = None) -> DataFrame:
+    """(relative_path, row, cells) of delimited files of any size, the same rows that
+    :func:`delimited` gives: many tasks read a file's blocks.
+
+    ``row`` ascends with the rows of a file, with gaps.  The separator is told from the
+    file's first characters, unless it is given.  Files are read twice: a first pass
+    tells for each block where it would end, begun inside a quoted cell or not (see
+    :func:`block_entries`), and the second one makes rows.  Only rows that go over a
+    block's end are shuffled, in pieces.  Blank rows drop, ragged ones stay; an empty file
+    has no rows.
+    """
+    lines = _lines(spark, root, relative_paths)
+    if spark.sparkContext.getCheckpointDir():
+        entries = block_entries(lines, separator).checkpoint()
+    else:
+        entries = block_entries(lines, separator)
+    few = entries.count() <= MOST_STATES  # a row for each block
+    placed = lines.withColumn("at", F.monotonically_increasing_id())
+    states = entries.drop("cut")
+    placed = placed.drop("size", "bytes").join(F.broadcast(states) if few else states, ["relative_path", "start"])
+    if not few:  # what an exchange has mixed is put in order
+        placed = placed.repartition("relative_path", "start").sortWithinPartitions("relative_path", "start", "at")
+    made = placed.drop("at").mapInArrow(_block_rows, "relative_path string, row long, cells array<string>, piece string, opens boolean")
+    whole = made.filter("cells is not null").select("relative_path", "row", "cells")
+
+    # The pieces of a row: one that opens, and those after it that don't.
+    order = Window.partitionBy("relative_path").orderBy("row")  # at most two pieces a block
+    pieces = made.filter("piece is not null")
+    grouped = pieces.withColumn("first", F.max(F.when(F.col("opens"), F.col("row"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "piece"))), lambda x: x["piece"]), "")
+    cut = grouped.groupBy("relative_path", F.col("first").alias("row")).agg(text.alias("text"))
+    marks = entries.select("relative_path", "separator", "cut").distinct()
+    rest = cut.join(marks, "relative_path").mapInArrow(_joined_rows, "relative_path string, row long, cells array<string>")
+    return whole.unionByName(rest)
 
 
 def _data_like(cell):

@@ -1,4 +1,5 @@
 import io
+import random
 import sqlite3
 import zipfile
 
@@ -202,3 +203,45 @@ def test_scripts_have_no_rights(tmp_path, monkeypatch, script):
 def test_scripts_may_fill_tables():
     found = tabular.sql_tables(b"CREATE TABLE t (a, b); INSERT INTO t VALUES (1, upper('x')); CREATE TABLE u AS SELECT a FROM t;")
     assert found == [("t", [["a", "b"], ["1", "X"]]), ("u", [["a"], ["1"]])]
+
+
+def odd_tables(n):
+    """Texts of cells with quotes, line ends of all kinds, separators, and broken quoting."""
+    rng = random.Random(3)
+    parts = ["a", "bc", ",", ",", ";", "\t", "|", '"', '""', "\n", "\n", "\r\n", "\r", " ", '"x\ny"', '"p""q"', "é", "1", '"', ',"'] 
+    plain = ["id,text", "1,a b", '2,"line one\nline two"', '3,"he said ""no"""', "", ' , ', '4,"x,\r\ny"', "5;6", '"7","8"']
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) if i % 2 else "\ufeff" * (i % 4 // 2) + "\r\n".join(rng.choice(plain) for _ in range(rng.randint(0, 12))) + "\n" * (i % 3) for i in range(n)]
+
+
+@pytest.mark.parametrize("block", [5, 40, 100_000])
+def test_large_equals_whole(spark, tmp_path, monkeypatch, block):
+    """At any block size the rows are those of the reader of whole files."""
+    texts = odd_tables(70)
+    names = [f"t{i:03}.{'tsv' if i % 5 == 0 else 'csv'}" for i in range(len(texts))]
+    for name, text in zip(names, texts, strict=True):
+        (tmp_path / name).write_bytes(text.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        filled = [n for n, t in zip(names, texts, strict=True) if t]
+        rows = tabular.large(spark, str(tmp_path), filled).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    got = {n: [] for n in names}
+    for r in sorted(rows, key=lambda r: (r.relative_path, r.row)):
+        got[r.relative_path].append(r.cells)
+    assert len({(r.relative_path, r.row) for r in rows}) == len(rows)
+    for name, text in zip(names, texts, strict=True):
+        assert got[name] == tabular.delimited(text.encode(), name[-4:])[0][1], text
+
+
+def test_states_that_are_not_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tabular, "MOST_STATES", 0)
+    (tmp_path / "a.csv").write_text('k,v\n1,"x\ny"\n2,z\n' * 30)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16")
+    try:
+        rows = sorted(tabular.large(spark, str(tmp_path), ["a.csv"]).collect(), key=lambda r: r.row)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.cells for r in rows] == [["k", "v"], ["1", "x\ny"], ["2", "z"]] * 30
