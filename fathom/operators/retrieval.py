@@ -11,12 +11,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partialmethod, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from fathom.functions.scalars import plain_question, query_tokens, strip
 from fathom.functions.search_texts import filled
-from fathom.operators import search
+from fathom.operators import nearest, search
 
 # Modalities in the order in which they are asked.
 MODALITIES = (
@@ -129,9 +130,10 @@ def position_of(frame: DataFrame, modality: str) -> Column | None:
     return F.when(F.coalesce(*known).isNotNull(), made).alias("position")
 
 
-def formatted(rows: DataFrame, modality: str, record_type: str, root: str | None = None) -> DataFrame:
+def formatted(rows: DataFrame, modality: str, record_type: str, root: str | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Hits in the form in which they are shown: modality, record_type, file_path, score,
-    content, what the modality adds, position (if the modality has places), and paths."""
+    content, what the modality adds, position (if the modality has places), and paths; before
+    them the columns ``keys``."""
     if record_type == "file":
         content = column(rows, "file_summary")
         content = F.coalesce(filled(content), column(rows, "title")) if modality == "epub" else content
@@ -142,6 +144,7 @@ def formatted(rows: DataFrame, modality: str, record_type: str, root: str | None
         fields = CHILD_FIELDS.get(modality, ())
     place = position_of(rows, modality) if record_type != "file" else None
     shown = rows.select(
+        *keys,
         F.lit(modality).alias("modality"),
         F.lit(record_type).alias("record_type"),
         F.col("relative_path").alias("file_path"),
@@ -153,15 +156,17 @@ def formatted(rows: DataFrame, modality: str, record_type: str, root: str | None
     return shown.select("*", *paths(shown, root))
 
 
-def hydrated(hits: DataFrame, files: DataFrame, children: DataFrame, modality: str, root: str | None = None) -> DataFrame:
-    """Hits (record_type, source_id, child_id, score) with the rows that they name:
+def hydrated(
+    hits: DataFrame, files: DataFrame, children: DataFrame, modality: str, root: str | None = None, keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """Hits (record_type, source_id, child_id, score, ``keys``) with the rows that they name:
     those of record_type file with their file, the others with their child and its file.
     Two joins; hits of rows or files that are gone drop."""
-    of_files = hits.filter("record_type = 'file'").select("source_id", "score").join(search.present(files), "source_id")
+    of_files = hits.filter("record_type = 'file'").select("source_id", "score", *keys).join(search.present(files), "source_id")
     own = [c for c in files.columns if c == "source_id" or c not in children.columns]
     kind = "table" if modality in ("tabular", "database") else "section"
-    of_children = search.hydrate(hits.filter("record_type <> 'file'").select("child_id", "score"), children, search.present(files).select(*own), "child_id", "source_id")
-    both = (formatted(of_files, modality, "file", root), formatted(of_children, modality, kind, root))
+    of_children = search.hydrate(hits.filter("record_type <> 'file'").select("child_id", "score", *keys), children, search.present(files).select(*own), "child_id", "source_id")
+    both = (formatted(of_files, modality, "file", root, keys), formatted(of_children, modality, kind, root, keys))
     return both[0].unionByName(both[1], allowMissingColumns=True)
 
 
@@ -205,6 +210,29 @@ class Retriever:
         plain = ["modality", "record_type", "file_path", "score", "content", "execution_file_path"]
         return search.top(reduce(DataFrame.unionByName, (h.select(*plain) for h in found)), ["score", "modality", "file_path", "content"], limit, offset)
 
+    def query_many(self, questions: DataFrame, limit: int = 5) -> DataFrame:
+        """For each of many questions (question_id, question) what :meth:`query_all` gives
+        for it, with question_id and place: all modalities' vectors are read once (see
+        :func:`fathom.operators.nearest.nearest`).  Questions are few and embedded by the driver."""
+        limit, _ = search.bounds(limit)
+        spark = questions.sparkSession
+        kind = next(f.dataType for f in questions.schema if f.name == "question_id")
+        asked = [(r.question_id, [float(x) for x in self.embed(r.question)]) for r in questions.select("question_id", "question").toLocalIterator()]
+        asked = spark.createDataFrame(asked, StructType([StructField("question_id", kind), StructField("embedding", ArrayType(DoubleType()))]))
+        columns = ("doc_id", "record_type", "source_id", "child_id", F.col("embedding").cast("array<double>").alias("embedding"))
+        vectors = [self.indexes[m].vectors.select(*columns).withColumn("modality", F.lit(m)) for m in MODALITIES if m in self.indexes]
+        if not vectors:
+            raise KeyError("no index at all")
+        near = nearest.nearest(reduce(DataFrame.unionByName, vectors), asked, "question_id", "doc_id", limit, group="modality")
+        near = near.persist()  # a few rows for each question and modality
+        plain = ["question_id", "modality", "record_type", "file_path", "score", "content", "execution_file_path"]
+        found = [
+            hydrated(near.filter(F.col("modality") == m), i.files, i.children, m, self.root, ("question_id",)).select(*plain)
+            for m, i in self.indexes.items()
+        ]
+        order = Window.partitionBy("question_id").orderBy("score", "modality", "file_path", "content")
+        return reduce(DataFrame.unionByName, found).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+
     def page(self, modality: str | None, question: str, limit: int = 5, offset: int = 0, top_k: int | None = None) -> search.Page:
         """A page as plain rows, of one modality or (None) of all, with the offset after
         it and whether more follows.  One row more than shown is asked for."""
@@ -346,8 +374,6 @@ def filesystem_search(files: DataFrame, question: str, modality: str) -> DataFra
 
 
 def _whole():
-    from pyspark.sql import Window
-
     return Window.partitionBy(F.lit(0))
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from fathom.functions import scalars as S
 from fathom.functions import search_texts
-from fathom.operators import aggregates, catalog, chunking, enrich, profile, qa, retrieval, search, sections, transcripts
+from fathom.operators import aggregates, catalog, chunking, enrich, nearest, profile, qa, retrieval, search, sections, transcripts
 from fathom.sources import files
+from fathom.sources.shared import shared_folder
 from fathom.streaming import ingest
 
 Q: dict = {}
@@ -842,3 +843,27 @@ def enrichment_join(spark, sf_dir):
     results = said.unionByName(again).unionByName(strangers)
     rows = enrich.with_enrichment(table(spark, sf_dir, "documents").select("doc_id", "source"), results, "doc_id", ["summary"])
     return rows.withColumn("summary", F.coalesce("summary", F.lit("")))
+
+
+@query(
+    """WITH q AS (SELECT vec_id AS question_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0),
+    h AS (SELECT question_id, vec_id, 'm' || (label % 3) AS modality, round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.v), 6) AS score
+      FROM embeddings e, q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY question_id, modality ORDER BY score, vec_id) AS place FROM h)
+    SELECT question_id, modality, place::INT AS place, vec_id, score FROM r WHERE place <= 5"""
+)
+def questions_topk(spark, sf_dir):
+    """The vectors nearest to each of many questions, of each modality, in one pass."""
+    vectors = table(spark, sf_dir, "embeddings").withColumn("modality", F.concat(F.lit("m"), (F.col("label") % 3).cast("string")))
+    asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), "embedding")
+    return nearest.nearest(vectors.select("vec_id", "modality", "embedding"), asked, "question_id", "vec_id", 5, group="modality", digits=6)
+
+
+@query(f"SELECT vec_id, label, {COSINE} AS score FROM embeddings e, {FIRST} ORDER BY score, vec_id LIMIT 10")
+def index_exact(spark, sf_dir):
+    """The vectors nearest to the first one, from an index that reads the cells it needs;
+    half of the vectors are put into it later."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index = nearest.Cells.build(vectors.filter("vec_id % 2 = 0"), shared_folder(spark, "cells"), "vec_id")
+    index.append(vectors.filter("vec_id % 2 <> 0"))
+    return index.exact(_first_vector(vectors), "vec_id", 10, digits=6).select("vec_id", "label", "score")

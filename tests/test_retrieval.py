@@ -185,3 +185,16 @@ def test_files_that_are_gone_have_no_hits(indexes):
     gone = i.files.withColumn("is_present", F.col("source_id") != "s1")
     r = R.Retriever({"text": R.Index(i.vectors, gone, i.children)}, lambda q: [1.0, 0.0])
     assert [h.content for h in r.query_text("?").collect()] == ["calm"]
+
+
+def test_many_questions_at_once(spark, indexes):
+    """Each question gets what it gets alone."""
+    embed = {"wind": [1.0, 0.0], "calm": [0.0, 1.0], "both": [0.5, 0.6]}
+    r = R.Retriever(indexes, embed.get, "/lake")
+    asked = spark.createDataFrame([(i, q) for i, q in enumerate(embed)], "question_id int, question string")
+    got = r.query_many(asked, limit=4).orderBy("question_id", "place").collect()
+    for i, q in enumerate(embed):
+        alone = r.query_all(q, limit=4).collect()
+        mine = [h for h in got if h.question_id == i]
+        assert [(h.modality, h.file_path, h.content) for h in mine] == [(h.modality, h.file_path, h.content) for h in alone]
+        assert [h.score for h in mine] == pytest.approx([h.score for h in alone])
