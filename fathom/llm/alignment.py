@@ -43,14 +43,14 @@ ALIGNMENT = (
     "n_a long, n_b long, n_groups long, n_links long, groups string, ends array<int>, pairs array<long>, times array<int>"
 )
 #: Bytes of text that are aligned at once, unless one text is longer.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Units that a worker remembers, and the longest of them, in characters.
-MEMO_UNITS = 400_000
+MEMO_UNITS = 200_000
 MEMO_CHARS = 200
 #: Units that are encoded side by side.
 RUN = 256
 #: Ids of a side beyond which all is forgotten.
-MEMO_IDS = 8_000_000
+MEMO_IDS = 3_000_000
 #: A pair of ids is one number: that of A, then B's in so many bits.
 ID_BITS = 20
 #: Pairs that are sent to all tasks, at most.
@@ -338,8 +338,8 @@ def align(docs: DataFrame, a: str, b: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         gc.disable()
         for column in batches:
-            made = [aligner(a, b).block(part) for part in blocks(texts(column))]
-            yield pa.concat_arrays(made) if made else aligner(a, b).block([])
+            for part in blocks(texts(column)):  # rows may come in other batches than they went
+                yield aligner(a, b).block(part)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return docs.withColumn("alignment", F.arrow_udf(run, ALIGNMENT).asNondeterministic()(text_or_empty(text)))
