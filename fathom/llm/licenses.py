@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import gc
 import re
+from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -188,8 +189,10 @@ def minima(h: np.ndarray, ends_of_runs: np.ndarray) -> np.ndarray:
 class Scanner:
     def __init__(self, templates: dict[str, str]) -> None:
         self.names = sorted(templates)
-        #: Of each template: its distinct shingles and where each first stands in it.
+        #: Of each template: its distinct shingles and where each first stands in it; how often
+        #: each place's shingle comes; how many words it has.
         self.places: list[dict[bytes, int]] = []
+        self.often: list[Counter] = []
         self.words: list[int] = []
         parts: dict[int, list[tuple[int, list[bytes]]]] = {s: [] for s in SCALES}
         for t, name in enumerate(self.names):
@@ -199,6 +202,7 @@ class Scanner:
             self.places.append({})
             for i, x in enumerate(found):
                 self.places[t].setdefault(x, i)
+            self.often.append(Counter(self.places[t][x] for x in found))
             self.words.append(len(found) + SHINGLE - 1)
             for i in range(0, len(found), SCALES[-1]):
                 part = found[i : i + SCALES[-1]]
@@ -241,6 +245,17 @@ class Scanner:
                 met.update(self.owners[scale][a:b].tolist())
         return sorted(met)
 
+    def parted(self, t: int, run: np.ndarray, in_template: np.ndarray) -> list[np.ndarray]:
+        """A run in order of the text, cut where a shingle comes more often than the
+        template has it."""
+        cuts, met = [0], Counter()
+        for k, place in enumerate(in_template[run].tolist()):
+            met[place] += 1
+            if met[place] > self.often[t][place]:
+                cuts.append(k)
+                met = Counter([place])
+        return np.split(run, cuts[1:])
+
     def scan(self, text: bytes) -> list[dict]:
         """A row for each occurrence of a license: the share of its shingles that the
         occurrence contains, and the words from the first to the last found."""
@@ -260,9 +275,10 @@ class Scanner:
             begin = there - in_template
             order = np.lexsort((there, begin))
             shift = max(SHIFT, SHIFT_SHARE * self.words[t])
-            cuts = np.r_[0, np.flatnonzero(np.diff(begin[order]) > shift) + 1, len(order)].tolist()
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                own = order[a:b]
+            short = shift >= self.words[t]  # occurrences may stand as near as edits shift words
+            cuts = np.r_[0, np.flatnonzero(np.diff(begin[order]) > min(shift, self.words[t] - 1)) + 1, len(order)].tolist()
+            runs = [np.sort(order[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            for own in (x for run in runs for x in (self.parted(t, run, in_template) if short else [run])):
                 share = len(set(in_template[own].tolist())) / len(places)
                 if share >= CONTAINED:
                     first, last = int(there[own].min()), int(there[own].max()) + SHINGLE - 1

@@ -14,12 +14,18 @@ signature that leaves that one out.  Signatures that hold nothing say little and
 met by many; a pair can hang on them only if both sets have nothing in ``spare`` parts or
 more, and only such sets (one in some hundreds) send them.
 
-What shares a signature is a bucket, and its least member the pivot.  First each set is
-compared with the pivot that it shares most signatures with, which settles most links of a
-group of copies with one row for each member.  Then buckets that still hold sets of
-several components are compared in full: their sets are dealt into chunks, and two
-chunks that meet in a bucket are a task's unit of work (:func:`rest_links`).  Sets are
-compared as they are; components are closed over the links.
+Parts beyond those that differences can spoil make this a count: two linked sets share a
+signature in each part that isn't spoiled, so in an instance they share at least
+``spare`` signatures, less one for each part in which one of them lacks something.  Sets
+that meet by chance, or by a passage, share fewer and are never looked at.
+
+What shares a signature is a bucket.  In rounds, each bucket takes a member as its pivot,
+and each set is compared with the pivot that it shares most signatures with; this settles
+most links of a group of copies with a row for each member.  Buckets that hold
+several components afterwards are compared in full: of small ones the pairs with enough
+shared signatures are found by counting, of large ones all members meet; sets are dealt
+into chunks, and two chunks with such a pair are a task's unit of work
+(:func:`rest_links`).  Sets are compared as they are; components are closed over links.
 """
 
 from __future__ import annotations
@@ -47,6 +53,11 @@ SET_CHUNK = 1 << 19
 THREE_UP_TO = 256
 #: Sets whose signatures a task remembers to have sent.
 SENT = 1 << 20
+#: Bits of a signature that name its instance.
+INSTANCE_BITS = 8
+#: Rounds of pivots, and members of a bucket whose pairs are counted.
+ROUNDS = 2
+SMALL = 32
 
 
 class Instance(NamedTuple):
@@ -97,9 +108,11 @@ def instances_of(size: int, percent: int) -> list[Instance]:
     return [x for x in found if x.k]
 
 
-def signatures_of(held: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Signatures, 64-bit numbers, of a set of ascending hashes, over both instances."""
-    out = [np.zeros(0, np.uint64)]
+def signatures_of(held: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures, 64-bit numbers, of a set of ascending hashes, over both instances, the
+    lowest bits naming the instance; and for each how many signatures of its instance any
+    linked set shares at least."""
+    out, needs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int16)]
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(held, 1), dtype=np.uint64)))
     for x in instances_of(len(held), percent):
         cuts = np.concatenate(([0], np.searchsorted(held, edges_of(x.n1 * x.n2)), [len(held)]))
@@ -107,13 +120,15 @@ def signatures_of(held: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         many = np.diff(cuts).reshape(x.n1, x.n2)
         # All smaller parts of a part but one, for each of them.
         shared = (parts.sum(1, dtype=np.uint64)[:, None] - parts).ravel()
-        full = (many.sum(1)[:, None] - many > 0).ravel()
+        full = many.sum(1)[:, None] - many > 0
         names = np.arange(len(shared), dtype=np.uint64) + np.uint64(x.number << 40)
         found = mixed(shared + mixed(names, 2), 3)
-        if (~full).reshape(x.n1, x.n2).any(1).sum() < x.spare:
-            found = found[full]
-        out.append(found)
-    return np.concatenate(out)
+        need = x.spare - int((~full).any(1).sum())
+        if need > 0:
+            found = found[full.ravel()]
+        out.append(found & ~np.uint64((1 << INSTANCE_BITS) - 1) | np.uint64(x.number))
+        needs.append(np.full(len(found), min(max(need, 1), 1 << 14), np.int16))
+    return np.concatenate(out), np.concatenate(needs)
 
 
 def node_of(held: np.ndarray) -> int:
@@ -138,7 +153,7 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def signatures(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(signature, node) of the texts of ``docs``.  A task sends those of equal sets
+    """(signature, node, need) of the texts of ``docs``.  A task sends those of equal sets
     once, as far as it remembers."""
     prepare(docs.sparkSession)
 
@@ -146,7 +161,7 @@ def signatures(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
         gc.disable()
         sent: set[int] = set()
         for batch in batches:
-            found, nodes = [np.zeros(0, np.uint64)], []
+            found, nodes = [signatures_of(np.zeros(0, np.uint64))], []
             for text in text_bytes(batch.column(0)):
                 held = set_of(text, words)
                 node = node_of(held)
@@ -156,20 +171,39 @@ def signatures(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
                     nodes.append(node)
             if len(sent) > SENT:
                 sent.clear()
-            flat = np.concatenate(found).view(np.int64)
-            of = np.repeat(np.array(nodes, np.uint64).view(np.int64), [len(x) for x in found[1:]])
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(of)], ["signature", "node"])
+            flat, needs = (np.concatenate(x) for x in zip(*found, strict=True))
+            of = np.repeat(np.array(nodes, np.uint64).view(np.int64), [len(x) for x, _ in found[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(of), pa.array(needs)], ["signature", "node", "need"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "signature long, node long")
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "signature long, node long, need short")
 
 
 def buckets(signed: DataFrame) -> DataFrame:
-    """(signature, pivot, node): each member of a bucket but its least, the pivot.  A
-    bucket is read in order of its members, so none is held."""
+    """Rows of ``signed`` whose signature has several nodes, each once.  A bucket is
+    read in order of its members, so none is held."""
     ordered = Window.partitionBy("signature").orderBy("node")
-    pivot = F.first("node").over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("pivot")
-    told = signed.select("signature", pivot, "node", F.lag("node").over(ordered).alias("before"))
-    return told.filter("node <> before").drop("before")  # the pivot has nothing before it
+    told = signed.select("*", F.lag("node").over(ordered).alias("__before"), F.lead("node").over(ordered).alias("__after"))
+    apart = F.col("__before").isNull() | (F.col("__before") != F.col("node"))
+    return told.filter(apart & (F.col("__before").isNotNull() | F.col("__after").isNotNull())).drop("__before", "__after")
+
+
+def instance_of(signature: str = "signature"):
+    return F.col(signature).bitwiseAND(F.lit((1 << INSTANCE_BITS) - 1)).cast("int")
+
+
+def undone(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(signature, node, need, root, many) of buckets that hold several components, so far
+    as each node has enough of these; ``many``: how many members the bucket has."""
+    rooted = members.select("signature", "node", "need")
+    if roots is not None:
+        rooted = rooted.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        sizes = rooted.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        rooted = rooted.join(sizes.filter("low < high").select("signature"), "signature", "left_semi")
+    else:
+        rooted = rooted.withColumn("root", F.col("node"))
+    rooted = rooted.withColumn("instance", instance_of())
+    enough = rooted.groupBy("node", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("least")).filter("n >= least")
+    return rooted.join(enough.select("node", "instance"), ["node", "instance"], "left_semi")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -216,18 +250,25 @@ def chunked(members: DataFrame, key: str) -> DataFrame:
     return dealt.withColumn("part", part).drop("__parts")
 
 
-def pivot_links(hits: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) between sets and the pivots that they share most signatures with.
+def pivot_links(members: DataFrame, sets: DataFrame, sizes: DataFrame, number: int, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between sets and the pivots that they share most signatures with, if
+    these are enough.
 
-    ``hits``: (signature, pivot, node); ``sets``: (node, shingles); ``sizes``: (node, size).
+    ``members``: see :func:`undone`; ``sets``: (node, shingles); ``sizes``: (node, size).  The
+    pivot is a member of a bucket picked anew for each round's ``number``.
     """
-    shared = hits.groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    ordered = Window.partitionBy("signature").orderBy(F.xxhash64("node", F.lit(number)), "node")
+    first = F.first(F.struct("node", "root", "need")).over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("first")
+    told = members.select("instance", "node", "root", "need", first).filter("root <> first.root")
+    shared = told.groupBy("node", F.col("first.node").alias("pivot"), "instance").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.greatest("need", "first.need")).alias("least")
+    )
     most = F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot")
-    led = stored(shared.groupBy("node").agg(most).join(sizes, "node"))
+    led = stored(shared.filter("n >= least").groupBy("node").agg(most).join(sizes, "node"))
     work = chunked(led, "pivot").select("pivot", "part", "node")
     first = work.select("pivot", "part", F.col("pivot").alias("node")).distinct()
     rows = work.withColumn("place", F.lit(1)).unionByName(first.withColumn("place", F.lit(0))).join(sets, "node")
-    parts = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "pivot", "part").sortWithinPartitions("pivot", "part", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,48 +317,50 @@ def joined(nodes: list[int], labels: list[int], held: list[np.ndarray], percent:
     return found
 
 
-def rest_links(hits: DataFrame, sets: DataFrame, sizes: DataFrame, roots: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) between sets that share a bucket and are not joined by ``roots``
-    (node, root), enough to join what all such links would.
+def rest_links(members: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between sets of ``members`` (see :func:`undone`) that have different
+    roots, enough to join what all such links would.
 
-    Buckets of one component are done.  The members of the others are dealt into chunks: those
-    of a component stay together, a set alone goes to the least component that it meets in a
-    bucket.  Two chunks, or one, that hold members of different components of a
-    bucket are a unit of work; a chunk's sets are sent once for each chunk that it meets so.
+    Two sets that link share enough small buckets, which is counted, or a large
+    one.  Sets are dealt into chunks: those of a component stay together, a set alone goes
+    to the least component among those that it may link with.  A chunk's sets are sent
+    once for each chunk that has a set which one of them may link with.
     """
-    rooted = roots.select("node", "root")
-    met = hits.groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("n")).select("pivot", "node")
-    met = met.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lead = rooted.select(F.col("node").alias("pivot"), F.col("root").alias("top"))
-    met = met.join(lead, "pivot", "left").withColumn("top", F.coalesce("top", "pivot"))
-    # Pairs of a member and its pivot that are not joined; their buckets are not done.
-    apart = met.filter("root <> top").select("pivot", "node")
-    undone = hits.join(apart, ["pivot", "node"], "left_semi").select("signature").distinct()
-    left = hits.join(undone, "signature", "left_semi")
-    members = left.select("signature", "node").unionByName(left.select("signature", F.col("pivot").alias("node")).distinct())
-    members = members.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    members = written(members.select("signature", "node", "root"), "partenum-rest")
-
-    least = members.groupBy("signature").agg(F.min("root").alias("least"))
-    alone = members.filter("node = root").join(least, "signature").groupBy("node").agg(F.min("least").alias("least"))
-    placed = members.select("node", "root").distinct().join(alone, "node", "left")
-    placed = placed.select("node", "root", F.coalesce("least", "root").alias("leader")).join(sizes, "node")
-    placed = written(chunked(placed, "leader").select("node", "root", "leader", "part"), "partenum-placed")
-
-    # Of a bucket, each chunk once; of a chunk with several components the bucket says so.
-    told = members.join(placed.select("node", F.struct("leader", "part").alias("chunk")), "node")
-    told = told.groupBy("signature", "chunk").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    # What chunks meet is the same in many buckets.
-    meets = told.groupBy("signature").agg(F.sort_array(F.collect_set(F.struct("chunk", "low", "high"))).alias("chunks"))
-    meets = meets.groupBy("chunks").agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.explode("chunks"))
+    members = written(members.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("signature"))), "partenum-rest")
+    small = members.filter(F.col("many") <= SMALL).groupBy("signature").agg(F.collect_list(F.struct("node", "root", "need")).alias("x"))
+    both = small.select(instance_of().alias("instance"), "x", F.explode("x").alias("y")).select("instance", "y", F.explode("x").alias("x"))
+    both = both.filter("x.node < y.node and x.root <> y.root")
+    counted = both.groupBy("instance", F.struct("x.node", "x.root").alias("x"), F.struct("y.node", "y.root").alias("y")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.greatest("x.need", "y.need")).alias("least")
+    )
+    pairs = written(counted.filter("n >= least").select("x", "y").distinct(), "partenum-pairs")
+    large = members.filter(F.col("many") > SMALL).select("signature", "node", "root")
+    least = large.groupBy("signature").agg(F.min("root").alias("least"))
+
+    may = pairs.select("x.node", "x.root", F.col("y.root").alias("least")).unionByName(pairs.select("y.node", "y.root", F.col("x.root").alias("least")))
+    may = may.unionByName(large.join(least, "signature").select("node", "root", "least"))
+    may = may.groupBy("node", "root").agg(F.min("least").alias("least"))
+    leader = F.when(F.col("node") == F.col("root"), F.least("root", "least")).otherwise(F.col("root"))
+    # Sets of a component apart from those that only may link with it.
+    lone = (F.col("node") == F.col("root")) & (F.col("least") < F.col("root"))
+    placed = may.select("node", "root", F.xxhash64(leader, lone).alias("leader")).join(sizes, "node")
+    placed = written(chunked(placed, "leader").select("node", "root", F.struct("leader", "part").alias("chunk")), "partenum-placed")
+
+    of = placed.select("node", "chunk")
+    told = pairs.select(F.col("x.node").alias("node"), F.col("y.node").alias("mate")).join(of, "node")
+    told = told.select("chunk", F.col("mate").alias("node")).join(of.withColumnRenamed("chunk", "other"), "node")
+    units = told.select(F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("other")).distinct()
+    # Of a large bucket each chunk once, and how its roots lie; buckets often hold the same chunks.
+    seen = large.join(of, "node").groupBy("signature", "chunk").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    meets = seen.groupBy("signature").agg(F.sort_array(F.collect_set(F.struct("chunk", "low", "high"))).alias("chunks"))
+    meets = meets.select("chunks").distinct().withColumn("one", F.explode("chunks"))
     meets = meets.withColumn("other", F.explode("chunks")).filter("one.chunk <= other.chunk")
     differ = (F.col("one.low") != F.col("one.high")) | (F.col("other.low") != F.col("other.high")) | (F.col("one.low") != F.col("other.low"))
-    units = meets.filter(differ).select(F.col("one.chunk").alias("one"), F.col("other.chunk").alias("other")).distinct()
+    units = units.unionByName(meets.filter(differ).select(F.col("one.chunk").alias("one"), F.col("other.chunk").alias("other"))).distinct()
     units = written(units.withColumn("unit", F.xxhash64("one", "other")), "partenum-units")
     sides = units.select("unit", F.explode(F.array_distinct(F.array("one", "other"))).alias("chunk"))
-    sides = sides.select("unit", "chunk.leader", "chunk.part")
-    rows = placed.join(sides, ["leader", "part"]).select("unit", "node", "root").join(sets, "node")
-    parts = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = placed.join(sides, "chunk").select("unit", "node", "root").join(sets, "node")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "unit").sortWithinPartitions("unit", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,9 +383,9 @@ def rest_links(hits: DataFrame, sets: DataFrame, sizes: DataFrame, roots: DataFr
 
 def linked(docs: DataFrame, hits: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """All links (a, b) between different sets that are needed to join what links join."""
+    members = written(undone(hits, None), "partenum-members")
     named = rows.groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"))
-    wanted = hits.select("node").unionByName(hits.select(F.col("pivot").alias("node"))).distinct()
-    wanted = stored(named.join(wanted, "node"))
+    wanted = stored(named.join(members.select("node").distinct(), "node"))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
@@ -355,9 +398,12 @@ def linked(docs: DataFrame, hits: DataFrame, rows: DataFrame, words: int, percen
     node = F.arrow_udf(run, "long").asNondeterministic()("shingles").alias("node")
     held = written(told.select(node, "shingles"), "partenum-sets")
     sizes = wanted.select("node", "size")
-    first = stored(pivot_links(hits, held, sizes, percent))
-    rest = rest_links(hits, held, sizes, components(first), percent)
-    return first.unionByName(rest)
+    found = None
+    for number in range(ROUNDS):
+        links = stored(pivot_links(members, held, sizes, number, percent))
+        found = links if found is None else found.unionByName(links)
+        members = written(undone(members, components(found)), "partenum-members")
+    return found.unionByName(rest_links(members, held, sizes, percent))
 
 
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

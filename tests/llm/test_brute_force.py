@@ -711,6 +711,19 @@ def test_each_occurrence_is_a_row():
     assert [(r["first_word"], r["last_word"], r["contained"]) for r in rows] == [(s, s + n - 1, 1.0) for s in starts]
 
 
+@pytest.mark.parametrize("gap", [0, 1, 4, 15, 40])
+def test_short_notices_close_together(gap):
+    """Each comes as a row of its own, however near the next one is."""
+    short = {n: t for n, t in licenses.TEMPLATES.items() if 5 <= len(licenses.tokens(t.encode())) <= 12}
+    assert short
+    for name, text in short.items():
+        n = len(licenses.tokens(text.encode()))
+        line = (" ".join(["word"] * gap) + " ").join([text + " "] * 3)
+        rows = [r for r in SCANNER.scan(line.encode()) if r["license"] == name]
+        starts = [k * (n + gap) for k in range(3)]
+        assert [(r["first_word"], r["last_word"], r["contained"]) for r in rows] == [(s, s + n - 1, 1.0) for s in starts], name
+
+
 def test_edited_licenses_are_found():
     """Of all templates with words replaced, dropped and put in, those of which four
     fifths of the shingles are left."""

@@ -99,9 +99,12 @@ def test_planted_groups(spark, planted):
     assert 100 < len({c for *_, c in got}) < len(planted) - 100
 
 
-def test_small_chunks(spark, planted, monkeypatch):
-    """Chunks of a few members find the same links."""
+@pytest.mark.parametrize("small", [1, 4, 1000])
+def test_small_chunks(spark, planted, monkeypatch, small):
+    """Chunks of a few members find the same links, whether buckets count as small or not."""
     monkeypatch.setattr(partenum, "CHUNK", 3)
+    monkeypatch.setattr(partenum, "SMALL", small)
+    monkeypatch.setattr(partenum, "ROUNDS", 1)
     docs = spark.createDataFrame(planted, "doc_id long, text string").repartition(5)
     assert told(tuple(r) for r in partenum.groups(docs).collect()) == told(plain(planted))
 
@@ -123,7 +126,16 @@ def test_linked_sets_share_a_signature(size, seed):
     a, b = np.unique(np.append(both, others[:split])), np.unique(np.append(both, others[split:]))
     assert 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))
     if not np.array_equal(a, b):
-        assert len(np.intersect1d(partenum.signatures_of(a), partenum.signatures_of(b)))
+        enough(a, b)
+
+
+def enough(a, b):
+    """In some instance both share as many signatures as each of them says."""
+    one, other = (dict(zip(s.tolist(), n.tolist(), strict=True)) for s, n in map(partenum.signatures_of, (a, b)))
+    shared = {}
+    for x in one.keys() & other.keys():
+        shared.setdefault(x & 255, []).append(max(one[x], other[x]))
+    assert any(len(found) >= max(found) for found in shared.values())
 
 
 def test_sets_in_few_parts_share_a_signature():
@@ -132,7 +144,7 @@ def test_sets_in_few_parts_share_a_signature():
         a = np.arange(size, dtype=np.uint64)
         b = a[1:] if 100 * (size - 1) >= 85 * size else a
         if len(a) != len(b):
-            assert len(np.intersect1d(partenum.signatures_of(a), partenum.signatures_of(b)))
+            enough(a, b)
 
 
 def test_bands_cover_all_sizes():
