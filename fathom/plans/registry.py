@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import scalars as S
 from fathom.functions import search_texts
-from fathom.operators import aggregates, catalog, chunking, enrich, nearest, profile, qa, retrieval, search, sections, transcripts
+from fathom.operators import aggregates, catalog, chunking, enrich, indexing, nearest, profile, qa, retrieval, search, sections, transcripts
 from fathom.sources import files
 from fathom.sources.shared import shared_folder
 from fathom.streaming import ingest
@@ -867,3 +867,40 @@ def index_exact(spark, sf_dir):
     index = nearest.Cells.build(vectors.filter("vec_id % 2 = 0"), shared_folder(spark, "cells"), "vec_id")
     index.append(vectors.filter("vec_id % 2 <> 0"))
     return index.exact(_first_vector(vectors), "vec_id", 10, digits=6).select("vec_id", "label", "score")
+
+
+@query(
+    """WITH d AS (SELECT doc_id, source || '/' || doc_id || '.txt' AS relative_path, doc_id % 11 = 0 AS bad,
+      len(list_filter(string_split(text, chr(10)), lambda l: length(l) > 0)) AS n FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 3 <> 1)
+    SELECT relative_path, CASE WHEN doc_id % 3 = 1 THEN 'missing' WHEN bad THEN 'error' ELSE 'indexed' END AS status,
+      doc_id % 3 <> 1 AS is_present, CASE WHEN bad THEN 0 ELSE n END AS n_children FROM d"""
+)
+def index_run(spark, sf_dir):
+    """Two indexing runs over documents as files: in the second one some are new, some have
+    changed, some are gone, and some can't be parsed."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    listed = docs.select(
+        path.alias("relative_path"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.lit(".txt").alias("extension"),
+        F.col("n_chars").cast("long").alias("size_bytes"), F.timestamp_seconds("doc_id").alias("last_modified"), "doc_id",
+    )
+    texts = docs.select(path.alias("relative_path"), F.col("text").cast("binary").alias("content"), (F.col("doc_id") % 11 == 0).alias("bad"))
+
+    def parse(files):
+        lines = F.filter(F.split(F.col("content").cast("string"), "\n"), lambda x: F.length(x) > 0)
+        return files.select(
+            "relative_path", F.when(F.col("bad"), "can't be read").alias("error_message"), F.array().cast("array<string>").alias("parse_warnings"),
+            F.transform(lines, lambda x: F.struct(x.alias("search_text"))).alias("children"),
+        )
+
+    def read(todo):
+        return todo.join(texts, "relative_path")
+
+    first = listed.filter("doc_id % 5 <> 0").withColumn("size_bytes", F.col("size_bytes") + F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)).drop("doc_id")
+    second = listed.filter("doc_id % 3 <> 1").drop("doc_id")
+    catalog_ = indexing.Snapshot(spark, shared_folder(spark, "catalog"), indexing.child_schema(parse(read(first))))
+    for found in (first, second):
+        catalog_, _ = indexing.run(catalog_, found, read, parse)
+    counted = catalog_.children.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+    told = catalog_.files.join(counted, "source_id", "left")
+    return told.select("relative_path", "status", "is_present", F.coalesce("n", F.lit(0)).alias("n_children"))

@@ -111,15 +111,30 @@ def listing(spark: SparkSession, root: str, prefix: str = "", suffixes: tuple[st
     :func:`fathom.sources.tabular.large` for tables of any size).  Without ``content`` no file is opened.  ``suffixes``
     are matched in lower case.  Spark's file sources leave out empty files, and so
     does this."""
-    root = root.rstrip("/")
     below = safe_prefix(prefix)
+    at = root.rstrip("/")
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    files = read.load(f"{root}/{below}" if below else root)
-    # Paths come with scheme and host or without; what stays begins with the root's own path.
+    found = _told(read.load(f"{at}/{below}" if below else at), at, content)
+    return found.filter(F.col("extension").isin(*suffixes)) if suffixes else found
+
+
+def named(spark: SparkSession, root: str, paths: list[str], content: bool = False) -> DataFrame:
+    """The rows of :func:`listing` for some files by relative path; no other is looked at."""
+    at = root.rstrip("/")
+    escaped = [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths]  # names aren't patterns
+    return _told(spark.read.format("binaryFile").load([f"{at}/{p}" for p in escaped]), at, content)
+
+
+def relative_to(root: str, path: str | Column = "path") -> Column:
+    """A path below ``root``, which may come with scheme and host or without."""
     scheme = r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?"
-    base = re.sub(scheme, "", root) + "/"
-    relative = F.substr(F.regexp_replace("path", scheme, ""), F.lit(len(base) + 1))
-    named = files.select(
+    base = re.sub(scheme, "", root.rstrip("/")) + "/"
+    return F.substr(F.regexp_replace(path, scheme, ""), F.lit(len(base) + 1))
+
+
+def _told(files: DataFrame, root: str, content: bool) -> DataFrame:
+    relative = relative_to(root)
+    return files.select(
         relative.alias("relative_path"),
         filename(relative).alias("filename"),
         extension(relative).alias("extension"),
@@ -127,7 +142,6 @@ def listing(spark: SparkSession, root: str, prefix: str = "", suffixes: tuple[st
         F.col("modificationTime").alias("last_modified"),
         *([F.when(F.col("length") < LARGEST, F.col("content")).alias("content")] if content else []),
     )
-    return named.filter(F.col("extension").isin(*suffixes)) if suffixes else named
 
 
 def _suffix_map(field: int) -> Column:

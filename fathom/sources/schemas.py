@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-OBJECT = StructType.fromDDL(
+OBJECT = (
     "object_id string not null, relative_path string not null, filename string, extension string, size_bytes bigint,"
     " last_modified timestamp, etag string, version_id string, detected_mime_type string, detected_format string,"
     " modality string, encoding string, identification_confidence double, warnings array<string>, status string,"
@@ -51,6 +51,10 @@ OF_CHILDREN = {
 }
 
 
+def of_objects() -> StructType:
+    return StructType.fromDDL(OBJECT)
+
+
 def of_files(modality: str) -> StructType:
     return StructType.fromDDL(FILE + OF_FILES.get(modality, ""))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fathom.functions.scalars import extension, filename
+from fathom.sources.files import relative_to
 
 FILE = "path string, modificationTime timestamp, length long, content binary"
 
@@ -24,7 +25,7 @@ def files_stream(spark: SparkSession, root: str, per_batch: int = 10_000) -> Dat
     read = spark.readStream.format("binaryFile").schema(FILE)
     found = read.option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_batch).load(root)
     return found.select(
-        F.col("path").alias("relative_path"),
+        relative_to(root).alias("relative_path"),
         filename("path").alias("filename"),
         extension("path").alias("extension"),
         F.col("length").alias("size_bytes"),
