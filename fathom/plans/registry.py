@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import scalars as S
 from fathom.functions import search_texts
-from fathom.operators import aggregates, catalog, chunking, enrich, indexing, nearest, profile, qa, retrieval, search, sections, transcripts
+from fathom.operators import aggregates, catalog, chunking, enrich, indexing, nearest, profile, qa, retrieval, search, sections, substrings, transcripts
 from fathom.sources import files
 from fathom.sources.shared import shared_folder
 from fathom.streaming import ingest
@@ -904,3 +904,12 @@ def index_run(spark, sf_dir):
     counted = catalog_.children.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
     told = catalog_.files.join(counted, "source_id", "left")
     return told.select("relative_path", "status", "is_present", F.coalesce("n", F.lit(0)).alias("n_children"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE text ILIKE '%license%' OR text ILIKE '%ich_der%'")
+def substring_search(spark, sf_dir):
+    """Documents that hold one of two questions, by the trigram index."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    index = substrings.SubstringIndex.build(docs, shared_folder(spark, "trigrams"), "text")
+    found = [index.holding(q).select("doc_id", "source") for q in ("license", "ich_der")]
+    return found[0].unionByName(found[1]).distinct()
