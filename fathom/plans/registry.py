@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fathom.functions import scalars as S
 from fathom.functions import search_texts
 from fathom.operators import aggregates, catalog, chunking, enrich, indexing, nearest, profile, qa, retrieval, search, sections, substrings, transcripts
-from fathom.sources import files
+from fathom.sources import files, pdf
 from fathom.sources.shared import shared_folder
 from fathom.streaming import ingest
 
@@ -913,3 +913,35 @@ def substring_search(spark, sf_dir):
     index = substrings.SubstringIndex.build(docs, shared_folder(spark, "trigrams"), "text")
     found = [index.holding(q).select("doc_id", "source") for q in ("license", "ich_der")]
     return found[0].unionByName(found[1]).distinct()
+
+
+@query(
+    r"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS page,
+      trim(regexp_replace(text, '[^\x20-\x7E]', '?', 'g')) AS content FROM conversations)
+    SELECT conv_id, page, sha1(content) AS content FROM t WHERE length(content) > 0"""
+)
+def pdf_sections(spark, sf_dir):
+    """Conversations written as PDF files, a page for each turn, and read again."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"[^\x20-\x7E]", "?").alias("text"))
+    turns = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))  # one conversation's
+
+    def number(i, k: int):
+        return (i * 2 + k).cast("string")
+
+    kids = F.array_join(F.transform("turns", lambda _, i: F.concat(number(i, 10), F.lit(" 0 R"))), " ")
+    pages = F.transform(
+        "turns",
+        lambda x, i: F.concat(
+            number(i, 10), F.lit(" 0 obj<</Type/Page/Parent 2 0 R/Contents "), number(i, 11), F.lit(" 0 R>>endobj\n"), number(i, 11),
+            F.lit(" 0 obj<</Length 0>>stream\nBT /F1 10 Tf 9 9 Td <"), F.hex(x["text"].cast("binary")), F.lit("> Tj ET\nendstream\nendobj\n"),
+        ),
+    )
+    data = F.concat(
+        F.lit("%PDF-1.4\n1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj\n2 0 obj<</Type/Pages/Resources<</Font<</F1 3 0 R>>>>/Kids["), kids,
+        F.lit("]>>endobj\n3 0 obj<</Type/Font/Subtype/Type1/Encoding/WinAnsiEncoding>>endobj\n"), F.array_join(pages, ""),
+        F.lit("trailer<</Root 1 0 R>>\n%%EOF"),
+    )
+    read = pdf.read_pages(turns.select(F.col("conv_id").cast("string").alias("relative_path"), data.cast("binary").alias("content")))
+    found = sections.document_sections(pdf.chunks(read), "relative_path")
+    digest = F.sha1(F.col("content").cast("binary"))
+    return found.select(F.col("relative_path").cast("long").alias("conv_id"), F.col("page_start").alias("page"), digest.alias("content"))

@@ -136,3 +136,23 @@ def test_pages_to_sections(spark, lake):
     wrong = {r.relative_path: r.error_message for r in pdf.failed(pages_).collect()}
     assert set(wrong) == {"locked.pdf", "pictures.pdf", "broken.pdf", "other.pdf"}
     assert "encrypted" in wrong["locked.pdf"] and "pictures" in wrong["pictures.pdf"] and "not a PDF" in wrong["other.pdf"]
+
+
+def test_reading_files_that_nothing_has_indexed(spark, lake, tmp_path):
+    """Whatever kind a file is, its content or why there is none."""
+    import shutil
+
+    from fathom.operators import readers, retrieval
+
+    for name in ("a.pdf", "locked.pdf"):
+        shutil.copy(f"{lake}/{name}", tmp_path / name)
+    (tmp_path / "notes.txt").write_text("some notes")
+    (tmp_path / "t.csv").write_text("k,v\n1,x\n")
+    (tmp_path / "s.wav").write_bytes(b"RIFF....WAVE")
+    listed = files.listing(spark, str(tmp_path))
+    got = {r.filename: r.content for r in readers.reader(spark, str(tmp_path))(listed).collect()}
+    assert got["a.pdf"].startswith("Hello (wide) world") and got["a.pdf"].endswith("the last page")
+    assert "encrypted" in got["locked.pdf"] and got["notes.txt"] == "some notes" and "no reader" in got["s.wav"]
+    assert got["t.csv"].startswith("t\n") and "k" in got["t.csv"]
+    asked = retrieval.retrieve({}, listed, "document", "what does a.pdf say?", readers.reader(spark, str(tmp_path)))
+    assert [r.filename for r in asked.collect()] == ["a.pdf"]
