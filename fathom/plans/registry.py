@@ -445,20 +445,21 @@ def ext_lookup(spark, sf_dir):
 
 # Written out here, so that a wrong list in the library shows.
 ROUTES_SQL = (
-    ("image", "image|picture|photo|figure|\\.png|\\.jpg|\\.jpeg"),
-    ("tabular", "csv|xlsx|excel|spreadsheet|column|correlation|average"),
+    ("image", "image|ảnh|jpg|png|picture|photo|figure|\\.jpeg"),
+    ("tabular", "csv|correlation|excel|xlsx|spreadsheet|column|average"),
+    ("text", "html|wiki|sql.*(csv|correlation|excel|xlsx|spreadsheet|column|average)|(csv|correlation|excel|xlsx|spreadsheet|column|average).*sql"),
+    ("document", "pdf|project|docx|report|paper"),
+    ("epub", "epub|novel|chapter|book"),
+    ("audio", "audio|m4a|meeting|workshop|participants|speech|recording|\\.mp3|\\.wav"),
+    ("video", "video|mp4|mkv|frame|clip"),
     ("database", "database|sqlite|\\.db"),
-    ("audio", "audio|speech|recording|\\.mp3|\\.wav"),
-    ("video", "video|clip|\\.mp4"),
-    ("epub", "epub|book|chapter"),
     ("slideshow", "slide|presentation|\\.ppt"),
-    ("document", "pdf|docx|report|paper"),
-    ("web", "html|web page|website"),
+    ("web", "web page|website"),
     ("sql_script", "\\.sql|sql script"),
 )
 ASKED = (
     "Which COLUMN of data.csv", "the slide on page 3 of the report", "", "sqlite or a .db file", "a clip.mp4 with speech",
-    "sql script", "Chapter two of the book", "the website's picture", "nothing special", "AVERAGE",
+    "sql script and a CSV", "Chapter two of the novel", "the website's picture", "nothing special", "Ảnh and MEETING participants",
 )
 
 
