@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.scalars import strip
@@ -205,17 +208,17 @@ def with_pictures(sections: DataFrame, told: DataFrame, source: str = "source_id
 def file_sections(files: DataFrame) -> DataFrame:
     """Sections of listed text, markdown, web and SQL files (with content): the columns
     of ``files`` but the content, source_id, section_id, and what
-    :func:`fathom.operators.chunking.cut` gives.  Other files give none."""
+    :func:`fathom.operators.chunking.cut` gives.  Other files give none, nor do those
+    without content (see :func:`unread`)."""
     from functools import reduce
 
     from fathom.operators import chunking
     from fathom.sources.files import text_of
 
-    forms = {".txt": "text", ".md": "markdown", ".html": "html", ".htm": "html", ".sql": "sql"}
     read = text_of(files).drop("content")
     parts = []
     for form in ("text", "markdown", "html", "sql"):
-        own = [s for s, f in forms.items() if f == form]
+        own = [s for s, f in FORMS.items() if f == form]
         parts.append(chunking.cut(read.filter(F.col("extension").isin(*own)), "text", form))
     made = reduce(DataFrame.unionByName, parts)
     source = F.concat(F.lit("source_"), F.substring(F.sha1(F.col("relative_path").cast("binary")), 1, 16))
@@ -226,6 +229,81 @@ def file_sections(files: DataFrame) -> DataFrame:
     )
 
 
+def unread(files: DataFrame) -> DataFrame:
+    """(relative_path, status, error_message) of listed text files whose content is null, as
+    of those too large to be held: :func:`file_sections` has nothing of them, and
+    :func:`large_sections` reads them."""
+    gone = files.filter(F.col("extension").isin(*FORMS) & F.col("content").isNull())
+    return gone.select("relative_path", F.lit("error").alias("status"), F.lit("the file is too large to be read whole").alias("error_message"))
+
+
+#: Characters of a large text that are cut into sections at once, or up to twice as
+#: many where no paragraph ends.
+STRETCH = 1 << 20
+FORMS = {".txt": "text", ".md": "markdown", ".html": "html", ".htm": "html", ".sql": "sql"}
+
+
+def _stretches(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size, part = None, [], 0, 0
+
+        def told() -> pa.RecordBatch:
+            path, start = now
+            columns = [pa.array([path]), pa.array([start], pa.int64()), pa.array([part], pa.int32()), pa.array(["\n".join(held)])]
+            return pa.RecordBatch.from_arrays(columns, ["relative_path", "start", "part", "text"])
+
+        for batch in batches:
+            for path, start, line in zip(*(batch.column(n).to_pylist() for n in ("relative_path", "start", "line")), strict=True):
+                ends = line.startswith("#") if path.endswith(".md") else not line.strip()
+                other = (path, start) != now
+                if held and (other or size >= 2 * most or (size >= most and ends)):
+                    yield told()
+                    held, size, part = [], 0, part + 1
+                if other:
+                    now, part = (path, start), 0
+                held.append(line)
+                size += len(line) + 1
+        if held:
+            yield told()
+
+    return run
+
+
+def large_sections(spark: SparkSession, root: str, relative_paths: list[str], most: int = STRETCH) -> DataFrame:
+    """(relative_path, chunk_index, heading, content, char_count, search_text) of text and
+    markdown files of any size, in UTF-8: many tasks read a file's blocks and cut them, a
+    stretch of paragraphs at a time.  A section ends where a block or stretch does.  Numbers
+    ascend through the file."""
+    from functools import reduce
+
+    from fathom.operators import chunking
+    from fathom.sources.files import relative_to
+
+    at = root.rstrip("/")
+    read = spark.read.option("lineSep", "\n").text([f"{at}/{p}" for p in relative_paths])
+    path = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    lines = read.select(
+        relative_to(at, path).alias("relative_path"), (F.col("_metadata.file_block_start") * 1).alias("start"), F.make_valid_utf8("value").alias("line")
+    )
+    told = lines.mapInArrow(_stretches(most), "relative_path string, start long, part int, text string")
+    told = told.withColumn("text", F.regexp_replace("text", "^\ufeff", ""))
+    forms = {"markdown": F.endswith("relative_path", F.lit(".md")), "text": ~F.endswith("relative_path", F.lit(".md"))}
+    made = reduce(DataFrame.unionByName, (chunking.cut(told.filter(own), "text", form) for form, own in forms.items()))
+    made = made.withColumnRenamed("chunk_index", "local_index")
+    # A row for each stretch, so that numbers need no order over a file's sections; a
+    # stretch that begins without a heading is under the last one before it.
+    counts = made.groupBy("relative_path", "start", "part").agg(F.count(F.lit(1)).alias("n"))
+    heads = F.regexp_extract_all("text", F.lit(r"(?m)^#{1,6}[ \t]+(.*\S)"), F.lit(1))
+    stretches = told.select("relative_path", "start", "part", F.when(forms["markdown"], F.try_element_at(heads, F.lit(-1))).alias("last"))
+    stretches = stretches.join(counts, ["relative_path", "start", "part"], "left")
+    before = Window.partitionBy("relative_path").orderBy("start", "part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = {"before": F.coalesce(F.sum("n").over(before), F.lit(0)), "above": F.last("last", ignorenulls=True).over(before)}
+    placed = made.join(stretches.withColumns(carried).drop("n", "last"), ["relative_path", "start", "part"])
+    placed = placed.withColumn("heading", F.coalesce("heading", "above"))
+    search = F.concat_ws("\n", F.when(F.length("heading") > 0, F.col("heading")), "content").alias("search_text")
+    return placed.select("relative_path", (F.col("before") + F.col("local_index")).alias("chunk_index"), "heading", "content", "char_count", search)
+
+
 def script_head(sections: DataFrame, most: int = SQL_HEAD) -> DataFrame:
     """The first sections of scripts: what a model is shown of them."""
     return sections.filter(F.col("chunk_index") <= most)

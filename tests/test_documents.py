@@ -200,3 +200,32 @@ def test_sections_of_sound_and_video(spark):
     pictures = spark.createDataFrame([("v", 1, "image_ocr", "SS ADA"), ("v", 1, "image_summary", ""), ("x", 2, "image_summary", "a pier")], "source_id string, image_index int, section_type string, content string")
     more = sections.with_pictures(spoken, pictures).filter("section_type is not null").collect()
     assert {(r.source_id, r.chunk_index, r.content) for r in more} == {("v", n + 2, "SS ADA"), ("x", 1, "a pier")}
+
+
+def test_large_texts(spark, tmp_path):
+    """No file vanishes: one that is too large to be held tells so, and is read by stretches."""
+    from fathom.operators import sections
+    from fathom.sources import files
+
+    paragraphs = [f"Paragraph {i} of some words, " + "more of them " * (i % 9) for i in range(400)]
+    (tmp_path / "big one.txt").write_text("\ufeff" + "\n\n".join(paragraphs) + "\n")
+    (tmp_path / "big.md").write_text("\n".join(f"# Head {i}\n\nbody {i}" for i in range(300)))
+    (tmp_path / "small.txt").write_text("small")
+    old, files.LARGEST = files.LARGEST, 1000
+    try:
+        listed = files.listing(spark, str(tmp_path), content=True).cache()
+        assert {r.relative_path for r in sections.file_sections(listed).collect()} == {"small.txt"}
+        assert {(r.relative_path, r.status) for r in sections.unread(listed).collect()} == {("big one.txt", "error"), ("big.md", "error")}
+    finally:
+        files.LARGEST = old
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        rows = sections.large_sections(spark, str(tmp_path), ["big one.txt", "big.md"], 700).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    text = sorted((r.chunk_index, r.content) for r in rows if r.relative_path == "big one.txt")
+    assert [n for n, _ in text] == list(range(1, len(text) + 1)) and len(text) > 20
+    heads = sorted((r.chunk_index, r.heading, r.content) for r in rows if r.relative_path == "big.md")
+    assert [(h, c) for _, h, c in heads] == [(f"Head {i}", f"body {i}") for i in range(300)]
+    # Sections of a stretch overlap, but none goes missing.
+    assert all(any(p.strip()[-20:] in c for _, c in text) for p in paragraphs)
