@@ -101,26 +101,34 @@ def correlations(table: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.inline(rows))
 
 
-def typed(rows: DataFrame, cell_array: str, columns: list[tuple[str, str]]) -> DataFrame:
-    """A table from rows of cells: each column cast to the type inferred for it;
-    what doesn't fit is null."""
+def typed(rows: DataFrame, cell_array: str, columns: list[tuple[str, str]], rescued: str | None = None) -> DataFrame:
+    """A table from rows of cells: each column cast to the type inferred for it.  What
+    doesn't fit is null; the column ``rescued``, if it is asked for, is a map from names to
+    the cells that didn't fit, null in rows where all did."""
     kinds = {"boolean": "boolean", "integer": "bigint", "float": "double", "date": "date", "datetime": "timestamp"}
 
-    def column(i: int, name: str, kind: str) -> Column:
-        raw = F.nullif(strip(F.get(F.col(cell_array), F.lit(i))), F.lit(""))
-        if kind in ("integer", "float"):
-            raw = F.replace(raw, F.lit("_"), F.lit(""))
-        return (raw.try_cast(kinds[kind]) if kind in kinds else raw).alias(name)
+    def raw(i: int) -> Column:
+        return F.nullif(strip(F.get(F.col(cell_array), F.lit(i))), F.lit(""))
 
-    return rows.select(*(column(i, n, k) for i, (n, k) in enumerate(columns)))
+    def cast(i: int, kind: str) -> Column:
+        text = F.replace(raw(i), F.lit("_"), F.lit("")) if kind in ("integer", "float") else raw(i)
+        return text.try_cast(kinds[kind]) if kind in kinds else text
 
+    made = [cast(i, k).alias(n) for i, (n, k) in enumerate(columns)]
+    if rescued is not None:
+        wrong = [F.struct(F.lit(n).alias("key"), F.when(cast(i, k).isNull(), raw(i)).alias("value")) for i, (n, k) in enumerate(columns) if k in kinds]
+        kept = F.filter(F.array(*wrong), lambda x: x["value"].isNotNull()) if wrong else F.array().cast("array<struct<key:string,value:string>>")
+        made.append(F.when(F.size(kept) > 0, F.map_from_entries(kept)).alias(rescued))
+    return rows.select(*made)
 
-def register(found: DataFrame, types: DataFrame, names: dict[str, str], cell_array: str = "body") -> None:
+
+def register(found: DataFrame, types: DataFrame, names: dict[str, str], cell_array: str = "body", rescued: str | None = None) -> None:
     """Typed temporary views of some tables, to be asked by ``spark.sql``.
 
     ``found``: table_id, header and ``cell_array`` (rows of cells); ``types``: table_id,
     ordinal, inferred_type; ``names``: table_id to the view's name, a few tables that
-    a user picked, of which only headers and types come to the driver.
+    a user picked, of which only headers and types come to the driver.  ``rescued``: see
+    :func:`typed`.
     """
     wanted = found.filter(F.col("table_id").isin(*names))
     headers = {r.table_id: r.header for r in wanted.select("table_id", "header").collect()}
@@ -130,4 +138,4 @@ def register(found: DataFrame, types: DataFrame, names: dict[str, str], cell_arr
             raise ValueError(f"no table {table_id}")
         rows = wanted.filter(F.col("table_id") == table_id).select(F.explode(cell_array).alias("cells"))
         columns = [(n, kinds.get((table_id, i), "string")) for i, n in enumerate(headers[table_id])]
-        typed(rows, "cells", columns).createOrReplaceTempView(view)
+        typed(rows, "cells", columns, rescued).createOrReplaceTempView(view)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from fathom.functions import scalars as S
 from fathom.functions import search_texts
-from fathom.operators import aggregates, catalog, chunking, enrich, indexing, nearest, profile, qa, retrieval, search, sections, substrings, transcripts
-from fathom.sources import files, pdf
+from fathom.operators import aggregates, catalog, chunking, enrich, exchange, indexing, nearest, profile, qa, retrieval, search, sections, substrings, transcripts
+from fathom.sources import files, pdf, tabular
 from fathom.sources.shared import shared_folder
 from fathom.streaming import ingest
 
@@ -946,3 +946,77 @@ def pdf_sections(spark, sf_dir):
     found = sections.document_sections(pdf.chunks(read), "relative_path")
     digest = F.sha1(F.col("content").cast("binary"))
     return found.select(F.col("relative_path").cast("long").alias("conv_id"), F.col("page_start").alias("page"), digest.alias("content"))
+
+
+@query(
+    """SELECT p_partkey::VARCHAR AS part, p_name || chr(10) || '"' || p_brand || '", next' AS text, p_size::VARCHAR AS size FROM part"""
+)
+def delimited_rows(spark, sf_dir):
+    """Parts written as delimited files, with line ends and quotes inside cells, and read again."""
+    text = F.concat("p_name", F.lit('\n"'), "p_brand", F.lit('", next'))
+    folder = shared_folder(spark, "delimited")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string"), text, F.col("p_size").cast("string"))
+    rows.write.option("escape", '"').option("quoteAll", True).csv(folder)
+    written = files.listing(spark, folder, suffixes=(".csv",)).select("relative_path").collect()  # a file a task
+    cells = tabular.large(spark, folder, [r.relative_path for r in written])
+    return cells.select(*(F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(("part", "text", "size"))))
+
+
+@query(
+    """SELECT 'c' || conv_id AS relative_path, turn AS chunk_index, role AS heading, sha1(text) AS content FROM conversations WHERE conv_id % 4 > 0"""
+)
+def lines_round_trip(spark, sf_dir):
+    """Parse results written as JSON lines, with errors among them, and imported again."""
+    t = table(spark, sf_dir, "conversations")
+    none = F.lit(None).cast("int")
+    one = F.struct(
+        F.concat_ws(":", "conv_id", "turn").alias("section_id"), F.col("turn").cast("int").alias("chunk_index"), F.col("role").alias("heading"),
+        F.col("text").alias("content"), none.alias("page_start"), none.alias("page_end"),
+    )
+    path = F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("relative_path")
+    results = t.filter("conv_id % 4 > 0").groupBy(path).agg(F.collect_list(one).alias("sections"))  # one conversation's
+    errors = t.filter("conv_id % 4 = 0").select(path, F.lit("broken").alias("error_message")).distinct()
+    folder = shared_folder(spark, "lines")
+    exchange.export_lines(results, errors, folder)
+    told = exchange.import_lines(spark, folder).select("relative_path", F.explode("sections").alias("s"))
+    return told.select("relative_path", F.col("s.chunk_index").cast("long").alias("chunk_index"), "s.heading", F.sha1(F.col("s.content").cast("binary")).alias("content"))
+
+
+@query(
+    """WITH f AS (SELECT doc_id, doc_id % 8 AS k FROM documents)
+    SELECT doc_id, (['pdf', 'png', 'zip', 'docx', 'text', 'unknown', 'sqlite', 'wav'])[k + 1] AS detected_format,
+      (['document', 'image', 'archive', 'document', 'text', 'unknown', 'database', 'audio'])[k + 1] AS modality,
+      ([0.99, 0.99, 0.99, 0.99, 0.85, 0.1, 0.99, 0.99])[k + 1]::DOUBLE AS confidence,
+      (['.pdf', '.jpg', '.bin', '.docx', '.html', '', '.sqlite', '.yaml'])[k + 1] AS canonical_extension,
+      ([0, 1, 0, 0, 0, 1, 0, 1])[k + 1]::INT AS n_warnings FROM (SELECT doc_id, k FROM f)
+    WHERE k <> 4 UNION ALL SELECT doc_id, 'html', 'web', 0.85, '.html', 0 FROM f WHERE k = 4"""
+)
+def identified_files(spark, sf_dir):
+    """Files by name and first bytes: formats, how sure that is, and where names disagree."""
+    heads = (b"%PDF-1.7", b"\x89PNG\r\n\x1a\n", b"PK\x03\x04", b"PK\x03\x04", b"<p>", b"??", b"SQLite format 3\0", b"RIFF....WAVE")
+    names = (".pdf", ".jpeg", ".bin", ".docx", ".htm", "", ".sqlite3", ".yml")
+    k = (F.col("doc_id") % 8).cast("int")
+    made = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.get(F.array(*map(F.lit, names)), k).alias("extension"),
+        F.concat(F.get(F.array(*map(F.lit, heads)), k), F.substring(F.col("text").cast("binary"), 1, 20)).alias("content"),
+    )
+    told = files.identify(made)
+    return told.select(
+        "doc_id", "detected_format", "modality", F.col("identification_confidence").alias("confidence"), "canonical_extension",
+        F.size("warnings").alias("n_warnings"),
+    )
+
+
+@query(
+    """SELECT p_partkey AS part, CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_size END::BIGINT AS size, p_retailprice::DOUBLE AS price,
+      p_partkey % 3 = 0 AS flag, CASE WHEN p_partkey % 10 = 0 THEN 'n/a ' || p_size END AS rescued FROM part"""
+)
+def typed_rows(spark, sf_dir):
+    """Rows of cells as a typed table; cells that don't fit their column are kept apart."""
+    part = table(spark, sf_dir, "part")
+    size = F.when(F.col("p_partkey") % 10 == 0, F.concat(F.lit("n/a "), F.col("p_size").cast("string"))).otherwise(F.concat(F.lit(" "), F.col("p_size").cast("string")))
+    flag = F.when(F.col("p_partkey") % 3 == 0, "true").otherwise("false")
+    cells = part.select(F.array(F.col("p_partkey").cast("string"), size, F.col("p_retailprice").cast("string"), flag).alias("cells"))
+    made = profile.typed(cells, "cells", [("part", "integer"), ("size", "integer"), ("price", "float"), ("flag", "boolean")], "rescued")
+    return made.withColumn("rescued", F.try_element_at("rescued", F.lit("size")))

@@ -162,3 +162,11 @@ def test_schemas(spark):
         assert "relative_path" in schemas.of_files(m).names
     found, skipped = schemas.there(spark, {"text": "no_such_table"})
     assert found == {} and skipped == [{"modality": "text", "reason": "table missing"}]
+
+
+def test_cells_that_do_not_fit_are_kept(spark):
+    from fathom.operators import profile
+
+    rows = spark.createDataFrame([(["1", "x"],), (["two", " y "],), (["", None],), (["3"],), (["1_000", "z", "more"],)], "c array<string>")
+    got = profile.typed(rows, "c", [("n", "integer"), ("t", "string")], "rescued").collect()
+    assert [tuple(r) for r in got] == [(1, "x", None), (None, "y", {"n": "two"}), (None, None, None), (3, None, None), (1000, "z", None)]
