@@ -516,7 +516,15 @@ def test_counts_beside_keys(room):
     assert len(table.beside) == (0 if room else 9)
     assert table.counts(np.array([7, 0, 2, 6, 1])).tolist() == [70_000, 1, 15, 256, 14]
     assert table.count_of(np.array([5, 6, 29, 4, 100], np.uint64)).tolist() == [1, 0, 3, 0, 0]
-    assert table.followed(np.array([0, 3]), np.array([2, 3]), {}, int).tolist() == [[15, 1, 0, 1], [0, 0, 0, 0]]
+    spans, names = (np.array([0, 3, 1]), np.array([2, 3, 9])), np.array([7, 8, 9], np.uint64)
+    memory = kneser_ney.Memory()
+    for longest in (64, 1, 1):  # counted, remembered, known
+        kneser_ney.LONG_CONTEXT = longest
+        try:
+            assert table.followed(*spans, memory, "a", names).tolist() == [[15, 1, 0, 1], [0, 0, 0, 0], [int(counts[1:].sum()), 0, 0, 8]]
+        finally:
+            kneser_ney.LONG_CONTEXT = 64
+    assert memory.size == 2
 
 
 def test_frequent_first_words_are_spread(spark):
@@ -624,6 +632,18 @@ def test_toxicity_query(spark, texts):
     assert sum(flags[i] != bool(t) for i, t in marks.items() if i in flags) <= 0.15 * len(marks)  # ten toxic texts to learn from
 
 
+def test_toxic_texts_are_caught(spark):
+    """On labels that were not learned from: a model that flags nothing, or all, fails."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    learned = "crc32(cast(doc_id as string)) % 2 = 0"
+    model = toxicity.train(docs, labels.filter(learned))
+    held_out = docs.join(labels.filter(f"not {learned}"), "doc_id")
+    pairs = [(bool(r.toxic), r.flagged) for r in toxicity.predict(held_out, model).select("toxic", "toxicity.flagged").collect()]
+    caught, toxic, flagged = sum(a and b for a, b in pairs), sum(a for a, _ in pairs), sum(b for _, b in pairs)
+    assert toxic > 100 and caught >= 0.6 * toxic and caught >= 0.85 * flagged
+
+
 # 9
 
 
