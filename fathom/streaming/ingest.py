@@ -1,10 +1,10 @@
 """Continuous ingestion: new files of a folder become rows of a catalog.
 
-The file source remembers what it has read, which takes the place of scanning the
-lake again.  Each micro-batch appends its own rows under its number, so a batch that
-is run again after a failure overwrites its own rows only, and costs what it brings;
-a snapshot is the last row of each file.  :func:`compact` folds batches into one now
-and then.
+Spark's file source remembers which files it has read and meets each once; the lake's own
+source meets a file again when it changes.  Each micro-batch appends its own rows under
+its number, so a batch that is run again after a failure overwrites its own rows only, and
+costs what it brings; a snapshot is the last row of each file.  :func:`compact` folds
+batches into one now and then.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fathom.functions.scalars import extension, filename
+from fathom.sources import lake
 from fathom.sources.files import relative_to
 
 FILE = "path string, modificationTime timestamp, length long, content binary"
@@ -35,6 +36,12 @@ def files_stream(spark: SparkSession, root: str, per_batch: int = 10_000) -> Dat
     )
 
 
+def changes_stream(spark: SparkSession, root: str, lag: float = lake.LAG) -> DataFrame:
+    """The same rows for new files and, each time they change, for files met before; empty
+    files too (see :mod:`fathom.sources.lake`)."""
+    return lake.changes(spark, root, lag=lag).select("*", F.lit("discovered").alias("status"), F.lit(True).alias("is_present"))
+
+
 def _batches(spark: SparkSession, folder: str, last: int) -> DataFrame:
     return spark.read.parquet(f"{folder}/batches").filter(F.col("batch") <= last)
 
