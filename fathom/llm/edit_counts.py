@@ -254,6 +254,23 @@ def build(docs: DataFrame, path: str, pattern: str, text: str = "text", into: st
     return docs.withColumn(into, F.arrow_udf(run, TREE).asNondeterministic()(F.col(text).cast("string")))
 
 
+def after_edits(trees: Iterator[Tree], changes: list, keep: bool) -> tuple[list[Tree], pa.StructArray]:
+    """Trees after their edits, if they are kept, and the counts (see :func:`apply`)."""
+    made, numbers, edited = [], [], []
+    for t, todo in zip(trees, changes, strict=True):
+        before = (int(t.chars[1]), int(t.tokens[1]))
+        n = t.pretokens()
+        for e in todo or ():
+            t.edit(e["start"] or 0, e["removed"] or 0, e["inserted"] or "")
+        if keep:
+            made.append(t)
+        numbers.append((*before, int(t.chars[1]), int(t.tokens[1]), n, t.encoded))
+        edited.append(t.text())
+    columns = np.array(numbers, np.int64).reshape(-1, len(NUMBERS))
+    told = [pa.array(columns[:, k]) for k in range(len(NUMBERS))]
+    return made, pa.StructArray.from_arrays([*told, pa.array(edited, pa.string())], [*NUMBERS, "edited_text"])
+
+
 def apply(trees: DataFrame, path: str, pattern: str, edits: str = "edits", text: str = "text", tree: str = "tree", into: str = "counts") -> DataFrame:
     """``trees`` with the struct column ``tree`` as it is after the edits in the column
     ``edits``, and a struct column ``into`` (replaced if there): characters and
@@ -275,18 +292,7 @@ def apply(trees: DataFrame, path: str, pattern: str, edits: str = "edits", text:
         gc.disable()
         count = Counter(ranks.value, pattern)
         for column, rows, changes in batches:
-            made, numbers, edited = [], [], []
-            for t, todo in zip(trees_of(texts(column), rows, count), changes.to_pylist(), strict=True):
-                before = (int(t.chars[1]), int(t.tokens[1]))
-                n = t.pretokens()
-                for e in todo or ():
-                    t.edit(e["start"] or 0, e["removed"] or 0, e["inserted"] or "")
-                made.append(t)
-                numbers.append((*before, int(t.chars[1]), int(t.tokens[1]), n, t.encoded))
-                edited.append(t.text())
-            columns = np.array(numbers, np.int64).reshape(-1, len(NUMBERS))
-            told = [pa.array(columns[:, k]) for k in range(len(NUMBERS))]
-            counts = pa.StructArray.from_arrays([*told, pa.array(edited, pa.string())], [*NUMBERS, "edited_text"])
+            made, counts = after_edits(trees_of(texts(column), rows, count), changes.to_pylist(), True)
             yield pa.StructArray.from_arrays([rows_of(made), counts], ["tree", "counts"])
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array, pa.Array]], "return": Iterator[pa.Array]}
@@ -297,7 +303,19 @@ def apply(trees: DataFrame, path: str, pattern: str, edits: str = "edits", text:
     return held.select(*others, F.col("__both.tree").alias(tree), F.col("__both.counts").alias(into))
 
 
-def count_edits(docs: DataFrame, path: str, pattern: str, edits: str = "edits", into: str = "counts") -> DataFrame:
-    """``docs`` with the struct column ``into`` of :func:`apply`, over trees made by
-    :func:`build` that are not kept."""
-    return apply(build(docs, path, pattern, into="__tree"), path, pattern, edits, tree="__tree", into=into).drop("__tree")
+def count_edits(docs: DataFrame, path: str, pattern: str, edits: str = "edits", text: str = "text", into: str = "counts") -> DataFrame:
+    """``docs`` with the struct column ``into`` of :func:`apply`, over trees that are made
+    and edited in one pass and not kept."""
+    spark = prepare(docs.sparkSession)
+    ranks = spark.sparkContext.broadcast(load_ranks(path))  # a fixed vocabulary
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        gc.disable()
+        count = Counter(ranks.value, pattern)
+        for column, changes in batches:
+            trees = (Tree.of(x, count) for x in texts(column))  # one at a time
+            yield after_edits(trees, changes.to_pylist(), False)[1]
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    made = F.arrow_udf(run, RESULT).asNondeterministic()(F.col(text).cast("string"), F.col(edits).cast(EDITS))
+    return docs.withColumn(into, made)
