@@ -192,18 +192,29 @@ def instance_of(signature: str = "signature"):
 
 
 def undone(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(signature, node, need, root, many) of buckets that hold several components, so far
-    as each node has enough of these; ``many``: how many members the bucket has."""
+    """(signature, node, need, root, instance) of buckets that hold several components, so
+    far as each node has enough of these."""
     rooted = members.select("signature", "node", "need")
     if roots is not None:
         rooted = rooted.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        sizes = rooted.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        rooted = rooted.join(sizes.filter("low < high").select("signature"), "signature", "left_semi")
+        bucket = Window.partitionBy("signature")
+        rooted = rooted.withColumn("__low", F.min("root").over(bucket)).withColumn("__high", F.max("root").over(bucket))
+        rooted = rooted.filter("__low < __high").drop("__low", "__high")
     else:
         rooted = rooted.withColumn("root", F.col("node"))
-    rooted = rooted.withColumn("instance", instance_of())
-    enough = rooted.groupBy("node", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("least")).filter("n >= least")
-    return rooted.join(enough.select("node", "instance"), ["node", "instance"], "left_semi")
+    own = Window.partitionBy("node", "instance")
+    told = rooted.withColumn("instance", instance_of()).withColumn("__n", F.count(F.lit(1)).over(own))
+    return told.withColumn("__least", F.max("need").over(own)).filter("__n >= __least").drop("__n", "__least")
+
+
+def led_by(links: DataFrame) -> DataFrame:
+    """(node, root) of nodes that link to a pivot (``a`` before ``b``, either may be it): some
+    of what is joined has the same root, and nothing else has.  A few steps up, no closure."""
+    up = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+    for _ in range(2):
+        above = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        up = up.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return up
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -326,7 +337,9 @@ def rest_links(members: DataFrame, sets: DataFrame, sizes: DataFrame, percent: i
     to the least component among those that it may link with.  A chunk's sets are sent
     once for each chunk that has a set which one of them may link with.
     """
-    members = written(members.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("signature"))), "partenum-rest")
+    bucket = Window.partitionBy("signature")
+    told = {"many": F.count(F.lit(1)).over(bucket), "least": F.min("root").over(bucket)}
+    members = written(members.withColumns(told), "partenum-rest")
     small = members.filter(F.col("many") <= SMALL).groupBy("signature").agg(F.collect_list(F.struct("node", "root", "need")).alias("x"))
     both = small.select(instance_of().alias("instance"), "x", F.explode("x").alias("y")).select("instance", "y", F.explode("x").alias("x"))
     both = both.filter("x.node < y.node and x.root <> y.root")
@@ -334,16 +347,16 @@ def rest_links(members: DataFrame, sets: DataFrame, sizes: DataFrame, percent: i
         F.count(F.lit(1)).alias("n"), F.max(F.greatest("x.need", "y.need")).alias("least")
     )
     pairs = written(counted.filter("n >= least").select("x", "y").distinct(), "partenum-pairs")
-    large = members.filter(F.col("many") > SMALL).select("signature", "node", "root")
-    least = large.groupBy("signature").agg(F.min("root").alias("least"))
+    large = members.filter(F.col("many") > SMALL).select("signature", "node", "root", "least")
 
     may = pairs.select("x.node", "x.root", F.col("y.root").alias("least")).unionByName(pairs.select("y.node", "y.root", F.col("x.root").alias("least")))
-    may = may.unionByName(large.join(least, "signature").select("node", "root", "least"))
+    may = may.unionByName(large.select("node", "root", "least"))
     may = may.groupBy("node", "root").agg(F.min("least").alias("least"))
     leader = F.when(F.col("node") == F.col("root"), F.least("root", "least")).otherwise(F.col("root"))
     # Sets of a component apart from those that only may link with it.
     lone = (F.col("node") == F.col("root")) & (F.col("least") < F.col("root"))
     placed = may.select("node", "root", F.xxhash64(leader, lone).alias("leader")).join(sizes, "node")
+    placed = stored(placed)
     placed = written(chunked(placed, "leader").select("node", "root", F.struct("leader", "part").alias("chunk")), "partenum-placed")
 
     of = placed.select("node", "chunk")
@@ -402,7 +415,9 @@ def linked(docs: DataFrame, hits: DataFrame, rows: DataFrame, words: int, percen
     for number in range(ROUNDS):
         links = stored(pivot_links(members, held, sizes, number, percent))
         found = links if found is None else found.unionByName(links)
-        members = written(undone(members, components(found)), "partenum-members")
+        # Before the last round any roots do that are equal only where links join.
+        roots = components(found) if number == ROUNDS - 1 else led_by(found)
+        members = written(undone(members, roots), "partenum-members")
     return found.unionByName(rest_links(members, held, sizes, percent))
 
 
