@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import gc
 from collections import Counter
-from collections.abc import Callable, Hashable, Iterator
+from collections.abc import Hashable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -91,7 +91,13 @@ WIDE = np.dtype([("context", "<u8"), ("word", "<u8")])
 def sorted_by(bucket: np.ndarray, keys: np.ndarray) -> np.ndarray:
     if keys.dtype == WIDE:
         return np.lexsort((keys["word"], keys["context"], bucket))
-    return np.lexsort((keys, bucket))
+    order = np.argsort(keys)
+    return order[dealt(bucket[order])]
+
+
+def dealt(bucket: np.ndarray) -> np.ndarray:
+    """Places by bucket, else as they are; few buckets are sorted by their digits."""
+    return np.argsort(bucket.astype(np.uint16) if bucket.max(initial=0) < 1 << 16 else bucket, kind="stable")
 
 
 def pieces(bucket: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -196,29 +202,65 @@ class Table:
         there = self.own[at] >> np.uint64(COUNT_BITS) if self.room else self.own[at]
         return np.where(there == keys, self.counts(at), 0)
 
-    def followed(self, low: np.ndarray, high: np.ndarray, seen: dict, name: Callable[[int], Hashable]) -> np.ndarray:
-        """Of spans of keys: the sum of their counts, and how many are 1, 2, more.
-        Long spans are remembered in ``seen``, up to MEMO_WORDS, by the name of the k-th."""
+    def summed(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Of spans of keys, none of them empty: the sum of their counts, and how many are
+        1, 2, more."""
+        n = high - low
+        firsts = np.cumsum(n) - n
+        c = self.counts(np.arange(n.sum()) + np.repeat(low - firsts, n))
+        total, ones, twos = (np.add.reduceat(x, firsts, dtype=np.int64) for x in (c, c == 1, c == 2))
+        return np.stack((total, ones, twos, n - ones - twos), axis=1)
+
+    def followed(self, low: np.ndarray, high: np.ndarray, seen: Memory, slot: Hashable, names: np.ndarray) -> np.ndarray:
+        """Of spans of keys, some empty, what :meth:`summed` gives.  Long spans are
+        remembered in ``seen`` by slot and the numbers ``names``."""
         found = np.zeros((len(low), 4), np.int64)
         length = high - low
         short = np.flatnonzero((length > 0) & (length <= LONG_CONTEXT))
         if len(short):
-            n = length[short]
-            firsts = np.cumsum(n) - n
-            c = self.counts(np.arange(n.sum()) + np.repeat(low[short] - firsts, n))
-            found[short] = np.stack([np.add.reduceat(x.astype(np.int64), firsts) for x in (c, c == 1, c == 2, c >= 3)], axis=1)
-        for k in np.flatnonzero(length > LONG_CONTEXT).tolist():
-            told = seen.get(name(k))
-            if told is None:
-                c = self.counts(np.arange(low[k], high[k]))
-                told = tuple(int(x.sum()) for x in (c, c == 1, c == 2, c >= 3))
-                if len(seen) >= MEMO_WORDS:
-                    seen.clear()
-                seen[name(k)] = told
-            found[k] = told
+            found[short] = self.summed(low[short], high[short])
+        long = np.flatnonzero(length > LONG_CONTEXT)
+        if len(long):
+            hit, told = seen.get(slot, names[long])
+            found[long[hit]] = told
+            new = long[~hit]
+            # A stretch of spans at a time, as a context may have any number of followers.
+            for part in np.split(new, np.flatnonzero(np.diff(np.cumsum(length[new]) // HELD_TOKENS)) + 1):
+                if len(part):
+                    found[part] = self.summed(low[part], high[part])
+            seen.put(slot, names[new], found[new])
         return found
 
 
+class Memory:
+    """Rows of four numbers by slot and number, MEMO_WORDS of them at most."""
+
+    def __init__(self) -> None:
+        self.held: dict[Hashable, tuple[np.ndarray, np.ndarray]] = {}
+        self.size = 0
+
+    def get(self, slot: Hashable, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which names are known, and the rows of these."""
+        if slot not in self.held:
+            return np.zeros(len(names), bool), np.zeros((0, 4), np.int64)
+        known, rows = self.held[slot]
+        at = np.minimum(np.searchsorted(known, names), len(known) - 1)
+        hit = known[at] == names
+        return hit, rows[at[hit]]
+
+    def put(self, slot: Hashable, names: np.ndarray, rows: np.ndarray) -> None:
+        if not len(names):
+            return
+        if self.size + len(names) > MEMO_WORDS:
+            self.held, self.size = {}, 0
+        names, once = np.unique(names, return_index=True)
+        known, old = self.held.get(slot, (names[:0], rows[:0]))
+        every = np.concatenate((known, names))
+        order = np.argsort(every)
+        self.held[slot] = every[order], np.concatenate((old, rows[once]))[order]
+        self.size += len(names)
+
+
 def by_bucket(rows: DataFrame) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
@@ -233,9 +275,10 @@ class Sharded:
     def arrays(self, bucket: int) -> list[np.ndarray]:
         return self.shelf(f"{self.name}-{bucket}")
 
-    def by_bucket(self, buckets: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Each bucket that there is and the places in ``keys`` of what is asked of it."""
-        order = sorted_by(buckets, keys)
+    def by_bucket(self, buckets: np.ndarray, keys: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
+        """Each bucket that there is and the places of what is asked of it, in order of
+        ``keys``, or, without these, as it stands."""
+        order = dealt(buckets) if keys is None else sorted_by(buckets, keys)
         ranked = buckets[order]
         cuts = [0, *(np.flatnonzero(ranked[1:] != ranked[:-1]) + 1).tolist(), len(ranked)]
         for a, b in zip(cuts, cuts[1:], strict=False):
@@ -355,7 +398,8 @@ class Words:
         in the vocabulary; and where each document starts."""
         if len(self.memo) > MEMO_WORDS:
             self.memo = {}
-        new = list({w for d in documents for w in d if w not in self.memo} | ({END} - self.memo.keys()))
+        words = list(chain.from_iterable(documents))
+        new = list(({END} | set(words)) - self.memo.keys())
         self.memo.update(zip(new, self.look_up(new).tolist(), strict=True))
         lengths = np.fromiter(map(len, documents), np.int64, len(documents)) + begins + 1
         starts = np.r_[0, np.cumsum(lengths)[:-1]]
@@ -364,8 +408,7 @@ class Words:
         for k in range(begins):
             inner[starts + k] = False
         inner[starts + lengths - 1] = False
-        flat = map(self.memo.__getitem__, chain.from_iterable(documents))
-        line[inner] = np.fromiter(flat, np.int64, int(lengths.sum()) - (begins + 1) * len(documents))
+        line[inner] = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
         line[starts + lengths - 1] = self.memo[END]
         return line, starts
 
@@ -649,7 +692,7 @@ def _score(model: Model):
         triples = Triples(model.bits, model.word_sizes, model.starts, model.n_words, model.dealt)
         firsts = np.array(list(model.starts.values()), np.int64)
         homes = list(model.starts)
-        long_contexts: dict[tuple, tuple] = {}
+        long_contexts = Memory()
 
         def of_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """Counts, and probabilities without context, of sorted ids; 0 for -1."""
@@ -668,11 +711,11 @@ def _score(model: Model):
             for i in np.flatnonzero(np.isin(ids, frequent)).tolist():
                 found[i] = model.frequent.get(int(ids[i]), (0, 0, 0, 0))
             rest = np.flatnonzero((ids >= 0) & ~np.isin(ids, frequent))
-            keys = ids[rest].astype(np.uint64) << np.uint64(32)
-            for b, asked in pair_shards.by_bucket(spread(ids[rest], model.bits), keys):
+            keys = ids[rest].astype(np.uint64) << np.uint64(32)  # in order, as ids are
+            for b, asked in pair_shards.by_bucket(spread(ids[rest], model.bits), None):
                 table, own = pair_shards.table(b), ids[rest[asked]]
                 low, high = table.places(keys[asked]), table.places(keys[asked] + np.uint64(1 << 32))
-                found[rest[asked]] = table.followed(low, high, long_contexts, lambda k, own=own: int(own[k]))
+                found[rest[asked]] = table.followed(low, high, long_contexts, ("pair", b), own)
             return found
 
         def with_context(below: np.ndarray, seen: np.ndarray, contexts: np.ndarray, by: tuple) -> np.ndarray:
@@ -685,17 +728,23 @@ def _score(model: Model):
         def third(below: np.ndarray, one: np.ndarray, two: np.ndarray, three: np.ndarray) -> np.ndarray:
             there = np.flatnonzero((one >= 0) & (two >= 0))
             bucket, context = triples.contexts(one[there], two[there])
+            last = three[there]
+            keys = triples.keys(context, np.maximum(last, 0))
             stats, seen = np.zeros((len(below), 4), np.int64), np.zeros(len(below), np.int64)
-            for b, asked in triple_shards.by_bucket(bucket, context):
+
+            def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                """Of numbers in order: each once, and which one every place has."""
+                first = np.r_[True, x[1:] != x[:-1]][: len(x)]
+                return x[first], np.cumsum(first) - 1
+
+            for b, asked in triple_shards.by_bucket(bucket, keys):  # by keys, so by contexts
                 table = triple_shards.table(b)
-                own = context[asked]  # in order
-                first = np.r_[True, own[1:] != own[:-1]]
-                distinct, which = own[first], np.cumsum(first) - 1
+                distinct, which = runs(context[asked])
                 low, high = triples.spans(table, distinct)
-                stats[there[asked]] = table.followed(low, high, long_contexts, lambda k, b=b, own=distinct: (b, int(own[k])))[which]
-                known = asked[three[there[asked]] >= 0]
-                keys, which = np.unique(triples.keys(context[known], three[there[known]]), return_inverse=True)
-                seen[there[known]] = table.count_of(keys)[which]
+                stats[there[asked]] = table.followed(low, high, long_contexts, b, distinct)[which]
+                known = asked[last[asked] >= 0]
+                own, which = runs(keys[known])
+                seen[there[known]] = table.count_of(own)[which]
             return with_context(below, seen, stats, model.triple_discounts)
 
         def scored(documents: list[list[bytes]]) -> tuple[np.ndarray, ...]:
@@ -717,7 +766,7 @@ def _score(model: Model):
             pairs, which_pair = np.unique(keys, return_inverse=True)
             seen = np.zeros(len(pairs), np.int64)
             firsts_of = (pairs >> np.uint64(32)).astype(np.int64)
-            for b, asked in pair_shards.by_bucket(pair_bucket(pairs, firsts_of, model.dealt, model.bits), pairs):
+            for b, asked in pair_shards.by_bucket(pair_bucket(pairs, firsts_of, model.dealt, model.bits), None):
                 seen[asked] = pair_shards.table(b).count_of(pairs[asked])
 
             c = np.zeros(len(now), np.int64)
