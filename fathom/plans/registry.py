@@ -1009,8 +1009,8 @@ def identified_files(spark, sf_dir):
 
 
 @query(
-    """SELECT p_partkey AS part, CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_size END::BIGINT AS size, p_retailprice::DOUBLE AS price,
-      p_partkey % 3 = 0 AS flag, CASE WHEN p_partkey % 10 = 0 THEN 'n/a ' || p_size END AS rescued FROM part"""
+    """SELECT p_partkey AS part, CASE WHEN p_partkey % 10 = 0 THEN -1 ELSE p_size END::BIGINT AS size, p_retailprice::DOUBLE AS price,
+      p_partkey % 3 = 0 AS flag, CASE WHEN p_partkey % 10 = 0 THEN 'n/a ' || p_size ELSE '' END AS rescued FROM part"""
 )
 def typed_rows(spark, sf_dir):
     """Rows of cells as a typed table; cells that don't fit their column are kept apart."""
@@ -1019,4 +1019,5 @@ def typed_rows(spark, sf_dir):
     flag = F.when(F.col("p_partkey") % 3 == 0, "true").otherwise("false")
     cells = part.select(F.array(F.col("p_partkey").cast("string"), size, F.col("p_retailprice").cast("string"), flag).alias("cells"))
     made = profile.typed(cells, "cells", [("part", "integer"), ("size", "integer"), ("price", "float"), ("flag", "boolean")], "rescued")
-    return made.withColumn("rescued", F.try_element_at("rescued", F.lit("size")))
+    told = F.coalesce(F.try_element_at("rescued", F.lit("size")), F.lit(""))
+    return made.withColumn("rescued", told).withColumn("size", F.coalesce("size", F.lit(-1)))
