@@ -69,6 +69,11 @@ def strip(x) -> Column:
     return F.regexp_replace(_col(x), r"(?U)^\s+|\s+$", "")
 
 
+def strip_blanks(x) -> Column:
+    """Without blanks (of Unicode's class Zs) at either end; line ends and tabs stay."""
+    return F.regexp_replace(_col(x), r"\A\p{Zs}+|\p{Zs}+\z", "")
+
+
 def normalize_text(x) -> Column:
     """Line feeds only, at most one blank line in a row, no space at the ends."""
     lines = F.regexp_replace(F.regexp_replace(_col(x), r"\r\n?", "\n"), r"\n{3,}", "\n\n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -92,8 +92,9 @@ def document_sections(chunks: DataFrame, source: str = "source_id") -> DataFrame
 
 
 def slide_sections(
-    chunks: DataFrame, source: str = "source_id", least: int = SLIDE_LEAST, enough: int = SLIDE_ENOUGH, most: int = SLIDE_MOST
-) -> DataFrame:
+    chunks: DataFrame, source: str = "source_id", least: int = SLIDE_LEAST, enough: int = SLIDE_ENOUGH, most: int = SLIDE_MOST,
+    trim: Callable[[Column | str], Column] = strip,
+) -> DataFrame:
     """Sections of slides: (source, chunk_index, heading, content, slide_start,
     slide_end, char_count).
 
@@ -101,8 +102,9 @@ def slide_sections(
     same slides in a row are merged in order while they fit ``most``: one shorter
     than ``least`` takes what follows, one of ``enough`` takes nothing more, and between
     these the headings must agree (one begins with the other, or is missing).  Chunks of white space drop.
+    ``trim`` takes white space from a content's ends: of any kind, unless another is given.
     """
-    filled = chunks.withColumn("content", strip("content")).filter(F.length("content") > 0)
+    filled = chunks.withColumn("content", trim("content")).filter(F.length("content") > 0)
     runs = islands(filled, [source], ["index"], ["slide_start", "slide_end"])
     one = F.struct("index", "heading", "content", "slide_start", "slide_end")
     grouped = runs.groupBy(source, "island").agg(F.array_sort(F.collect_list(one)).alias("parts"))  # a slide's chunks
@@ -112,7 +114,7 @@ def slide_sections(
         return none | F.startswith(a, b) | F.startswith(b, a)
 
     def joined(a: Column, b: Column) -> Column:
-        c = [F.when(F.length(strip(x)) > 0, strip(x)) for x in (a, b)]
+        c = [F.when(F.length(trim(x)) > 0, trim(x)) for x in (a, b)]
         return F.concat_ws("\n", *c)
 
     def step(state: Column, part: Column) -> Column:
