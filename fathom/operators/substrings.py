@@ -25,25 +25,42 @@ from fathom.operators import search
 RAREST = 4
 #: Bits of a character in a trigram's number.
 CHAR_BITS = 21
+#: Characters of a text that are looked at at once, and postings that a task sends at once.
+CHARS, POSTINGS = 1 << 18, 1 << 18
 #: Rows of a stretch of a file: what a search reads at least for each trigram.
 STRETCH_BYTES = 1 << 20
 
 
 def trigrams(text: str) -> np.ndarray:
-    """The distinct runs of three characters, as numbers, ascending."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    if len(codes) < 3:
-        return np.zeros(0, np.int64)
-    return np.unique(codes[:-2] << 2 * CHAR_BITS | codes[1:-1] << CHAR_BITS | codes[2:])
+    """The distinct runs of three characters, as numbers, ascending; found by stretches."""
+    found = np.zeros(0, np.int64)
+    for a in range(0, len(text) - 2, CHARS):
+        codes = np.frombuffer(text[a : a + CHARS + 2].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        new = np.unique(codes[:-2] << 2 * CHAR_BITS | codes[1:-1] << CHAR_BITS | codes[2:])
+        found = np.union1d(found, new) if len(found) else new
+    return found
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text and trigram, sent on every POSTINGS rows, as a batch may have
+    any number of them."""
+    held: list[tuple[int, np.ndarray]] = []
+
+    def sent() -> pa.RecordBatch:
+        grams = np.concatenate([x for _, x in held])
+        ids = np.repeat(np.array([i for i, _ in held], np.int64), [len(x) for _, x in held])
+        return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(ids)], ["gram", "id"])
+
+    n = 0
     for batch in batches:
-        ids = batch.column("id").to_numpy()
-        found = [trigrams(t) for t in batch.column("text").to_pylist()]
-        of = np.repeat(ids, [len(x) for x in found])
-        flat = np.concatenate([np.zeros(0, np.int64), *found])
-        yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(of)], ["gram", "id"])
+        for i, text in zip(batch.column("id"), batch.column("text"), strict=True):  # one at a time
+            held.append((i.as_py(), trigrams(text.as_py())))
+            n += len(held[-1][1])
+            if n >= POSTINGS:
+                yield sent()
+                held, n = [], 0
+    if held:
+        yield sent()
 
 
 def parts_of(text: str) -> list[str]:

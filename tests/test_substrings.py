@@ -1,8 +1,9 @@
 """The trigram index against the scan."""
 
+import pyarrow as pa
 import pytest
 
-from fathom.operators import search
+from fathom.operators import search, substrings
 from fathom.operators.substrings import SubstringIndex, parts_of
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +46,18 @@ def test_first_rows(rows, index):
 def test_parts_between_wildcards():
     assert parts_of("ab%cd_e\\%f\\x") == ["ab", "cd", "e%fx"]
     assert parts_of("%_") == [] and parts_of("end\\") == ["end%"]
+
+
+def test_postings_are_sent_on_in_bounded_batches(monkeypatch):
+    """A batch's postings aren't held together; a long text is looked at by stretches."""
+    texts = ["".join(chr(97 + (i * k * k + k) % 26) for k in range(400)) for i in range(1, 60)] + ["", "ab", "abc"]
+    want = {(t[k : k + 3], i) for i, t in enumerate(texts) for k in range(len(t) - 2)}
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    monkeypatch.setattr(substrings, "POSTINGS", 500)
+    monkeypatch.setattr(substrings, "CHARS", 7)
+    sent = list(substrings._postings(iter([batch])))
+    assert len(sent) > 2 and max(b.num_rows for b in sent) < 1000
+    rows = [(r["gram"], r["id"]) for b in sent for r in b.to_pylist()]
+    mask = (1 << substrings.CHAR_BITS) - 1
+    named = [("".join(chr(g >> s * substrings.CHAR_BITS & mask) for s in (2, 1, 0)), i) for g, i in rows]
+    assert len(named) == len(set(named)) and set(named) == want
