@@ -1,9 +1,11 @@
 """Nearest vectors: many questions in one pass, and an index of cells.
 
-:func:`nearest` asks many questions at once.  A block of questions goes to all tasks;
-each batch of vectors is multiplied with it, and a task keeps, for each question and group,
-its best rows only.  So what is shuffled is ``limit`` rows for each task, question and
-group, and never a row for each question and vector.
+:func:`nearest` asks many questions at once.  Questions are dealt to tiles and vectors to
+parts; a task has a tile and a part, holds the tile's questions, and gets the part's vectors
+group by group in their order.  It multiplies a stretch of them with a block of questions
+at a time, and keeps, for each question, the group's best rows only.  So what is shuffled
+are the vectors for each tile, the questions for each part, and ``limit`` rows for each part,
+question and group, and never a row for each question and vector.
 
 :class:`Cells` is an index on disk.  Centroids are fitted in Spark on a bounded sample; every
 vector is written to the cell of its nearest centroid, a folder of its own, so that a
@@ -18,23 +20,24 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from fathom.operators import search
 
-#: Numbers in a block of questions that goes to all tasks.
-BLOCK_NUMBERS = 1 << 22
-#: Rows that a task keeps for all its questions before it cuts them back.
-HELD_ROWS = 1 << 18
+#: Numbers in a tile of questions, about.
+BLOCK_NUMBERS = 1 << 21
+#: Rows that a task keeps for all its questions before it drops those that are nobody's best.
+HELD_ROWS = 1 << 16
+#: Questions and vectors that are multiplied at once, and rows that are sent on at once.
+ASKED, STRETCH, SENT_ROWS = 1024, 1024, 10_000
 #: Vectors that cells are fitted on, at most.
 SAMPLE = 65_536
 #: Distances of unit vectors are known to so much.
@@ -53,49 +56,116 @@ def matrix(column: pa.ListArray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[good] / norm[good, None], fit[good]
 
 
-def _best(scores: np.ndarray, order: np.ndarray, group: np.ndarray, limit: int) -> np.ndarray:
-    """Places of the ``limit`` least of each group by score, then by ``order``."""
-    ranked = np.lexsort((order, scores, group))
-    ordered = group[ranked]
-    first = np.r_[True, ordered[1:] != ordered[:-1]]
-    begin = np.maximum.accumulate(np.where(first, np.arange(len(ranked)), 0))
-    return ranked[np.arange(len(ranked)) - begin < limit]
-
-
-def _candidates(asked: np.ndarray, names: pa.Array, key: str, order: str, vector: str, group: str | None, limit: int, digits: int | None):
-    """Each task's best rows for each question and group."""
+class _Tile:
+    """Questions, and for each its best rows so far of the group that is being read."""
+
+    def __init__(self, names: pa.Array, asked: np.ndarray, limit: int, digits: int | None) -> None:
+        self.names, self.asked, self.limit, self.digits = names, asked, limit, digits
+        self.clear()
+
+    def clear(self) -> None:
+        self.score = np.full((len(self.asked), self.limit), np.inf)
+        self.place = np.full((len(self.asked), self.limit), -1, np.int64)  # in ``held``, put end to end
+        self.held: list[pa.Table] = []
+        self.n_held = self.n_seen = 0
+        self.most = HELD_ROWS
+
+    def add(self, rows: np.ndarray, plain: pa.Table) -> None:
+        """More rows of the group, none of which comes before one that is there."""
+        at = 0
+        while at < len(rows):
+            # Short stretches first: they tell what later ones must be better than.
+            n = max(64, min(STRETCH, self.n_seen))
+            part = rows[at : at + n]
+            for q in range(0, len(self.asked), ASKED):
+                self._compare(q, part, self.n_held + at)
+            self.n_seen += len(part)
+            at += n
+        self.held.append(plain)
+        self.n_held += len(plain)
+        if self.n_held > self.most:
+            self._drop()
+
+    def _compare(self, q: int, part: np.ndarray, first: int) -> None:
+        asked = self.asked[q : q + ASKED]
+        last = self.score[q : q + ASKED, -1]
+        scores = 1.0 - asked @ part.T
+        # Of equal scores the earlier row counts, so a later one must be less, once rounded.
+        less = last if self.digits is None else last - 0.25 * 10.0**-self.digits
+        of, at = np.nonzero(scores < less[:, None])
+        found = scores[of, at]
+        if self.digits is not None:
+            found = np.round(found, self.digits) + 0.0
+            kept = found < last[of]
+            of, at, found = of[kept], at[kept], found[kept]
+        if not len(of):
+            return
+        own = np.unique(of)
+        of = np.concatenate((np.repeat(own, self.limit), of))
+        found = np.concatenate((self.score[q + own].ravel(), found))
+        place = np.concatenate((self.place[q + own].ravel(), at + first))
+        ranked = np.lexsort((place, found, of))
+        begin = np.searchsorted(of[ranked], own)
+        best = ranked[begin[:, None] + np.arange(self.limit)]
+        self.score[q + own], self.place[q + own] = found[best], place[best]
+
+    def _drop(self) -> None:
+        """Hold only rows that are among some question's best."""
+        live = np.unique(self.place[self.place >= 0])
+        self.place = np.where(self.place >= 0, np.searchsorted(live, self.place), -1)
+        self.held = [pa.concat_tables(self.held).take(pa.array(live))]
+        self.n_held = len(live)
+        self.most = max(HELD_ROWS, 2 * len(live))
+
+    def told(self, key: str) -> Iterator[pa.RecordBatch]:
+        """The group's best rows, after which another may begin."""
+        if self.held:
+            self._drop()
+            of, k = np.nonzero(self.place >= 0)
+            for a in range(0, len(of), SENT_ROWS):
+                q, j = of[a : a + SENT_ROWS], k[a : a + SENT_ROWS]
+                rows = self.held[0].take(pa.array(self.place[q, j])).append_column(key, self.names.take(pa.array(q)))
+                yield from rows.append_column("score", pa.array(self.score[q, j])).combine_chunks().to_batches()
+        self.clear()
+
+
+def _candidates(key: str, vector: str, group: str | None, limit: int, digits: int | None):
+    """Each cell's best rows for each question and group.  A cell's questions come first, then
+    its vectors by group and in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-
-        def cut(tables: list[pa.Table]) -> pa.Table:
-            whole = pa.concat_tables(tables)
-            ranks = [whole.column(c).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False) for c in ([key, group] if group else [key])]
-            both = ranks[0].astype(np.int64) * (max(ranks[-1].max(initial=0), 0) + 2) + (np.nan_to_num(ranks[-1], nan=-1).astype(np.int64) + 1 if group else 0)
-            place = np.empty(len(whole), np.int64)
-            place[pc.sort_indices(whole, sort_keys=[(order, "ascending")]).to_numpy()] = np.arange(len(whole))
-            return whole.take(pa.array(_best(whole.column("score").to_numpy(), place, both, limit)))
-
+        now, kind, tile = None, None, None
+        asked: list[tuple[pa.Array, np.ndarray]] = []
         for batch in batches:
-            rows, at = matrix(batch.column(vector), asked.shape[1])
-            if not len(at):
-                continue
-            scores = 1.0 - rows @ asked.T
-            scores = np.round(scores, digits) + 0.0 if digits is not None else scores
-            plain = pa.Table.from_batches([batch]).drop_columns([vector]).take(pa.array(at))
-            # No more than ``limit`` rows of a group can be among its best.
-            code = plain.column(group).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False) if group else np.zeros(len(at))
-            code = np.nan_to_num(code, nan=-1).astype(np.int64)
-            place = np.empty(len(at), np.int64)
-            place[pc.sort_indices(plain, sort_keys=[(order, "ascending")]).to_numpy()] = np.arange(len(at))
-            for q in range(len(asked)):
-                kept = _best(scores[:, q], place, code, limit)
-                told = plain.take(pa.array(kept)).append_column(key, names.take(pa.array([q] * len(kept), pa.int64())))
-                held.append(told.append_column("score", pa.array(scores[kept, q])))
-            if sum(map(len, held)) > HELD_ROWS:
-                held = [cut(held)]
-        if held:
-            yield from cut(held).combine_chunks().to_batches()
+            codes = [batch.column("__cell").to_numpy(), batch.column("__row").to_numpy()]
+            if group:
+                codes.append(np.nan_to_num(batch.column(group).dictionary_encode().indices.to_numpy(zero_copy_only=False), nan=-1))
+            changed = np.logical_or.reduce([c[1:] != c[:-1] for c in codes])
+            cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(a, b - a)
+                cell = int(codes[0][a])
+                if cell != now:
+                    if tile:
+                        yield from tile.told(key)
+                    now, kind, tile, asked = cell, None, None, []
+                if codes[1][a] == 0:
+                    rows, at = matrix(part.column(vector), part.column("__size")[0].as_py())
+                    asked.append((part.column(key).take(pa.array(at)), rows))
+                    continue
+                if asked:
+                    names, tiles = zip(*asked, strict=True)
+                    tile, asked = _Tile(pa.concat_arrays(names), np.concatenate(tiles), limit, digits), []
+                if not tile or not len(tile.asked):
+                    continue
+                own = part.column(group)[0].as_py() if group else None
+                if own != kind:
+                    yield from tile.told(key)
+                    kind = own
+                rows, at = matrix(part.column(vector), tile.asked.shape[1])
+                tile.add(rows, pa.Table.from_batches([part]).drop_columns(["__cell", "__row", "__size", key, vector]).take(pa.array(at)))
+        if tile:
+            yield from tile.told(key)
 
     return run
 
@@ -111,53 +181,47 @@ def nearest(
 
     Vectors that are null, all zeros, not finite or of another length than the
     question's are no hits, and such questions have none; so do questions without a name.
-    Questions go to tasks in blocks of BLOCK_NUMBERS numbers, each a scan of ``vectors``;
-    they are collected for that, block by block.
+    Questions are dealt to tiles of about BLOCK_NUMBERS numbers; the driver sees how many
+    there are of each length, and no more of them.
     """
     spark = vectors.sparkSession
     plain = [f for f in vectors.schema if f.name not in (vector, key, "score", "place")]
     kind = next(f for f in questions.schema if f.name == key)
     schema = StructType([*plain, StructField(key, kind.dataType), StructField("score", DoubleType())])
-    told = vectors.select(*(f.name for f in plain), vector)
-    parts = []
-    for names, block in question_blocks(questions, key, vector):
-        parts.append(told.mapInArrow(_candidates(block, pa.array(names, to_arrow_type(kind.dataType)), key, order, vector, group, limit, digits), schema))
-    if not parts:
-        parts = [spark.createDataFrame([], schema)]
+    named = questions.filter(F.col(key).isNotNull() & (F.size(vector) > 0)).select(key, vector)
+    counts = named.groupBy(F.size(vector).alias("size")).count().collect()  # a row a length
+    tiles = {r["size"]: -(-r["count"] * r["size"] // BLOCK_NUMBERS) for r in counts}
+    if not tiles or limit < 1:
+        return spark.createDataFrame([], StructType([StructField(key, kind.dataType), StructField("place", IntegerType()), StructField("score", DoubleType()), *plain]))
+    parts = -(-spark.sparkContext.defaultParallelism // sum(tiles.values()))
+    first = dict(zip(tiles, np.cumsum([0, *tiles.values()]).tolist(), strict=False))  # tile of each length
+
+    def cells(rows: DataFrame, row: int, tile, part) -> DataFrame:
+        size = F.size(vector)
+        of = F.create_map(*chain.from_iterable((F.lit(d), F.struct(F.lit(first[d]).alias("first"), F.lit(n).alias("n"))) for d, n in tiles.items()))
+        told = rows.withColumn("__size", size).withColumn("__of", F.try_element_at(of, size)).filter("__of is not null")
+        told = told.withColumn("__tile", tile(F.col("__of.n"))).withColumn("__part", part)
+        cell = ((F.col("__of.first") + F.col("__tile")) * parts + F.col("__part")).cast("int")
+        return told.withColumn("__cell", cell).withColumn("__row", F.lit(row)).drop("__of", "__tile", "__part")
+
+    def hashed(column: str, n) -> Column:
+        return F.pmod(F.xxhash64(column, vector), F.lit(n) if isinstance(n, int) else n)
+
+    asked = cells(named, 0, lambda n: hashed(key, n), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = asked.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in plain))
+    told = vectors.select(*(f.name for f in plain), F.lit(None).cast(kind.dataType).alias(key), vector)
+    told = cells(told, 1, lambda n: F.explode(F.sequence(F.lit(0), n - 1)), hashed(order, parts))
+    dealt = asked.unionByName(told).repartitionById(sum(tiles.values()) * parts, "__cell")
+    ranked = dealt.sortWithinPartitions("__cell", "__row", *([group] if group else []), order)
+    found = ranked.mapInArrow(_candidates(key, vector, group, limit, digits), schema)
     by = Window.partitionBy(key, *([group] if group else [])).orderBy("score", order)
     return (
-        _union(parts)
-        .withColumn("place", F.row_number().over(by))
+        found.withColumn("place", F.row_number().over(by))
         .filter(F.col("place") <= limit)
         .select(key, "place", "score", *(f.name for f in plain))
     )
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return found
-
-
-def question_blocks(questions: DataFrame, key: str, vector: str) -> Iterator[tuple[list, np.ndarray]]:
-    """Names and unit vectors of questions, by length and in blocks of bounded size."""
-    held: dict[int, tuple[list, list]] = {}
-    for row in questions.select(key, vector).filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).toLocalIterator():
-        v = np.array([np.nan if x is None else x for x in row[1]], np.float64)
-        norm = float(np.sqrt((v * v).sum()))
-        if not len(v) or not math.isfinite(norm) or not norm:
-            continue
-        names, block = held.setdefault(len(v), ([], []))
-        names.append(row[0])
-        block.append(v / norm)
-        if len(block) * len(v) >= BLOCK_NUMBERS:
-            yield names, np.array(block)
-            del held[len(v)]
-    for names, block in held.values():
-        yield names, np.array(block)
-
-
 CELL = "cell int, radius double, n long"
 
 

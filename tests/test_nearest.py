@@ -62,6 +62,34 @@ def test_odd_vectors(spark):
     assert nearest.nearest(docs, asked.limit(0), "q", "vec_id", 9).collect() == []
 
 
+def test_tiles_of_questions_are_one_step(spark, vectors, monkeypatch):
+    """However many questions there are, vectors are read once, and the driver holds none."""
+    monkeypatch.setattr(nearest, "BLOCK_NUMBERS", 640)
+    asked = vectors.select(F.col("vec_id").alias("q"), "embedding")
+    plan = nearest.nearest(vectors, asked, "q", "vec_id", 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_copies_and_groups_by_small_stretches(spark, monkeypatch):
+    """Many rows as near as others, by group and of two lengths: the first in order count."""
+    for name, n in (("BLOCK_NUMBERS", 16), ("HELD_ROWS", 10), ("ASKED", 2), ("STRETCH", 70), ("SENT_ROWS", 7)):
+        monkeypatch.setattr(nearest, name, n)
+    shapes = [[1.0, 0.0], [0.6, 0.8], [0.0, 3.0], [1.0, 1.0, 1.0], [1.0, 0.0, 2.0]]
+    docs = [((i * 7919) % 1000, shapes[i * i % 5], "abc"[i % 3] if i % 4 else None) for i in range(1000)]
+    asked = [(f"q{i}", shapes[i % 5]) for i in range(23)]
+    got = nearest.nearest(
+        spark.createDataFrame(docs, "vec_id long, embedding array<double>, kind string").repartition(3),
+        spark.createDataFrame(asked, "q string, embedding array<double>"), "q", "vec_id", 6, group="kind", digits=6,
+    )
+    want = set()
+    for name, q in asked:
+        for kind in ("a", "b", "c", None):
+            near = sorted((abs(round(1 - np.dot(v, q) / np.sqrt(np.dot(v, v) * np.dot(q, q)), 6)), i) for i, v, k in docs if k == kind and len(v) == len(q))
+            want |= {(name, kind, place, i, score) for place, (score, i) in enumerate(near[:6], 1)}
+    rows = [(r.q, r.kind, r.place, r.vec_id, r.score) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+
+
 @pytest.fixture(scope="module")
 def index(spark, vectors, tmp_path_factory):
     made = Cells.build(vectors.filter("vec_id % 3 > 0"), str(tmp_path_factory.mktemp("cells") / "i"), "vec_id", cells=20)
