@@ -64,7 +64,7 @@ def tokens_of(text: bytes) -> list[bytes]:
 
 
 def hashed(words: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def spread(x: np.ndarray, bits: int) -> np.ndarray:
@@ -378,13 +378,25 @@ class Model:
         """The id of the place before a text's first word."""
         return self.n_words
 
+class Known(dict):
+    """Ids of words; one that isn't there gets a number from -2 down, in the order of ``new``."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        self[word] = found = -1 - len(self.new)
+        return found
+
+
 class Words:
     """Ids of words, by way of the memory-mapped vocabulary."""
 
     def __init__(self, shelf: shared_files.Shelf, bits: int, sizes: dict[int, int], starts: dict[int, int]) -> None:
         self.shards = Sharded(shelf, "word", sizes)
         self.bits, self.starts = bits, starts
-        self.memo: dict[bytes, int] = {}
+        self.memo = Known()
 
     def look_up(self, words: list[bytes]) -> np.ndarray:
         keys = hashed(words)
@@ -397,10 +409,7 @@ class Words:
         """Ids of [begin, ..., words, end] of all documents in a line, -1 for words not
         in the vocabulary; and where each document starts."""
         if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
-        words = list(chain.from_iterable(documents))
-        new = list(({END} | set(words)) - self.memo.keys())
-        self.memo.update(zip(new, self.look_up(new).tolist(), strict=True))
+            self.memo = Known()
         lengths = np.fromiter(map(len, documents), np.int64, len(documents)) + begins + 1
         starts = np.r_[0, np.cumsum(lengths)[:-1]]
         line = np.full(int(lengths.sum()), begin, np.int64)
@@ -408,8 +417,16 @@ class Words:
         for k in range(begins):
             inner[starts + k] = False
         inner[starts + lengths - 1] = False
-        line[inner] = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+        words = chain.from_iterable(documents)
+        line[inner] = np.fromiter(map(self.memo.__getitem__, words), np.int64, int(lengths.sum()) - (begins + 1) * len(lengths))
         line[starts + lengths - 1] = self.memo[END]
+        new = self.memo.new
+        if new:
+            ids = self.look_up(new)
+            at = np.flatnonzero(line < -1)
+            line[at] = ids[-2 - line[at]]
+            self.memo.update(zip(new, ids.tolist(), strict=True))
+            self.memo.new = []
         return line, starts
 
 
@@ -718,19 +735,22 @@ def _score(model: Model):
                 found[rest[asked]] = table.followed(low, high, long_contexts, ("pair", b), own)
             return found
 
-        def with_context(below: np.ndarray, seen: np.ndarray, contexts: np.ndarray, by: tuple) -> np.ndarray:
-            """Probabilities from those of the order below, counts, and their contexts'
-            totals and followers."""
-            total = contexts[:, 0]
-            back = np.where(total > 0, (contexts[:, 1:] * np.array(by)).sum(1) / np.maximum(total, 1), 1.0)
-            return taken_off(seen, by) / np.maximum(total, 1) + back * below
+        def shares(contexts: np.ndarray, by: tuple) -> tuple[np.ndarray, np.ndarray]:
+            """Contexts' totals, 1 at least, and what is left to the order below."""
+            total, *n = contexts.T
+            most = np.maximum(total, 1)
+            return most, np.where(total > 0, (n[0] * by[0] + n[1] * by[1] + n[2] * by[2]) / most, 1.0)
+
+        def with_context(below: np.ndarray, seen: np.ndarray, total: np.ndarray, back: np.ndarray, by: tuple) -> np.ndarray:
+            """Probabilities from those of the order below, counts, and their contexts' shares."""
+            return taken_off(seen, by) / total + back * below
 
         def third(below: np.ndarray, one: np.ndarray, two: np.ndarray, three: np.ndarray) -> np.ndarray:
             there = np.flatnonzero((one >= 0) & (two >= 0))
             bucket, context = triples.contexts(one[there], two[there])
             last = three[there]
             keys = triples.keys(context, np.maximum(last, 0))
-            stats, seen = np.zeros((len(below), 4), np.int64), np.zeros(len(below), np.int64)
+            total, back, seen = np.ones(len(below), np.int64), np.ones(len(below)), np.zeros(len(below), np.int64)
 
             def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 """Of numbers in order: each once, and which one every place has."""
@@ -741,11 +761,13 @@ def _score(model: Model):
                 table = triple_shards.table(b)
                 distinct, which = runs(context[asked])
                 low, high = triples.spans(table, distinct)
-                stats[there[asked]] = table.followed(low, high, long_contexts, b, distinct)[which]
+                at = there[asked]
+                for every, x in zip((total, back), shares(table.followed(low, high, long_contexts, b, distinct), model.triple_discounts), strict=True):
+                    every[at] = x[which]
                 known = asked[last[asked] >= 0]
                 own, which = runs(keys[known])
                 seen[there[known]] = table.count_of(own)[which]
-            return with_context(below, seen, stats, model.triple_discounts)
+            return with_context(below, seen, total, back, model.triple_discounts)
 
         def scored(documents: list[list[bytes]]) -> tuple[np.ndarray, ...]:
             begins = model.order - 1
@@ -759,8 +781,10 @@ def _score(model: Model):
 
             ids, which = np.unique(now, return_inverse=True)
             counts, alone = of_words(ids)
-            contexts, which_context = np.unique(before, return_inverse=True)
-            followers = of_contexts(contexts)[which_context]
+            # What stands before a token is the one before it, or the place before the text.
+            which_context = np.r_[0, which[:-1]]
+            which_context[starts] = len(ids)
+            total, back = (x[which_context] for x in shares(of_contexts(np.r_[ids, model.begin]), model.pair_discounts))
             known = (before >= 0) & (now >= 0)
             keys = before[known].astype(np.uint64) << np.uint64(32) | now[known].astype(np.uint64)
             pairs, which_pair = np.unique(keys, return_inverse=True)
@@ -771,7 +795,7 @@ def _score(model: Model):
 
             c = np.zeros(len(now), np.int64)
             c[known] = seen[which_pair]
-            p = with_context(alone[which], c, followers, model.pair_discounts)
+            p = with_context(alone[which], c, total, back, model.pair_discounts)
             if model.order == 3:
                 p = third(p, line[places - 2], before, now)
             base = np.log10((counts + 0.1) / (model.n_tokens + 0.1 * (model.n_words + 1)))[which]

@@ -117,3 +117,16 @@ def test_next_of_one_row_is_itself(spark):
     (r,) = syncmers.compare(spark.createDataFrame([(5, "abcd")], "doc_id long, text string")).collect()
     assert r.edited_sha256 == hashlib.sha256(b"abab").hexdigest()
     assert r.near_next == 1.0
+
+
+def test_a_word_is_looked_up_once(monkeypatch):
+    """Words of a line and of lines before it have the ids they were found to have."""
+    from fathom.llm import kneser_ney
+
+    asked: list[bytes] = []
+    words = kneser_ney.Words(None, 4, {}, {})
+    monkeypatch.setattr(words, "look_up", lambda new: asked.extend(new) or kneser_ney.np.array([7 if w == b"\n" else len(w) if w != b"gone" else -1 for w in new]))
+    for _ in range(2):
+        line, starts = words.sequence([[b"aa", b"gone", b"aa"], [], [b"bbb"]], 99, 2)
+        assert line.tolist() == [99, 99, 2, -1, 2, 7, 99, 99, 7, 99, 99, 3, 7] and starts.tolist() == [0, 6, 9]
+    assert asked == [b"aa", b"gone", b"bbb", b"\n"]
