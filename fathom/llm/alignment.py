@@ -45,7 +45,7 @@ ALIGNMENT = (
 #: Bytes of text that are aligned at once, unless one text is longer.
 BLOCK_BYTES = 1 << 20
 #: Units that a worker remembers, and the longest of them, in characters.
-MEMO_UNITS = 200_000
+MEMO_UNITS = 300_000
 MEMO_CHARS = 200
 #: Units that are encoded side by side.
 RUN = 256
@@ -60,7 +60,8 @@ HOT_PAIRS = 1 << 19
 _WHITE = f"{WHITE}᠎\x1c-\x1f"
 _ODD = re.compile(f"[{_WHITE}] ")
 _CUT = re.compile(f"(?<=[^{_WHITE}]) ")
-_WHITE_END = re.compile(f"[{_WHITE}]\\Z")
+# What a unit may end with, if it isn't clear where the next one begins; "" is an empty one's.
+_NOT_LAST = {"", *re.findall(f"[{_WHITE}]", "".join(map(chr, range(0xD800))))}
 
 
 def units_of(text: str) -> list[str]:
@@ -80,6 +81,10 @@ def byte_alphabet() -> dict[str, int]:
     return {**{chr(b): b for b in plain}, **{chr(256 + k): b for k, b in enumerate(others)}}
 
 
+def lengths_of(tokens: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(len, tokens), np.int64, len(tokens))
+
+
 class Bytes:
     """Tokenizer A: byte-level BPE from a file of the ``tokenizers`` library."""
 
@@ -96,6 +101,7 @@ class Bytes:
             added = {x["id"] for x in json.load(file)["added_tokens"]}
         for token, i in vocabulary.items():
             self.tokens[i] = token.encode() if i in added else bytes(of[c] for c in token)
+        self.lengths = lengths_of(self.tokens)
 
     def encode(self, units: list[str]) -> list[list[int]]:
         return [x.ids for x in self.encoder.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
@@ -116,6 +122,7 @@ class Pieces:
             for i, p in enumerate(pieces)
         ]
         self.blank = [self.encoder.piece_to_id("▁")]
+        self.lengths = lengths_of(self.tokens)
 
     def encode(self, units: list[str]) -> list[list[int]]:
         """An empty unit is a blank at the text's end, for which a blank isn't added."""
@@ -123,33 +130,45 @@ class Pieces:
         return [ids if u else self.blank for u, ids in zip(units, found, strict=True)]
 
 
-def encoded(side, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spelled(side, ids: list[int]) -> bytes:
+    return b"".join(map(side.tokens.__getitem__, ids))
+
+
+def encoded(side, units: list[str], sizes: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of distinct units on end, how many each has, and whether they spell it.
-    Units are encoded side by side in longer texts, but for those that say nothing of
-    where the next one begins, or stand in a text that isn't spelled."""
-    clean = [i for i, u in enumerate(units) if u and not _WHITE_END.search(u)]
-    runs = [clean[i : i + RUN] for i in range(0, len(clean), RUN)]
-    lines = [" ".join([units[i] for i in run]) for run in runs]
-    ids: list = [None] * len(units)
-    whole = np.ones(len(units), bool)
-    for run, line, found in zip(runs, lines, side.encode(lines), strict=True):
-        if b"".join([side.tokens[i] for i in found]) == b" " + line.encode():
-            ends = np.cumsum([len(units[i].encode()) + 1 for i in run])
-            stops = np.searchsorted(np.cumsum([len(side.tokens[i]) for i in found]), ends).tolist()
-            low = 0
-            for i, top in zip(run, stops, strict=True):
-                ids[i] = found[low : top + 1]
-                low = top + 1
-    alone = [i for i, x in enumerate(ids) if x is None]
-    for i, found in zip(alone, side.encode([units[i] for i in alone]), strict=True):
-        ids[i] = found
-        whole[i] = b"".join([side.tokens[k] for k in found]) == b" " + units[i].encode()
-    many = np.fromiter(map(len, ids), np.int64, len(ids))
-    return np.fromiter(chain.from_iterable(ids), np.int32, many.sum()), many, whole
+    ``sizes``: their bytes, each with its blank; ``clean``: the numbers of those that say
+    where the next one begins.  These are encoded side by side in longer texts, unless
+    such a text isn't spelled; each text's ids are cut where its units' bytes end."""
+    lines = [" ".join([units[i] for i in clean[at : at + RUN].tolist()]) for at in range(0, len(clean), RUN)]
+    encodings = side.encode(lines)
+    good = np.array([spelled(side, ids) == b" " + line.encode() for line, ids in zip(lines, encodings, strict=True)], bool)
+    held = clean[np.repeat(good, RUN)[: len(clean)]]
+    taken = [ids for ids, ok in zip(encodings, good.tolist(), strict=True) if ok]
+    apart = np.ones(len(units), bool)
+    apart[held] = False
+    alone = np.flatnonzero(apart)
+    singles = side.encode([units[i] for i in alone.tolist()])
+
+    flat = np.fromiter(chain.from_iterable([*taken, *singles]), np.int32)
+    first = sum(map(len, taken))
+    tops = np.searchsorted(np.cumsum(side.lengths[flat[:first]]), np.cumsum(sizes[held])) + 1
+    many, starts, whole = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), np.ones(len(units), bool)
+    many[held] = np.diff(tops, prepend=0)
+    starts[held] = tops - many[held]
+    many[alone] = np.fromiter(map(len, singles), np.int64, len(singles))
+    starts[alone] = first + np.cumsum(many[alone]) - many[alone]
+    whole[alone] = [spelled(side, ids) == b" " + units[i].encode() for i, ids in zip(alone.tolist(), singles, strict=True)]
+    return on_end(flat, starts, many), many, whole
+
+
+def on_end(flat: np.ndarray, starts: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``starts`` and have so many, on end."""
+    return flat[np.arange(many.sum()) + np.repeat(starts - (np.cumsum(many) - many), many)]
 
 
 class Memo:
-    """What units are encoded into, by the units' numbers."""
+    """What units are encoded into, by the units' numbers.  Most distinct units come
+    once: where there is no room left, those stay that blocks have met again."""
 
     def __init__(self, sides: list) -> None:
         self.sides = sides
@@ -158,28 +177,48 @@ class Memo:
     def clear(self) -> None:
         self.of: dict[str, int] = {}
         self.whole = np.zeros(0, bool)
+        self.again = np.zeros(0, bool)
         self.ids = [np.zeros(0, np.int32) for _ in self.sides]
         self.ends = [np.zeros(1, np.int64) for _ in self.sides]
 
+    def sift(self) -> None:
+        """Forget the units that haven't been met again, and number the others anew."""
+        units = [u for u, i in self.of.items() if self.again[i]]
+        numbers = np.fromiter(map(self.of.__getitem__, units), np.int64, len(units))
+        kept = [self.tokens(k, numbers) for k in range(len(self.sides))]
+        self.of = dict(zip(units, range(len(units)), strict=True))
+        self.whole, self.again = self.whole[numbers], np.zeros(len(units), bool)
+        self.ids = [flat for flat, _ in kept]
+        self.ends = [np.concatenate(([0], np.cumsum(many))) for _, many in kept]
+
+    def full(self, more: int) -> bool:
+        return len(self.of) + more > MEMO_UNITS or max(map(len, self.ids)) > MEMO_IDS
+
     def numbers(self, units: list[str]) -> np.ndarray:
         """The units' numbers, until the next call."""
         met = set(units)
-        if len(self.of) + len(met) > MEMO_UNITS or max(map(len, self.ids)) > MEMO_IDS:
-            self.clear()
+        if self.full(len(met)):
+            self.sift()
+            if self.full(len(met)):
+                self.clear()
+        base = len(self.whole)
         new = [u for u in met if u not in self.of]
         if new:
             # Long units come last, and are forgotten by the next call.
             new.sort(key=len)
-            base = len(self.whole)
             self.of.update(zip(new, range(base, base + len(new)), strict=True))
+            sizes = np.fromiter([len(u.encode()) + 1 for u in new], np.int64, len(new))
+            clean = np.flatnonzero([u[-1:] not in _NOT_LAST for u in new])
             whole = np.ones(len(new), bool)
             for k, side in enumerate(self.sides):
-                flat, many, spelled = encoded(side, new)
-                whole &= spelled
+                flat, many, right = encoded(side, new, sizes, clean)
+                whole &= right
                 self.ids[k] = np.concatenate((self.ids[k], flat))
                 self.ends[k] = np.concatenate((self.ends[k], self.ends[k][-1] + np.cumsum(many)))
             self.whole = np.concatenate((self.whole, whole))
+            self.again = np.concatenate((self.again, np.zeros(len(new), bool)))
         found = np.fromiter(map(self.of.__getitem__, units), np.int64, len(units))
+        self.again[found[found < base]] = True
         for u in reversed(new):
             if len(u) <= MEMO_CHARS:
                 break
@@ -190,8 +229,7 @@ class Memo:
         """Ids of side ``k`` for these units on end, and how many each unit has."""
         starts = self.ends[k][numbers]
         many = self.ends[k][numbers + 1] - starts
-        shift = starts - (np.cumsum(many) - many)
-        return self.ids[k][np.arange(many.sum()) + np.repeat(shift, many)], many
+        return on_end(self.ids[k], starts, many), many
 
 
 def per_text(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -213,7 +251,6 @@ class Aligner:
 
     def __init__(self, a: str, b: str) -> None:
         self.memo = Memo([Bytes(a), Pieces(b)])
-        self.lengths = [np.array([len(t) for t in side.tokens], np.int64) for side in self.memo.sides]
         self.digits = decimals(max(len(side.tokens) for side in self.memo.sides) - 1)
         if max(len(side.tokens) for side in self.memo.sides) > 1 << ID_BITS:
             raise ValueError(f"ids of over {ID_BITS} bits")
@@ -222,7 +259,7 @@ class Aligner:
         """Whether both sides' tokens join to a blank and the text."""
         for k, side in enumerate(self.memo.sides):
             ids, _ = self.memo.tokens(k, numbers)
-            if b"".join([side.tokens[i] for i in ids.tolist()]) != b" " + text.encode():
+            if spelled(side, ids.tolist()) != b" " + text.encode():
                 return False
         return True
 
@@ -244,7 +281,7 @@ class Aligner:
         n_a, n_b = (per_text(many, ends) for _, many in sides)
 
         # Where tokens end, counted from the block's first byte.
-        at = [np.cumsum(length[i]) for length, i in zip(self.lengths, ids, strict=True)]
+        at = [np.cumsum(side.lengths[i]) for side, i in zip(memo.sides, ids, strict=True)]
         size = int(at[0][-1]) if len(at[0]) else 0
         in_a, in_b = (np.bincount(x, minlength=size + 1) for x in at)
         places = np.flatnonzero(in_a | in_b)

@@ -150,3 +150,16 @@ def test_hard_rows(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert alignment.count_links(alignment.align(docs, *PATHS)).collect() == []
+
+
+def test_units_met_again_stay_when_the_memo_is_full(aligner, monkeypatch):
+    monkeypatch.setattr(alignment, "MEMO_UNITS", 4)
+    memo = alignment.Memo(aligner.memo.sides)
+    memo.numbers(["often", "once"])
+    memo.numbers(["often", "rare"])
+    numbers = memo.numbers(["new", "often", "other "])
+    assert set(memo.of) == {"often", "new", "other "}
+    for k, side in enumerate(memo.sides):
+        ids, many = memo.tokens(k, numbers)
+        alone = side.encode(["new", "often", "other "])
+        assert ids.tolist() == [i for x in alone for i in x] and many.tolist() == [len(x) for x in alone]
