@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 ARROW_BATCH_BYTES = 8 << 20
 ARROW_BATCH_ROWS = 4000
 
+#: Since Spark 4.1; earlier versions don't look at it.
+CLEAR_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Keys that joins meet apart from the others, and the least rows of such a key.
 HOT_KEYS = 64
 HOT_ROWS = 256
@@ -52,10 +57,32 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def shuffles_cleared(spark: SparkSession) -> Iterator[None]:
+    """Spark clears the shuffle files of what runs meanwhile as soon as it has run.  For
+    steps whose rows are written and read from there; else the files of each step
+    lie until the driver collects its garbage."""
+    was = spark.conf.get(CLEAR_SHUFFLES, "false")
+    spark.conf.set(CLEAR_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAR_SHUFFLES, was)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut lineage: the rows are written to the shared checkpoint folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_cleared(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # the setting holds for tables that are made under it
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written to the shared folder and read again."""
+    folder = new_folder(df.sparkSession, name)
+    with shuffles_cleared(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def hot_keys(rows: DataFrame, key: str) -> list:

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import hot_join, new_folder, prepare, stored, text_bytes
+from fathom.llm.common import hot_join, prepare, stored, text_bytes, written
 from fathom.llm.simhash import components, contracted, mixed, set_of, shingle_sets
 
 WORDS = 4
@@ -217,13 +217,6 @@ def led_by(links: DataFrame) -> DataFrame:
     return up
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written to the shared folder and read again."""
-    folder = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def common_with(index: np.ndarray, held: np.ndarray) -> int:
     """How many elements two ascending sets share."""
     if not len(index) or not len(held):

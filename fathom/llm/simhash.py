@@ -64,6 +64,8 @@ SIMILARITY = 0.8
 #: such chunk; bits of the filter for the rows whose shingles are needed.
 SET_CHUNK = 1 << 19
 FILTER_BITS = 1 << 24
+#: Nodes whose roots are broadcast, at most; roots of more are joined.
+FEW_NODES = 1 << 15
 
 
 def fingerprint_of(text: bytes, words: int = SHINGLE_WORDS) -> int:
@@ -332,26 +334,33 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
 
     Each round hooks a node, and the root it had, below the least root among
     its neighbours, then shortens paths; roots settle after about log2(size) rounds.
-    Every round's rows are written to the shared checkpoint folder.  The hub
-    of a large group and its root are met by many rows (see :func:`hot_join`).
+    Every round's rows are written to the shared checkpoint folder.  Roots of at most
+    FEW_NODES nodes are broadcast; of more, the hub of a large group and its root
+    are met by many rows (see :func:`hot_join`).
     """
-    both = stored(
-        edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    )
-    hubs = hot_keys(both, "b")
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = stored(edges.select(F.explode(ways).alias("x")).select("x.a", "x.b").distinct())
     roots = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b"))
     roots = stored(roots.select("node", F.least("node", "b").alias("root")))
+    few = roots.count() <= FEW_NODES
+    hubs = [] if few else hot_keys(both, "b")
+
+    def met(many: DataFrame, other: DataFrame, key: str, often: list | None = None) -> DataFrame:
+        return many.join(F.broadcast(other), key) if few else hot_join(many, other, key, often)
+
     for _ in range(max_rounds):
         far = roots.select(F.col("node").alias("b"), F.col("root").alias("far"))
-        near = hot_join(both, far, "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("far").alias("far"))
-        seen = roots.join(near, "node").select("node", "root", F.least("root", "far").alias("best"))
-        hooks = seen.select("node", "best").unionByName(seen.select(F.col("root").alias("node"), "best"))
-        hooked = stored(hooks.groupBy("node").agg(F.min("best").alias("root")))
+        near = met(both, far, "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("far").alias("far"))
+        seen = near.join(F.broadcast(roots) if few else roots, "node")
+        seen = seen.select("node", "root", F.least("root", "far").alias("best"))
+        # A node's own row goes with the root that it had, the row for its root without.
+        own, lead = (F.struct(F.col(n).alias("node"), was.alias("was")) for n, was in (("node", F.col("root")), ("root", F.lit(None).cast("long"))))
+        hooks = seen.select(F.explode(F.array(own, lead)).alias("x"), "best").select("x.node", "x.was", "best")
+        hooked = stored(hooks.groupBy("node").agg(F.min("best").alias("root"), F.max("was").alias("was")))
         up = hooked.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        after = stored(hot_join(hooked, up, "root").select("node", F.col("top").alias("root")))
-        moved = after.join(roots.withColumnRenamed("root", "was"), "node").filter("root <> was").limit(1).count()
-        roots = after
-        if not moved:
+        after = stored(met(hooked, up, "root").select("node", F.col("top").alias("root"), "was"))
+        roots = after.select("node", "root")
+        if after.filter("root <> was").isEmpty():
             return roots
     raise RuntimeError(f"components have not settled after {max_rounds} rounds")
 

@@ -1,14 +1,17 @@
 """The similarity join against a comparison of all pairs."""
 
 import random
+import time
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from fathom.llm import partenum, queries
+from fathom.llm import common, partenum, queries, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -168,3 +171,36 @@ def test_hard_rows(spark):
 
 def test_empty_table(spark):
     assert partenum.groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_a_stored_step_leaves_no_shuffle_files(spark):
+    def lying():
+        folders = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+        return {x for folder in folders for x in Path(folder).glob("*/shuffle_*")}
+
+    rows = spark.range(2000).withColumn("k", F.col("id") % 7)
+    for keep in (common.stored, lambda x: common.written(x, "step")):
+        before = lying()
+        step = keep(rows.groupBy("k").count().repartition(3, "count"))
+        until = time.time() + 20
+        while lying() - before and time.time() < until:
+            time.sleep(0.2)
+        assert not lying() - before
+        assert step.count() == 7
+    assert spark.conf.get(common.CLEAR_SHUFFLES) == "false"
+
+
+def test_roots_are_the_same_broadcast_or_joined(spark, monkeypatch):
+    rng = random.Random(5)
+    chain = [(i, i + 1) for i in range(40)]
+    star = [(100, 101 + i) for i in range(300)]
+    edges = chain + star + [(rng.randrange(500, 600), rng.randrange(500, 600)) for _ in range(60)] + [(-5, 7), (700, 700)]
+    rng.shuffle(edges)
+    table = spark.createDataFrame(edges, "a long, b long")
+    least = {x: x for e in edges for x in e}
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    for few in (simhash.FEW_NODES, 0):
+        monkeypatch.setattr(simhash, "FEW_NODES", few)
+        assert {r.node: r.root for r in simhash.components(table).collect()} == least
